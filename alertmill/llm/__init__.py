@@ -1 +1,8 @@
 """Operators for preparing training text at scale. Nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions travel to the executors with their code, so a cluster needs no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

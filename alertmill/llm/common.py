@@ -163,9 +163,20 @@ class Bloom:
         return out
 
 
-def shared(spark: SparkSession, value):
-    """A broadcast of a value whose size its maker bounds."""
-    return spark.sparkContext.broadcast(value)
+class Shared:
+    """A broadcast of a value whose size its maker bounds; a Bloom filter travels as its array."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.bloom = isinstance(value, Bloom)
+        self.sent = spark.sparkContext.broadcast((value.words, value.bits) if self.bloom else value)
+
+    @property
+    def value(self):
+        return Bloom(*self.sent.value) if self.bloom else self.sent.value
+
+
+def shared(spark: SparkSession, value) -> Shared:
+    return Shared(spark, value)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

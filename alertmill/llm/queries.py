@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from alertmill.llm.decontaminate import OP6_SQL, op6_decontamination
+from alertmill.llm.fingerprints import op1_fingerprints
+from alertmill.llm.mixing import op4_mixing
 from alertmill.llm.substring_dedup import op9_substring_dedup
 from alertmill.llm.suffix_index import op10_suffix_dedup
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op4_mixing": op4_mixing,
+    "op6_decontamination": op6_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
