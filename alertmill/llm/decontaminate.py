@@ -25,10 +25,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def shingles(ws: str, m: int) -> Column:
-    """(i, h) of each run of ``m`` words; none where there are fewer."""
+def shingles(ws: str, m: int) -> str:
+    """SQL for (i, m, h) of each run of ``m`` words; none where there are fewer."""
     parts = ", ".join(f"{ws}[i + {j}]" for j in range(m))
-    return F.expr(f"CASE WHEN size({ws}) >= {m} THEN transform(sequence(0, size({ws}) - {m}), i -> named_struct('i', i, 'm', {m}, 'h', xxhash64({parts}))) ELSE array() END")
+    return f"CASE WHEN size({ws}) >= {m} THEN transform(sequence(0, size({ws}) - {m}), i -> named_struct('i', i, 'm', {m}, 'h', xxhash64({parts}))) ELSE array() END"
 
 
 def item_shingles(items: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
@@ -55,18 +55,18 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     marks = stage(item_shingles(items, item_id, item_text, n, threshold), "items")
     count = marks.count()
     lengths = sorted(r.m for r in marks.select("m").distinct().collect())  # at most n values
-    ws = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("ws"))
+    # Words leave a generator, and hits an outer one: Catalyst neither copies these expressions into others nor infers filters that compute them again.
+    ws = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(F.array(words(F.col(text_col)))).alias("ws"))
     if not count:
-        return ws.join(marks, F.lit(False)).select("doc_id", "item_id", "n_item", F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))
-    held = F.concat(*[shingles("ws", m) for m in lengths])
+        none = lambda name, of: F.lit(None).cast(of).alias(name)
+        return ws.where(F.lit(False)).select("doc_id", none("item_id", items.schema[item_id].dataType), none("n_item", "long"), none("n_shared", "long"), none("containment", "double"))
+    held = ", ".join(shingles("ws", m) for m in lengths)
     if count <= IN_SCAN:
-        known = marks.select("h", "in_sig").distinct().collect()
-        inside = ", ".join(f"{x}L" for x in sorted({r.h for r in known})).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
-        signed = ", ".join(f"{x}L" for x in sorted({r.h for r in known if r.in_sig})).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
-        hits = ws.select("doc_id", "ws", held.alias("x")).select("doc_id", "ws", F.expr(f"filter(x, s -> s.h IN ({inside}))").alias("x")).where(F.expr(f"exists(x, s -> s.h IN ({signed}))"))
+        inside = ", ".join(f"{r.h}L" for r in marks.select("h").distinct().orderBy("h").collect()).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
+        hits = ws.withColumn("x", F.expr(f"filter(concat({held}), s -> s.h IN ({inside}))"))
     else:
-        hits = ws.select("doc_id", "ws", held.alias("x"))
-    rows = hits.select("doc_id", F.explode(F.expr("transform(x, s -> named_struct('h', s.h, 'm', s.m, 'sh', array_join(slice(ws, s.i + 1, s.m), ' ')))")).alias("s")).select("doc_id", "s.*")
+        hits = ws.withColumn("x", F.expr(f"concat({held})"))
+    rows = hits.select("doc_id", F.explode_outer(F.expr("transform(x, s -> named_struct('h', s.h, 'm', s.m, 'sh', array_join(slice(ws, s.i + 1, s.m), ' ')))")).alias("s")).select("doc_id", "s.*")
     table = F.broadcast(marks) if count <= BROADCAST else marks
     both = rows.join(table, ["h", "m", "sh"])  # texts are compared, not only their hashes
     pairs = both.groupBy("doc_id", "item_id", "n_item", "sh").agg(F.max("in_sig").alias("s")).groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"), F.max("s").alias("candidate"))

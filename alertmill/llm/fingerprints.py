@@ -37,8 +37,8 @@ def halves(d: list[int]) -> tuple[np.ndarray, np.ndarray]:
 def clashes(rows: DataFrame) -> Bloom:
     """Digests shared by texts whose canonical bytes differ, as a sieve; empty unless xxh3-128 has collided.
 
-    Rows are grouped by digest; only texts in buckets of two or more are sent, compressed without loss, and each
-    is compared byte by byte with its bucket's first.
+    Rows are grouped by digest; only texts in buckets of two or more are sent, compressed without loss, and the
+    bytes of a bucket are compared with one another.
     """
     spark = rows.sparkSession
 
@@ -54,13 +54,13 @@ def clashes(rows: DataFrame) -> Bloom:
         hi, lo = halves([digest_of(x) for x in forms])
         keep = np.flatnonzero(sieve.value.has(hi))
         press = zstandard.ZstdCompressor(level=1)
-        return {"id": batch.column("id").take(pa.array(keep)), "hi": hi[keep], "lo": lo[keep], "form": [press.compress(forms[i]) for i in keep]}
+        return {"hi": hi[keep], "lo": lo[keep], "form": [press.compress(forms[i]) for i in keep]}
 
-    sent = stage(arrow_map(rows, "id long, hi long, lo long, form binary", second, "text"), "forms")
-    heads = sent.groupBy("hi", "lo").agg(F.min_by("form", "id").alias("head"))
-    bad = stage(sent.join(heads, ["hi", "lo"]).where("form <> head").select("hi").distinct(), "clashes")
+    # all bytes of a bucket are equal if the least and the greatest are; both combine before the shuffle
+    sent = arrow_map(rows, "hi long, lo long, form binary", second, "text")
+    bad = stage(sent.groupBy("hi", "lo").agg(F.min("form").alias("a"), F.max("form").alias("z")).where("a <> z").select("hi").distinct(), "clashes")
     out = Bloom.of(bad, "hi")
-    unstage(again, sent, bad)
+    unstage(again, bad)
     return out
 
 
