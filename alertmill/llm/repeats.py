@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm.common import Bloom, arrow_map, buffer_of, mix64, session, shared, stage, unstage
-from alertmill.llm.scan import anchored_chunks, covered, word_hashes, words_of
+from alertmill.llm.scan import Rolling, anchored_chunks, covered, word_hashes, words_of
 
 LEAST = -(1 << 63)
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -97,6 +97,87 @@ def chunks(docs: DataFrame, win: Windows, sieve: Bloom | None = None, on: str =
     return arrow_map(docs, CHUNKS, step, "text")
 
 
+def chunk_places(docs: DataFrame, win: Windows) -> DataFrame:
+    """(anchor, chunk, place) of every chunk; ``place`` is what ``xxhash64(id, h, s)`` gives."""
+
+    def step(batch):
+        ids, h, c = win.chunks(batch)
+        if c is None:
+            return None
+        r = c["row"]
+        return {"anchor": c["anchor"].view(np.int64), "chunk": c["chunk"].view(np.int64), "place": row_key(ids[r], h[r], c["s"])}
+
+    return arrow_map(docs, "anchor long, chunk long, place long", step, "text")
+
+
+def contents(docs: DataFrame, win: Windows, sieve: Bloom) -> DataFrame:
+    """The bytes of the chunks whose place may be in the sieve: (id, h, s, n, o, anchor, text)."""
+    b = shared(docs.sparkSession, sieve)
+
+    def step(batch):
+        ids, h, _, offs, raw, _ = win.units(batch)
+        c = win.chunks(batch)[2]
+        if c is None:
+            return None
+        r = c["row"]
+        keep = np.flatnonzero(b.value.has(row_key(ids[r], h[r], c["s"])))
+        r, at, n = r[keep], c["at"][keep], c["n"][keep]
+        ends = at + n + win.length - 1
+        return {"id": ids[r], "h": h[r], "s": c["s"][keep].astype(np.int32), "n": n.astype(np.int32), "o": c["o"][keep].astype(np.int32), "anchor": c["anchor"][keep].view(np.int64), "text": pa.array([raw[a:z] for a, z in zip(at.tolist(), ends.tolist())], pa.binary())}
+
+    return arrow_map(docs, "id long, h long, s int, n int, o int, anchor long, text binary", step, "text")
+
+
+#: Windows, by their anchor's offset, that are settled together where they can be.
+SEGMENT = 8
+
+
+def _segments(batch: pa.RecordBatch, win: Windows) -> dict[str, np.ndarray]:
+    buf, offs = buffer_of(batch.column("text"))
+    roll = Rolling(buf.astype(np.uint64) + np.uint64(1))
+    col = lambda k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)
+    n, o = col("n"), col("o")
+    low, high = (o - n + 1) // SEGMENT, o // SEGMENT
+    count = high - low + 1
+    row = np.repeat(np.arange(len(n)), count)
+    g = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+    first, last = np.maximum(SEGMENT * g, (o - n + 1)[row]), np.minimum(SEGMENT * g + SEGMENT - 1, o[row])
+    j, m = o[row] - last, last - first + 1
+    base = offs[:-1][row]
+    core_at = base + o[row] - SEGMENT * g
+    core = mix64(roll.runs(core_at, core_at - SEGMENT + 1 + win.length) ^ mix64(g.astype(np.uint64) + np.uint64(1)))
+    full = mix64(roll.runs(base + j, base + j + m - 1 + win.length) ^ mix64((first << 32 | last).astype(np.uint64) + np.uint64(1)))
+    ids, h, s = col("id")[row], col("h")[row], col("s")[row]
+    return {"anchor": col("anchor")[row], "core": core.view(np.int64), "full": full.view(np.int64), "id": ids, "h": h, "p": (s + j).astype(np.int32), "m": m.astype(np.int32), "seg": row_key(ids, h, s, g), "at": base + j, "off": last, "roll": roll}
+
+
+def segments(held: DataFrame, win: Windows) -> DataFrame:
+    """Cuts chunks into segments of windows: ``core`` hashes the bytes that all windows of a segment's range hold, ``full`` all bytes of those present."""
+
+    def step(batch):
+        got = _segments(batch, win)
+        return {k: got[k] for k in ("anchor", "core", "full", "id", "h", "p", "m", "seg")}
+
+    return arrow_map(held, "anchor long, core long, full long, id long, h long, p int, m int, seg long", step, "text")
+
+
+def segment_windows(held: DataFrame, win: Windows, sieve: Bloom) -> DataFrame:
+    """The single windows of the segments that may be in the sieve: (id, h, p, anchor, key)."""
+    b = shared(held.sparkSession, sieve)
+
+    def step(batch):
+        x = _segments(batch, win)
+        keep = np.flatnonzero(b.value.has(x["seg"]))
+        m = x["m"][keep].astype(np.int64)
+        which = np.repeat(keep, m)
+        j = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
+        a = x["at"][which] + j
+        key = mix64(x["roll"].runs(a, a + win.length) ^ mix64((x["off"][which] - j).astype(np.uint64) + np.uint64(1)))
+        return {"id": x["id"][which], "h": x["h"][which], "p": (x["p"][which] + j).astype(np.int32), "anchor": x["anchor"][which], "key": key.view(np.int64)}
+
+    return arrow_map(held, "id long, h long, p int, anchor long, key long", step, "text")
+
+
 def distinct_chunks(found: DataFrame) -> DataFrame:
     """A row for each different chunk: its count ``c`` and its first place ``rep``."""
     return found.groupBy("anchor", "chunk", "n", "o").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "s")).alias("rep"))
@@ -125,31 +206,55 @@ def windows_of(docs: DataFrame, win: Windows, sieve: Bloom) -> DataFrame:
     return arrow_map(docs, "id long, h long, p int, anchor long, key long", step, "text")
 
 
-def repeated_spans(docs: DataFrame, win: Windows, table: DataFrame, earlier: bool) -> DataFrame:
-    """(id, h, starts, counts): runs of window starts whose windows repeat, by document.
+def _gathered(spans: DataFrame) -> DataFrame:
+    one = spans.groupBy("id", "h").agg(F.collect_list(F.struct("s", "n")).alias("x"))  # as many as a document has windows
+    return stage(one.select("id", "h", F.col("x.s").alias("starts"), F.col("x.n").alias("counts")), "spans")
+
+
+def spans_elsewhere(docs: DataFrame, win: Windows, table: DataFrame) -> DataFrame:
+    """(id, h, starts, counts): runs of windows that also start anywhere else, by document.
+
+    ``table`` (anchor, chunk, c, place) holds the different chunks of all anchors that occur more than once.
+    Chunks that recur are settled whole. Of anchors with several chunks, segments of windows that recur are
+    settled whole, segments whose common core stands alone hold no repeat, and only between those are single
+    windows compared.
+    """
+    own = table.groupBy("anchor").agg(F.count("*").alias("nd")).where("nd > 1").select("anchor")
+    places = stage(table.join(own, "anchor", "left_semi").select("place"), "places")
+    held = stage(contents(docs, win, Bloom.of(places, "place")), "contents")
+    unstage(places)
+    segs = stage(segments(held, win), "segments")
+    kinds = stage(segs.groupBy("anchor", "core", "full").agg(F.count("*").alias("c"), F.min("seg").alias("seg")), "kinds")
+    again = kinds.where("c > 1").select("anchor", "core", "full")
+    some = segs.join(again, ["anchor", "core", "full"], "left_semi").select("id", "h", F.col("p").alias("s"), F.col("m").alias("n"))
+    open_ = kinds.groupBy("anchor", "core").agg(F.count("*").alias("nd")).where("nd > 1").select("anchor", "core")
+    ask = stage(kinds.join(open_, ["anchor", "core"], "left_semi").select("seg"), "ask")
+    wins = stage(segment_windows(held, win, Bloom.of(ask, "seg")), "windows")
+    unstage(ask, held)
+    twice = wins.groupBy("anchor", "key").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "key")
+    single = wins.join(twice, ["anchor", "key"], "left_semi").select("id", "h", F.col("p").alias("s"), F.lit(1).alias("n"))
+    whole = stage(table.where("c > 1").select("anchor", "chunk"), "whole")
+    full = chunks(docs, win, Bloom.of(whole, "chunk"), "chunk").join(whole, ["anchor", "chunk"], "left_semi").select("id", "h", "s", "n")
+    out = _gathered(some.union(single).union(full))
+    unstage(segs, kinds, wins, whole)
+    return out
+
+
+def spans_earlier(docs: DataFrame, win: Windows, table: DataFrame) -> DataFrame:
+    """(id, h, starts, counts): runs of windows whose sequence also starts at a smaller (id, h, start), by document.
 
-    ``table`` holds the different chunks of all anchors that occur more than once. With ``earlier``, a window
-    counts where its sequence also starts at a smaller (id, h, start); else wherever it starts anywhere else.
+    ``table`` (anchor, chunk, n, o, c, rep) holds the different chunks of all anchors that occur more than once.
     """
     own = table.groupBy("anchor").agg(F.count("*").alias("nd")).where("nd > 1").select("anchor")
     multi = table.join(own, "anchor", "left_semi").select("rep.*")
     places = stage(multi.select(F.xxhash64("id", "h", F.col("s").cast("long")).alias("k")), "places")
     wins = stage(windows_of(docs, win, Bloom.of(places, "k")), "windows")
     unstage(places)
-    if earlier:
-        first = wins.groupBy("anchor", "key").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "p")).alias("f")).where("c > 1").drop("c")
-        some = wins.join(first, ["anchor", "key"]).where(F.struct("id", "h", "p") > F.col("f"))
-    else:
-        again = wins.groupBy("anchor", "key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-        some = wins.join(again, ["anchor", "key"], "left_semi")
-    some = some.select("id", "h", F.col("p").alias("s"), F.lit(1).alias("n"))
+    first = wins.groupBy("anchor", "key").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "p")).alias("f")).where("c > 1").drop("c")
+    some = wins.join(first, ["anchor", "key"]).where(F.struct("id", "h", "p") > F.col("f")).select("id", "h", F.col("p").alias("s"), F.lit(1).alias("n"))
     whole = stage(table.where("c > 1").select("anchor", "chunk", "n", "o", "rep"), "whole")
-    at = chunks(docs, win, Bloom.of(whole, "chunk"), "chunk")
-    full = at.join(whole, ["anchor", "chunk", "n", "o"])
-    if earlier:
-        full = full.where(F.struct("id", "h", "s") > F.col("rep"))
-    spans = some.union(full.select("id", "h", "s", "n")).groupBy("id", "h").agg(F.collect_list(F.struct("s", "n")).alias("x"))
-    out = stage(spans.select("id", "h", F.col("x.s").alias("starts"), F.col("x.n").alias("counts")), "spans")
+    full = chunks(docs, win, Bloom.of(whole, "chunk"), "chunk").join(whole, ["anchor", "chunk", "n", "o"]).where(F.struct("id", "h", "s") > F.col("rep"))
+    out = _gathered(some.union(full.select("id", "h", "s", "n")))
     unstage(wins, whole)
     return out
 

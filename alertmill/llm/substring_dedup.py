@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm.common import Bloom, stage, unstage
-from alertmill.llm.repeats import LEAST, Windows, anchors, chunks, distinct_chunks, keyed, remove, repeated_spans
+from alertmill.llm.repeats import LEAST, Windows, anchors, chunks, distinct_chunks, keyed, remove, spans_earlier
 
 
 
@@ -35,7 +35,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     win = Windows("word", window, max(1, window // 2))
     found = chunks(rows, win, repeated_anchors(rows, win))
     table = stage(distinct_chunks(found), "chunks")
-    spans = repeated_spans(rows, win, table, earlier=True)
+    spans = spans_earlier(rows, win, table)
     unstage(table)
     out = remove(rows, win, spans)
     return out.select(F.when(F.col("id") != LEAST, F.col("id")).alias(id_col), F.col("n_units").alias("n_words"), "n_removed", "n_spans", "kept_sha256")

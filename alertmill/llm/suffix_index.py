@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm.common import stage, unstage
-from alertmill.llm.repeats import LEAST, Windows, chunks, distinct_chunks, keyed, remove, repeated_spans
+from alertmill.llm.repeats import LEAST, Windows, chunk_places, keyed, remove, spans_elsewhere
 
-KEY = ["anchor", "chunk", "n", "o"]
+KEY = ["anchor", "chunk"]
 
 
 class SuffixIndex:
@@ -32,7 +32,8 @@ class SuffixIndex:
 
     def array(self, rows: DataFrame) -> DataFrame:
         """The suffix array of one batch."""
-        return stage(distinct_chunks(chunks(rows, self.win)).sortWithinPartitions(*KEY), "suffixes")
+        found = chunk_places(rows, self.win).groupBy(*KEY).agg(F.count("*").alias("c"), F.min("place").alias("place"))
+        return stage(found.sortWithinPartitions(*KEY), "suffixes")
 
     def scan(self, new: DataFrame, level: DataFrame) -> DataFrame:
         """Leading pieces that both arrays hold: ordered by the same key, the two are read side by side."""
@@ -40,7 +41,7 @@ class SuffixIndex:
 
     @staticmethod
     def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        both = a.unionByName(b).groupBy(*KEY).agg(F.sum("c").alias("c"), F.min("rep").alias("rep"))
+        both = a.unionByName(b).groupBy(*KEY).agg(F.sum("c").alias("c"), F.min("place").alias("place"))
         return stage(both.sortWithinPartitions(*KEY), "suffixes")
 
     def add(self, rows: DataFrame) -> None:
@@ -65,7 +66,7 @@ class SuffixIndex:
         for _, level in self.levels[1:]:
             rows = rows.unionByName(level)
         if len(self.levels) > 1:
-            rows = rows.groupBy(*KEY).agg(F.sum("c").alias("c"), F.min("rep").alias("rep"))
+            rows = rows.groupBy(*KEY).agg(F.sum("c").alias("c"), F.min("place").alias("place"))
         return rows.join(seen.distinct(), "anchor", "left_semi")
 
     def close(self) -> None:
@@ -88,7 +89,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         index.add(rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b))
     table = stage(index.repeated(), "chunks")
     index.close()
-    spans = repeated_spans(rows, index.win, table, earlier=False)
+    spans = spans_elsewhere(rows, index.win, table)
     unstage(table)
     out = remove(rows, index.win, spans)
     return out.select(F.when(F.col("id") != LEAST, F.col("id")).alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
