@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,15 +165,19 @@ class Bloom:
 
 
 class Shared:
-    """A broadcast of a value whose size its maker bounds; a Bloom filter travels as its array."""
+    """A broadcast of a value whose size its maker bounds; it travels with its class, and is unpacked once a task."""
 
     def __init__(self, spark: SparkSession, value):
-        self.bloom = isinstance(value, Bloom)
-        self.sent = spark.sparkContext.broadcast((value.words, value.bits) if self.bloom else value)
+        self.sent, self.got = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"sent": self.sent, "got": None}
 
     @property
     def value(self):
-        return Bloom(*self.sent.value) if self.bloom else self.sent.value
+        if self.got is None:
+            self.got = cloudpickle.loads(self.sent.value)
+        return self.got
 
 
 def shared(spark: SparkSession, value) -> Shared:

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from alertmill.llm.decontaminate import OP6_SQL, op6_decontamination
 from alertmill.llm.fingerprints import op1_fingerprints
+from alertmill.llm.line_dedup import op5_line_dedup
 from alertmill.llm.mixing import op4_mixing
+from alertmill.llm.near_duplicates import op7_jaccard_join
 from alertmill.llm.substring_dedup import op9_substring_dedup
 from alertmill.llm.suffix_index import op10_suffix_dedup
+from alertmill.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

@@ -22,12 +22,12 @@ def powers(base: int, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
     return got[:n]
 
 
-def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word ``[^\\x20\\x09-\\x0D]+`` in a buffer of rows, and the row of each; no word crosses rows."""
+def words_of(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word ``[^\\x20\\x09-\\x0D]+`` in a buffer of rows, and the row of each; no word crosses rows. ``gap``: the bytes between words."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, z
-    ink = ~SPACE[buf]
+    ink = ~gap[buf]
     first = np.zeros(len(buf) + 1, dtype=bool)
     first[offs[:-1]] = True
     start = ink.copy()
@@ -38,7 +38,7 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(end) + 1, np.searchsorted(offs, starts, side="right") - 1
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray = SPACE) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
@@ -46,7 +46,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     at[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(buf))))
     at[: starts[0]] = 0
     v = (buf.astype(np.uint64) + np.uint64(1)) * powers(BASE, int(at.max()) + 1)[at]
-    v[SPACE[buf]] = 0
+    v[gap[buf]] = 0
     return mix64(np.add.reduceat(v, starts) ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
 
 
