@@ -184,6 +184,30 @@ def shared(spark: SparkSession, value) -> Shared:
     return Shared(spark, value)
 
 
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id is among the ids of ``gone`` (id, once); of ids marked ``once`` one row stays.
+
+    A sieve of the ids lets all other rows pass where they are read; only suspects are shuffled and looked up.
+    """
+    spark = docs.sparkSession
+    session(spark)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
+    gone = stage(gone, "gone")
+    sieve = shared(spark, Bloom.of(gone.select(F.xxhash64("id").alias("k")), "k"))
+    rows = docs.select(F.xxhash64(key).alias("k"), key.alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def part(maybe: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(sieve.value.has(b.column("k").to_numpy(zero_copy_only=False)) == maybe))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    suspects = part(True).join(gone, "id", "left")
+    kept = suspects.where("once is null").select("row").unionByName(suspects.where("once").dropDuplicates(["id"]).select("row"))
+    return part(False).select("row").unionByName(kept).select("row.*")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by label hooking and pointer jumping: (id, component), the least id of each.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import Bloom, arrow_map, buffer_of, components, mix64, shared, stage, unstage
+from alertmill.llm.common import Bloom, arrow_map, buffer_of, components, mix64, shared, stage, unstage, without
 from alertmill.llm.repeats import LEAST, keyed, row_key
 from alertmill.llm.scan import Rolling, word_hashes, words_of
 
@@ -203,5 +203,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return seen.select("id", "k").join(known, "k").select(null("id").alias(id_col), null("class_id").alias("class_id"), "n_links")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each class: the one with the least id; of rows that repeat it, one."""
+    found = stage(near_duplicates(docs, id_col, text_col).select(F.coalesce(F.col(id_col), F.lit(LEAST).cast("long")).alias("id"), F.coalesce("class_id", F.lit(LEAST).cast("long")).alias("class_id")), "near")
+    heads = found.where("id = class_id").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id", F.lit(True).alias("once"))
+    return without(docs, id_col, found.where("id <> class_id").select("id", F.lit(False).alias("once")).distinct().unionByName(heads))
+
+
 def op7_jaccard_join(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -7,17 +7,21 @@ from alertmill.llm.fingerprints import op1_fingerprints
 from alertmill.llm.line_dedup import op5_line_dedup
 from alertmill.llm.mixing import op4_mixing
 from alertmill.llm.near_duplicates import op7_jaccard_join
+from alertmill.llm.quality import op8_quality
 from alertmill.llm.substring_dedup import op9_substring_dedup
 from alertmill.llm.suffix_index import op10_suffix_dedup
 from alertmill.llm.toxicity import op3_toxicity
+from alertmill.llm.warc import op2_warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
