@@ -56,17 +56,21 @@ def _of(facts: DataFrame, kind: str) -> DataFrame:
     return facts.where(F.col("location_type") == kind)
 
 
-_none, _c = F.lit(""), F.col
+_c = F.col
+
+
+def _none():
+    return F.lit("")
 
 
 def param_to_field(facts: DataFrame, s: Store) -> DataFrame:
     j = _of(facts, PARAM).join(s.param_to_field.withColumnRenamed("method_key", "location_key"), ["location_key", "param_name"])
-    return j.select(*_fact(FIELD, _c("field_key"), _none, _c("source_type"), _c("source_method"), _none, F.concat("location_key", F.lit("."), "param_name", F.lit(" -> "), "field_key")))
+    return j.select(*_fact(FIELD, _c("field_key"), _none(), _c("source_type"), _c("source_method"), _none(), F.concat("location_key", F.lit("."), "param_name", F.lit(" -> "), "field_key")))
 
 
 def param_to_return(facts: DataFrame, s: Store) -> DataFrame:
     j = _of(facts, PARAM).join(s.param_to_return.withColumnRenamed("method_key", "location_key").distinct(), ["location_key", "param_name"])
-    return j.select(*_fact(RETURN, _c("location_key"), _none, _c("source_type"), _c("source_method"), _none, F.concat("location_key", F.lit("."), "param_name", F.lit(" -> return:"), "location_key")))
+    return j.select(*_fact(RETURN, _c("location_key"), _none(), _c("source_type"), _c("source_method"), _none(), F.concat("location_key", F.lit("."), "param_name", F.lit(" -> return:"), "location_key")))
 
 
 def return_to_caller(facts: DataFrame, s: Store) -> DataFrame:
@@ -79,9 +83,9 @@ def return_to_caller(facts: DataFrame, s: Store) -> DataFrame:
     j = j.join(known, ["caller_key", "local"], "left_semi")
     step = F.concat(F.lit("return:"), "location_key", F.lit(" -> "), "caller_key", F.lit("."), "local")
     up = j.join(s.local_returned.select(_c("method_key").alias("caller_key"), "local").distinct(), ["caller_key", "local"], "left_semi")
-    out = up.select(*_fact(RETURN, _c("caller_key"), _none, _c("source_type"), _c("source_method"), _none, step))
+    out = up.select(*_fact(RETURN, _c("caller_key"), _none(), _c("source_type"), _c("source_method"), _none(), step))
     fields = j.join(s.local_to_field.withColumnRenamed("method_key", "caller_key"), ["caller_key", "local"])
-    return out.unionByName(fields.select(*_fact(FIELD, _c("field_key"), _none, F.lit(FIELD_PROPAGATION), _c("source_method"), F.concat(F.lit("return:"), "location_key"), F.concat(step, F.lit(" -> "), "field_key"))))
+    return out.unionByName(fields.select(*_fact(FIELD, _c("field_key"), _none(), F.lit(FIELD_PROPAGATION), _c("source_method"), F.concat(F.lit("return:"), "location_key"), F.concat(step, F.lit(" -> "), "field_key"))))
 
 
 def return_to_field_at_call(facts: DataFrame, s: Store) -> DataFrame:
@@ -92,19 +96,19 @@ def return_to_field_at_call(facts: DataFrame, s: Store) -> DataFrame:
     named = _of(facts, RETURN).join(arity, "location_key", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("pattern", t.pattern_of(_c("location_key")))
     loose = sites.where("callee_key = ''").select(F.concat_ws(".", "callee_class", "callee_method").alias("pattern"), _c("arg_count").alias("n"), "field_key").distinct()
     both = exact.select(*facts.columns, "field_key").unionByName(named.join(loose, ["pattern", "n"]).select(*facts.columns, "field_key"))
-    return both.select(*_fact(FIELD, _c("field_key"), _none, F.lit(FIELD_PROPAGATION), _c("source_method"), F.concat(F.lit("return:"), "location_key"), F.concat(F.lit("return:"), "location_key", F.lit(" -> "), "field_key")))
+    return both.select(*_fact(FIELD, _c("field_key"), _none(), F.lit(FIELD_PROPAGATION), _c("source_method"), F.concat(F.lit("return:"), "location_key"), F.concat(F.lit("return:"), "location_key", F.lit(" -> "), "field_key")))
 
 
 def field_to_field(facts: DataFrame, s: Store) -> DataFrame:
     j = _of(facts, FIELD).join(s.field_edges.select(_c("src_field").alias("location_key"), "dst_field").distinct(), "location_key")
-    return j.select(*_fact(FIELD, _c("dst_field"), _none, F.lit(FIELD_PROPAGATION), _c("source_method"), _c("location_key"), F.concat("location_key", F.lit(" -> "), "dst_field")))
+    return j.select(*_fact(FIELD, _c("dst_field"), _none(), F.lit(FIELD_PROPAGATION), _c("source_method"), _c("location_key"), F.concat("location_key", F.lit(" -> "), "dst_field")))
 
 
 def field_to_return(facts: DataFrame, s: Store) -> DataFrame:
     """To methods that return the field, unless the seed store already names the source for them."""
     j = _of(facts, FIELD).join(s.return_fields.withColumnRenamed("field_key", "location_key").distinct(), "location_key")
     j = j.join(s.return_sources.withColumnRenamed("source", "source_method").distinct(), ["method_key", "source_method"], "left_anti")
-    return j.select(*_fact(RETURN, _c("method_key"), _none, _c("source_type"), _c("source_method"), _c("location_key"), F.concat("location_key", F.lit(" -> return:"), "method_key")))
+    return j.select(*_fact(RETURN, _c("method_key"), _none(), _c("source_type"), _c("source_method"), _c("location_key"), F.concat("location_key", F.lit(" -> return:"), "method_key")))
 
 
 def param_to_param(facts: DataFrame, s: Store) -> DataFrame:
@@ -125,7 +129,7 @@ def collection_element(facts: DataFrame, s: Store) -> DataFrame:
     kinds = s.field_types.where(F.trim(F.regexp_extract("type", r"^([^<]*)", 1)).isin(*COLLECTIONS)).select(_c("field_key").alias("location_key")).distinct()
     j = _of(facts, FIELD).join(kinds, "location_key", "left_semi").join(s.return_fields.withColumnRenamed("field_key", "location_key").distinct(), "location_key")
     j = j.where(~t.method_of(_c("method_key")).isin(*ACCESSORS))
-    return j.select(*_fact(RETURN, _c("method_key"), _none, _c("source_type"), _c("source_method"), _c("location_key"), F.concat("location_key", F.lit("[element] -> return:"), "method_key")))
+    return j.select(*_fact(RETURN, _c("method_key"), _none(), _c("source_type"), _c("source_method"), _c("location_key"), F.concat("location_key", F.lit("[element] -> return:"), "method_key")))
 
 
 #: The rules by name; one more rule is one more entry.
@@ -148,14 +152,14 @@ def seeds(field_taints: DataFrame, param_taints: DataFrame, return_taints: DataF
     A tainted argument (caller_key, callee_class, callee_method, arg_index, source) binds to the first overload, by key, with
     enough parameters, else to the first one.
     """
-    f = field_taints.select(F.lit(FIELD).alias("location_type"), _c("field_key").alias("location_key"), _none.alias("param_name"), "source_type", "source_method", "source_field", F.array(F.concat(F.lit("AST_Seed:"), "field_key")).alias("path"))
-    p = param_taints.select(F.lit(PARAM).alias("location_type"), _c("method_key").alias("location_key"), "param_name", F.lit(USER_INPUT).alias("source_type"), _c("source").alias("source_method"), _none.alias("source_field"), F.array(F.concat(F.lit("Param_Seed:"), "method_key", F.lit("."), "param_name", F.lit("<-"), "source")).alias("path"))
-    r = return_taints.select(F.lit(RETURN).alias("location_type"), _c("method_key").alias("location_key"), _none.alias("param_name"), F.lit(USER_INPUT).alias("source_type"), _c("source").alias("source_method"), _none.alias("source_field"), F.array(F.concat(F.lit("Return_Seed:"), "method_key", F.lit("<-"), "source")).alias("path"))
+    f = field_taints.select(F.lit(FIELD).alias("location_type"), _c("field_key").alias("location_key"), _none().alias("param_name"), "source_type", "source_method", "source_field", F.array(F.concat(F.lit("AST_Seed:"), "field_key")).alias("path"))
+    p = param_taints.select(F.lit(PARAM).alias("location_type"), _c("method_key").alias("location_key"), "param_name", F.lit(USER_INPUT).alias("source_type"), _c("source").alias("source_method"), _none().alias("source_field"), F.array(F.concat(F.lit("Param_Seed:"), "method_key", F.lit("."), "param_name", F.lit("<-"), "source")).alias("path"))
+    r = return_taints.select(F.lit(RETURN).alias("location_type"), _c("method_key").alias("location_key"), _none().alias("param_name"), F.lit(USER_INPUT).alias("source_type"), _c("source").alias("source_method"), _none().alias("source_field"), F.array(F.concat(F.lit("Return_Seed:"), "method_key", F.lit("<-"), "source")).alias("path"))
     sizes = method_params.groupBy("method_key").agg(F.count("*").alias("n")).withColumn("pattern", t.pattern_of(_c("method_key")))
     calls = argument_taints.withColumn("pattern", F.concat_ws(".", "callee_class", "callee_method")).join(sizes, "pattern")
     w = Window.partitionBy("caller_key", "pattern", "arg_index", "source").orderBy(F.desc(_c("n") > _c("arg_index")), "method_key")
     bound = calls.withColumn("k", F.row_number().over(w)).where("k = 1").join(method_params.select("method_key", "param_name", _c("ord").alias("arg_index")), ["method_key", "arg_index"])
-    a = bound.select(F.lit(PARAM).alias("location_type"), _c("method_key").alias("location_key"), "param_name", F.lit(USER_INPUT).alias("source_type"), _c("source").alias("source_method"), _none.alias("source_field"), F.array(F.concat("caller_key", F.lit(" -> "), "method_key", F.lit("."), "param_name", F.lit(" (arg#"), _c("arg_index").cast("string"), F.lit(")"))).alias("path"))
+    a = bound.select(F.lit(PARAM).alias("location_type"), _c("method_key").alias("location_key"), "param_name", F.lit(USER_INPUT).alias("source_type"), _c("source").alias("source_method"), _none().alias("source_field"), F.array(F.concat("caller_key", F.lit(" -> "), "method_key", F.lit("."), "param_name", F.lit(" (arg#"), _c("arg_index").cast("string"), F.lit(")"))).alias("path"))
     return once(f.unionByName(p).unionByName(r).unionByName(a))
 
 
