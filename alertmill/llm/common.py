@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch handed to Python; a batch is cut further by bytes (see ``slices``).
 ARROW_ROWS = "256"
 #: Bytes of text that one numpy step works on; a longer text is worked on alone.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 BLOOM_MAX_BITS = 27
 
 
@@ -104,6 +104,16 @@ def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, started by a collection: what came with the last task's code holds itself in cycles, tables included."""
+
+    def go(batches):
+        gc.collect()
+        yield from run(batches)
+
+    return go
+
+
 def arrow_map(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dict | None], column: str) -> DataFrame:
     """``mapInArrow`` whose ``step`` turns a small record batch into named columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -118,7 +128,7 @@ def arrow_map(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dict
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=f.type) for f, x in ((f, got[f.name]) for f in target)], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -201,7 +211,7 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array(sieve.value.has(b.column("k").to_numpy(zero_copy_only=False)) == maybe))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(lean(run), rows.schema)
 
     suspects = part(True).join(gone, "id", "left")
     kept = suspects.where("once is null").select("row").unionByName(suspects.where("once").dropDuplicates(["id"]).select("row"))

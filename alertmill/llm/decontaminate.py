@@ -35,7 +35,7 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, n: int, threshol
     """(item_id, sh, h, n_item, in_sig) of each distinct shingle; an item of fewer than ``n`` words is one shingle of them all."""
     w = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("ws")).where("size(ws) > 0")
     w = w.withColumn("m", F.least(F.lit(n), F.size("ws")))
-    each = w.select("item_id", "m", F.explode(F.expr("array_distinct(transform(sequence(1, size(ws) - m + 1), i -> array_join(slice(ws, i, m), ' ')))")).alias("sh"))
+    each = w.select("item_id", "m", F.explode(F.expr("array_distinct(transform(sequence(1, size(ws) - m + 1), i -> array_join(slice(ws, i, m), ' ')))")).alias("sh")).distinct()
     by_size = F.expr(f"CASE m {' '.join(f'WHEN {k} THEN ' + 'xxhash64(' + ', '.join(f'p[{j}]' for j in range(k)) + ')' for k in range(1, n + 1))} END")
     hashed = each.withColumn("p", F.split("sh", " ")).select("item_id", "m", "sh", by_size.alias("h"))
     sized = hashed.groupBy("item_id").agg(F.count("*").alias("n_item"), F.array_sort(F.collect_set("h")).alias("low"))  # an item is short: its own words

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import Bloom, arrow_map, partitions, shared, stage, unstage
+from alertmill.llm.common import Bloom, arrow_map, lean, partitions, shared, stage, unstage
 from alertmill.llm.repeats import LEAST, keyed
 
 
@@ -151,7 +151,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         new = canonical(edited)
         return i, len(own), sha256(edited.encode()).hexdigest(), name_of(own_form, bad), name_of(new, bad), float(own_form == new), float(own_form == form)
 
-    out = sent.mapInArrow(pairs, OUT)
+    out = sent.mapInArrow(lean(pairs), OUT)
     return out.select(F.when(F.col("id") != LEAST, F.col("id")).alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 

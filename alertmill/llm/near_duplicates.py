@@ -11,17 +11,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import Bloom, arrow_map, buffer_of, components, mix64, shared, stage, unstage, without
+from alertmill.llm.common import Bloom, arrow_map, buffer_of, components, lean, mix64, partitions, shared, stage, unstage, without
 from alertmill.llm.repeats import LEAST, keyed, row_key
 from alertmill.llm.scan import Rolling, word_hashes, words_of
 
-#: Members of a component that one block holds; two blocks meet in a task.
-BLOCK = 128
+#: Members of a component that one block holds, and grams that its members hold together; two blocks meet in a task.
+BLOCK, BLOCK_GRAMS = 512, 2_000_000
+
+
+def blocks(members: str, grams: str) -> Column:
+    """How many blocks a component of so many members and grams makes."""
+    return F.ceil(F.greatest(F.col(members) / F.lit(BLOCK), F.col(grams) / F.lit(BLOCK_GRAMS), F.lit(1.0))).cast("int")
 
 
 def banding(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -56,7 +60,7 @@ def functions(k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(rows: DataFrame, n: int, bands: int, per: int) -> DataFrame:
-    """(id, k, place, bands): the hash ``k`` of each text's gram set, its row's place and its band hashes."""
+    """(id, k, place, size, bands): the hash ``k`` of each text's gram set, its row's place, the grams of the text and its band hashes."""
 
     def step(batch):
         h, first = gram_sets(batch, n)
@@ -70,9 +74,9 @@ def signatures(rows: DataFrame, n: int, bands: int, per: int) -> DataFrame:
             keys[i // per] = mix64(keys[i // per] ^ least[i]) + np.uint64(i)
         k = set_keys(h, first)
         flat = pa.array(keys.T.reshape(-1).view(np.int64))
-        return {"id": ids, "k": k, "place": row_key(ids, k), "bands": pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(first) + 1, bands, dtype=np.int32)), flat)}
+        return {"id": ids, "k": k, "place": row_key(ids, k), "size": np.diff(np.append(first, len(h))), "bands": pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(first) + 1, bands, dtype=np.int32)), flat)}
 
-    return arrow_map(rows, "id long, k long, place long, bands array<long>", step, "text")
+    return arrow_map(rows, "id long, k long, place long, size long, bands array<long>", step, "text")
 
 
 def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -134,20 +138,37 @@ def forest(linked: np.ndarray, keys: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def verified(members: DataFrame, threshold: float) -> DataFrame:
-    """(k, links, to) from members (comp, k, w, grams, bi, bj, b): the weight of the links found for ``k``, or an edge of a block's spanning forest."""
-
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["k"])
-        same = pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
-        left = (pdf["b"] == pdf["bi"]).to_numpy()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["grams"]]
-        size = np.array([len(x) for x in sets], dtype=np.float64)
-        ia = np.flatnonzero(left)
-        ib = ia if same else np.flatnonzero(~left)
-        keys, w = pdf["k"].to_numpy(), pdf["w"].to_numpy()
-        if not len(ia) or not len(ib):
-            return pd.DataFrame({"k": [], "links": [], "to": []}).astype({"k": "int64", "links": "int64", "to": "Int64"})
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members (comp, k, w, grams, n_blocks), each once for every pair of blocks (bi, bj) that its block ``b`` is in."""
+    n = F.col("n_blocks")
+    dealt = members.withColumn("b", F.pmod(F.xxhash64("k"), n).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
+    return dealt.select("comp", "k", "w", "grams", F.least("b", "x").alias("bi"), F.greatest("b", "x").alias("bj"), "b")
+
+
+def verified(members: DataFrame, threshold: float, decode=lambda many: [np.frombuffer(x, dtype=np.uint64) for x in many], count: bool = True) -> DataFrame:
+    """(k, links, to), ``decode`` giving the sorted gram hashes of a list of ``grams``, from members (comp, k, w, grams, bi, bj, b): the weight of the links found for ``k``, or an edge of a block's spanning forest; without ``count`` edges alone."""
+
+    schema = pa.schema([("k", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
+
+    def pair(out, keys, w, sets):
+        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        if inter < threshold * (len(sets[0]) + len(sets[1]) - inter) - 1e-6:
+            return
+        low, high = (0, 1) if keys[0] < keys[1] else (1, 0)
+        out += [(keys[low], w[high], None)] * count + [(keys[high], w[low], keys[low])]
+
+    def check(out, rows):
+        """One block with itself, or two blocks; every key once, though a sieve may let a row through twice."""
+        rows = list({r[0]: r for r in rows}.values())
+        keys, w, sets = [r[0] for r in rows], [r[1] for r in rows], decode([r[2] for r in rows])
+        same = rows[0][3] == rows[0][4]
+        ia = np.array([i for i, r in enumerate(rows) if r[5] == r[3]], dtype=np.int64)
+        ib = ia if same else np.array([i for i, r in enumerate(rows) if r[5] != r[3]], dtype=np.int64)
+        if not len(ia) or not len(ib) or len(rows) < 2:
+            return
+        if len(rows) == 2:
+            return pair(out, keys, w, sets)
+        size, w = np.array([len(x) for x in sets], dtype=np.float64), np.array(w, dtype=np.int64)
         inter = overlaps([sets[i] for i in ia], [sets[i] for i in ib])
         near = inter >= threshold * (size[ia][:, None] + size[ib][None, :] - inter) - 1e-6
         if same:
@@ -158,11 +179,33 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
             np.add.at(links, ib, near.T @ w[ia])
         square = np.zeros((len(keys), len(keys)), dtype=bool)
         square[np.ix_(ia, ib)] = near
-        edges = forest(square | square.T, keys)
-        k = [*keys.tolist(), *(a for a, _ in edges)]
-        return pd.DataFrame({"k": k, "links": [*links.tolist(), *[0] * len(edges)], "to": pd.array([*[None] * len(keys), *(b for _, b in edges)], dtype="Int64")})
-
-    return members.groupBy("comp", "bi", "bj").applyInPandas(check, "k long, links long, to long")
+        if count:
+            out += [(k, int(n), None) for k, n in zip(keys, links) if n]
+        out += [(a, 0, b) for a, b in forest(square | square.T, keys)]
+
+    def run(batches):
+        held, at, out = [], None, []
+        emit = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("k", "w", "grams", "bi", "bj", "b", "comp")]
+            for r in zip(*cols):
+                key = (r[6], r[3], r[4])
+                if key != at and held:
+                    check(out, held)
+                    held = []
+                at = key
+                held.append(r)
+            if out:
+                yield emit(out)
+                out = []
+        if held:
+            check(out, held)
+        if out:
+            yield emit(out)
+
+    spark = members.sparkSession
+    dealt = members.select("k", "w", "grams", "bi", "bj", "b", "comp").repartition(partitions(spark), "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
+    return dealt.mapInArrow(lean(run), "k long, links long, to long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
@@ -179,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = keyed(docs, id_col, text_col)
     bands, per = banding(threshold, recall)
     seen = stage(signatures(rows, n, bands, per), "signatures")
-    items = stage(seen.groupBy("k").agg(F.count("*").alias("w"), F.min("place").alias("place"), F.min("id").alias("id")), "items")
+    items = stage(seen.groupBy("k").agg(F.count("*").alias("w"), F.min("place").alias("place"), F.min("size").alias("size"), F.min("id").alias("id")), "items")
     one = seen.join(items.select("place", "k"), ["k", "place"], "left_semi").select("k", F.posexplode("bands").alias("band", "key")).distinct()
     held = stage(one, "bands")
     star = held.groupBy("band", "key").agg(F.min("k").alias("head"), F.count("*").alias("c")).where("c > 1")
@@ -187,12 +230,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unstage(held)
     comps = components(edges)
     unstage(edges)
-    sizes = comps.groupBy("component").agg(F.count("*").alias("m"))
-    placed = stage(comps.join(sizes, "component").join(items, comps["id"] == items["k"]).select(F.col("component").alias("comp"), "k", "w", "place", "m"), "members")
+    held_by = comps.withColumnRenamed("id", "k").join(items.drop("id"), "k")
+    sizes = held_by.groupBy("component").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).select("component", blocks("m", "grams").alias("n_blocks"))
+    placed = stage(held_by.join(sizes, "component").select(F.col("component").alias("comp"), "k", "w", "place", "n_blocks"), "members")
     sets = full_sets(rows, n, Bloom.of(placed, "place")).dropDuplicates(["k"])
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    dealt = sets.join(placed, "k").withColumn("b", F.pmod(F.xxhash64("k"), blocks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    found = stage(verified(dealt.select("comp", "k", "w", "grams", F.least("b", "x").alias("bi"), F.greatest("b", "x").alias("bj"), "b"), threshold), "links")
+    dealt = in_blocks(sets.join(placed, "k"))
+    found = stage(verified(dealt, threshold), "links")
     classes = components(found.where("to is not null").select(F.col("k").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     named = items.join(links, "k", "left").join(classes.withColumnRenamed("id", "k"), "k", "left").select("k", "w", "id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "k").alias("component"))
@@ -212,3 +255,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op7_jaccard_join(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS k FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+d AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT r.x AS doc_id, min(r.y) AS class_id, coalesce(any_value(d.n), 0) AS n_links FROM r LEFT JOIN d ON d.x = r.x GROUP BY r.x
+"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import arrow_map, buffer_of, mix64, shared, slices
+from alertmill.llm.common import arrow_map, buffer_of, lean, mix64, shared, slices
 from alertmill.llm.linear import Logistic, fit, logit, out_of_fold, platt, sigmoid
 from alertmill.llm.repeats import LEAST
 from alertmill.llm.samples import bounded
@@ -169,7 +169,7 @@ def good_ones(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_co
                 keep = b.value.score(text_view(part), page_view(part))[2] >= least
                 yield pa.RecordBatch.from_arrays([part.column("_row").filter(pa.array(keep))], names=["_row"])
 
-    return rows.mapInArrow(run, rows.select("_row").schema).select("_row.*")
+    return rows.mapInArrow(lean(run), rows.select("_row").schema).select("_row.*")
 
 
 #: A document stays unless it is more likely bad than good.

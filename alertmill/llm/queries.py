@@ -6,9 +6,9 @@ from alertmill.llm.decontaminate import OP6_SQL, op6_decontamination
 from alertmill.llm.fingerprints import op1_fingerprints
 from alertmill.llm.line_dedup import op5_line_dedup
 from alertmill.llm.mixing import op4_mixing
-from alertmill.llm.near_duplicates import op7_jaccard_join
+from alertmill.llm.near_duplicates import OP7_SQL, op7_jaccard_join
 from alertmill.llm.quality import op8_quality
-from alertmill.llm.substring_dedup import op9_substring_dedup
+from alertmill.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from alertmill.llm.suffix_index import op10_suffix_dedup
 from alertmill.llm.toxicity import op3_toxicity
 from alertmill.llm.warc import op2_warc
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op9_substring_dedup": OP9_SQL}

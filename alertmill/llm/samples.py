@@ -15,7 +15,7 @@ def bounded(docs: DataFrame, labels: DataFrame, id_col: str, columns: list[str],
     Of several label rows for one id the least values count; rows that repeat an id are all taken.
     """
     session(docs.sparkSession)
-    marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*[F.min(F.col(c).cast("int")).alias(c) for c in columns])
+    marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*[F.min(F.col(c).try_cast("int")).alias(c) for c in columns])
     whole = " and ".join(f"{c} is not null" for c in columns)
     marks = marks.where(whole)
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()

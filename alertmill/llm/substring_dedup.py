@@ -43,4 +43,15 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op9_substring_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup_windows(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
+    return dedup_windows(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY array_to_string(ws[k:k + 19], ' ') ORDER BY doc_id, k) AS n FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS k FROM w)),
+gone AS (SELECT DISTINCT doc_id, k + i AS p FROM f, range(20) r(i) WHERE n > 1),
+pos AS (SELECT doc_id, ws[p] AS word, p FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS p FROM w)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)
+"""

@@ -84,10 +84,9 @@ def fit_chain(names: list[str], sets: list[np.ndarray], y: np.ndarray, fold: np.
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> Chain:
-    """``categories``: SQL over the label columns, by name, in the order of the chain."""
-    columns = [c for c in labels.columns if c != id_col]
-    rows = bounded(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")), labels, id_col, columns, most)
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, columns: tuple[str, ...] = ("quality", "toxic")) -> Chain:
+    """``categories``: SQL over the label ``columns``, by name, in the order of the chain; rows with a null in one of them are not labelled."""
+    rows = bounded(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")), labels, id_col, list(columns), most)
     marks = rows.select("id", "text", *[F.expr(f"cast({e} as int)").alias(f"c{i}") for i, e in enumerate(categories.values())])
 
     def step(batch):
