@@ -160,7 +160,7 @@ def verified(members: DataFrame, threshold: float, decode=lambda many: [np.fromb
     def check(out, rows):
         """One block with itself, or two blocks; every key once, though a sieve may let a row through twice."""
         rows = list({r[0]: r for r in rows}.values())
-        keys, w, sets = [r[0] for r in rows], [r[1] for r in rows], decode([r[2] for r in rows])
+        keys, w, sets = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
         same = rows[0][3] == rows[0][4]
         ia = np.array([i for i, r in enumerate(rows) if r[5] == r[3]], dtype=np.int64)
         ib = ia if same else np.array([i for i, r in enumerate(rows) if r[5] != r[3]], dtype=np.int64)
@@ -187,8 +187,8 @@ def verified(members: DataFrame, threshold: float, decode=lambda many: [np.fromb
         held, at, out = [], None, []
         emit = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("k", "w", "grams", "bi", "bj", "b", "comp")]
-            for r in zip(*cols):
+            k, w, grams, *rest = (batch.column(c).to_pylist() for c in ("k", "w", "grams", "bi", "bj", "b", "comp"))
+            for r in zip(k, w, decode(grams), *rest):
                 key = (r[6], r[3], r[4])
                 if key != at and held:
                     check(out, held)

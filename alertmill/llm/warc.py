@@ -21,10 +21,12 @@ from alertmill.llm.common import arrow_map, session
 
 DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>")
 TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-BLOCK = re.compile(r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|section|article|header|footer|nav|aside|main|pre|blockquote|form|figure|option)\b[^<>]*>")
-CELL = re.compile(r"(?i)</?(?:td|th)\b[^<>]*>")
-TAG = re.compile(r"<[a-zA-Z/!?](?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>")
-LOOSE = re.compile(r"<[a-zA-Z/!?][^<>]*>")
+_BLOCKS = r"(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|section|article|header|footer|nav|aside|main|pre|blockquote|form|figure|option)"
+# attributes whose quotes close before the next tag; tags with others end at the first bracket
+_ATTRS = r"(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+"
+BLOCK = re.compile(rf"(?i)</?{_BLOCKS}\b{_ATTRS}>|</?{_BLOCKS}\b[^<>]*>")
+CELL = re.compile(rf"(?i)</?(?:td|th)\b{_ATTRS}>|</?(?:td|th)\b[^<>]*>")
+TAG = re.compile(rf"<[a-zA-Z/!?]{_ATTRS}>|<[a-zA-Z/!?][^<>]*>")
 HREF = re.compile(r"(?is)<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\"'<>]+))")
 BLANK, LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
 EPOCH = "1970-01-01T00:00:00Z"
@@ -43,7 +45,7 @@ def page_text(markup: str) -> str:
     """The text of a page: no scripts, styles, comments or head; blocks on lines of their own, references decoded."""
     x = DROPPED.sub(" ", markup)
     x = CELL.sub(" ", BLOCK.sub("\n", x))
-    x = html.unescape(LOOSE.sub("", TAG.sub("", x)))
+    x = html.unescape(TAG.sub("", x))
     return LINES.sub("\n", BLANK.sub(" ", x)).strip()
 
 
