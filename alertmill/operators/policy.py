@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.functions import text as t
@@ -100,7 +100,7 @@ def translate(results: DataFrame) -> dict[str, DataFrame]:
     ``results`` has an array ``results`` of structs (source.path, packages of (package, vulnerabilities, groups, licenses)).
     Each licence is a row; a component carries them joined by `` AND ``.
     """
-    pk = results.select(F.posexplode("results").alias("i", "r")).select("i", F.col("r.source.path").alias("path"), F.posexplode("r.packages").alias("j", "p")).withColumn("pos", F.row_number().over(Window.orderBy("i", "j")))
+    pk = results.select(F.monotonically_increasing_id().alias("d"), F.posexplode("results").alias("i", "r")).select("d", "i", F.col("r.source.path").alias("path"), F.posexplode("r.packages").alias("j", "p")).withColumn("pos", F.struct("d", "i", "j"))
     base = [F.col("p.package.name").alias("component"), F.col("p.package.version").alias("version"), F.col("p.package.ecosystem").alias("ecosystem")]
     components = pk.select(F.col("p.package.name").alias("name"), *base[1:], F.when(F.size("p.licenses") > 0, F.array_join("p.licenses", " AND ")).alias("license"), F.lit("direct").alias("direct_or_transitive"), F.col("path").alias("source_file"), "pos")
     vulns = pk.select("pos", *base, F.col("p.groups").alias("groups"), F.posexplode("p.vulnerabilities").alias("k", "x"))
