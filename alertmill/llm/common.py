@@ -3,6 +3,8 @@ Arrow batch handling and distributed connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -40,9 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def trim() -> None:
+    """Gives memory that Python, Arrow and the C library hold without need back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files and checkpoints of plans that nobody holds any longer."""
-    gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -108,7 +118,7 @@ def lean(run: Callable) -> Callable:
     """``run`` for ``mapInArrow``, started by a collection: what came with the last task's code holds itself in cycles, tables included."""
 
     def go(batches):
-        gc.collect()
+        trim()
         yield from run(batches)
 
     return go
