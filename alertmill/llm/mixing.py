@@ -10,15 +10,18 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import stage
+from alertmill.llm.common import mix64, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that a selection bin holds on average; the last bin is filled one document at a time.
 BIN = 256
 MOST_BINS = 1 << 16
+#: Seeded orders that the last bin is tried in; the one that leaves least is taken.
+ORDERS = 16
 #: Patterns that the driver solves the flow for. They grow with the sources, not with the documents.
 MOST_PATTERNS = 200_000
 
@@ -179,11 +182,11 @@ def mix(docs: DataFrame, id_col: str, members: Column, size: Column, weights: tu
     targets = [t * scale for t in targets] if scale and scale != 1 else targets
     given, flows = route([(r.pattern, list(r.m), r.n, r.words) for r in found], dict(zip(names, targets)), most)
     plan = Mix(list(zip(names, sizes, targets)), [(r.pattern, r.n, r.words, given[r.pattern]) for r in found], flows)
-    return select(spark, sized, plan, seed), plan
+    return select(spark, sized, plan, seed, most), plan
 
 
-def select(spark: SparkSession, sized: DataFrame, plan: Mix, seed: int) -> DataFrame:
-    """Whole rounds of a pattern first, then seeded documents up to what is left: bins below the threshold entirely, the threshold's bin by first fit."""
+def select(spark: SparkSession, sized: DataFrame, plan: Mix, seed: int, most: int) -> DataFrame:
+    """Whole rounds of a pattern first, then seeded documents up to what is left: bins below the threshold entirely, the threshold's bin by first fit, then by further copies of what still fits."""
     rows = []
     for key, n, words, given in plan.patterns:
         rounds = given // words if words else 0
@@ -202,12 +205,22 @@ def select(spark: SparkSession, sized: DataFrame, plan: Mix, seed: int) -> DataF
 
     def fit(pdf):
         pdf = pdf.sort_values(["h", "id", "size"], kind="stable")
-        room, extra = int(pdf["room"].iloc[0]), []
-        for size in pdf["size"]:
-            fits = size <= room
-            room -= size if fits else 0
-            extra.append(int(fits))
-        pdf["taken"] = pdf["size"] * (pdf["rounds"] + extra)
+        sizes, h = pdf["size"].tolist(), pdf["h"].to_numpy()
+        rounds = int(pdf["rounds"].iloc[0])
+        best: tuple[int, list[int]] | None = None
+        for trial in range(ORDERS):
+            order = np.argsort(mix64(h.view(np.uint64) + np.uint64(trial)), kind="stable").tolist()
+            room, extra = int(pdf["room"].iloc[0]), [0] * len(sizes)
+            for copies in range(1, most - rounds + 1):
+                for i in order:
+                    if 0 < sizes[i] <= room and extra[i] == copies - 1:
+                        extra[i] += 1
+                        room -= sizes[i]
+            if best is None or room < best[0]:
+                best = room, extra
+            if not room:
+                break
+        pdf["taken"] = pdf["size"] * (pdf["rounds"] + best[1])
         return pdf[["id", "size", "pattern", "taken"]]
 
     last = known.where("bin = edge").select("id", "size", "pattern", "h", "rounds", "room").groupBy("pattern").applyInPandas(fit, "id long, size long, pattern string, taken long")
