@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm.common import Bloom, arrow_map, buffer_of, components, lean, mix64, partitions, shared, stage, unstage
-from alertmill.llm.near_duplicates import banding, blocks, functions, in_blocks, verified
+from alertmill.llm.near_duplicates import banding, blocks, forest, functions, in_blocks, verified
 from alertmill.llm.repeats import LEAST, keyed, row_key
 from alertmill.llm.scan import SPACE, Rolling
 
@@ -104,15 +104,6 @@ def sketches(least: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def far_apart(a: str, b: str) -> Column:
-    """How many of the sketched values differ."""
-    each = []
-    for s in SKETCH:
-        d = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        each.append(F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555))))
-    return each[0] + each[1] + each[2] + each[3]
-
-
 def farthest(hashes: int, threshold: float) -> int:
     """Differences beyond which a pair at the threshold lies with a probability under one in ten thousand."""
     p = (1 - threshold) * 0.75
@@ -205,6 +196,64 @@ def band_keys(found: DataFrame, places: Bloom, again: Bloom) -> DataFrame:
     return found.select("place", "bands", *names).mapInArrow(lean(run), ", ".join(f"{f} long" for f in ["key", *names]))
 
 
+#: Lines of a bucket that one block holds; two blocks meet in a task.
+BUCKET = 512
+#: Lines of a bucket up to which each near pair is an edge; larger ones give a spanning forest.
+FEW = 4
+
+
+def near_in_buckets(held: DataFrame, most: int) -> DataFrame:
+    """(a, b): edges that join, in every bucket ``key``, the lines whose sketches differ in at most ``most`` values; all pairs are compared, in blocks."""
+    spark = held.sparkSession
+    size = held.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET)
+    large = stage(size.select("key", F.ceil(F.col("c") / F.lit(BUCKET)).cast("int").alias("n")), "buckets")
+    n, names = F.coalesce("n", F.lit(1)), ["node", *SKETCH]
+    own = held.join(large, "key", "left").withColumn("b", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
+    order = ["key", "bi", "bj"]
+    dealt = own.select("key", F.least("b", "x").alias("bi"), F.greatest("b", "x").alias("bj"), "b", *names).repartition(partitions(spark), *order).sortWithinPartitions(*order)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def far(x, y):
+        d = x ^ y
+        return np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=-1)
+
+    def edges(rows):
+        """Of whole groups of ``key``, ``bi``, ``bj``, side by side."""
+        group, node = rows[:, :3], rows[:, 4]
+        sketch, side = np.ascontiguousarray(rows[:, 5:]).view(np.uint64), rows[:, 3]
+        first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1)))
+        length = np.diff(np.append(first, len(rows)))
+        left = np.repeat(np.where(length <= FEW, length, 0), length) - (np.arange(len(rows)) - np.repeat(first, length))
+        out = []
+        for d in range(1, FEW):
+            i = np.flatnonzero(left > d)
+            i = i[(node[i] != node[i + d]) & (far(sketch[i], sketch[i + d]) <= most)]
+            out.append(np.stack([node[i], node[i + d]], axis=1))
+        for a, m in zip(first[length > FEW].tolist(), length[length > FEW].tolist()):
+            z = a + m
+            one, other = np.flatnonzero(side[a:z] == group[a, 1]), np.flatnonzero(side[a:z] == group[a, 2])
+            linked = np.zeros((m, m), dtype=bool)
+            for k in range(0, len(one), 64):
+                linked[np.ix_(one[k : k + 64], other)] = far(sketch[a:z][one[k : k + 64], None], sketch[a:z][None, other]) <= most
+            out.append(np.array(forest(linked | linked.T, node[a:z].tolist()), dtype=np.int64).reshape(-1, 2))
+        return np.concatenate(out)
+
+    def run(batches):
+        tail = np.zeros((0, 5 + len(SKETCH)), dtype=np.int64)
+        emit = lambda e: pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=schema)
+        for batch in batches:
+            rows = np.concatenate([tail, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
+            ends = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+            cut = int(ends[-1]) if len(ends) else 0
+            if cut:
+                yield emit(edges(rows[:cut]))
+            tail = rows[cut:]
+        if len(tail):
+            yield emit(edges(tail))
+
+    return dealt.mapInArrow(lean(run), "a long, b long")
+
+
 def candidate_lines(rows: DataFrame, places: Bloom) -> DataFrame:
     """(k, grams) of the lines whose place may be in the sieve; ``grams`` is the line itself."""
     b = shared(rows.sparkSession, places)
@@ -223,13 +272,9 @@ def line_classes(rows: DataFrame, found: DataFrame, distinct: DataFrame, thresho
     """(node, class) of the different lines that are linked to others."""
     places = Bloom.of(distinct, "place")
     again = stage(repeated_keys(found, places), "keys")
-    held = stage(band_keys(found, places, Bloom.of(again, "key")).select("key", F.struct("node", *SKETCH).alias("x")), "bands")
+    held = stage(band_keys(found, places, Bloom.of(again, "key")), "bands")
     unstage(again)
-    # every line of a bucket is measured against the bucket's least and greatest, which is all pairs of two or three
-    ends = held.groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("z")).where("a.node <> z.node")
-    near = held.join(ends, "key")
-    most = farthest(bands * per, threshold)
-    edges = stage(near.where((F.col("x.node") != F.col("a.node")) | (F.col("x.node") != F.col("z.node"))).select(F.explode(F.array(*[F.when((F.col("x.node") != F.col(f"{e}.node")) & (far_apart("x", e) <= most), F.struct(F.col("x.node").alias("a"), F.col(f"{e}.node").alias("b"))) for e in "az"])).alias("e")).where("e is not null").select("e.*").distinct(), "candidates")
+    edges = stage(near_in_buckets(held, farthest(bands * per, threshold)).distinct(), "candidates")
     unstage(held)
     comps = components(edges)
     unstage(edges)

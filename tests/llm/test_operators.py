@@ -172,6 +172,20 @@ def test_line_dedup(docs, texts, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0 and line_dedup.dedup_lines(odd(docs)).count() == docs.count() + 2
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_line_dedup_in_a_full_bucket(spark, monkeypatch, block):
+    """All lines in one bucket: similar ones meet though its least and greatest lines resemble neither."""
+    monkeypatch.setattr(line_dedup, "BUCKET", block, raising=False)
+    real = line_dedup.occurrences
+    monkeypatch.setattr(line_dedup, "occurrences", lambda *a: real(*a).withColumn("bands", F.lit(bytes(8))))
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    lines = [w + x for w in (word() for _ in range(15)) for x in ("", "!")] + [word() for _ in range(6)]
+    rows = list(enumerate(lines))
+    got = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i < 30 and i % 2 == 1) for i, _ in rows}
+
+
 def test_decontamination(spark, docs, nothing):
     items = spark.createDataFrame([(0, "alpha beta gamma delta epsilon zeta eta theta"), (1, "Ünï cödé, four words"), (2, None), (3, ""), (4, "solo"), (0, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
     more = [(900, "x " * 3000 + "Alpha, BETA gamma delta epsilon zeta eta theta!" + " y" * 3000), (901, "alpha beta gamma delta epsilon zeta eta"), (902, "alpha beta gamma delta nothing zeta eta theta"), (903, "das ünï cödé four words hier"), (904, "go solo now"), (905, None)]
