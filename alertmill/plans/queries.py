@@ -326,6 +326,13 @@ def severity_scales(spark, sf):
     return li.select("l_orderkey", "l_linenumber", v.dependency_severity(score).alias("dependency"), v.rule_severity(F.when(_c("l_linenumber") != 1, score), F.lit("warning"), F.lit(None).cast("string")).alias("rule"))
 
 
+@query()
+def severity_scales_whole(spark, sf):
+    """Every row of the table, those at the edges 7 and 9 too; scores are whole numbers."""
+    score = F.round(_c("l_discount") * 100, 0).cast("int").cast("string")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", v.dependency_severity(score).alias("dependency"), v.rule_severity(F.when(_c("l_linenumber") != 1, score), F.lit("warning"), F.lit(None).cast("string")).alias("rule"))
+
+
 # ---- graphs ----
 
 _EDGES = "e AS (SELECT DISTINCT p_partkey % 97 AS src, (p_size * 7 + p_partkey % 13) % 97 AS dst FROM part WHERE p_partkey <= 200)"

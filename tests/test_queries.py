@@ -38,6 +38,15 @@ def test_query(spark, duck, name):
     assert plain([tuple(r[c] for c in cols) for r in got]) == plain([tuple(r[want.columns.index(c)] for c in cols) for r in want.fetchall()])
 
 
+def test_severity_scales_of_all_rows(spark):
+    dependency = lambda n: "critical" if n > 9 else "high" if n >= 7 else "medium" if n >= 4 else "low"
+    rule = lambda n: "critical" if n >= 9 else dependency(n)
+    rows = [(r.l_orderkey, r.l_linenumber, round(r.l_discount * 100)) for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()]
+    want = [(o, i, dependency(n), "medium" if i == 1 else rule(n)) for o, i, n in rows]
+    assert {7, 9} <= {n for _, _, n in rows}
+    assert sorted(map(tuple, QUERIES["severity_scales_whole"](spark, SF).collect())) == sorted(want)
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["latest_label"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,props:string>" in plan
