@@ -250,6 +250,15 @@ def ttl_cache(spark, sf):
     return history.cache_lookup(e.select("user_id", _c("user_id").alias("key")).distinct(), c, F.lit(now), 864000).select("user_id", "cached_verdict")
 
 
+@query()
+def ttl_cache_whole(spark, sf):
+    """Every event is cached under its own user; age and type tell hit from miss."""
+    e = table(spark, sf, "events").withColumn("ts", _c("ts").cast("timestamp"))
+    now = e.agg(F.max("ts").alias("now")).first().now
+    c = e.groupBy(_c("user_id").alias("key")).agg(F.max_by("event_type", "event_id").alias("verdict"), F.max("ts").alias("created_at")).withColumns({"verdict": F.when(_c("verdict") == "error", "uncertain").otherwise(_c("verdict")), "confidence": F.lit(5)})
+    return history.cache_lookup(e.select("user_id", _c("user_id").alias("key")).distinct(), c, F.lit(now), 864000).select("user_id", "cached_verdict")
+
+
 @query("SELECT o_custkey AS key, arg_max(o_totalprice, o_orderkey) AS price, max(o_orderkey) AS seq FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 4 = 0 GROUP BY 1 HAVING max(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) = 0 UNION ALL SELECT o_custkey, arg_max(o_totalprice, o_orderkey), max(o_orderkey) FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1")
 def history_upsert(spark, sf):
     o = table(spark, sf, "orders").select(_c("o_custkey").alias("key"), _c("o_totalprice").alias("price"), _c("o_orderkey").alias("seq"))
@@ -257,6 +266,13 @@ def history_upsert(spark, sf):
     return history.upsert(old, o.where("seq % 4 = 0"), "key")
 
 
+@query()
+def history_upsert_whole(spark, sf):
+    """Finished orders are the old rows, all others the new ones."""
+    o = table(spark, sf, "orders").select(_c("o_custkey").alias("key"), _c("o_totalprice").alias("price"), _c("o_orderkey").alias("seq"), _c("o_orderstatus").eqNullSafe("F").alias("old"))
+    return history.upsert(history.latest(o.where("old").drop("old"), ["key"], "seq"), o.where("not old").drop("old"), "key")
+
+
 @query("""SELECT 'judged' AS stage, doc_id, 0 AS ord FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'inherited', doc_id, 1 FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT 'excluded', doc_id, 2 FROM documents WHERE doc_id % 3 = 2""")
 def union_details(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
@@ -436,7 +452,15 @@ def chain_lag(spark, sf):
 
 @query("SELECT user_id AS alert_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS verdicts, count(DISTINCT event_type) > 1 AS wobbles, count(DISTINCT CASE WHEN value > 90 THEN 'access_control' ELSE 'xss' END) <= 1 AS same_families FROM events WHERE event_id % 10 <> 0 AND event_id % 7 < 2 GROUP BY user_id")
 def wobble_sets(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 7 < 2")
+    return _wobble(table(spark, sf, "events").where("event_id % 7 < 2"))
+
+
+@query()
+def wobble_sets_whole(spark, sf):
+    return _wobble(table(spark, sf, "events"))
+
+
+def _wobble(e):
     cells = e.select(_c("user_id").alias("alert_id"), _c("event_type").alias("verdict"), F.when(_c("value") > 90, F.array(F.lit("IDOR"), F.lit("missing_auth"))).otherwise(F.array(F.lit("XSS"))).alias("actual_types"), F.when(_c("event_id") % 10 == 0, "failed").alias("error"))
     return stability.wobble(cells).withColumn("verdicts", F.array_join("verdicts", ","))
 
@@ -495,7 +519,17 @@ v AS (SELECT DISTINCT user_id, CASE user_id % 3 WHEN 0 THEN 'false_positive' WHE
 SELECT user_id, CASE WHEN c THEN 'uncertain' ELSE verdict END AS verdict, CASE WHEN c THEN 4 ELSE 8 END AS confidence, CASE WHEN c THEN 'downgraded_to_uncertain' ELSE 'kept' END AS action FROM k""")
 def guard_rollup(spark, sf):
     e = table(spark, sf, "events")
-    checks = e.where("event_id % 60 = 0").select(_c("user_id").alias("alert_id"), F.when(_c("event_type") == "view", "guard_effective").when(_c("event_type") == "click", "guard_bypassable").otherwise("not_verifiable").alias("status"), F.when((_c("event_type") == "error") & (_c("value") > 200), "variable_bypass").otherwise("name").alias("kind"))
+    return _guarded(e, e.where("event_id % 60 = 0"))
+
+
+@query()
+def guard_rollup_whole(spark, sf):
+    e = table(spark, sf, "events")
+    return _guarded(e, e)
+
+
+def _guarded(e, checked):
+    checks = checked.select(_c("user_id").alias("alert_id"), F.when(_c("event_type") == "view", "guard_effective").when(_c("event_type") == "click", "guard_bypassable").otherwise("not_verifiable").alias("status"), F.when((_c("event_type") == "error") & (_c("value") > 200), "variable_bypass").otherwise("name").alias("kind"))
     alerts = e.select(_c("user_id").alias("alert_id")).distinct().select("alert_id", F.when(_c("alert_id") % 3 == 0, "false_positive").when(_c("alert_id") % 3 == 1, "true_positive").otherwise("uncertain").alias("verdict"), F.lit(8).alias("confidence"))
     return guards.verified(alerts, guards.guard_rollup(checks)).select(_c("alert_id").alias("user_id"), "verdict", "confidence", _c("verification_action").alias("action"))
 

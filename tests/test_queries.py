@@ -47,6 +47,52 @@ def test_severity_scales_of_all_rows(spark):
     assert sorted(map(tuple, QUERIES["severity_scales_whole"](spark, SF).collect())) == sorted(want)
 
 
+def by_user(spark):
+    out = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").collect():
+        out.setdefault(r.user_id, []).append(r)
+    return out
+
+
+def test_wobble_sets_of_all_rows(spark):
+    want = {}
+    for u, rows in by_user(spark).items():
+        good = [r for r in rows if r.event_id % 10]
+        if good:
+            kinds = sorted({r.event_type for r in good})
+            want[u] = (",".join(kinds), len(kinds) > 1, len({r.value is not None and r.value > 90 for r in good}) <= 1)
+    assert {r.alert_id: (r.verdicts, r.wobbles, r.same_families) for r in QUERIES["wobble_sets_whole"](spark, SF).collect()} == want
+
+
+def test_guard_rollup_of_all_rows(spark):
+    want = {}
+    for u, rows in by_user(spark).items():
+        e, b = (sum(r.event_type == k for r in rows) for k in ("view", "click"))
+        x = any(r.event_type == "error" and r.value > 200 for r in rows)
+        verdict = ("false_positive", "true_positive", "uncertain")[u % 3]
+        c = u % 3 == 0 and (x or b > 0 and e == 0) or u % 3 == 1 and e > 0 and b == 0 and not x
+        want[u] = ("uncertain", 4, "downgraded_to_uncertain") if c else (verdict, 8, "kept")
+    assert {r.user_id: (r.verdict, r.confidence, r.action) for r in QUERIES["guard_rollup_whole"](spark, SF).collect()} == want
+
+
+def test_ttl_cache_of_all_rows(spark):
+    users = by_user(spark)
+    now = max(r.ts for rows in users.values() for r in rows)
+    want = {}
+    for u, rows in users.items():
+        last = max(rows, key=lambda r: r.event_id).event_type
+        want[u] = last if last != "error" and (now.replace(microsecond=0) - max(r.ts for r in rows).replace(microsecond=0)).total_seconds() <= 864000 else None
+    assert {r.user_id: r.cached_verdict for r in QUERIES["ttl_cache_whole"](spark, SF).collect()} == want
+
+
+def test_history_upsert_of_all_rows(spark):
+    want = {}
+    for r in spark.read.parquet(f"{SF}/orders.parquet").collect():
+        x = (r.o_orderstatus != "F", r.o_orderkey, r.o_totalprice)
+        want[r.o_custkey] = max(want.get(r.o_custkey, x), x)
+    assert {r.key: (r.seq, r.price) for r in QUERIES["history_upsert_whole"](spark, SF).collect()} == {k: x[1:] for k, x in want.items()}
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["latest_label"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,props:string>" in plan
