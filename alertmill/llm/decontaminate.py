@@ -4,8 +4,9 @@ Test items are partitioned by size (powers of two of their shingle counts). Each
 MinHash values of an item as its signature, with k chosen for the partition's largest size so that no match is
 lost: an item of n shingles of which a document holds at least t * n misses at most (1 - t) * n of them, so at
 least one of any floor((1 - t) * n) + 1 is there. A document is looked up with all its shingles, because a
-signature of the whole document would thin out just the few that a short item shares with a long text. A
-document that holds a signature value is a candidate for the item; its shingles are then compared as texts.
+signature of the whole document would thin out just the few that a short item shares with a long text. The
+search itself is an exact join with every shingle of every item, compared as texts: every pair over the threshold
+holds a signature value, so the signature decides nothing.
 """
 
 from __future__ import annotations
