@@ -1,10 +1,9 @@
 """Suffix-array dedup on a logarithmic family of index levels.
 
-A level is a sparse suffix array in the shared folder: the suffixes that start at anchors, one for each different
-chunk, ordered by their leading piece (by its hash, the first letter of the order) and then by the rest of the
-chunk. Sampling by content keeps about one suffix in a hundred and loses no match: equal windows hold equal
-anchors at equal offsets. A new batch gets its own array, is merge-scanned against every level for leading pieces
-that both hold, and is merged with levels of its own size, so a corpus of B batches is rewritten log2(B) times.
+A level is a hash table in the shared folder: one entry for each different chunk at an anchor, with the hashes of its
+leading piece and of the chunk, a count and one place. Entries are written by their hashes and no suffix is sorted.
+Sampling by content keeps about one suffix in a hundred and loses no match: equal windows hold equal
+anchors at equal offsets. A new batch gets its own table, is joined with every level for leading pieces that both hold, and is merged with levels of its own size, so a corpus of B batches is rewritten log2(B) times.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ KEY = ["anchor", "chunk"]
 
 
 class SuffixIndex:
-    """Levels of sorted suffix entries; ``add`` takes batches as they come, in any number.
+    """Levels of chunk entries; ``add`` takes batches as they come, in any number.
 
     ``levels`` pairs the number of batches in a level with its table; ``hits`` are the leading pieces found by
     the merge-scans to occur more than once.
@@ -31,12 +30,12 @@ class SuffixIndex:
         self.hits: list[DataFrame] = []
 
     def array(self, rows: DataFrame) -> DataFrame:
-        """The suffix array of one batch."""
+        """The entries of one batch."""
         found = chunk_places(rows, self.win).groupBy(*KEY).agg(F.count("*").alias("c"), F.min("place").alias("place"))
         return stage(found.sortWithinPartitions(*KEY), "suffixes")
 
     def scan(self, new: DataFrame, level: DataFrame) -> DataFrame:
-        """Leading pieces that both arrays hold: ordered by the same key, the two are read side by side."""
+        """Leading pieces that both tables hold: a join on their hashes."""
         return stage(new.select("anchor").distinct().join(level.select("anchor").distinct(), "anchor"), "hits")
 
     @staticmethod
