@@ -540,10 +540,21 @@ o AS (SELECT *, list_filter(t, lambda x: x <> coalesce(kind, '')) AS oth FROM c)
 g AS (SELECT *, v2 = 'true_positive' AND style = 'parameterized' AND len(t) = 1 AS h3 FROM e), h AS (SELECT *, CASE WHEN h3 THEN 'uncertain' ELSE v2 END AS v3, CASE WHEN h3 THEN 6 ELSE c2 END AS c3, CASE WHEN h3 THEN 'parameterized_contradicts_sqli_tp' ELSE f2 END AS f3, CASE WHEN h3 THEN 'likely_tp' ELSE disposition END AS d3 FROM g),
 i AS (SELECT *, v3 = 'true_positive' AND c3 > 6 AND doc_id % 2 = 0 AS h4 FROM h) SELECT doc_id, CASE WHEN h4 THEN 'uncertain' ELSE v3 END AS verdict, CASE WHEN h4 THEN 'likely_tp' ELSE d3 END AS disposition, CAST(CASE WHEN h4 THEN 6 ELSE c3 END AS INTEGER) AS confidence, CASE WHEN h4 THEN 'hollow_tp_no_evidence' ELSE f3 END AS fail_reason FROM i""")
 def guard_chain(spark, sf):
+    return guards.enforce(_evidence(spark, sf), guards.CHAIN[:4]).select("doc_id", "verdict", "disposition", "confidence", "fail_reason")
+
+
+@query()
+def guard_chain_whole(spark, sf):
+    """The default chain; its fifth rule, too, has its columns."""
+    flow = F.array(F.lit("read a.java"), F.concat(F.lit("call m"), _c("doc_id") % 3))
+    j = _evidence(spark, sf).withColumns({"data_flow": flow, "hop_anchors": F.array(F.lit("a.java")), "tool_anchors": F.array(F.lit("m1")), "evidence_grounded": _c("doc_id") % 7 == 0})
+    return guards.enforce(j).select("doc_id", "verdict", "disposition", "confidence", "fail_reason")
+
+
+def _evidence(spark, sf):
     kinds = F.when(_c("doc_id") % 4 == 0, F.array(F.lit("sql_injection"))).when(_c("doc_id") % 4 == 1, F.array(F.lit("xss"), F.lit("ssrf"))).otherwise(F.array().cast("array<string>"))
     style = F.when(_c("doc_id") % 5 == 0, "unknown").when(_c("doc_id") % 5 == 1, "parameterized").otherwise("concat")
-    j = _judged(spark, sf).withColumns({"declared": _c("vulnerability_type"), "actual_types": kinds, "type_mismatch_types": F.array().cast("array<string>"), "decisive_facts": F.create_map(F.lit("sink_param_style"), style), "required_facts": F.array(F.lit("sink_param_style")), "fail_reason": F.lit(None).cast("string"), "exploit_payload": F.when(_c("doc_id") % 2 == 1, "x"), "decisive_checks": F.lit(None).cast("array<map<string,string>>")})
-    return guards.enforce(j, guards.CHAIN[:4]).select("doc_id", "verdict", "disposition", "confidence", "fail_reason")
+    return _judged(spark, sf).withColumns({"declared": _c("vulnerability_type"), "actual_types": kinds, "type_mismatch_types": F.array().cast("array<string>"), "decisive_facts": F.create_map(F.lit("sink_param_style"), style), "required_facts": F.array(F.lit("sink_param_style")), "fail_reason": F.lit(None).cast("string"), "exploit_payload": F.when(_c("doc_id") % 2 == 1, "x"), "decisive_checks": F.lit(None).cast("array<map<string,string>>")})
 
 
 @query(f"WITH {_JUDGED} SELECT DISTINCT lang, first_value(doc_id) OVER (PARTITION BY lang ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 1 END DESC, doc_id) AS doc_id FROM j")

@@ -93,6 +93,15 @@ def test_history_upsert_of_all_rows(spark):
     assert {r.key: (r.seq, r.price) for r in QUERIES["history_upsert_whole"](spark, SF).collect()} == {k: x[1:] for k, x in want.items()}
 
 
+def test_guard_chain_with_its_fifth_rule(spark):
+    want, hit = {}, 0
+    for i, *r in QUERIES["guard_chain"](spark, SF).collect():
+        loose = r[0] == "true_positive" and r[2] > 6 and i % 3 != 1 and i % 7 != 0
+        want[i] = ["uncertain", "likely_tp", 6, "ungrounded_data_flow_step"] if loose else r
+        hit += loose
+    assert hit and {i: r for i, *r in QUERIES["guard_chain_whole"](spark, SF).collect()} == want
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["latest_label"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,props:string>" in plan
