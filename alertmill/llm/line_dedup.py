@@ -1,15 +1,22 @@
-"""Fuzzy line dedup: character-shingle MinHash, banding, exact Jaccard, union-find, one line kept per component."""
+"""Fuzzy line dedup: character-shingle MinHash, banding, exact Jaccard, union-find, one line kept per component.
+
+A line is named by its place: its document's id and ``at``, a hash of the whole text beside its number there. Equal
+lines (by xxh3-128) meet first, and only the first place of each goes on as a vertex: signatures, buckets, exact
+comparison and union-find all work on distinct lines. Places are ordered, so the label of a component is the line
+that stays, and every other place goes without another join.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm.common import Bloom, arrow_map, buffer_of, components, lean, mix64, partitions, shared, stage, unstage
-from alertmill.llm.near_duplicates import banding, blocks, forest, functions, in_blocks, verified
+from alertmill.llm.near_duplicates import banding, blocks, forest, functions, overlaps
 from alertmill.llm.repeats import LEAST, keyed, row_key
 from alertmill.llm.scan import SPACE, Rolling
 
@@ -17,13 +24,20 @@ from alertmill.llm.scan import SPACE, Rolling
 GRAM = 5
 #: Hashes in a signature at most.
 HASHES = 120
-
+#: Bits of ``at`` that hold a line's number; a hash of the text is above them.
+NUMBER = 31
 
 _UNIT = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
+def text_hashes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """32 bits that tell texts of one id apart."""
+    raw = buf.tobytes()
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:z]) >> 32 for a, z in zip(offs[:-1].tolist(), offs[1:].tolist())], dtype=np.int64)
+
+
 def lines_of(batch: pa.RecordBatch) -> dict:
-    """The lines with ink of each text: row, number in the row, first and last byte, and a rolling hash over the bytes."""
+    """The lines with ink of each text: row, place (``id``, ``at``), first and last byte."""
     buf, offs = buffer_of(batch.column("text"))
     cuts = np.flatnonzero(buf == 10)
     starts = np.sort(np.concatenate([offs[:-1], cuts + 1]), kind="stable")
@@ -33,10 +47,14 @@ def lines_of(batch: pa.RecordBatch) -> dict:
     np.cumsum(~SPACE[buf], dtype=np.int32, out=ink[1:])
     number = np.arange(len(row)) - np.searchsorted(row, row)
     full = ink[ends] > ink[starts]
-    start, end = starts[full], ends[full]
-    roll = Rolling(_UNIT[buf])
-    node = mix64(roll.runs(start, end) ^ mix64((end - start).astype(np.uint64))).view(np.int64)
-    return {"buf": buf, "row": row[full], "number": number[full], "start": start, "end": end, "roll": roll, "node": node}
+    row, ids = row[full], batch.column("id").to_numpy(zero_copy_only=False)
+    at = text_hashes(buf, offs)[row] << NUMBER | number[full]
+    return {"buf": buf, "id": ids[row], "at": at, "start": starts[full], "end": ends[full]}
+
+
+def of_lines(x: dict, keep: np.ndarray) -> dict:
+    """Some of the lines, in their order."""
+    return {k: v if k == "buf" else v[keep] for k, v in x.items()}
 
 
 def _characters(x: dict) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
@@ -52,12 +70,13 @@ def _characters(x: dict) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
 def minima(x: dict, hashes: int) -> np.ndarray:
     """MinHash values (hash, line) of each line's set of ``GRAM``-character runs; a shorter line is one run."""
     at, a, z = _characters(x)
-    sums, inv = x["roll"].sums, x["roll"].inv
+    roll = Rolling(_UNIT[x["buf"]])
+    sums, inv = roll.sums, roll.inv
     n = max(0, (len(sums) if at is None else len(at)) - GRAM)
     h = (sums[GRAM:] - sums[:n]) * inv[:n] if at is None else (sums[at[GRAM:]] - sums[at[:n]]) * inv[at[:n]]
     h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(32)).astype(np.uint32)
     short = np.flatnonzero(z - a < GRAM)
-    own = (x["node"][short].view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    own = (mix64(roll.runs(x["start"][short], x["end"][short])) >> np.uint64(32)).astype(np.uint32)
     long = np.flatnonzero(z - a >= GRAM)
     # the runs inside lines, side by side; those that reach over a line's end go
     edge = np.zeros(n + 1, dtype=np.int8)
@@ -90,11 +109,11 @@ def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-SKETCH = ["s0", "s1", "s2", "s3"]
+SKETCH = ["s0", "s1"]
 
 
 def sketches(least: np.ndarray) -> dict[str, np.ndarray]:
-    """Two bits of each MinHash value, 32 values to a long: what two lines share of them tells how similar they are."""
+    """Two bits of each of the first MinHash values, 32 values to a long: what two lines share of them tells how similar they are."""
     out = {}
     for i, name in enumerate(SKETCH):
         word = np.zeros(least.shape[1], dtype=np.uint64)
@@ -111,57 +130,82 @@ def farthest(hashes: int, threshold: float) -> int:
     return int(n * p + 3.8 * (n * p * (1 - p)) ** 0.5) + 1
 
 
-def occurrences(rows: DataFrame, bands: int, per: int) -> DataFrame:
-    """(id, number, node, place, size, bands, s0..): every line with ink, the hash ``node`` of its bytes, their number, its band hashes and sketch."""
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(id, at, hi, lo): every line with ink and the two halves of the xxh3-128 of its bytes."""
+
+    def step(batch):
+        x = lines_of(batch)
+        raw = x["buf"].tobytes()
+        both = b"".join([xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(x["start"].tolist(), x["end"].tolist())])
+        h = np.frombuffer(both, dtype=np.int64).reshape(-1, 2)
+        return {"id": x["id"], "at": x["at"], "hi": h[:, 0].copy(), "lo": h[:, 1].copy()}
+
+    return arrow_map(rows, "id long, at long, hi long, lo long", step, "text")
+
+
+#: Bytes of a band hash; chance meetings of longer ones are rare at any size, and all meetings are compared anyway.
+KEY = 6
+
+
+def packed(keys: np.ndarray) -> np.ndarray:
+    """The low ``KEY`` bytes of each hash, side by side."""
+    return np.ascontiguousarray(keys.reshape(-1).view(np.uint8).reshape(-1, 8)[:, :KEY])
+
+
+def unpacked(raw: bytes | np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY, 8), dtype=np.uint8)
+    out[:, :KEY] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, KEY)
+    return out.reshape(-1).view(np.int64)
+
+
+def signatures(rows: DataFrame, places: Bloom, bands: int, per: int) -> DataFrame:
+    """(id, at, size, bands, s0, s1) of the lines whose place may be in the sieve: their length in bytes, packed band hashes and sketch."""
+    b = shared(rows.sparkSession, places)
 
     def step(batch):
         x = lines_of(batch)
-        ids = batch.column("id").to_numpy(zero_copy_only=False)[x["row"]]
+        x = of_lines(x, np.flatnonzero(b.value.has(row_key(x["id"], x["at"]))))
+        n = len(x["id"])
+        if not n:
+            return None
         least = minima(x, bands * per)
-        keys = np.zeros((bands, len(ids)), dtype=np.uint64)
+        keys = np.zeros((bands, n), dtype=np.uint64)
         for i in range(bands * per):
             keys[i // per] = mix64(keys[i // per] ^ least[i]) + np.uint64(i)
-        packed = np.ascontiguousarray(keys.T)
-        ends = np.arange(len(ids) + 1, dtype=np.int32) * np.int32(8 * bands)
-        bands_ = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
-        return {"id": ids, "number": x["number"].astype(np.int32), "node": x["node"], "place": row_key(ids, x["number"]), "size": (x["end"] - x["start"]).astype(np.int32), "bands": bands_, **sketches(least)}
-
-    return arrow_map(rows, "id long, number int, node long, place long, size int, bands binary, s0 long, s1 long, s2 long, s3 long", step, "text")
-
+        ends = np.arange(n + 1, dtype=np.int32) * np.int32(KEY * bands)
+        bands_ = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(packed(mix64(np.ascontiguousarray(keys.T))))])
+        return {"id": x["id"], "at": x["at"], "size": (x["end"] - x["start"]).astype(np.int32), "bands": bands_, **sketches(least)}
 
-def _hashes(batch: pa.RecordBatch) -> np.ndarray:
-    """The band hashes of a batch, rows joined."""
-    return buffer_of(batch.column("bands"))[0].view(np.int64)
+    return arrow_map(rows, "id long, at long, size int, bands binary, s0 long, s1 long", step, "text")
 
 
 #: Band hashes that a task gathers before it deals them out.
 GATHER = 1 << 19
 
 
-def repeated_keys(found: DataFrame, places: Bloom) -> DataFrame:
-    """(key): band hashes that occur on two lines or more, of the lines whose place may be in the sieve.
+def repeated_keys(found: DataFrame) -> DataFrame:
+    """(key, c): band hashes that occur on two lines or more, and on how many.
 
-    Tasks deal their hashes out in packed runs, each hash once or, where they saw it again, twice, so a hash that half of
+    Tasks deal their hashes out in packed runs, each hash once, with a count where they saw it again, so a hash that half of
     all lines share costs no more than the tasks that saw it.
     """
-    spark = found.sparkSession
-    n, b = partitions(spark), shared(spark, places)
-    packed = pa.schema([("part", pa.int32()), ("keys", pa.binary())])
+    n = partitions(found.sparkSession)
+    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-    def deal(keys):
-        v, c = np.unique(np.concatenate(keys), return_counts=True)
-        v = np.concatenate([v, v[c > 1]])
+    def deal(held):
+        v, c = np.unique(np.concatenate(held), return_counts=True)
         part = (mix64(v.view(np.uint64)) % np.uint64(n)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        v, ends = v[order], np.searchsorted(part[order], np.arange(n + 1))
+        order = np.lexsort((c > 1, part))  # in each part the single ones first
+        v, c, part = v[order], c[order].astype(np.int64), part[order]
+        ends = np.searchsorted(part, np.arange(n + 1))
         full = [i for i in range(n) if ends[i + 1] > ends[i]]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([v[ends[i] : ends[i + 1]].tobytes() for i in full], pa.binary())], schema=packed)
+        cut = lambda i: slice(ends[i], ends[i + 1])
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([packed(v[cut(i)]).tobytes() for i in full], pa.binary()), pa.array([c[cut(i)][c[cut(i)] > 1].tobytes() for i in full], pa.binary())], schema=schema)
 
     def send(batches):
         held, size = [], 0
         for batch in batches:
-            batch = batch.filter(pa.array(b.value.has(batch.column("place").to_numpy(zero_copy_only=False))))
-            held.append(_hashes(batch).copy())
+            held.append(unpacked(buffer_of(batch.column("bands"))[0]))
             size += len(held[-1])
             if size >= GATHER:
                 yield deal(held)
@@ -170,30 +214,39 @@ def repeated_keys(found: DataFrame, places: Bloom) -> DataFrame:
             yield deal(held)
 
     def count(batches):
-        parts = [np.frombuffer(x, dtype=np.int64) for batch in batches for x in batch.column("keys").to_pylist()]
-        if parts:
-            v, c = np.unique(np.concatenate(parts), return_counts=True)
-            for a in range(0, int((c > 1).sum()), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(v[c > 1][a : a + (1 << 16)])], names=["key"])
-
-    dealt = found.select("place", "bands").mapInArrow(lean(send), "part int, keys binary").repartition(n, "part")
-    return dealt.select("keys").mapInArrow(lean(count), "key long")
-
-
-def band_keys(found: DataFrame, places: Bloom, again: Bloom) -> DataFrame:
-    """(key, node, s0..) of the lines whose place, and the keys that, may be in the sieves."""
-    b, c = shared(found.sparkSession, places), shared(found.sparkSession, again)
-    names = ["node", *SKETCH]
+        keys, seen = [], []
+        for batch in batches:
+            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                k, more = unpacked(k), np.frombuffer(c, dtype=np.int64)
+                keys.append(k)
+                seen.append(np.concatenate([np.ones(len(k) - len(more), dtype=np.int64), more]))
+        if keys:
+            k, c = np.concatenate(keys), np.concatenate(seen)
+            order = np.argsort(k, kind="stable")
+            k, c = k[order], c[order]
+            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            k, c = k[first], np.add.reduceat(c, first)
+            k, c = k[c > 1], c[c > 1]
+            for a in range(0, len(k), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(k[a : a + (1 << 16)]), pa.array(c[a : a + (1 << 16)])], names=["key", "c"])
+
+    dealt = found.select("bands").mapInArrow(lean(send), "part int, keys binary, counts binary").repartition(n, "part")
+    return dealt.select("keys", "counts").mapInArrow(lean(count), "key long, c long")
+
+
+def band_keys(found: DataFrame, again: Bloom) -> DataFrame:
+    """(key, id, at, s0, s1) of the keys that may be in the sieve."""
+    b = shared(found.sparkSession, again)
+    names = ["id", "at", *SKETCH]
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(b.value.has(batch.column("place").to_numpy(zero_copy_only=False))))
-            keys = _hashes(batch)
-            keep = np.flatnonzero(c.value.has(keys))
+            keys = unpacked(buffer_of(batch.column("bands"))[0])
+            keep = np.flatnonzero(b.value.has(keys))
             row = keep // max(1, len(keys) // max(1, batch.num_rows))
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), *(pa.array(batch.column(x).to_numpy(zero_copy_only=False)[row]) for x in names)], names=["key", *names])
 
-    return found.select("place", "bands", *names).mapInArrow(lean(run), ", ".join(f"{f} long" for f in ["key", *names]))
+    return found.select("bands", *names).mapInArrow(lean(run), ", ".join(f"{f} long" for f in ["key", *names]))
 
 
 #: Lines of a bucket that one block holds; two blocks meet in a task.
@@ -202,109 +255,161 @@ BUCKET = 512
 FEW = 4
 
 
-def near_in_buckets(held: DataFrame, most: int) -> DataFrame:
+def whole_groups(batches, width: int, work):
+    """Feeds ``work`` with matrices of whole groups, side by side; a group is a run of equal first ``width`` columns."""
+    tail = None
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        rows = rows if tail is None else np.concatenate([tail, rows])
+        ends = np.flatnonzero((rows[1:, :width] != rows[:-1, :width]).any(axis=1)) + 1
+        cut = int(ends[-1]) if len(ends) else 0
+        if cut:
+            yield work(rows[:cut])
+        tail = rows[cut:]
+    if tail is not None and len(tail):
+        yield work(tail)
+
+
+PLACE = "struct<id:bigint,at:bigint>"
+
+
+def near_in_buckets(held: DataFrame, again: DataFrame, most: int) -> DataFrame:
     """(a, b): edges that join, in every bucket ``key``, the lines whose sketches differ in at most ``most`` values; all pairs are compared, in blocks."""
-    spark = held.sparkSession
-    size = held.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET)
-    large = stage(size.select("key", F.ceil(F.col("c") / F.lit(BUCKET)).cast("int").alias("n")), "buckets")
-    n, names = F.coalesce("n", F.lit(1)), ["node", *SKETCH]
-    own = held.join(large, "key", "left").withColumn("b", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
+    large = again.where(F.col("c") > BUCKET).select("key", F.ceil(F.col("c") / F.lit(BUCKET)).cast("int").alias("n"))
+    n, names = F.coalesce("n", F.lit(1)), ["id", "at", *SKETCH]
+    own = held.join(large, "key", "left").withColumn("b", F.pmod(F.xxhash64("id", "at"), n).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
     order = ["key", "bi", "bj"]
-    dealt = own.select("key", F.least("b", "x").alias("bi"), F.greatest("b", "x").alias("bj"), "b", *names).repartition(partitions(spark), *order).sortWithinPartitions(*order)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    dealt = own.select("key", F.least("b", "x").alias("bi"), F.greatest("b", "x").alias("bj"), "b", *names).repartition(partitions(held.sparkSession), *order).sortWithinPartitions(*order, "id", "at")
 
     def far(x, y):
         d = x ^ y
         return np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=-1)
 
     def edges(rows):
-        """Of whole groups of ``key``, ``bi``, ``bj``, side by side."""
-        group, node = rows[:, :3], rows[:, 4]
-        sketch, side = np.ascontiguousarray(rows[:, 5:]).view(np.uint64), rows[:, 3]
+        """Of whole groups of ``key``, ``bi``, ``bj``."""
+        group, side, place = rows[:, :3], rows[:, 3], rows[:, 4:6]
+        sketch = np.ascontiguousarray(rows[:, 6:]).view(np.uint64)
         first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1)))
         length = np.diff(np.append(first, len(rows)))
         left = np.repeat(np.where(length <= FEW, length, 0), length) - (np.arange(len(rows)) - np.repeat(first, length))
         out = []
         for d in range(1, FEW):
             i = np.flatnonzero(left > d)
-            i = i[(node[i] != node[i + d]) & (far(sketch[i], sketch[i + d]) <= most)]
-            out.append(np.stack([node[i], node[i + d]], axis=1))
+            i = i[(place[i] != place[i + d]).any(axis=1) & (far(sketch[i], sketch[i + d]) <= most)]
+            out.append(np.stack([i, i + d], axis=1))
         for a, m in zip(first[length > FEW].tolist(), length[length > FEW].tolist()):
             z = a + m
             one, other = np.flatnonzero(side[a:z] == group[a, 1]), np.flatnonzero(side[a:z] == group[a, 2])
             linked = np.zeros((m, m), dtype=bool)
             for k in range(0, len(one), 64):
                 linked[np.ix_(one[k : k + 64], other)] = far(sketch[a:z][one[k : k + 64], None], sketch[a:z][None, other]) <= most
-            out.append(np.array(forest(linked | linked.T, node[a:z].tolist()), dtype=np.int64).reshape(-1, 2))
-        return np.concatenate(out)
+            out.append(np.array(forest(linked | linked.T, list(range(a, z))), dtype=np.int64).reshape(-1, 2))
+        pairs = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(place[pairs[:, i], j]) for i in (0, 1) for j in (0, 1)], names=["ai", "aa", "bi", "ba"])
 
-    def run(batches):
-        tail = np.zeros((0, 5 + len(SKETCH)), dtype=np.int64)
-        emit = lambda e: pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=schema)
-        for batch in batches:
-            rows = np.concatenate([tail, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
-            ends = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            cut = int(ends[-1]) if len(ends) else 0
-            if cut:
-                yield emit(edges(rows[:cut]))
-            tail = rows[cut:]
-        if len(tail):
-            yield emit(edges(tail))
-
-    return dealt.mapInArrow(lean(run), "a long, b long")
+    found = dealt.mapInArrow(lean(lambda batches: whole_groups(batches, 3, edges)), "ai long, aa long, bi long, ba long").distinct()
+    return found.select(F.struct(F.col("ai").alias("id"), F.col("aa").alias("at")).alias("a"), F.struct(F.col("bi").alias("id"), F.col("ba").alias("at")).alias("b"))
 
 
 def candidate_lines(rows: DataFrame, places: Bloom) -> DataFrame:
-    """(k, grams) of the lines whose place may be in the sieve; ``grams`` is the line itself."""
+    """(id, at, line): the bytes of the lines whose place may be in the sieve."""
     b = shared(rows.sparkSession, places)
 
     def step(batch):
         x = lines_of(batch)
-        ids = batch.column("id").to_numpy(zero_copy_only=False)[x["row"]]
-        keep = np.flatnonzero(b.value.has(row_key(ids, x["number"])))
+        x = of_lines(x, np.flatnonzero(b.value.has(row_key(x["id"], x["at"]))))
         raw = x["buf"].tobytes()
-        return {"k": x["node"][keep], "grams": pa.array([raw[a:z] for a, z in zip(x["start"][keep].tolist(), x["end"][keep].tolist())], pa.binary())} if len(keep) else None
-
-    return arrow_map(rows, "k long, grams binary", step, "text")
+        return {"id": x["id"], "at": x["at"], "line": pa.array([raw[a:z] for a, z in zip(x["start"].tolist(), x["end"].tolist())], pa.binary())} if len(x["id"]) else None
+
+    return arrow_map(rows, "id long, at long, line binary", step, "text")
+
+
+def linked_lines(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a spanning forest of the lines at the threshold, of members (c, id, at, line, n_blocks) of a component ``c``: all are compared exactly, in blocks."""
+    n = F.col("n_blocks")
+    dealt = members.withColumn("b", F.pmod(F.xxhash64("id", "at"), n).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
+    order = ["ci", "ca", "bi", "bj"]
+    dealt = dealt.select(F.col("c.id").alias("ci"), F.col("c.at").alias("ca"), F.least("b", "x").alias("bi"), F.greatest("b", "x").alias("bj"), "b", "id", "at", "line")
+    dealt = dealt.repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order, "id", "at")
+
+    def check(out, held):
+        """One block with itself, or two blocks."""
+        place, sets, side = [(r[5], r[6]) for r in held], shingle_sets([r[7] for r in held]), np.array([r[4] for r in held])
+        if len(held) == 2:
+            inter = len(np.intersect1d(*sets, assume_unique=True))
+            if side.tolist() in ([held[0][2], held[0][3]], [held[0][3], held[0][2]]) and inter >= threshold * (len(sets[0]) + len(sets[1]) - inter) - 1e-6:
+                out.append((*place[1], *place[0]))
+            return
+        one, other = np.flatnonzero(side == held[0][2]), np.flatnonzero(side == held[0][3])
+        if not len(one) or not len(other):
+            return
+        size = np.array([len(x) for x in sets], dtype=np.float64)
+        inter = overlaps([sets[i] for i in one], [sets[i] for i in other])
+        near = np.zeros((len(held), len(held)), dtype=bool)
+        near[np.ix_(one, other)] = inter >= threshold * (size[one][:, None] + size[other][None, :] - inter) - 1e-6
+        np.fill_diagonal(near, False)
+        out += [(*place[a], *place[b]) for a, b in forest(near | near.T, list(range(len(held))))]
 
-
-def line_classes(rows: DataFrame, found: DataFrame, distinct: DataFrame, threshold: float, bands: int, per: int) -> DataFrame:
-    """(node, class) of the different lines that are linked to others."""
-    places = Bloom.of(distinct, "place")
-    again = stage(repeated_keys(found, places), "keys")
-    held = stage(band_keys(found, places, Bloom.of(again, "key")), "bands")
-    unstage(again)
-    edges = stage(near_in_buckets(held, farthest(bands * per, threshold)).distinct(), "candidates")
-    unstage(held)
+    def run(batches):
+        held, out = [], []
+        emit = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["ai", "aa", "bi", "ba"])
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and r[:4] != held[0][:4]:
+                    if len(held) > 1:
+                        check(out, held)
+                    held = []
+                if not held or r[5:7] != held[-1][5:7]:
+                    held.append(r)
+            if out:
+                yield emit(out)
+                out = []
+        if len(held) > 1:
+            check(out, held)
+        if out:
+            yield emit(out)
+
+    found = dealt.mapInArrow(lean(run), "ai long, aa long, bi long, ba long")
+    return found.select(F.struct(F.col("ai").alias("id"), F.col("aa").alias("at")).alias("a"), F.struct(F.col("bi").alias("id"), F.col("ba").alias("at")).alias("b"))
+
+
+def place_key(c: str) -> Column:
+    """What ``row_key`` gives for a place."""
+    return F.xxhash64(f"{c}.id", f"{c}.at").alias("k")
+
+
+def line_classes(rows: DataFrame, places: Bloom, threshold: float, bands: int, per: int) -> DataFrame:
+    """(id, component): the places linked to others and the first place of their class.
+
+    A place that the sieve lets through though it is not the first of its line is linked to the first, so it is never a label.
+    """
+    found = stage(signatures(rows, places, bands, per), "signatures")
+    again = stage(repeated_keys(found), "keys")
+    held = band_keys(found, Bloom.of(again, "key"))
+    edges = stage(near_in_buckets(held, again, farthest(bands * per, threshold)), "candidates")
     comps = components(edges)
-    unstage(edges)
-    held_by = comps.withColumnRenamed("id", "k").join(distinct.withColumnRenamed("node", "k"), "k")
-    sizes = held_by.groupBy("component").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).select("component", blocks("m", "grams").alias("n_blocks"))
-    placed = stage(held_by.join(sizes, "component").select(F.col("component").alias("comp"), "k", F.lit(1).cast("long").alias("w"), "place", "n_blocks"), "members")
-    sets = candidate_lines(rows, Bloom.of(placed, "place")).dropDuplicates(["k"])
-    dealt = in_blocks(sets.join(placed, "k"))
-    links = stage(verified(dealt, threshold, shingle_sets, count=False), "links")
+    unstage(again, edges)
+    sized = comps.select("id.*", F.col("component").alias("c")).join(found.select("id", "at", "size"), ["id", "at"])
+    sizes = sized.groupBy("c").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).select("c", blocks("m", "grams").alias("n_blocks"))
+    placed = stage(sized.join(sizes, "c").select("id", "at", "c", "n_blocks"), "members")
+    unstage(found)
+    lines = candidate_lines(rows, Bloom.of(placed.select(F.xxhash64("id", "at").alias("k")), "k"))
+    links = stage(linked_lines(lines.join(placed, ["id", "at"]), threshold), "links")
     unstage(placed)
-    return components(links.select(F.col("k").alias("a"), F.col("to").alias("b"))).select(F.col("id").alias("node"), F.col("component").alias("class"))
+    return components(links)
 
 
 def removed_lines(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(id, lines): the numbers of the lines that go, by document."""
+    """(id, h, lines): the numbers of the lines that go, by document."""
     bands, per = banding(threshold, recall, HASHES)
-    found = stage(occurrences(rows, bands, per), "occurrences")
-    # exact copies meet in one row for each line before classes are joined; a line alone in its class goes no further
-    distinct = stage(found.groupBy("node").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.min("place").alias("place"), F.min("size").alias("size")), "lines")
-    linked = line_classes(rows, found, distinct, threshold, bands, per)
-    named = distinct.select("node", "c", "id").join(linked, "node", "left").where("c > 1 or class is not null").withColumn("class", F.coalesce("class", "node"))
-    classes = named.groupBy("class").agg(F.min("id").alias("first"))
-    many = stage(named.select("node", "class").join(classes, "class").select("node", "class", "first"), "classes")
-    found = found.select("id", "number", "node")
-    at = found.join(many, "node")
-    # the first line of a class is its least number in its least id
-    heads = at.where("id = first").groupBy("class").agg(F.min("number").alias("number"))
-    going = at.join(heads.withColumnRenamed("number", "keep"), "class").where("id <> first or number <> keep")
-    out = stage(going.groupBy("id").agg(F.collect_list("number").alias("lines")), "going")
-    unstage(distinct, many)
+    found = stage(occurrences(rows), "occurrences")
+    distinct = stage(found.groupBy("hi", "lo").agg(F.count("*").alias("c"), F.min(F.struct("id", "at")).alias("first")), "lines")
+    classes = line_classes(rows, Bloom.of(distinct.select(place_key("first")), "k"), threshold, bands, per)
+    # a copy goes unless it is the first of its line, and a first one unless it is its component's label
+    copies = found.join(distinct.where("c > 1").select("hi", "lo", "first"), ["hi", "lo"]).where("id <> first.id or at <> first.at").select("id", "at")
+    going = copies.unionByName(classes.where("id <> component").select("id.*"))
+    out = stage(going.groupBy("id", F.shiftright("at", NUMBER).alias("h")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << NUMBER) - 1)).cast("int")).alias("lines")), "going")
+    unstage(found, distinct, classes)
     return out
 
 
@@ -315,30 +420,33 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     similarity of their sets of five-character runs is at least ``threshold``; the one that stays is the first of its
     component, by id and then by number. ``kept`` is the text without the others.
 
-    A null text has one empty line and is kept as the empty text; a null id sorts first; rows that repeat an id are one
-    document, so a line of theirs stays or goes in each; an empty table gives an empty one.
+    A null text has one empty line and is kept as the empty text; a null id sorts first; rows that repeat an id and its
+    text are one document, so a line of theirs stays or goes in each; rows that repeat an id with other texts are
+    documents of their own, in the order of a hash of their texts; an empty table gives an empty one.
     """
     rows = keyed(docs, id_col, text_col)
     gone = removed_lines(rows, threshold, recall)
     whole = rows if not carry else docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST).cast("long")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest"))
     more = f", rest {whole.schema['rest'].dataType.simpleString()}" if carry else ""
-    sieve = shared(docs.sparkSession, Bloom.of(gone.select(F.xxhash64("id").alias("k")), "k"))
+    sieve = shared(docs.sparkSession, Bloom.of(gone.select(F.xxhash64("id", "h").alias("k")), "k"))
 
     extra = lambda batch: {"rest": batch.column("rest")} if carry else {}
 
-    def suspects(maybe: bool, batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = sieve.value.has(row_key(batch.column("id").to_numpy(zero_copy_only=False))) == maybe
-        return batch.filter(pa.array(keep))
+    def suspects(maybe: bool, batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        h = text_hashes(*buffer_of(batch.column("text")))
+        keep = sieve.value.has(row_key(batch.column("id").to_numpy(zero_copy_only=False), h)) == maybe
+        return batch.filter(pa.array(keep)), h[keep]
 
     def stay(batch):
-        own = suspects(False, batch)
+        own, _ = suspects(False, batch)
         raw, offs = buffer_of(own.column("text"))
         ends = np.append(0, np.cumsum(raw == 10))[offs]
         return {"id": own.column("id"), "n_lines": np.diff(ends) + 1, "n_removed": np.zeros(own.num_rows, np.int64), "kept": own.column("text"), **extra(own)}
 
     def send(batch):
-        own, press = suspects(True, batch), zstandard.ZstdCompressor(level=1)
-        return {"id": own.column("id"), "z": [press.compress(t) for t in own.column("text").cast(pa.binary()).to_pylist()], **extra(own)}
+        own, h = suspects(True, batch)
+        press = zstandard.ZstdCompressor(level=1)
+        return {"id": own.column("id"), "h": h, "z": [press.compress(t) for t in own.column("text").cast(pa.binary()).to_pylist()], **extra(own)}
 
     def last(batch):
         un, out = zstandard.ZstdDecompressor(), {"n_lines": [], "n_removed": [], "kept": []}
@@ -351,7 +459,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {"id": batch.column("id"), **out, "kept": pa.array(out["kept"], pa.binary()).cast(pa.string()), **extra(batch)}
 
     result = "id long, n_lines long, n_removed long, kept string" + more
-    going = arrow_map(whole, "id long, z binary" + more, send, "text").join(gone, "id", "left")
+    going = arrow_map(whole, "id long, h long, z binary" + more, send, "text").join(gone, ["id", "h"], "left")
     cut = arrow_map(going, result, last, "z").unionByName(arrow_map(whole, result, stay, "text"))
     return cut.select(F.when(F.col("id") != LEAST, F.col("id")).alias(id_col), "n_lines", "n_removed", "kept", *(["rest.*"] if carry else []))
 

@@ -164,8 +164,8 @@ def test_banding_reaches_recall():
 
 
 def test_line_dedup(docs, texts, nothing):
-    rows = [(i, t) for i, t in texts if i != 40]
-    got = {r.doc_id: (r.n_lines, r.kept) for r in line_dedup.dedup_lines(docs.where("doc_id <> 40"), carry=["lang", "h"]).collect()}
+    rows = texts
+    got = {r.doc_id: (r.n_lines, r.kept) for r in line_dedup.dedup_lines(docs, carry=["lang", "h"]).collect()}
     want = brute.lines(rows)
     assert {i: k for i, (_, k) in got.items()} == want
     assert all(got[i][0] == (t or "").count("\n") + 1 for i, t in rows)
@@ -176,8 +176,8 @@ def test_line_dedup(docs, texts, nothing):
 def test_line_dedup_in_a_full_bucket(spark, monkeypatch, block):
     """All lines in one bucket: similar ones meet though its least and greatest lines resemble neither."""
     monkeypatch.setattr(line_dedup, "BUCKET", block, raising=False)
-    real = line_dedup.occurrences
-    monkeypatch.setattr(line_dedup, "occurrences", lambda *a: real(*a).withColumn("bands", F.lit(bytes(8))))
+    real = line_dedup.signatures
+    monkeypatch.setattr(line_dedup, "signatures", lambda *a: real(*a).withColumn("bands", F.lit(bytes(line_dedup.KEY))))
     r = random.Random(5)
     word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=60))
     lines = [w + x for w in (word() for _ in range(15)) for x in ("", "!")] + [word() for _ in range(6)]
@@ -186,6 +186,34 @@ def test_line_dedup_in_a_full_bucket(spark, monkeypatch, block):
     assert got == {i: int(i < 30 and i % 2 == 1) for i, _ in rows}
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows that repeat an id with other texts are documents of their own; equal rows are one."""
+    one, two = "first line of this text is long", "quite another second line here"
+    rows = [(1, f"{one}\n{two}"), (1, f"{one}\n{two}"), (1, one), (None, two), (2, two), (3, one + "s")]
+    got = sorted(((r.doc_id or 0, r.n_lines, r.n_removed, r.kept) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    kept = [k for *_, k in got]
+    assert len(got) == 6 and "\n".join(kept).count(two) == 1 and (0, 1, 0, two) in got and (2, 1, 1, "") in got and (3, 1, 1, "") in got
+    assert [g for g in got if g[0] == 1 and g[1] == 2][0] == [g for g in got if g[0] == 1 and g[1] == 2][1]
+
+
+@pytest.mark.parametrize("common", [0, 120])
+def test_line_dedup_recall(spark, common):
+    """2,500 pairs just over the threshold, with and without boilerplate that makes all lines alike."""
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    boiler, lines = "".join(rng.choices(letters, k=common)), []
+    for _ in range(2500):
+        own = "".join(rng.choices(letters, k=100))
+        n = common + len(own) - 4
+        d = int(n / 9 - 1e-9)  # shingles that an appended tail changes on one side: n / (n + d) >= 0.8
+        lines += [boiler + own, boiler + own + "".join(rng.choices(letters, k=2 * d - 4))]
+    rows = list(enumerate(lines))
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    grams = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    due = [i for i in range(0, len(lines), 2) if brute.jaccard(grams(lines[i]), grams(lines[i + 1])) >= 0.8]
+    assert len(due) > 2000 and sum(got[i + 1] for i in due) >= 0.995 * len(due)
+
+
 def test_decontamination(spark, docs, nothing):
     items = spark.createDataFrame([(0, "alpha beta gamma delta epsilon zeta eta theta"), (1, "Ünï cödé, four words"), (2, None), (3, ""), (4, "solo"), (0, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
     more = [(900, "x " * 3000 + "Alpha, BETA gamma delta epsilon zeta eta theta!" + " y" * 3000), (901, "alpha beta gamma delta epsilon zeta eta"), (902, "alpha beta gamma delta nothing zeta eta theta"), (903, "das ünï cödé four words hier"), (904, "go solo now"), (905, None)]
