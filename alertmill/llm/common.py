@@ -115,10 +115,15 @@ def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lean(run: Callable) -> Callable:
-    """``run`` for ``mapInArrow``, started by a collection: what came with the last task's code holds itself in cycles, tables included."""
+    """``run`` for ``mapInArrow``, started by a collection: what came with the last task's code holds itself in cycles, tables included.
+
+    A worker's first collection sets the imported modules apart, so that later ones only look at what tasks brought.
+    """
 
     def go(batches):
         trim()
+        if not gc.get_freeze_count():
+            gc.freeze()
         yield from run(batches)
 
     return go
@@ -237,17 +242,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round ends in the shared folder.
     """
     spark = edges.sparkSession
+    grown = lambda df: df.hint("merge")  # noqa: E731  these tables grow with the input, so none is ever broadcast
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v and u is not null and v is not null")
     e = stage(e.union(e.select("v", "u")).distinct(), "cc-edges")
     labels = stage(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("l")), "cc")
     while True:
-        near = e.join(labels.select(F.col("id").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        hooked = labels.join(near.withColumnRenamed("u", "id"), "id").select("id", "l", F.least("l", "m").alias("m"))
+        near = e.join(grown(labels.select(F.col("id").alias("v"), "l")), "v").groupBy("u").agg(F.min("l").alias("m"))
+        hooked = labels.join(grown(near.withColumnRenamed("u", "id")), "id").select("id", "l", F.least("l", "m").alias("m"))
         # the old label's vertex learns the least label that its followers saw
         offer = hooked.where("m < l").groupBy(F.col("l").alias("id")).agg(F.min("m").alias("o"))
-        step = hooked.join(offer, "id", "left").select("id", F.col("l").alias("old"), F.least("m", F.coalesce("o", "m")).alias("l"))
+        step = hooked.join(grown(offer), "id", "left").select("id", F.col("l").alias("old"), F.least("m", F.coalesce("o", "m")).alias("l"))
         up = step.select(F.col("id").alias("l"), F.col("l").alias("up"))
-        jumped = step.join(up, "l", "left").select("id", "old", F.coalesce("up", "l").alias("l"))
+        jumped = step.join(grown(up), "l", "left").select("id", "old", F.coalesce("up", "l").alias("l"))
         after = stage(jumped, "cc")
         moved = after.where("l <> old").limit(1).count()
         unstage(labels)

@@ -85,14 +85,13 @@ def minima(x: dict, hashes: int) -> np.ndarray:
     h = h[np.cumsum(edge[:n], dtype=np.int8).view(bool)]
     count = (z - a - GRAM + 1)[long]
     first = np.cumsum(count) - count
-    xor, mul = (f.astype(np.uint32) | np.uint32(1) for f in functions(hashes))
+    mul = (functions(hashes)[1] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     out, v = np.empty((hashes, len(a)), dtype=np.uint32), np.empty_like(h)
     for i in range(hashes):
-        np.bitwise_xor(h, xor[i], out=v)
-        np.multiply(v, mul[i], out=v)
+        np.multiply(h, mul[i], out=v)
         if len(first):
             out[i, long] = np.minimum.reduceat(v, first)
-        out[i, short] = (own ^ xor[i]) * mul[i]
+        out[i, short] = own * mul[i]
     return out
 
 
@@ -118,7 +117,7 @@ def sketches(least: np.ndarray) -> dict[str, np.ndarray]:
     for i, name in enumerate(SKETCH):
         word = np.zeros(least.shape[1], dtype=np.uint64)
         for j, v in enumerate(least[32 * i : 32 * i + 32]):
-            word |= (v.astype(np.uint64) & np.uint64(3)) << np.uint64(2 * j)
+            word |= ((v * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64) << np.uint64(2 * j)
         out[name] = word.view(np.int64)
     return out
 
@@ -242,7 +241,7 @@ def band_keys(found: DataFrame, again: Bloom) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys = unpacked(buffer_of(batch.column("bands"))[0])
-            keep = np.flatnonzero(b.value.has(keys))
+            keep = np.flatnonzero(b.value.has(row_key(keys)))
             row = keep // max(1, len(keys) // max(1, batch.num_rows))
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), *(pa.array(batch.column(x).to_numpy(zero_copy_only=False)[row]) for x in names)], names=["key", *names])
 
@@ -303,7 +302,9 @@ def near_in_buckets(held: DataFrame, again: DataFrame, most: int) -> DataFrame:
             linked = np.zeros((m, m), dtype=bool)
             for k in range(0, len(one), 64):
                 linked[np.ix_(one[k : k + 64], other)] = far(sketch[a:z][one[k : k + 64], None], sketch[a:z][None, other]) <= most
-            out.append(np.array(forest(linked | linked.T, list(range(a, z))), dtype=np.int64).reshape(-1, 2))
+            np.fill_diagonal(linked, False)
+            if linked.any():
+                out.append(np.array(forest(linked | linked.T, list(range(a, z))), dtype=np.int64).reshape(-1, 2))
         pairs = np.concatenate(out)
         return pa.RecordBatch.from_arrays([pa.array(place[pairs[:, i], j]) for i in (0, 1) for j in (0, 1)], names=["ai", "aa", "bi", "ba"])
 
@@ -334,7 +335,7 @@ def linked_lines(members: DataFrame, threshold: float) -> DataFrame:
 
     def check(out, held):
         """One block with itself, or two blocks."""
-        place, sets, side = [(r[5], r[6]) for r in held], shingle_sets([r[7] for r in held]), np.array([r[4] for r in held])
+        place, sets, side = [(r[5], r[6]) for r in held], [r[7] for r in held], np.array([r[4] for r in held])
         if len(held) == 2:
             inter = len(np.intersect1d(*sets, assume_unique=True))
             if side.tolist() in ([held[0][2], held[0][3]], [held[0][3], held[0][2]]) and inter >= threshold * (len(sets[0]) + len(sets[1]) - inter) - 1e-6:
@@ -354,7 +355,8 @@ def linked_lines(members: DataFrame, threshold: float) -> DataFrame:
         held, out = [], []
         emit = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["ai", "aa", "bi", "ba"])
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
+            *rest, lines = (c.to_pylist() for c in batch.columns)
+            for r in zip(*rest, shingle_sets(lines)):
                 if held and r[:4] != held[0][:4]:
                     if len(held) > 1:
                         check(out, held)
@@ -385,16 +387,16 @@ def line_classes(rows: DataFrame, places: Bloom, threshold: float, bands: int, p
     """
     found = stage(signatures(rows, places, bands, per), "signatures")
     again = stage(repeated_keys(found), "keys")
-    held = band_keys(found, Bloom.of(again, "key"))
+    held = band_keys(found, Bloom.of(again.select(F.xxhash64("key").alias("k")), "k"))
     edges = stage(near_in_buckets(held, again, farthest(bands * per, threshold)), "candidates")
     comps = components(edges)
     unstage(again, edges)
-    sized = comps.select("id.*", F.col("component").alias("c")).join(found.select("id", "at", "size"), ["id", "at"])
+    sized = comps.select("id.*", F.col("component").alias("c")).join(found.select("id", "at", "size").hint("merge"), ["id", "at"])
     sizes = sized.groupBy("c").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).select("c", blocks("m", "grams").alias("n_blocks"))
-    placed = stage(sized.join(sizes, "c").select("id", "at", "c", "n_blocks"), "members")
+    placed = stage(sized.join(sizes.hint("merge"), "c").select("id", "at", "c", "n_blocks"), "members")
     unstage(found)
     lines = candidate_lines(rows, Bloom.of(placed.select(F.xxhash64("id", "at").alias("k")), "k"))
-    links = stage(linked_lines(lines.join(placed, ["id", "at"]), threshold), "links")
+    links = stage(linked_lines(lines.join(placed.hint("merge"), ["id", "at"]), threshold), "links")
     unstage(placed)
     return components(links)
 
@@ -406,7 +408,7 @@ def removed_lines(rows: DataFrame, threshold: float, recall: float) -> DataFrame
     distinct = stage(found.groupBy("hi", "lo").agg(F.count("*").alias("c"), F.min(F.struct("id", "at")).alias("first")), "lines")
     classes = line_classes(rows, Bloom.of(distinct.select(place_key("first")), "k"), threshold, bands, per)
     # a copy goes unless it is the first of its line, and a first one unless it is its component's label
-    copies = found.join(distinct.where("c > 1").select("hi", "lo", "first"), ["hi", "lo"]).where("id <> first.id or at <> first.at").select("id", "at")
+    copies = found.join(distinct.where("c > 1").select("hi", "lo", "first").hint("merge"), ["hi", "lo"]).where("id <> first.id or at <> first.at").select("id", "at")
     going = copies.unionByName(classes.where("id <> component").select("id.*"))
     out = stage(going.groupBy("id", F.shiftright("at", NUMBER).alias("h")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << NUMBER) - 1)).cast("int")).alias("lines")), "going")
     unstage(found, distinct, classes)
