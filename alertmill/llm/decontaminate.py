@@ -1,23 +1,25 @@
 """Benchmark decontamination: size-partitioned MinHash containment search in DataFrame functions alone.
 
-Test items are partitioned by size (powers of two of their shingle counts). Each partition keeps the bottom-k
-MinHash values of an item as its signature, with k chosen for the partition's largest size so that no match is
-lost: an item of n shingles of which a document holds at least t * n misses at most (1 - t) * n of them, so at
-least one of any floor((1 - t) * n) + 1 is there. A document is looked up with all its shingles, because a
-signature of the whole document would thin out just the few that a short item shares with a long text. The
-search itself is an exact join with every shingle of every item, compared as texts: every pair over the threshold
-holds a signature value, so the signature decides nothing.
+Test items are partitioned by size (powers of two of their shingle counts); the items of a partition keep bottom-k
+MinHash sketches of one length k. A long document is screened against the sketches: the share of an item's sketch
+that the document holds estimates the item's containment, whatever the document's length, because the sketch is a
+uniform sample of the item and the document is looked up whole. (The document's own MinHash would thin out just the
+few shingles that it shares with a short item.) An item of n shingles of which a document holds t * n or more misses
+at most floor((1 - t) * n), so at least k less that many sketch values are found: pairs with fewer are dropped, and
+only those left are verified, on all shingles, compared as texts. No pair over the threshold is lost.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertmill.llm.common import stage
 
-#: Item shingles up to which they go into a set that the scan itself tests, and up to which their table is broadcast.
-IN_SCAN, BROADCAST = 50_000, 1_000_000
+#: Item shingles up to which the scan itself tests for them; beyond it they are joined, by a plan that goes by measured sizes.
+IN_SCAN = 50_000
+#: Sketch values beyond those that a match may miss: the more, the fewer candidates fail.
+SPARE = 2
 GAP = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -33,17 +35,36 @@ def shingles(ws: str, m: int) -> str:
 
 
 def item_shingles(items: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
-    """(item_id, sh, h, n_item, in_sig) of each distinct shingle; an item of fewer than ``n`` words is one shingle of them all."""
+    """(item_id, m, sh, h, n_item, need, in_sig) of each distinct shingle; an item of fewer than ``n`` words is one shingle of them all.
+
+    ``in_sig``: the shingle is in its item's sketch; ``need``: values of the sketch that a match cannot do without.
+    """
     w = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("ws")).where("size(ws) > 0")
     w = w.withColumn("m", F.least(F.lit(n), F.size("ws")))
     each = w.select("item_id", "m", F.explode(F.expr("array_distinct(transform(sequence(1, size(ws) - m + 1), i -> array_join(slice(ws, i, m), ' ')))")).alias("sh")).distinct()
     by_size = F.expr(f"CASE m {' '.join(f'WHEN {k} THEN ' + 'xxhash64(' + ', '.join(f'p[{j}]' for j in range(k)) + ')' for k in range(1, n + 1))} END")
-    hashed = each.withColumn("p", F.split("sh", " ")).select("item_id", "m", "sh", by_size.alias("h"))
-    sized = hashed.groupBy("item_id").agg(F.count("*").alias("n_item"), F.array_sort(F.collect_set("h")).alias("low"))  # an item is short: its own words
-    # the size partition, and its signature length
-    sized = sized.withColumn("most", F.expr("shiftleft(1, cast(floor(log2(n_item)) as int) + 1) - 1")).withColumn("k", F.floor((1 - F.lit(threshold)) * F.col("most") + 1e-9) + 1)
-    sized = sized.select("item_id", "n_item", F.expr("slice(low, 1, cast(k as int))").alias("sig"))
-    return hashed.join(sized, "item_id").select("item_id", "m", "sh", "h", "n_item", F.array_contains("sig", F.col("h")).alias("in_sig"))
+    own = Window.partitionBy("item_id")  # an item is short: its own shingles; a null id is one item
+    ranked = each.withColumn("p", F.split("sh", " ")).withColumn("h", by_size)
+    ranked = ranked.withColumn("n_item", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("h", "sh")))
+    # the size partition, the sketch length of its largest items, and what an item of this size may miss
+    missed = lambda size: F.floor((1 - F.lit(threshold)) * size + 1e-9)
+    sized = ranked.withColumn("most", F.expr("shiftleft(1, cast(floor(log2(n_item)) as int) + 1) - 1")).withColumn("k", F.least(missed(F.col("most")) + 1 + SPARE, F.col("n_item")))
+    return sized.select("item_id", "m", "sh", "h", "n_item", F.greatest(F.col("k") - missed(F.col("n_item")), F.lit(1)).alias("need"), (F.col("r") <= F.col("k")).alias("in_sig"))
+
+
+def hits(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, m, h, sh): the shingles of each document that some item holds."""
+    count = marks.count()
+    lengths = sorted(r.m for r in marks.select("m").distinct().collect())  # at most n values
+    # Words leave a generator, and hits an outer one: Catalyst neither copies these expressions into others nor infers filters that compute them again.
+    ws = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(F.array(words(F.col(text_col)))).alias("ws"))
+    held = ", ".join(shingles("ws", m) for m in lengths)
+    found = F.explode_outer(F.expr("transform(x, s -> named_struct('m', s.m, 'h', s.h, 'sh', array_join(slice(ws, s.i + 1, s.m), ' ')))")).alias("s")
+    if count <= IN_SCAN:
+        inside = ", ".join(f"{r.h}L" for r in marks.select("h").distinct().orderBy("h").collect()).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
+        return ws.withColumn("x", F.expr(f"filter(concat({held}), s -> s.h IN ({inside}))")).select("doc_id", found).select("doc_id", "s.*").where("h is not null")
+    rows = ws.withColumn("x", F.expr(f"concat({held})")).select("doc_id", found).select("doc_id", "s.*").where("h is not null")
+    return rows.join(marks.select("h").distinct(), "h", "left_semi").select("doc_id", "m", "h", "sh")
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -54,24 +75,17 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     shingles that some item holds leave the scan.
     """
     marks = stage(item_shingles(items, item_id, item_text, n, threshold), "items")
-    count = marks.count()
-    lengths = sorted(r.m for r in marks.select("m").distinct().collect())  # at most n values
-    # Words leave a generator, and hits an outer one: Catalyst neither copies these expressions into others nor infers filters that compute them again.
-    ws = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(F.array(words(F.col(text_col)))).alias("ws"))
-    if not count:
+    if marks.isEmpty():
         none = lambda name, of: F.lit(None).cast(of).alias(name)
-        return ws.where(F.lit(False)).select("doc_id", none("item_id", items.schema[item_id].dataType), none("n_item", "long"), none("n_shared", "long"), none("containment", "double"))
-    held = ", ".join(shingles("ws", m) for m in lengths)
-    if count <= IN_SCAN:
-        inside = ", ".join(f"{r.h}L" for r in marks.select("h").distinct().orderBy("h").collect()).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
-        hits = ws.withColumn("x", F.expr(f"filter(concat({held}), s -> s.h IN ({inside}))"))
-    else:
-        hits = ws.withColumn("x", F.expr(f"concat({held})"))
-    rows = hits.select("doc_id", F.explode_outer(F.expr("transform(x, s -> named_struct('h', s.h, 'm', s.m, 'sh', array_join(slice(ws, s.i + 1, s.m), ' ')))")).alias("s")).select("doc_id", "s.*")
-    table = F.broadcast(marks) if count <= BROADCAST else marks
-    both = rows.join(table, ["h", "m", "sh"])  # texts are compared, not only their hashes
-    pairs = both.groupBy("doc_id", "item_id", "n_item", "sh").agg(F.max("in_sig").alias("s")).groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"), F.max("s").alias("candidate"))
-    return pairs.where(F.col("candidate") & (F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)).select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+        return docs.where(F.lit(False)).select(F.col(id_col).alias("doc_id"), none("item_id", items.schema[item_id].dataType), none("n_item", "long"), none("n_shared", "long"), none("containment", "double"))
+    found = stage(hits(docs, marks, id_col, text_col).distinct(), "hits")
+    # first the sketches: documents with enough values of an item's sketch are candidates
+    signed = found.join(marks.where("in_sig"), ["m", "h", "sh"]).groupBy("doc_id", "item_id", "need").agg(F.count("*").alias("c")).where("c >= need")
+    candidates = stage(signed.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i")), "candidates")
+    # then all shingles of the candidates
+    both = found.join(marks, ["m", "h", "sh"])
+    pairs = both.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi").groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    return pairs.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9).select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def op6_decontamination(spark, sf_dir):

@@ -225,11 +225,28 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.contained(nothing, items).count() == 0 and decontaminate.contained(rows, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_null_ids(spark):
+    items = spark.createDataFrame([(None, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "so alpha beta gamma delta epsilon zeta"), (7, "one two three four five six seven"), (8, "Alpha beta gamma delta epsilon zeta one two three four five six"), (9, "alpha beta gamma delta epsilon"), (9, "beta gamma delta epsilon zeta")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contained(docs, items).collect()} == {(None, None), (7, 1), (8, None), (8, 1), (9, None)}  # rows of one id are taken together
+
+
+def test_sketches_decide_the_candidates(spark):
+    """Sketches have one length in a size partition, and a match holds as many values as ``need`` says."""
+    rng = random.Random(4)
+    items = spark.createDataFrame([(i, words(rng, n + 4, 10**6)) for i, n in enumerate((1, 2, 3, 5, 7, 12, 15, 40, 63))], "item_id long, text string")
+    rows = decontaminate.item_shingles(items, "item_id", "text", 5, 0.8).toPandas()
+    for _, own in rows.groupby("item_id"):
+        n, k = len(own), int(own.in_sig.sum())
+        most = 2 ** n.bit_length() - 1
+        assert k == min(int(0.2 * most + 1e-9) + 1 + decontaminate.SPARE, n) and (own.need == max(1, k - int(0.2 * n + 1e-9))).all()
+        assert own[own.in_sig].h.max() <= own[~own.in_sig].h.min() if k < n else True
+
+
 def test_decontamination_past_its_bounds(spark, docs, monkeypatch):
     items = docs.where("doc_id in (5, 9, 12)").select(F.col("doc_id").alias("item_id"), "text")
     want = {tuple(r) for r in decontaminate.contained(docs, items).collect()}
     monkeypatch.setattr(decontaminate, "IN_SCAN", 0)
-    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
     assert {tuple(r) for r in decontaminate.contained(docs, items).collect()} == want and want
 
 
