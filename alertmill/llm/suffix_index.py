@@ -1,75 +1,150 @@
 """Suffix-array dedup on a logarithmic family of index levels.
 
-A level is a hash table in the shared folder: one entry for each different chunk at an anchor, with the hashes of its
-leading piece and of the chunk, a count and one place. Entries are written by their hashes and no suffix is sorted.
-Sampling by content keeps about one suffix in a hundred and loses no match: equal windows hold equal
-anchors at equal offsets. A new batch gets its own table, is joined with every level for leading pieces that both hold, and is merged with levels of its own size, so a corpus of B batches is rewritten log2(B) times.
+A level is a sparse suffix array: it holds the suffixes at anchors, which a rule on the content samples (about one in
+fifty bytes), so equal windows hold equal anchors at equal offsets and no match is lost. A suffix is known by the name
+of its leading piece and the name of the chunk around it, 64-bit hashes in place of the ranks that prefix doubling
+gives; the order is that of the names, so suffixes with a long common start lie side by side, and only chunks of one
+leading piece are ever compared with one another.
+
+Levels are bucketed tables, sorted within buckets: ``heads`` (anchor, c) and ``chunks`` (anchor, chunk, c, place). A new
+batch gets its own arrays, is merge-scanned with the heads of every level, and merges with levels of its own size, so
+a corpus of B batches is rewritten log2(B) times. Scans and merges are sort-merge joins of tables with one bucketing
+and order: they read both sides in step, and neither shuffle nor sort them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import stage, unstage
+from alertmill.llm.common import partitions, shared_dir, stage, unstage
 from alertmill.llm.repeats import LEAST, Windows, chunk_places, keyed, remove, spans_elsewhere
 
 KEY = ["anchor", "chunk"]
+COLUMNS = {"heads": "anchor BIGINT, c BIGINT", "chunks": "anchor BIGINT, chunk BIGINT, c BIGINT, place BIGINT"}
+ORDER = {"heads": ["anchor"], "chunks": KEY}
+#: A bucket is one file, so its order may be used.
+IN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def ordered(spark: SparkSession):
+    was = spark.conf.get(IN_ORDER)
+    spark.conf.set(IN_ORDER, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(IN_ORDER, was)
 
 
 class SuffixIndex:
-    """Levels of chunk entries; ``add`` takes batches as they come, in any number.
+    """Levels of sampled suffixes; ``add`` takes batches as they come, in any number, in this session or a later one.
 
-    ``levels`` pairs the number of batches in a level with its table; ``hits`` are the leading pieces found by
-    the merge-scans to occur more than once.
+    ``levels`` pairs the number of batches in a level with its folder; ``hits`` are the folders of the leading pieces
+    found by the merge-scans to occur more than once. ``folder`` keeps the index; an index that is there is opened, with
+    its own window, piece and buckets. Without a folder the index is the session's and ends with ``close``.
     """
 
-    def __init__(self, window: int = 200, piece: int = 96):
+    def __init__(self, spark: SparkSession, window: int = 200, piece: int = 96, folder: str | None = None):
+        self.spark, self.tables = spark, {}
+        self.folder = folder or f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}"
+        self.buckets, self.levels, self.hits, self.version = partitions(spark), [], [], 0
+        fs, path = self._fs(f"{self.folder}/manifest")
+        if fs.exists(path):
+            last = spark.read.json(f"{self.folder}/manifest").orderBy(F.desc("version")).first()
+            state = json.loads(last.state)
+            self.version, self.buckets, window, piece = last.version, state["buckets"], state["window"], state["piece"]
+            self.levels, self.hits = [tuple(x) for x in state["levels"]], state["hits"]
         self.win = Windows("byte", window, piece)
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.hits: list[DataFrame] = []
 
-    def array(self, rows: DataFrame) -> DataFrame:
-        """The entries of one batch."""
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
+
+    def _save(self) -> None:
+        """A new line of the manifest: what a reader finds is the old index or the new one."""
+        self.version += 1
+        state = {"buckets": self.buckets, "window": self.win.length, "piece": self.win.piece, "levels": self.levels, "hits": self.hits}
+        self.spark.createDataFrame([(self.version, json.dumps(state))], "version long, state string").coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+
+    def _delete(self, *folders: str) -> None:
+        for folder in folders:
+            for part in COLUMNS:
+                name = self.tables.pop((folder, part), None)
+                if name:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            fs, path = self._fs(folder)
+            fs.delete(path, True)
+
+    def table(self, folder: str, part: str) -> DataFrame:
+        """``heads`` or ``chunks`` of a level, with their buckets and order."""
+        name = self.tables.get((folder, part))
+        if name is None:
+            name = self.tables[folder, part] = f"suffixes_{uuid.uuid4().hex}"
+            by = ", ".join(ORDER[part])
+            self.spark.sql(f"CREATE TABLE {name} ({COLUMNS[part]}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{folder}/{part}'")
+        return self.spark.table(name)
+
+    def _write(self, df: DataFrame, folder: str, part: str) -> None:
+        name = self.tables[folder, part] = f"suffixes_{uuid.uuid4().hex}"
+        by = ORDER[part]
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{folder}/{part}").bucketBy(self.buckets, by[0], *by[1:]).sortBy(by[0], *by[1:]).saveAsTable(name)
+
+    def arrays(self, rows: DataFrame) -> str:
+        """The sorted suffixes of one batch."""
+        folder = f"{self.folder}/level-{uuid.uuid4().hex}"
         found = chunk_places(rows, self.win).groupBy(*KEY).agg(F.count("*").alias("c"), F.min("place").alias("place"))
-        return stage(found.sortWithinPartitions(*KEY), "suffixes")
-
-    def scan(self, new: DataFrame, level: DataFrame) -> DataFrame:
-        """Leading pieces that both tables hold: a join on their hashes."""
-        return stage(new.select("anchor").distinct().join(level.select("anchor").distinct(), "anchor"), "hits")
-
-    @staticmethod
-    def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        both = a.unionByName(b).groupBy(*KEY).agg(F.sum("c").alias("c"), F.min("place").alias("place"))
-        return stage(both.sortWithinPartitions(*KEY), "suffixes")
+        self._write(found, folder, "chunks")
+        self._write(self.table(folder, "chunks").groupBy("anchor").agg(F.sum("c").alias("c")), folder, "heads")
+        return folder
+
+    def scan(self, new: str, level: str) -> DataFrame:
+        """Leading pieces that both levels hold: both are read in their order."""
+        return self.table(new, "heads").select("anchor").join(self.table(level, "heads").select("anchor").hint("merge"), "anchor")
+
+    def merge(self, a: str, b: str) -> str:
+        folder = f"{self.folder}/level-{uuid.uuid4().hex}"
+        for part, by in ORDER.items():
+            one, other = self.table(a, part).alias("x"), self.table(b, part).hint("merge").alias("y")
+            both = one.join(other, by, "full_outer")
+            sums = [(F.coalesce("x.c", F.lit(0)) + F.coalesce("y.c", F.lit(0))).alias("c")]
+            self._write(both.select(*by, *sums, *([F.least("x.place", "y.place").alias("place")] if part == "chunks" else [])), folder, part)
+        return folder
 
     def add(self, rows: DataFrame) -> None:
-        new, size = self.array(rows), 1
-        inside = new.groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1").select("anchor")
-        self.hits.append(stage(inside, "hits"))
-        for _, level in self.levels:
-            self.hits.append(self.scan(new, level))
-        while self.levels and self.levels[-1][0] == size:
-            _, level = self.levels.pop()
-            merged = self.merge(level, new)
-            unstage(level, new)
-            new, size = merged, 2 * size
-        self.levels.append((size, new))
+        """Takes a batch (id, text) in."""
+        with ordered(self.spark):
+            new, size, gone = self.arrays(rows), 1, []
+            seen = self.table(new, "heads").where("c > 1").select("anchor")
+            for _, level in self.levels:
+                seen = seen.unionByName(self.scan(new, level))
+            self.hits.append(f"{self.folder}/hits-{uuid.uuid4().hex}")
+            seen.write.parquet(self.hits[-1])
+            while self.levels and self.levels[-1][0] == size:
+                _, level = self.levels.pop()
+                gone += [level, new]
+                new, size = self.merge(level, new), 2 * size
+            self.levels.append((size, new))
+        self._save()
+        self._delete(*gone)
 
     def repeated(self) -> DataFrame:
-        """The different chunks of all leading pieces that occur more than once, over all levels."""
-        seen = self.hits[0]
-        for x in self.hits[1:]:
-            seen = seen.union(x)
-        rows = self.levels[0][1]
+        """(anchor, chunk, c, place): the different chunks of all leading pieces that occur more than once, over all levels."""
+        seen = self.spark.read.schema("anchor long").parquet(*self.hits)
+        rows = self.table(self.levels[0][1], "chunks")
         for _, level in self.levels[1:]:
-            rows = rows.unionByName(level)
+            rows = rows.unionByName(self.table(level, "chunks"))
         if len(self.levels) > 1:
             rows = rows.groupBy(*KEY).agg(F.sum("c").alias("c"), F.min("place").alias("place"))
-        return rows.join(seen.distinct(), "anchor", "left_semi")
+        return rows.join(seen.distinct().hint("merge"), "anchor", "left_semi")
 
     def close(self) -> None:
-        unstage(*(x for _, x in self.levels), *self.hits)
+        """Deletes the index."""
+        self._delete(*(x for _, x in self.levels), self.folder)
         self.levels, self.hits = [], []
 
 
@@ -81,9 +156,10 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns (id, n_bytes, n_removed, n_spans, kept_sha256). A null text is empty; a null id is an id of its own;
     repeated rows are documents of their own, so each loses what the other holds; an empty table gives an empty one.
+    Ids are whole numbers, or texts of them.
     """
     rows = keyed(docs, id_col, text_col)
-    index = SuffixIndex(window, max(1, min(96, window - 1)))
+    index = SuffixIndex(docs.sparkSession, window, max(1, min(96, window - 1)))
     for b in range(batches):
         index.add(rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b))
     table = stage(index.repeated(), "chunks")

@@ -92,15 +92,31 @@ def test_suffix_index(docs, texts, nothing):
     assert sorted(got, key=str) == brute.bytes_elsewhere([(r.doc_id, r.text) for r in rows.select("doc_id", "text").collect()], 40)
 
 
-def test_suffix_index_levels(docs):
-    index = suffix_index.SuffixIndex(40, 30)
+def test_suffix_index_levels(spark, docs, tmp_path):
+    """Levels merge geometrically, scans and merges neither shuffle nor sort, and a kept index goes on where it was."""
     rows = repeats.keyed(docs, "doc_id", "text")
+    batch = lambda b: rows.where(F.pmod("id", F.lit(5)) == b)
+    index = suffix_index.SuffixIndex(spark, 40, 30)
+    kept = suffix_index.SuffixIndex(spark, 40, 30, str(tmp_path / "index"))
     sizes = []
     for b in range(5):
-        index.add(rows.where(F.pmod("id", F.lit(5)) == b))
+        index.add(batch(b))
         sizes.append([n for n, _ in index.levels])
+        kept.add(batch(b))
+        if b == 2:
+            with suffix_index.ordered(spark):
+                plan = kept.scan(kept.levels[0][1], kept.levels[1][1])._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        kept = suffix_index.SuffixIndex(spark, 1, 1, str(tmp_path / "index"))  # as a later session would
+        assert [n for n, _ in kept.levels] == sizes[-1] and kept.win == index.win
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
-    assert index.repeated().count() > 0
+    whole = suffix_index.SuffixIndex(spark, 40, 30)
+    whole.add(rows)
+    want = sorted(map(tuple, whole.repeated().select("anchor", "chunk", "c").collect()))
+    assert want and all(sorted(map(tuple, x.repeated().select("anchor", "chunk", "c").collect())) == want for x in (index, kept))
+    for x in (index, kept, whole):
+        x.close()
+    assert not (tmp_path / "index").exists()
 
 
 def test_fingerprints(docs, texts, nothing):
