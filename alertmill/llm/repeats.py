@@ -2,7 +2,8 @@
 
 Equal windows share an anchor and the offset to it, so a window can only repeat where its anchor repeats. Most
 repeats are whole chunks that recur, which one aggregate over chunk hashes settles; single windows are compared
-only between different chunks of one anchor. Keys are two 64-bit hashes side by side, 128 bits together.
+only between different chunks of one anchor. Anchors and chunks go by 64-bit hashes; two chunks are only ever compared
+where their anchors agree, so what can be mistaken is one of the few chunks around one anchor for another, at 64 bits.
 """
 
 from __future__ import annotations
@@ -72,16 +73,6 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 CHUNKS = "id long, h long, s int, n int, o int, anchor long, chunk long"
 
 
-def anchors(docs: DataFrame, win: Windows) -> DataFrame:
-    """(anchor) of every chunk."""
-
-    def step(batch):
-        _, _, c = win.chunks(batch)
-        return None if c is None else {"anchor": c["anchor"].view(np.int64)}
-
-    return arrow_map(docs, "anchor long", step, "text")
-
-
 def chunks(docs: DataFrame, win: Windows, sieve: Bloom | None = None, on: str = "anchor") -> DataFrame:
     """Every chunk whose ``on`` hash may be in the sieve."""
     b = sieve and shared(docs.sparkSession, sieve)

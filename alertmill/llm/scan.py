@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from alertmill.llm.common import mix64
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True  # the class [\x20\x09-\x0D]
 BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes from which a word is hashed as a whole.
+LONG = 256
 
 
 def powers(base: int, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
@@ -47,7 +49,10 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.n
     at[: starts[0]] = 0
     v = (buf.astype(np.uint64) + np.uint64(1)) * powers(BASE, int(at.max()) + 1)[at]
     v[gap[buf]] = 0
-    return mix64(np.add.reduceat(v, starts) ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+    out = mix64(np.add.reduceat(v, starts) ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+    for i in np.flatnonzero(ends - starts > LONG):  # sums modulo 2**64 have known collisions from some hundred letters on
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return out
 
 
 class Rolling:
@@ -79,6 +84,12 @@ def window_argmin(v: np.ndarray, w: int) -> np.ndarray:
     return idx
 
 
+def anchor_of_windows(units: np.ndarray, length: int, k: int) -> np.ndarray:
+    """The hash of the anchor of each window of ``length`` units, wherever rows end."""
+    pieces = Rolling(units).windows(k)
+    return pieces[window_argmin((pieces >> np.uint64(32)).astype(np.uint32), length - k + 1)]
+
+
 def anchored_chunks(units: np.ndarray, offs: np.ndarray, length: int, k: int) -> dict[str, np.ndarray] | None:
     """Cuts each row's windows of ``length`` units into runs that share an anchor.
 

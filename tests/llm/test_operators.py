@@ -82,6 +82,19 @@ def test_substring_dedup(docs, texts, nothing):
     assert len(twice) == 3 and len({r for r in twice if r.doc_id == 3}) == 1
 
 
+def test_levels_double_until_none_is_left(spark, docs, monkeypatch):
+    assert substring_dedup.levels(20) == [5, 10, 20] and substring_dedup.levels(100) == [4, 7, 13, 25, 50, 100] and substring_dedup.levels(1) == [1]
+    seen, real = [], substring_dedup.candidates
+    monkeypatch.setattr(substring_dedup, "candidates", lambda rows, win, before: seen.append((win.piece, win.length)) or real(rows, win, before))
+    rows = repeats.keyed(docs, "doc_id", "text")
+    win, _ = substring_dedup.survivors(rows, 20)
+    assert seen == [(5, 10), (10, 20)] and (win.piece, win.length) == (10, 20)
+    seen.clear()
+    alone = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(60))), (2, " ".join(f"b{i}" for i in range(60)))], "doc_id long, text string")
+    assert substring_dedup.survivors(repeats.keyed(alone, "doc_id", "text"), 20) is None and seen == [(5, 10)]
+    assert {r.n_removed for r in substring_dedup.dedup_windows(alone).collect()} == {0}
+
+
 def test_suffix_index(docs, texts, nothing):
     for length in (200, 40):
         got = [tuple(r) for r in suffix_index.dedup_bytes(docs, window=length).collect()]
