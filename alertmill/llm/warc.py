@@ -11,25 +11,35 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import arrow_map, session
+from alertmill.llm.common import arrow_map, lean, session
 
-DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>")
-TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_BLOCKS = r"(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|section|article|header|footer|nav|aside|main|pre|blockquote|form|figure|option)"
+# fixed values: elements whose text is not shown; those of the first line hold everything up to their end tag or the page's end
+RAW = ("script", "style", "title")
+UNSHOWN = (*RAW, "noscript", "template", "head")
+# fixed values: elements that stand on lines of their own, and cells
+BLOCKS = frozenset("p div br hr li ul ol dl dt dd tr table h1 h2 h3 h4 h5 h6 section article header footer nav aside main pre blockquote form figure option".split())
+CELLS = frozenset(("td", "th"))
 # attributes whose quotes close before the next tag; tags with others end at the first bracket
 _ATTRS = r"(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+"
-BLOCK = re.compile(rf"(?i)</?{_BLOCKS}\b{_ATTRS}>|</?{_BLOCKS}\b[^<>]*>")
-CELL = re.compile(rf"(?i)</?(?:td|th)\b{_ATTRS}>|</?(?:td|th)\b[^<>]*>")
-TAG = re.compile(rf"<[a-zA-Z/!?]{_ATTRS}>|<[a-zA-Z/!?][^<>]*>")
-HREF = re.compile(r"(?is)<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\"'<>]+))")
+TAG = re.compile(rf"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*+)({_ATTRS}>|[^<>]*>)|[a-zA-Z/!?](?:{_ATTRS}>|[^<>]*>))")
+END = {name: re.compile(rf"(?i)</{name}\s*+>") for name in UNSHOWN}
+TITLE = re.compile(r"(?i)<title\b[^<>]*>")
+HREF = re.compile(r"(?i)\bhref\s*+=\s*+(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\"'<>]+))")
 BLANK, LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
+CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([a-z0-9_:.-]+)")
 EPOCH = "1970-01-01T00:00:00Z"
+#: Bytes of record blocks that ``read`` hands on together, or one record.
+READ_BYTES = 1 << 22
 
 
 def digest(block: bytes) -> str:
@@ -41,39 +51,123 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(parts).encode()).digest()[:16], version=5)}>"
 
 
+def shown(markup: str) -> tuple[str, list[str]]:
+    """A page's raw text, without tags, comments and what is not shown, and its links as they stand, in one pass."""
+    out, links, at, never = [], [], 0, set()
+    while (m := TAG.search(markup, at)) is not None:
+        out.append(markup[at : m.start()])
+        at = m.end()
+        comment, close, name, rest = m.groups()
+        if comment:
+            end = markup.find("-->", at)
+            at = len(markup) if end < 0 else end + 3
+            out.append(" ")
+        elif name:
+            name = name.lower()
+            if name in UNSHOWN and not close and name not in never:
+                end = END[name].search(markup, at)
+                if end:
+                    at = end.end()
+                elif name in RAW:
+                    at = len(markup)
+                else:
+                    never.add(name)
+                out.append(" ")
+            elif name in BLOCKS:
+                out.append("\n")
+            elif name in CELLS:
+                out.append(" ")
+            elif name == "a" and not close and (href := HREF.search(rest)):
+                links.append(next(g for g in href.groups() if g is not None))
+    out.append(markup[at:])
+    return "".join(out), links
+
+
+def tidy(raw: str) -> str:
+    return LINES.sub("\n", BLANK.sub(" ", html.unescape(raw))).strip()
+
+
 def page_text(markup: str) -> str:
     """The text of a page: no scripts, styles, comments or head; blocks on lines of their own, references decoded."""
-    x = DROPPED.sub(" ", markup)
-    x = CELL.sub(" ", BLOCK.sub("\n", x))
-    x = html.unescape(TAG.sub("", x))
-    return LINES.sub("\n", BLANK.sub(" ", x)).strip()
+    return tidy(shown(markup)[0])
 
 
 def page_title(markup: str) -> str:
     m = TITLE.search(markup)
-    return " ".join(html.unescape(m[1]).split()) if m else ""
+    end = END["title"].search(markup, m.end()) if m else None
+    return " ".join(html.unescape(markup[m.end() : end.start()]).split()) if end else ""
 
 
-def outlinks(markup: str) -> list[str]:
+def targets(links: list[str]) -> list[str]:
     """The targets of links, first mention first."""
-    found = (html.unescape(next(g for g in m.groups() if g is not None)).strip() for m in HREF.finditer(DROPPED.sub(" ", markup)))
+    found = (html.unescape(x).strip() for x in links)
     return list(dict.fromkeys(x for x in found if x and not x.startswith(("#", "javascript:"))))
 
 
-def conversion(response: dict) -> dict:
-    """The plain-text record of a response."""
-    block = page_text(response["payload"].decode("utf-8", "replace")).encode()
-    return {"type": "conversion", "record_id": record_id("conversion", response["record_id"]), "refers_to": response["record_id"], "concurrent_to": None, "target_uri": response["target_uri"], "date": response["date"], "content_type": "text/plain; charset=utf-8", "block_digest": digest(block), "payload_digest": digest(response["payload"]), "block": block}
+def fields_of(http_headers: str | None) -> dict[str, str]:
+    """Header fields by lower-case name; lines without a colon, such as the status line, are none."""
+    out = {}
+    for line in (http_headers or "").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
 
 
-def metadata(response: dict, converted: dict) -> dict:
-    """The linked fields of a response: one source header a line, as it stood."""
-    markup = response["payload"].decode("utf-8", "replace")
-    fields = [("conversionOf", response["record_id"]), ("payloadDigest", digest(response["payload"])), ("title", page_title(markup))]
+def unchunked(data: bytes) -> bytes:
+    """The body of chunks; what is no chunk ends it, and a body without any chunk stands as it is."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(data[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out) if out else data
+
+
+def markup_of(http_headers: str | None, payload: bytes) -> str:
+    """The page that a payload holds: chunks joined, compression undone, decoded by its charset; what is broken stands as it is."""
+    fields = fields_of(http_headers)
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        payload = unchunked(payload)
+    coding = fields.get("content-encoding", "").lower()
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):
+            try:
+                payload = zlib.decompressobj(bits).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    named = CHARSET.search(fields.get("content-type", "").encode()) or CHARSET.search(payload[:1024])
+    try:
+        return payload.decode(named[1].decode() if named else "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        return payload.decode("utf-8", "replace")
+
+
+def derivatives(response: dict) -> tuple[dict, dict]:
+    """The metadata and the conversion record of a response.
+
+    Both name the response and keep its payload digest, the source's own where it has one. The metadata block has the
+    title, one source header a line, as it stood, and the links.
+    """
+    payload, own = response["payload"] or b"", response["record_id"]
+    markup = markup_of(response["http_headers"], payload)
+    raw, links = shown(markup)
+    text = tidy(raw).encode()
+    paid = response.get("payload_digest") or digest(payload)
+    same = {"refers_to": own, "target_uri": response["target_uri"], "date": response["date"], "payload_digest": paid}
+    converted = {"type": "conversion", "record_id": record_id("conversion", own or ""), "concurrent_to": None, "content_type": "text/plain; charset=utf-8", "block_digest": digest(text), "block": text, **same}
+    fields = [("conversionOf", own or ""), ("payloadDigest", paid), ("title", page_title(markup))]
     fields += [("sourceHeader", " ".join(x.split("\r"))) for x in (response["http_headers"] or "").split("\r\n") if x]
-    fields += [("outlink", " ".join(x.split())) for x in outlinks(markup)]
-    block = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
-    return {"type": "metadata", "record_id": record_id("metadata", response["record_id"]), "refers_to": response["record_id"], "concurrent_to": converted["record_id"], "target_uri": response["target_uri"], "date": response["date"], "content_type": "application/warc-fields", "block_digest": digest(block), "payload_digest": digest(response["payload"]), "block": block}
+    fields += [("outlink", " ".join(x.split())) for x in targets(links)]
+    block = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")
+    meta = {"type": "metadata", "record_id": record_id("metadata", own or ""), "concurrent_to": converted["record_id"], "content_type": "application/warc-fields", "block_digest": digest(block), "block": block, **same}
+    return meta, converted
 
 
 HEADERS = (("WARC-Type", "type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"))
@@ -85,26 +179,38 @@ def to_bytes(record: dict) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(record['block'])}\r\n\r\n".encode() + record["block"] + b"\r\n\r\n"
 
 
+def records(file) -> Iterator[dict]:
+    """The records of an open WARC file, one at a time; lines between records are passed over, a record cut short ends the file."""
+    names = {k.lower(): v for k, v in HEADERS}
+    try:
+        while line := file.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            fields = {}
+            while (line := file.readline()).strip():
+                name, colon, value = line.decode("utf-8", "replace").partition(":")
+                if colon:
+                    fields.setdefault(name.strip().lower(), value.strip())
+            size = fields.get("content-length", "")
+            if not size.isdigit():
+                continue
+            record = {v: fields.get(k) for k, v in names.items()}
+            record["block"] = file.read(int(size))
+            if record["type"] == "response":
+                http, _, record["payload"] = record["block"].partition(b"\r\n\r\n")
+                record["http_headers"] = http.decode("latin-1")
+            yield record
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        return
+
+
 def parse(data: bytes) -> list[dict]:
     """The records of a WARC file, plain or gzipped."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    out, at, names = [], 0, {k.lower(): v for k, v in HEADERS}
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
-        low = {k.lower(): v for k, v in fields.items()}
-        size = int(low["content-length"])
-        record = {v: low.get(k) for k, v in names.items()}
-        record["block"] = data[end + 4 : end + 4 + size]
-        if record["type"] == "response":
-            http, _, record["payload"] = record["block"].partition(b"\r\n\r\n")
-            record["http_headers"] = http.decode("latin-1")
-        out.append(record)
-        at = end + 4 + size + 4
-    return out
+    return list(records(opened(data)))
+
+
+def opened(data: bytes):
+    return gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
 
 
 RECORD = "type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, block binary"
@@ -128,16 +234,23 @@ def responses_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def derive(responses: DataFrame) -> DataFrame:
-    """Two records for each response (key, then ``RECORD``): its metadata and its conversion."""
+    """Two records (``RECORD``) for each response: its metadata and its conversion, with the response's ``key`` where it has one.
+
+    ``responses`` are those of ``responses_of`` or of ``read``, where other records than responses are passed over; other
+    columns are ignored. A null payload is empty, null URLs, dates and headers stay null or give no lines, repeated rows give
+    equal records.
+    """
+    key = ["key"] if "key" in responses.columns else []
+    rows = responses.where("type = 'response'") if "type" in responses.columns else responses
+    paid = F.col("payload_digest") if "payload_digest" in responses.columns else F.lit(None)
+    rows = rows.select(*key, "record_id", "target_uri", "date", "http_headers", paid.cast("string").alias("payload_digest"), F.coalesce("payload", F.lit(b"")).alias("payload"))
 
     def step(batch):
-        out = []
-        for r in batch.to_pylist():
-            c = conversion(r)
-            out += [{"key": r["key"], **metadata(r, c)}, {"key": r["key"], **c}]
+        out = [{**{k: r[k] for k in key}, **d} for r in batch.to_pylist() for d in derivatives(r)]
         return {k: [x[k] for x in out] for k in out[0]}
 
-    return arrow_map(responses, "key long, " + RECORD, step, "payload")
+    kinds = f"key {rows.schema['key'].dataType.simpleString()}, " if key else ""
+    return arrow_map(rows, kinds + RECORD, step, "payload")
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -150,16 +263,34 @@ def write(records: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under ``path`` (plain or gzipped), blocks and response payloads included; a file is one task's."""
+    """The records of all WARC files under ``path`` (plain or gzipped), blocks and response payloads included.
+
+    A file is one task's and at most 2 GB as it is stored; its records are read and handed on one after the other, so
+    unpacked files may be of any size. Fields that a record lacks are null; records cut short end their file.
+    """
     session(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-
-    def step(batch):
-        out = [r for data in batch.column("content").to_pylist() for r in parse(data)]
-        keys = [*(v for _, v in HEADERS), "block", "http_headers", "payload"]
-        return {k: [r.get(k) for r in out] for k in keys} if out else None
-
-    return arrow_map(files, RECORD + ", http_headers string, payload binary", step, "content")
+    keys = [*(v for _, v in HEADERS), "block", "http_headers", "payload"]
+    schema = RECORD + ", http_headers string, payload binary"
+    kinds = {"block": pa.binary(), "payload": pa.binary()}
+
+    def run(batches):
+        emit = lambda out: pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in out], kinds.get(k, pa.string())) for k in order], names=order)
+        for batch in batches:
+            for data in batch.column("content"):
+                out, size = [], 0
+                for r in records(opened(data.as_py() or b"")):
+                    out.append(r)
+                    size += len(r["block"])
+                    if size >= READ_BYTES:
+                        yield emit(out)
+                        out, size = [], 0
+                if out:
+                    yield emit(out)
+
+    order = [f.split()[0] for f in schema.split(", ")]
+    assert set(order) == set(keys)
+    return files.mapInArrow(lean(run), schema)
 
 
 def op2_warc(spark, sf_dir):

@@ -376,3 +376,42 @@ def test_warc_round_trip(spark, tmp_path):
     again = warc.read(spark, str(tmp_path / "f"))
     assert sorted(r.record_id for r in again.collect()) == sorted(r.record_id for r in rows)
     assert warc.derive(warc.responses_of(pages.limit(0))).count() == 0
+
+
+def test_warc_of_a_crawl(spark, tmp_path):
+    """``derive(read(...))``: charset, chunks and compression are undone, source digests and identifiers kept, odd lines passed over."""
+    import gzip
+
+    def record(kind, rid, block, *more):
+        head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", "WARC-Target-URI: http://e.org/", "WARC-Date: 2024-01-01T00:00:00Z", "a line without a colon", *more, f"Content-Length: {len(block)}"])
+        return head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    latin = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nodd\r\n\r\n<title>T</title><p>caf\xe9</p>"
+    packed = gzip.compress("<p>größer</p>".encode())
+    chunks = b"%x\r\n%s\r\n%x\r\n%s\r\n0\r\n\r\n" % (5, packed[:5], len(packed) - 5, packed[5:])
+    other = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + chunks
+    data = record("warcinfo", "<i>", b"x") + record("response", "<a>", latin, "WARC-Payload-Digest: sha1:ABC") + record("response", "<b>", other)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(data)
+    (tmp_path / "w" / "b.warc.gz").write_bytes(gzip.compress(record("response", "<c>", latin)) + gzip.compress(record("response", "<d>", latin))[:60])
+    read = warc.read(spark, str(tmp_path / "w"))
+    assert sorted(r.record_id for r in read.collect()) == ["<a>", "<b>", "<c>", "<i>"]
+    got = {(r.refers_to, r.type): r for r in warc.derive(read).collect()}
+    assert len(got) == 6 and bytes(got["<a>", "conversion"].block).decode() == "café" and bytes(got["<b>", "conversion"].block).decode() == "größer"
+    assert got["<a>", "metadata"].payload_digest == "sha1:ABC" and got["<b>", "metadata"].payload_digest == warc.digest(chunks)
+    assert b"sourceHeader: odd\r\n" in bytes(got["<a>", "metadata"].block) and got["<a>", "metadata"].concurrent_to == got["<a>", "conversion"].record_id
+
+
+@pytest.mark.parametrize("part", ["<!--", "<script>", "<template>", "<title>", "<a href=", "<a href='x ", "<p \"", "</script ", "<a " + "href " * 50])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    page = part * (2_000_000 // len(part))
+    began = time.perf_counter()
+    warc.derivatives({"record_id": "r", "target_uri": None, "date": None, "http_headers": None, "payload": page.encode()})
+    assert time.perf_counter() - began < 5
+
+
+def test_unclosed_elements():
+    assert warc.page_text("x<script>\nvar a=1; alert(2)") == "x" and warc.page_text("<head><p>kept") == "kept" and warc.page_text("a <!-- b") == "a"
+    assert warc.page_text("<noscript>n</noscript><td>a<td>b<li>c") == "a b\nc" and warc.page_title("<title>never closed") == ""
