@@ -80,3 +80,47 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     m = fit(score[:, None].astype(np.float32), y, ridge=1e-4)
     a = float(m.w[0] / m.scale[0])
     return a, float(m.b - a * m.mean[0])
+
+
+@dataclass(frozen=True)
+class Pool:
+    """What pseudo-labelled rows say about a model, to second order around the weights ``at`` (the intercept last): weight, gradient and curvature of their loss."""
+
+    at: np.ndarray
+    weight: float
+    g: np.ndarray
+    h: np.ndarray
+
+
+def weights_of(m: Logistic) -> np.ndarray:
+    return np.append(m.w.astype(float), m.b)
+
+
+def rows_of(m: Logistic, x: np.ndarray) -> np.ndarray:
+    """Standardised features and a column of ones."""
+    return np.hstack([(x - m.mean) / m.scale, np.ones((len(x), 1))]).astype(float)
+
+
+def refit(m: Logistic, x: np.ndarray, y: np.ndarray, pool: Pool, share: float, ridge: float = 1e-3, steps: int = 6) -> Logistic:
+    """``m`` moved by damped Newton steps to the least loss of the rows and of a pool; the pool weighs at most ``share`` of the rows."""
+    z, w = rows_of(m, x), weights_of(m)
+    part = min(1.0, share * len(y) / pool.weight) if pool.weight > 0 else 0.0
+    total = len(y) + part * pool.weight
+    keep = np.append(np.full(len(w) - 1, ridge * total), 1e-9)
+
+    def loss(w):
+        s, d = z @ w, w - pool.at
+        return np.logaddexp(0, s).sum() - s @ y + part * (pool.g @ d + 0.5 * d @ pool.h @ d) + 0.5 * (keep * w) @ w
+
+    now = loss(w)
+    for _ in range(steps):
+        p = sigmoid(z @ w)
+        g = z.T @ (p - y) + part * (pool.g + pool.h @ (w - pool.at)) + keep * w
+        h = (z * (p * (1 - p))[:, None]).T @ z + part * pool.h + np.diag(keep + 1e-9 * total)
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-3 and (after := loss(w - size * step)) > now:
+            size /= 2
+        if size <= 1e-3:
+            break
+        w, now = w - size * step, after
+    return Logistic(m.mean, m.scale, w[:-1].astype(np.float32), float(w[-1]))

@@ -9,17 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import arrow_map, buffer_of, lean, mix64, shared, slices
-from alertmill.llm.linear import Logistic, fit, logit, out_of_fold, platt, sigmoid
+from alertmill.llm.common import arrow_map, buffer_of, lean, mix64, shared, slices, stage, unstage
+from alertmill.llm.linear import Logistic, Pool, fit, logit, out_of_fold, platt, refit, rows_of, sigmoid, weights_of
 from alertmill.llm.repeats import LEAST
 from alertmill.llm.samples import bounded
 from alertmill.llm.scan import word_hashes, words_of
 
-#: Documents the views are fitted on: with labels, and without.
-MOST_LABELLED, MOST_UNLABELLED = 16_000, 8_000
+#: Labelled documents that the views are fitted on; pseudo-labels come from all documents without.
+MOST_LABELLED = 16_000
+#: What all pseudo-labels together weigh of the labels.
+POOL_SHARE = 0.5
+#: Rows that a pass over the pool sends to the driver at most.
+SUMS = 64
 #: Rounds of exchange, and the calibrated probability that makes a pseudo-label.
 ROUNDS, CONFIDENT = 3, 0.98
 SOURCES, LANGS = 64, 16
+PAGE = ("source", "lang", "n_chars", "n_lines")
 
 
 def text_view(batch: pa.RecordBatch) -> np.ndarray:
@@ -88,58 +93,104 @@ class CoTrained:
         return t, p, sigmoid(self.mix[0] * logit(t) + self.mix[1] * logit(p) + self.mix[2])
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
-    """``y``: 1 good, 0 bad, -1 without a label. Pseudo-labels weigh half and never judge the calibration.
+def pooled(pool: DataFrame, views: list[View], confident: float) -> tuple[list[Pool], list[int]]:
+    """What the documents of ``pool`` (t, source, lang, n_chars, n_lines) teach each view, by the other's confident labels, and how many they are.
 
-    Without labels everything is good; with labels of one kind everything is of that kind.
+    One pass: every task adds up the gradient and curvature of its documents, and the sums are added up on the executors.
     """
-    known = y >= 0
-    taught = [np.full(len(y), -1), np.full(len(y), -1)]  # pseudo-labels that each view was given by the other
-    fitted: list[View] = []
-    scores = [np.zeros(len(y)), np.zeros(len(y))]
-    for r in range(rounds + 1):
-        fitted, offers = [], []
-        for v, x in enumerate(views):
-            use = known | (taught[v] >= 0)
-            label = np.where(known, y, taught[v])[use].astype(float)
-            weight = np.where(known, 1.0, 0.5)[use]
-            scores[v] = np.zeros(len(y))
-            held = out_of_fold(x[use], label, fold[use], weight, known[use], ridge=1e-3, default=1.0)
-            scores[v][use] = held
-            a, b = platt(scores[v][known], y[known].astype(float))
-            fitted.append(View(fit(x[use], label, weight, ridge=1e-3, default=1.0), a, b))
-            p = fitted[v].p(x)
-            offers.append(np.where(p >= confident, 1, np.where(p <= 1 - confident, 0, -1)))
-        if r == rounds or len(np.unique(y[known])) < 2:
-            break
-        before = [t.copy() for t in taught]
-        for v in (0, 1):
-            taught[v] = np.where(known, -1, np.where(taught[v] >= 0, taught[v], offers[1 - v]))
-        if all((a == b).all() for a, b in zip(before, taught)):
-            break
-    if len(np.unique(y[known])) < 2:
+    spark = pool.sparkSession
+    b = shared(spark, views)
+    dims = [len(v.model.w) + 1 for v in views]
+    size = sum(2 + d + d * d for d in dims)
+
+    def add(batches):
+        out = np.zeros(size)
+        for batch in batches:
+            x = [buffer_of(batch.column("t"))[0].view(np.float32).reshape(batch.num_rows, -1), page_view(batch)]
+            p, at = [v.p(f) for v, f in zip(b.value, x)], 0
+            for i, v in enumerate(b.value):
+                sure = np.flatnonzero((p[1 - i] >= confident) | (p[1 - i] <= 1 - confident))
+                z, own = rows_of(v.model, x[i][sure]), sigmoid(v.model.score(x[i][sure]))
+                y, d = (p[1 - i][sure] >= confident).astype(float), dims[i]
+                out[at : at + 2] += len(sure), y.sum()
+                out[at + 2 : at + 2 + d] += z.T @ (own - y)
+                out[at + 2 + d : at + 2 + d + d * d] += ((z * (own * (1 - own))[:, None]).T @ z).ravel()
+                at += 2 + d + d * d
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["s"])
+
+    def total(batches):
+        out = np.zeros(size)
+        for batch in batches:
+            for s in batch.column("s").to_pylist():
+                out += np.frombuffer(s)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["s"])
+
+    sums = pool.mapInArrow(lean(add), "s binary").select("s", F.pmod(F.xxhash64("s"), F.lit(SUMS)).alias("part")).repartition(SUMS, "part").select("s").mapInArrow(lean(total), "s binary")
+    every, at, out, n = sum((np.frombuffer(r.s) for r in sums.collect()), np.zeros(size)), 0, [], []
+    for v, d in zip(views, dims):
+        out.append(Pool(weights_of(v.model), float(every[at]), every[at + 2 : at + 2 + d], every[at + 2 + d : at + 2 + d + d * d].reshape(d, d)))
+        n.append(int(every[at]))
+        at += 2 + d + d * d
+    return out, n
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: DataFrame | None = None, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
+    """Views fitted on labels ``y`` (1 good, 0 bad), then taught by each other's confident labels of the ``pool`` in rounds.
+
+    Calibration and the combination go by labelled documents only, scored out of fold. Without labels everything is good;
+    with labels of one kind everything is of that kind.
+    """
+    known = len(np.unique(y)) == 2
+    models = [fit(x, y.astype(float), ridge=1e-3, default=1.0) for x in views]
+    scores = [out_of_fold(x, y.astype(float), fold, ridge=1e-3, default=1.0) for x in views]
+    fitted = [View(m, *platt(s, y.astype(float))) for m, s in zip(models, scores)]
+    if not known:
         return CoTrained(fitted[0], fitted[1], (0.5, 0.5, 0.0))
-    both = np.stack([fitted[v].a * scores[v][known] + fitted[v].b for v in (0, 1)], axis=1).clip(-13, 13).astype(np.float32)
-    top = fit(both, y[known].astype(float), ridge=1e-4)
+    n = [0, 0]
+    for _ in range(rounds if pool is not None else 0):
+        learnt, n = pooled(pool, fitted, confident)
+        for v, x in enumerate(views):
+            m = refit(fitted[v].model, x, y.astype(float), learnt[v], POOL_SHARE)
+            held = np.zeros(len(y))
+            for k in np.unique(fold):
+                own = fold == k
+                held[own] = refit(m, x[~own], y[~own].astype(float), learnt[v], POOL_SHARE, steps=3).score(x[own])
+            scores[v], fitted[v] = held, View(m, *platt(held, y.astype(float)))
+    both = np.stack([fitted[v].a * scores[v] + fitted[v].b for v in (0, 1)], axis=1).clip(-13, 13).astype(np.float32)
+    top = fit(both, y.astype(float), ridge=1e-4)
     w = top.w / top.scale
-    return CoTrained(fitted[0], fitted[1], (float(w[0]), float(w[1]), float(top.b - (w * top.mean).sum())), (int((taught[0] >= 0).sum()), int((taught[1] >= 0).sum())))
+    return CoTrained(fitted[0], fitted[1], (float(w[0]), float(w[1]), float(top.b - (w * top.mean).sum())), (n[0], n[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", labelled: int = MOST_LABELLED, unlabelled: int = MOST_UNLABELLED) -> CoTrained:
-    rows = bounded(page_columns(docs, id_col, text_col).withColumnRenamed("id", "key"), labels.select(F.col(id_col).alias("key"), label), "key", [label], labelled, unlabelled)
-    rows = rows.select("id", "text", "source", "lang", "n_chars", "n_lines", F.coalesce(F.col(label), F.lit(-1)).cast("int").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", labelled: int = MOST_LABELLED) -> CoTrained:
+    """Co-trains on at most ``labelled`` labelled documents and on all documents without a label.
+
+    Null texts are empty, null sources and languages a kind of their own; rows without an id and rows that repeat one count as
+    documents of the pool; a null label is none; an empty table or no labels give a model that calls everything good.
+    """
+    rows = bounded(page_columns(docs, id_col, text_col).where(F.col("id") != LEAST).withColumnRenamed("id", "key"), labels.select(F.col(id_col).alias("key"), label), "key", [label], labelled)
+    rows = rows.select("id", "text", "source", "lang", "n_chars", "n_lines", F.col(label).cast("int").alias("y"))
 
     def step(batch):
         return {"id": batch.column("id"), "y": batch.column("y"), "t": list(text_view(batch)), "p": list(page_view(batch))}
 
     got = arrow_map(rows, "id long, y int, t array<float>, p array<float>", step, "text").orderBy("id").toArrow()
     n = got.num_rows
-    flat = lambda c: (got.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 1), np.float32))
-    ids = got.column("id").to_numpy().astype(np.int64).view(np.uint64)
+    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1)
     if not n:
         x = np.zeros((1, 134), np.float32), np.zeros((1, SOURCES + LANGS + 4), np.float32)
-        return co_train(x, np.array([-1]), np.array([0]))
-    return co_train((flat("t"), flat("p")), got.column("y").to_numpy(), (mix64(ids) % np.uint64(5)).astype(int))
+        return co_train(x, np.array([1]), np.array([0]))
+    ids = got.column("id").to_numpy().astype(np.int64)
+    told = shared(docs.sparkSession, np.sort(ids))
+
+    def features(batch):
+        free = batch.filter(pa.array(~np.isin(batch.column("id").to_numpy(zero_copy_only=False), told.value)))
+        return {"t": [x.tobytes() for x in text_view(free)], **{c: free.column(c) for c in PAGE}} if free.num_rows else None
+
+    pool = stage(arrow_map(page_columns(docs, id_col, text_col), "t binary, source int, lang int, n_chars long, n_lines long", features, "text"), "pool")
+    model = co_train((flat("t"), flat("p")), got.column("y").to_numpy(), (mix64(ids.view(np.uint64)) % np.uint64(5)).astype(int), pool)
+    unstage(pool)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,18 +209,21 @@ def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: s
 
 
 def good_ones(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose combined quality is at least ``least``, all columns as they are, in one pass."""
-    whole = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = page_columns(whole, id_col, text_col, "_row")
+    """The rows of ``docs`` whose combined quality is at least ``least``, all columns as they are, in one pass; nulls as in ``score``."""
+    name = "row"
+    while name in {*docs.columns, "id", "text", *PAGE}:
+        name += "_"
+    whole = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name))
+    rows = page_columns(whole, id_col, text_col, name)
     b = shared(docs.sparkSession, model)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 keep = b.value.score(text_view(part), page_view(part))[2] >= least
-                yield pa.RecordBatch.from_arrays([part.column("_row").filter(pa.array(keep))], names=["_row"])
+                yield pa.RecordBatch.from_arrays([part.column(name).filter(pa.array(keep))], names=[name])
 
-    return rows.mapInArrow(lean(run), rows.select("_row").schema).select("_row.*")
+    return rows.mapInArrow(lean(run), rows.select(name).schema).select(f"{name}.*")
 
 
 #: A document stays unless it is more likely bad than good.

@@ -8,23 +8,20 @@ from pyspark.sql import functions as F
 from alertmill.llm.common import session
 
 
-def bounded(docs: DataFrame, labels: DataFrame, id_col: str, columns: list[str], labelled: int, unlabelled: int = 0, seed: int = 11) -> DataFrame:
-    """The documents fitted on, with their labels: at most ``labelled`` with labels and ``unlabelled`` without, by seeded hash of the id.
+def bounded(docs: DataFrame, labels: DataFrame, id_col: str, columns: list[str], most: int, text_col: str = "text", seed: int = 11) -> DataFrame:
+    """The labelled documents to fit on, with their labels: at most ``most`` rows, by seeded hash of the id.
 
-    Only ids and labels are shuffled to choose; the chosen ids, at most the two bounds, are broadcast to the scan.
-    Of several label rows for one id the least values count; rows that repeat an id are all taken.
+    Only ids and labels are shuffled to choose; the chosen ids are broadcast to the scan. Of several label rows for one id
+    the least values count, of rows that repeat an id the one with the least hash of its text; rows with a null id or label
+    are not labelled.
     """
     session(docs.sparkSession)
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*[F.min(F.col(c).try_cast("int")).alias(c) for c in columns])
-    whole = " and ".join(f"{c} is not null" for c in columns)
-    marks = marks.where(whole)
+    marks = marks.where(" and ".join(f"{c} is not null" for c in columns))
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    h = F.xxhash64(F.lit(seed), "id")
-    chosen = ids.join(marks, "id").orderBy(h, "id").limit(labelled)
-    if unlabelled:
-        pool = ids.join(marks, "id", "left_anti").orderBy(h, "id").limit(unlabelled)
-        chosen = chosen.unionByName(pool, allowMissingColumns=True)
-    rows = chosen.collect()
-    small = docs.sparkSession.createDataFrame(rows, chosen.schema)
-    taken = docs.withColumn("id", F.col(id_col).cast("long")).select("id", *[c for c in docs.columns if c not in ("id", *columns)])
-    return taken.join(F.broadcast(small), "id")
+    chosen = ids.join(marks, "id").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)
+    small = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
+    rest = [c for c in docs.columns if c not in ("id", *columns)]
+    taken = docs.withColumn("id", F.col(id_col).cast("long")).select("id", *rest).join(F.broadcast(small), "id")
+    one = taken.groupBy("id").agg(F.min_by(F.struct(*rest, *columns), F.xxhash64(text_col)).alias("one"))
+    return one.select("id", "one.*")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import arrow_map, buffer_of, mix64, shared
+from alertmill.llm.common import arrow_map, buffer_of, mix64, shared, stage, unstage
 from alertmill.llm.linear import Logistic, fit, out_of_fold, sigmoid
 from alertmill.llm.repeats import LEAST
 from alertmill.llm.samples import bounded
@@ -54,30 +54,23 @@ class Chain:
         return sigmoid(out)
 
 
-def informative(sets: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
-    """The words whose presence tells most about any category, by the likelihood ratio statistic; ties by hash."""
-    if not sets:
-        return np.zeros(0, np.uint64)
-    values, code = np.unique(np.concatenate(sets), return_inverse=True)
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    n, seen = len(sets), np.bincount(code, minlength=len(values)).astype(float)
-    best = np.zeros(len(values))
-    xlog = lambda a, e: np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / np.maximum(e, 1e-12)), 0)
-    for c in range(y.shape[1]):
-        pos = float(y[:, c].sum())
-        a = np.bincount(code, weights=y[doc, c], minlength=len(values))
-        g = xlog(a, seen * pos / n) + xlog(seen - a, seen * (n - pos) / n) + xlog(pos - a, (n - seen) * pos / n) + xlog(n - seen - pos + a, (n - seen) * (n - pos) / n)
-        best = np.maximum(best, g)
-    best[seen < 3] = -1
-    top = np.lexsort((values, -best))[:most]
-    return np.sort(values[top[best[top] > 2]])
-
-
-def fit_chain(names: list[str], sets: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Chain:
+def informative(marks: DataFrame, n_kinds: int, most: int) -> np.ndarray:
+    """The words whose presence tells most about any category, by the likelihood ratio statistic; ties by hash. ``marks``: (id, words, c0..)."""
+    kinds = [f"c{i}" for i in range(n_kinds)]
+    total = marks.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in kinds]).first()
+    seen = marks.select(F.explode("words").alias("w"), *kinds).groupBy("w").agg(F.count("*").alias("seen"), *[F.sum(c).alias(c) for c in kinds]).where("seen >= 3")
+    part = lambda a, e: F.when(a > 0, a * F.log(a / F.greatest(e, F.lit(1e-12)))).otherwise(0.0)
+    n, s, scores = F.lit(float(total.n)), F.col("seen"), []
+    for c in kinds:
+        pos, a = F.lit(float(total[c] or 0)), F.col(c)
+        scores.append(part(a, s * pos / n) + part(s - a, s * (n - pos) / n) + part(pos - a, (n - s) * pos / n) + part(n - s - pos + a, (n - s) * (n - pos) / n))
+    best = seen.select("w", (F.greatest(*scores) if len(scores) > 1 else scores[0]).alias("g")).where("g > 2").orderBy(F.desc("g"), "w").limit(most)
+    return np.sort(np.array([r.w for r in best.collect()], dtype=np.int64).view(np.uint64))
+
+
+def fit_chain(names: list[str], words: np.ndarray, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
     """Trains category after category; earlier probabilities in training are out of fold, so later models see them as they will be on new texts."""
-    chain = Chain(names, informative(sets, y, VOCABULARY), [])
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    x = chain.presence(doc, np.concatenate(sets) if sets else np.zeros(0, np.uint64), len(sets))
+    chain = Chain(names, words, [])
     for c in range(len(names)):
         chain.models.append(fit(x, y[:, c], ridge=1e-4, standard=False, default=0.0, steps=400))
         x = np.hstack([x, out_of_fold(x, y[:, c], fold, ridge=1e-4, standard=False, default=0.0, steps=400)[:, None].astype(np.float32)])
@@ -85,20 +78,33 @@ def fit_chain(names: list[str], sets: list[np.ndarray], y: np.ndarray, fold: np.
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, columns: tuple[str, ...] = ("quality", "toxic")) -> Chain:
-    """``categories``: SQL over the label ``columns``, by name, in the order of the chain; rows with a null in one of them are not labelled."""
+    """``categories``: SQL over the label ``columns``, by name, in the order of the chain; rows with a null in one of them are not labelled.
+
+    Words are counted on the executors; the driver gets the chosen ones and, for at most ``most`` documents, which of them
+    each holds. Null texts are empty; without labels every probability is 0.
+    """
+    spark = docs.sparkSession
     rows = bounded(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")), labels, id_col, list(columns), most)
-    marks = rows.select("id", "text", *[F.expr(f"cast({e} as int)").alias(f"c{i}") for i, e in enumerate(categories.values())])
+    kinds = [f"c{i}" for i in range(len(categories))]
+    marks = rows.select("id", "text", *[F.expr(f"cast({e} as int)").alias(k) for k, e in zip(kinds, categories.values())])
 
     def step(batch):
         row, h = word_sets(batch)
         per = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        return {"id": batch.column("id"), "words": [np.unique(h[a:z]).view(np.int64) for a, z in zip(per[:-1], per[1:])], **{f"c{i}": batch.column(f"c{i}") for i in range(len(categories))}}
-
-    got = arrow_map(marks, "id long, words array<long>, " + ", ".join(f"c{i} int" for i in range(len(categories))), step, "text").orderBy("id").toArrow()
-    sets = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in got.column("words")]
-    y = np.stack([got.column(f"c{i}").to_numpy().astype(float) for i in range(len(categories))], axis=1) if got.num_rows else np.zeros((0, len(categories)))
+        return {"id": batch.column("id"), "words": [np.unique(h[a:z]).view(np.int64) for a, z in zip(per[:-1], per[1:])], **{k: batch.column(k) for k in kinds}}
+
+    marks = stage(arrow_map(marks, "id long, words array<long>, " + ", ".join(f"{k} int" for k in kinds), step, "text"), "marks")
+    words = informative(marks, len(kinds), VOCABULARY)
+    known = F.broadcast(spark.createDataFrame([(int(w), i) for i, w in enumerate(words.view(np.int64))], "w long, i int"))  # VOCABULARY rows at most
+    held = marks.select("id", F.explode("words").alias("w")).join(known, "w").groupBy("id").agg(F.collect_list("i").alias("held"))
+    got = marks.drop("words").join(held, "id", "left").orderBy("id").toArrow()
+    x = np.zeros((got.num_rows, len(words)), dtype=np.float32)
+    for i, h in enumerate(got.column("held").to_pylist()):
+        x[i, h or []] = 1
+    y = np.stack([got.column(k).to_numpy().astype(float) for k in kinds], axis=1) if got.num_rows else np.zeros((0, len(kinds)))
     ids = got.column("id").to_numpy()
-    return fit_chain(list(categories), sets, y, (mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(5)).astype(int))
+    unstage(marks)
+    return fit_chain(list(categories), words, x, y, (mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(5)).astype(int))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

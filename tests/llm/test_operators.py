@@ -317,7 +317,7 @@ def labelled(spark):
     for i in range(240):
         bad, toxic = i % 4 == 0, i % 3 == 0
         text = words(rng, 40)
-        text = " ".join(w.upper() + "!!" for w in text.split()) if bad else text
+        text = " ".join(w.upper() + "!!" for w in text.split()) + " buy now" if bad else text
         rows.append((i, text + (" you vile fool" if toxic else ""), "en", "s", len(text)))
         marks.append((i, int(not bad), int(toxic)))
     rows += [(1000, None, None, None, None), (1001, "", "en", "s", 0), (None, "plain text", "en", "s", 10), (0, "again", "en", "s", 5)]
@@ -327,11 +327,12 @@ def labelled(spark):
 def test_quality(spark, nothing):
     docs, marks = labelled(spark)
     model = quality.train(docs, marks.where("doc_id % 5 <> 1"))
-    held = quality.score(docs, model).join(marks.where("doc_id % 5 = 1"), "doc_id").withColumnRenamed("quality", "q")
     got = quality.score(docs, model)
     assert got.count() == docs.count() and set(got.columns) == {"doc_id", "p_text", "p_page", "quality"}
     right = got.withColumnRenamed("quality", "score").join(marks.where("doc_id % 5 = 1"), "doc_id").select(((F.col("score") >= 0.5) == (F.col("quality") == 1)).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
-    assert right > 0.95 and held is not None
+    assert right > 0.95 and min(model.exchanged) > 0
+    odd_names = docs.withColumns({"row": F.lit(1), "_row": F.lit(2), "row_": F.lit(3), "t": F.lit(4), "y": F.lit(5)})
+    assert sorted(quality.good_ones(odd_names, model).columns) == sorted(odd_names.columns)
     kept = quality.good_ones(docs, model)
     assert kept.columns == docs.columns and kept.count() == got.where("quality >= 0.5").count()
     assert quality.score(nothing, model).count() == 0
@@ -339,16 +340,54 @@ def test_quality(spark, nothing):
     assert quality.good_ones(docs, none).count() == docs.count()
 
 
+def test_pool_takes_all_documents(spark):
+    """Every document without a label is offered, in any split, and the sums are those of a plain loop."""
+    docs, marks = labelled(spark)
+    few = marks.where("doc_id < 60")
+    n = quality.train(docs, few).exchanged
+    assert n == quality.train(docs.repartition(7), few).exchanged and max(n) > 100
+    rng = np.random.default_rng(1)
+    t, page = rng.normal(size=(50, 134)).astype(np.float32), docs.select(*[F.lit(i).cast(k).alias(c) for i, (c, k) in enumerate((("source", "int"), ("lang", "int"), ("n_chars", "long"), ("n_lines", "long")))]).limit(50)
+    view = lambda d, b: quality.View(quality.Logistic(np.zeros(d, np.float32), np.ones(d, np.float32), rng.normal(size=d).astype(np.float32), b), 1.0, 0.0)
+    views = [view(134, 0.0), view(84, 0.0)]
+    rows = [(x.tobytes(), *map(int, r)) for x, r in zip(t, page.collect())]
+    (first, _), _ = quality.pooled(spark.createDataFrame(rows, "t binary, source int, lang int, n_chars long, n_lines long").repartition(3), views, 0.5)
+    z = np.hstack([t, np.ones((50, 1))]).astype(float)
+    import pyarrow as pa
+
+    other = views[1].p(quality.page_view(pa.RecordBatch.from_pylist([dict(zip(("source", "lang", "n_chars", "n_lines"), r[1:])) for r in rows]))) >= 0.5
+    p = views[0].p(t)
+    assert first.weight == 50 and np.allclose(first.g, z.T @ (p - other), atol=1e-3) and np.allclose(first.h, (z * (p * (1 - p))[:, None]).T @ z, atol=1e-3)
+
+
+def test_samples_are_bounded(spark):
+    from alertmill.llm.samples import bounded
+
+    docs = spark.createDataFrame([(1, "a")] * 50 + [(1, "b")] * 50 + [(2, "c"), (3, "d"), (None, "e")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    got = bounded(docs, marks, "doc_id", ["quality"], 10).collect()
+    assert sorted(r.id for r in got) == [1, 2] and len(bounded(docs, marks, "doc_id", ["quality"], 1).collect()) == 1
+
+
 def test_toxicity(spark, nothing):
     docs, marks = labelled(spark)
     chain = toxicity.train(docs, marks.where("doc_id % 5 <> 1"), toxicity.CATEGORIES)
     got = toxicity.score(docs, chain)
     test = got.join(marks.where("doc_id % 5 = 1"), "doc_id").toPandas()
-    assert ((test.p_toxic >= 0.5) == (test.toxic == 1)).mean() > 0.95 and ((test.p_low_quality >= 0.5) == (test.quality == 0)).mean() > 0.6
+    assert ((test.p_toxic >= 0.5) == (test.toxic == 1)).mean() > 0.95 and ((test.p_low_quality >= 0.5) == (test.quality == 0)).mean() > 0.95
     assert got.count() == docs.count() and toxicity.score(nothing, chain).count() == 0
     assert toxicity.score(docs, toxicity.train(docs, marks.limit(0), toxicity.CATEGORIES)).where("p_toxic >= 0.5").count() == 0
 
 
+def test_chain_learns_from_out_of_fold_probabilities():
+    """Labels are noise, the second category is the first: in-sample probabilities would tell it, those out of fold do not."""
+    rng = np.random.default_rng(8)
+    x, y = (rng.random((80, 300)) < 0.3).astype(np.float32), (rng.random(80) < 0.5).astype(float)
+    chain = toxicity.fit_chain(["a", "b"], np.arange(300, dtype=np.uint64), x, np.stack([y, y], axis=1), np.arange(80) % 5)
+    seen = toxicity.fit(np.hstack([x, chain.models[0].score(x)[:, None].astype(np.float32)]), y, ridge=1e-4, standard=False, steps=400)
+    assert chain.models[1].w[-1] < 0.2 * seen.w[-1]
+
+
 def test_warc_round_trip(spark, tmp_path):
     page = '<html><head><title>T &amp; U</title><script>var x="</p>"</script></head><body><!-- no --><p>One<br>two</p><p title="a>b">Three &eacute;<a href="/x">link</a><a href=\'/x\'>again</a></body>'
     pages = spark.createDataFrame([(1, "http://e.org/1", page), (2, None, None), (3, "http://e.org/3", ""), (None, "u", "plain < text"), (1, "http://e.org/1", page)], "page_id long, url string, html string")
