@@ -577,3 +577,6 @@ def callers_robust(spark, sf):
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return policy_findings(spark, sf)
+
+
+from alertmill.plans import code_queries  # noqa: E402, F401  registers the queries on code facts
