@@ -7,6 +7,7 @@ new rows are found by anti join, and a loop ends when nothing new appears or its
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,26 +19,47 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not where:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="alertmill-")
         sc.setCheckpointDir(where)
     return df.checkpoint(eager=True)
 
 
+class Deltas:
+    """What a loop found, round by round: nothing is written again but every ``COMPACT`` rounds, when the rounds become one table."""
+
+    COMPACT = 16
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def without(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """The rows whose keys no round has found."""
+        return rows.join(self.all().select(*keys), keys, "left_anti")
+
+    def add(self, rows: DataFrame) -> None:
+        self.parts.append(rows)
+        if len(self.parts) > self.COMPACT:
+            self.parts = [cut(self.all())]
+
+
 def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start, node, depth): what each start reaches, at its least depth; the start itself at 0."""
-    edges = edges.select("src", "dst").distinct()
-    seen = cut(starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
-    front, depth = seen, 0
+    edges = cut(edges.select("src", "dst").distinct())
+    seen = Deltas(cut(starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()))
+    front, depth = seen.all(), 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(seen.without(step, ["start", "node"]).withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        seen.add(front)
+    return seen.all()
 
 
 def reachable(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int = 24) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertmill.functions import text as t
-from alertmill.operators.graph import cut
+from alertmill.operators.graph import Deltas, cut
 from alertmill.schemas import FACT_KEY
 
 KEY = list(FACT_KEY)
@@ -47,6 +47,10 @@ class Store:
         except KeyError:
             raise AttributeError(name) from None
 
+    def kept(self) -> Store:
+        """The tables, each row once, computed once for all rounds."""
+        return Store({name: cut(df.distinct()) for name, df in self.tables.items()})
+
 
 def _fact(kind, key, param, source_type, method, field, step):
     return [F.lit(kind).alias("location_type"), key.alias("location_key"), param.alias("param_name"), source_type.alias("source_type"), method.alias("source_method"), field.alias("source_field"), F.concat("path", F.array(step)).alias("path")]
@@ -171,19 +175,19 @@ def once(facts: DataFrame) -> DataFrame:
 def propagate(seed: DataFrame, store: Store, rules: dict[str, Rule] | None = None, max_rounds: int | None = None) -> DataFrame:
     """Semi-naive fixpoint: each round applies the rules to the facts that the last one found. ``max_rounds`` bounds it; without it the fixpoint is complete."""
     rules = RULES if rules is None else rules
-    facts = delta = cut(seed)
-    rounds = 0
+    store, delta, rounds = store.kept(), cut(seed), 0
+    facts = Deltas(delta)
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
         new = None
         for rule in rules.values():
             got = rule(delta, store)
             new = got if new is None else new.unionByName(got)
-        delta = cut(once(new).join(facts.select(*KEY), KEY, "left_anti"))
+        delta = cut(facts.without(once(new), KEY))
         if delta.isEmpty():
             break
-        facts = cut(facts.unionByName(delta))
-    return facts
+        facts.add(delta)
+    return facts.all()
 
 
 def derivations(facts: DataFrame, store: Store, rules: dict[str, Rule] | None = None) -> DataFrame:

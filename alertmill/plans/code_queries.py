@@ -91,7 +91,7 @@ def taint_return_to_caller(spark, sf):
     return _step(spark, sf, "return_to_caller")
 
 
-@query(f"""WITH {_FACTS}, s AS (SELECT DISTINCT CASE WHEN l_linenumber > 4 THEN pm ELSE '' END AS ck, 'C.m' || l_partkey AS pat, l_linenumber % 3 AS n, sup FROM li WHERE EXISTS (SELECT 1 FROM li x WHERE x.l_linestatus = 'F' AND x.sup = li.sup AND x.l_linenumber = li.l_linenumber)),
+@query(f"""WITH {_FACTS}, s AS (SELECT DISTINCT CASE WHEN l_linenumber > 4 THEN pm ELSE '' END AS ck, 'C.m' || l_partkey AS pat, l_linenumber % 3 AS n, sup FROM li WHERE EXISTS (SELECT 1 FROM li x WHERE x.l_linestatus = 'F' AND x.sup = li.sup AND x.sp = li.sp AND x.l_linenumber = li.l_linenumber)),
 a AS (SELECT 'C.m' || p_partkey || '()' AS k, p_size % 2 + 1 AS n FROM part), r AS (SELECT fact.*, coalesce(n, 0) AS n FROM fact LEFT JOIN a ON a.k = lk WHERE lt = 'method_return')
 SELECT DISTINCT 'field' AS location_type, sup AS location_key, '' AS param_name, 'FIELD_PROPAGATION' AS source_type, sm AS source_method, 'return:' || lk AS source_field FROM r JOIN s ON ck = lk OR ck = '' AND pat || '()' = lk AND s.n = r.n""")
 def taint_return_to_field(spark, sf):

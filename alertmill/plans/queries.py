@@ -241,17 +241,9 @@ def gate_counts(spark, sf):
     return summary.gate(_labelled(spark, sf))
 
 
-@query("""WITH n AS (SELECT max(ts) AS now FROM events), c AS (SELECT user_id % 40 AS key, arg_max(event_type, event_id) AS verdict, max(ts) AS created_at FROM events WHERE event_id % 97 = 0 GROUP BY 1)
-SELECT r.user_id, CASE WHEN epoch(now) - epoch(created_at) <= 864000 AND verdict <> 'error' THEN verdict END AS cached_verdict FROM (SELECT DISTINCT user_id FROM events) r CROSS JOIN n LEFT JOIN c ON c.key = r.user_id""")
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), c AS (SELECT user_id AS key, arg_max(event_type, event_id) AS verdict, max(ts) AS created_at FROM events GROUP BY 1)
+SELECT key AS user_id, CASE WHEN epoch(date_trunc('second', now)) - epoch(date_trunc('second', created_at)) <= 864000 AND verdict <> 'error' THEN verdict END AS cached_verdict FROM c CROSS JOIN n""")
 def ttl_cache(spark, sf):
-    e = table(spark, sf, "events").withColumn("ts", _c("ts").cast("timestamp"))
-    now = e.agg(F.max("ts").alias("now")).first().now
-    c = e.where("event_id % 97 = 0").groupBy((_c("user_id") % 40).alias("key")).agg(F.max_by("event_type", "event_id").alias("verdict"), F.max("ts").alias("created_at")).withColumns({"verdict": F.when(_c("verdict") == "error", "uncertain").otherwise(_c("verdict")), "confidence": F.lit(5)})
-    return history.cache_lookup(e.select("user_id", _c("user_id").alias("key")).distinct(), c, F.lit(now), 864000).select("user_id", "cached_verdict")
-
-
-@query()
-def ttl_cache_whole(spark, sf):
     """Every event is cached under its own user; age and type tell hit from miss."""
     e = table(spark, sf, "events").withColumn("ts", _c("ts").cast("timestamp"))
     now = e.agg(F.max("ts").alias("now")).first().now
@@ -259,15 +251,8 @@ def ttl_cache_whole(spark, sf):
     return history.cache_lookup(e.select("user_id", _c("user_id").alias("key")).distinct(), c, F.lit(now), 864000).select("user_id", "cached_verdict")
 
 
-@query("SELECT o_custkey AS key, arg_max(o_totalprice, o_orderkey) AS price, max(o_orderkey) AS seq FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 4 = 0 GROUP BY 1 HAVING max(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) = 0 UNION ALL SELECT o_custkey, arg_max(o_totalprice, o_orderkey), max(o_orderkey) FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1")
+@query("SELECT o_custkey AS key, coalesce(arg_max(o_totalprice, o_orderkey) FILTER (o_orderstatus <> 'F'), arg_max(o_totalprice, o_orderkey)) AS price, coalesce(max(o_orderkey) FILTER (o_orderstatus <> 'F'), max(o_orderkey)) AS seq FROM orders GROUP BY 1")
 def history_upsert(spark, sf):
-    o = table(spark, sf, "orders").select(_c("o_custkey").alias("key"), _c("o_totalprice").alias("price"), _c("o_orderkey").alias("seq"))
-    old = history.latest(o.where("seq % 2 = 1"), ["key"], "seq")
-    return history.upsert(old, o.where("seq % 4 = 0"), "key")
-
-
-@query()
-def history_upsert_whole(spark, sf):
     """Finished orders are the old rows, all others the new ones."""
     o = table(spark, sf, "orders").select(_c("o_custkey").alias("key"), _c("o_totalprice").alias("price"), _c("o_orderkey").alias("seq"), _c("o_orderstatus").eqNullSafe("F").alias("old"))
     return history.upsert(history.latest(o.where("old").drop("old"), ["key"], "seq"), o.where("not old").drop("old"), "key")
@@ -289,10 +274,9 @@ def code_fingerprint(spark, sf):
     return d.unionByName(table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), t.code_fingerprint(_c("html"), F.lit("")).alias("fp")))
 
 
-@query("SELECT left(sha256(trim(regexp_replace(text, '[\\t\\n\\f\\r ]+', ' ', 'g'))), 16) AS fp, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE NOT regexp_matches(text, '//|/\\*') GROUP BY 1 HAVING count(*) > 1")
+@query("""SELECT left(sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\\*.*?\\*/', ' ', 'g'), '//[^\\n]*', '', 'g'), '[\\t\\n\\f\\r ]+', ' ', 'g'))), 16) AS fp, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def dup_groups(spark, sf):
-    d = table(spark, sf, "documents").where(~F.rlike("text", F.lit(r"//|/\*")))
-    return d.groupBy(t.code_fingerprint(_c("text"), F.lit("")).alias("fp")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return table(spark, sf, "documents").groupBy(t.code_fingerprint(_c("text"), F.lit("")).alias("fp")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
 @query("SELECT conv_id, left(sha256(string_agg(role || ':' || turn, '|' ORDER BY turn)), 12) AS sig, count(*) AS hops FROM conversations GROUP BY conv_id")
@@ -334,16 +318,9 @@ def disposition_fold(spark, sf):
     return table(spark, sf, "events").select("event_id", v.verdict_of(d).alias("verdict"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 100 > 9.0 THEN 'critical' WHEN l_discount * 100 >= 7 THEN 'high' WHEN l_discount * 100 >= 4 THEN 'medium' ELSE 'low' END AS dependency,
-CASE WHEN l_linenumber = 1 THEN 'medium' WHEN l_discount * 100 >= 9.0 THEN 'critical' WHEN l_discount * 100 >= 7 THEN 'high' WHEN l_discount * 100 >= 4 THEN 'medium' ELSE 'low' END AS rule FROM (SELECT l_orderkey, l_linenumber, round(l_discount * 100) / 100 AS l_discount FROM lineitem WHERE l_discount <> 0.07 AND l_discount <> 0.09)""")
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(round(l_discount * 100) AS INTEGER) AS n FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN n > 9 THEN 'critical' WHEN n >= 7 THEN 'high' WHEN n >= 4 THEN 'medium' ELSE 'low' END AS dependency,
+CASE WHEN l_linenumber = 1 THEN 'medium' WHEN n >= 9 THEN 'critical' WHEN n >= 7 THEN 'high' WHEN n >= 4 THEN 'medium' ELSE 'low' END AS rule FROM s""")
 def severity_scales(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_discount <> 0.07 and l_discount <> 0.09")
-    score = (F.round(_c("l_discount") * 100, 0) / 100 * 100).cast("string")
-    return li.select("l_orderkey", "l_linenumber", v.dependency_severity(score).alias("dependency"), v.rule_severity(F.when(_c("l_linenumber") != 1, score), F.lit("warning"), F.lit(None).cast("string")).alias("rule"))
-
-
-@query()
-def severity_scales_whole(spark, sf):
     """Every row of the table, those at the edges 7 and 9 too; scores are whole numbers."""
     score = F.round(_c("l_discount") * 100, 0).cast("int").cast("string")
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", v.dependency_severity(score).alias("dependency"), v.rule_severity(F.when(_c("l_linenumber") != 1, score), F.lit("warning"), F.lit(None).cast("string")).alias("rule"))
@@ -351,31 +328,41 @@ def severity_scales_whole(spark, sf):
 
 # ---- graphs ----
 
-_EDGES = "e AS (SELECT DISTINCT p_partkey % 97 AS src, (p_size * 7 + p_partkey % 13) % 97 AS dst FROM part WHERE p_partkey <= 200)"
+#: Every part calls one or two smaller ones; 0 calls 1, so there is a cycle.
+_EDGES = "e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_size % 2 = 0 UNION SELECT 0, 1)"
 
 
 def _edges(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 200")
-    return p.select((_c("p_partkey") % 97).alias("src"), ((_c("p_size") * 7 + _c("p_partkey") % 13) % 97).alias("dst")).distinct()
+    p = table(spark, sf, "part")
+    half = lambda n: F.floor(_c("p_partkey") / n).alias("dst")
+    return p.select(_c("p_partkey").alias("src"), half(2)).union(p.where("p_size % 2 = 0").select("p_partkey", half(3))).union(spark.range(1).select("id", _c("id") + 1)).distinct()
 
 
-def _starts(spark, n):
-    return spark.range(n).select(_c("id").alias("start"))
+def _starts(spark, sf):
+    return table(spark, sf, "part").select(_c("p_partkey").alias("start"))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT s AS start, s AS node FROM range(20) t(s) UNION SELECT r.start, e.dst FROM r JOIN e ON r.node = e.src) SELECT start, node FROM r")
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS start, p_partkey AS node FROM part UNION SELECT r.start, e.dst FROM r JOIN e ON r.node = e.src) SELECT start, node FROM r")
 def call_closure(spark, sf):
-    return graph.closure(_edges(spark, sf), _starts(spark, 20)).select("start", "node")
+    return graph.closure(_edges(spark, sf), _starts(spark, sf)).select("start", "node")
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT s AS start, s AS node, 0 AS depth FROM range(10) t(s) UNION SELECT r.start, e.dst, depth + 1 FROM r JOIN e ON r.node = e.src WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM r WHERE node % 5 = 0 GROUP BY ALL HAVING node <> start AND min(depth) > 0")
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS depth FROM part UNION SELECT r.start, e.dst, depth + 1 FROM r JOIN e ON r.node = e.src WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM r WHERE node % 5 = 0 GROUP BY ALL HAVING node <> start AND min(depth) > 0")
 def reachable_sinks(spark, sf):
-    return graph.reachable(_edges(spark, sf), _starts(spark, 10), spark.range(97).where("id % 5 = 0").select(_c("id").alias("node")), 4)
+    p = table(spark, sf, "part")
+    return graph.reachable(_edges(spark, sf), _starts(spark, sf), p.where("p_partkey % 5 = 0").select(_c("p_partkey").alias("node")), 4)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT s AS start, s AS node, [s] AS path FROM range(6) t(s) UNION ALL SELECT r.start, e.dst, list_append(path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(path) <= 3 AND NOT list_contains(path, e.dst)), s AS (SELECT DISTINCT start, node, path FROM r ORDER BY len(path), path LIMIT 500) SELECT start, node, list_aggregate(path, 'string_agg', '>') AS path FROM s")
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS start, p_partkey AS node, [p_partkey] AS path FROM part UNION ALL SELECT r.start, e.dst, list_append(path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(path) <= 3 AND NOT list_contains(path, e.dst)) SELECT start, node, list_aggregate(path, 'string_agg', '>') AS path FROM r")
 def call_paths(spark, sf):
-    p = graph.shortest_first(graph.simple_paths(_edges(spark, sf), _starts(spark, 6), 3))
+    p = graph.simple_paths(_edges(spark, sf), _starts(spark, sf), 3)
+    return p.select("start", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS start, p_partkey AS node, [p_partkey] AS path FROM part UNION ALL SELECT r.start, e.dst, list_append(path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(path) <= 2 AND NOT list_contains(path, e.dst)), s AS (SELECT DISTINCT start, node, path FROM r ORDER BY len(path), path LIMIT 500) SELECT start, node, list_aggregate(path, 'string_agg', '>') AS path FROM s")
+def shortest_paths(spark, sf):
+    """The first 500 paths, as a report shows them; the limit is the feature."""
+    p = graph.shortest_first(graph.simple_paths(_edges(spark, sf), _starts(spark, sf), 2))
     return p.select("start", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
@@ -385,24 +372,21 @@ def bounded_chain(spark, sf):
     return graph.top_per_group(o, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, m AS (SELECT range AS node, range % 7 = 0 AS en, range % 3 = 0 AS te FROM range(97)), c AS (SELECT * FROM (SELECT dst AS node, src AS caller, row_number() OVER (PARTITION BY dst ORDER BY en DESC, te, src) AS n, greatest(count(*) OVER (PARTITION BY dst) - 2, 0) AS truncated FROM e JOIN m ON m.node = e.src) WHERE n <= 2),
-r AS (SELECT s AS start, c.node, c.caller, 1 AS level, truncated, [s, c.caller] AS path FROM range(12) t(s) JOIN c ON c.node = s WHERE c.caller <> s UNION ALL SELECT r.start, c.node, c.caller, level + 1, c.truncated, list_append(path, c.caller) FROM r JOIN c ON c.node = r.caller WHERE level < 3 AND NOT list_contains(path, c.caller))
+@query(f"""WITH RECURSIVE {_EDGES}, c AS (SELECT * FROM (SELECT dst AS node, src AS caller, row_number() OVER (PARTITION BY dst ORDER BY (src % 7 = 0)::INT DESC, (src % 3 = 0)::INT, src) AS n, greatest(count(*) OVER (PARTITION BY dst) - 2, 0) AS truncated FROM e) WHERE n <= 2),
+r AS (SELECT p_partkey AS start, c.node, c.caller, 1 AS level, truncated, [p_partkey, c.caller] AS path FROM part JOIN c ON c.node = p_partkey WHERE c.caller <> p_partkey UNION ALL SELECT r.start, c.node, c.caller, level + 1, c.truncated, list_append(path, c.caller) FROM r JOIN c ON c.node = r.caller WHERE level < 3 AND NOT list_contains(path, c.caller))
 SELECT start, node, caller, level, truncated FROM r""")
 def caller_chain(spark, sf):
-    m = spark.range(97).select(_c("id").alias("node"), (_c("id") % 7 == 0).alias("is_entry"), (_c("id") % 3 == 0).alias("is_test"))
-    return graph.bounded_chain(_edges(spark, sf), m, _starts(spark, 12), 3, 2).drop("path")
-
-
-_FIELDS = "e AS (SELECT DISTINCT l_partkey % 300 AS a, l_suppkey % 300 + l_linenumber * 300 AS b FROM lineitem WHERE l_orderkey <= 600), f AS (SELECT DISTINCT l_suppkey % 300 + l_linenumber * 300 AS a, (l_partkey + l_linenumber) % 300 AS b FROM lineitem WHERE l_orderkey <= 600 AND l_linenumber <= 2)"
+    m = _edges(spark, sf).select(_c("src").alias("node")).distinct().select("node", (_c("node") % 7 == 0).alias("is_entry"), (_c("node") % 3 == 0).alias("is_test"))
+    return graph.bounded_chain(_edges(spark, sf), m, _starts(spark, sf), 3, 2).drop("path")
 
 
-@query(f"WITH RECURSIVE {_FIELDS}, g AS (SELECT a, b FROM e UNION SELECT a, b FROM f), r AS (SELECT 'F' || x AS k, 'src' || x % 2 AS m, 'USER_INPUT' AS st, '' AS sf FROM range(3) t(x) UNION SELECT 'F' || g.b, r.m, 'FIELD_PROPAGATION', r.k FROM r JOIN g ON r.k = 'F' || g.a) SELECT 'field' AS location_type, k AS location_key, '' AS param_name, st AS source_type, m AS source_method, sf AS source_field FROM r")
+@query("""WITH RECURSIVE g AS (SELECT DISTINCT 'F' || l_partkey AS a, 'F' || l_partkey // CASE WHEN l_linenumber <= 3 THEN 2 ELSE 3 END AS b FROM lineitem), r AS (SELECT 'F' || p_partkey AS k, 'src' || p_partkey % 2 AS m, 'USER_INPUT' AS st, '' AS sf FROM part WHERE p_size % 10 = 0 UNION SELECT g.b, r.m, 'FIELD_PROPAGATION', r.k FROM r JOIN g ON r.k = g.a)
+SELECT 'field' AS location_type, k AS location_key, '' AS param_name, st AS source_type, m AS source_method, sf AS source_field FROM r""")
 def fixpoint_facts(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey <= 600")
+    """Tainted fields are those of parts of some sizes; line items assign fields to one another."""
     name = lambda c: F.concat(F.lit("F"), c.cast("string"))
-    far = _c("l_suppkey") % 300 + _c("l_linenumber") * 300
-    e = li.select(name(_c("l_partkey") % 300).alias("src_field"), name(far).alias("dst_field")).unionByName(li.where("l_linenumber <= 2").select(name(far).alias("src_field"), name((_c("l_partkey") + _c("l_linenumber")) % 300).alias("dst_field")))
-    seed = spark.range(3).select(F.lit("field").alias("location_type"), name(_c("id")).alias("location_key"), F.lit("").alias("param_name"), F.lit("USER_INPUT").alias("source_type"), F.concat(F.lit("src"), _c("id") % 2).alias("source_method"), F.lit("").alias("source_field"), F.array(F.lit("seed")).alias("path"))
+    e = table(spark, sf, "lineitem").select(name(_c("l_partkey")).alias("src_field"), name(F.floor(_c("l_partkey") / F.when(_c("l_linenumber") <= 3, 2).otherwise(3))).alias("dst_field")).distinct()
+    seed = table(spark, sf, "part").where("p_size % 10 = 0").select(F.lit("field").alias("location_type"), name(_c("p_partkey")).alias("location_key"), F.lit("").alias("param_name"), F.lit("USER_INPUT").alias("source_type"), F.concat(F.lit("src"), _c("p_partkey") % 2).alias("source_method"), F.lit("").alias("source_field"), F.array(F.lit("seed")).alias("path"))
     return taint.propagate(seed, taint.Store({"field_edges": e}), {"field_to_field": taint.field_to_field}).drop("path")
 
 
@@ -450,13 +434,8 @@ def chain_lag(spark, sf):
     return stability.chain_length(c, "conv_id", "turn", "name", "text").select("conv_id", "chain")
 
 
-@query("SELECT user_id AS alert_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS verdicts, count(DISTINCT event_type) > 1 AS wobbles, count(DISTINCT CASE WHEN value > 90 THEN 'access_control' ELSE 'xss' END) <= 1 AS same_families FROM events WHERE event_id % 10 <> 0 AND event_id % 7 < 2 GROUP BY user_id")
+@query("SELECT user_id AS alert_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS verdicts, count(DISTINCT event_type) > 1 AS wobbles, count(DISTINCT CASE WHEN value > 90 THEN 'access_control' ELSE 'xss' END) <= 1 AS same_families FROM events WHERE event_id % 10 <> 0 GROUP BY user_id")
 def wobble_sets(spark, sf):
-    return _wobble(table(spark, sf, "events").where("event_id % 7 < 2"))
-
-
-@query()
-def wobble_sets_whole(spark, sf):
     return _wobble(table(spark, sf, "events"))
 
 
@@ -514,16 +493,10 @@ def sibling_faces(spark, sf):
     return out.select(_c("bughash").cast("long").alias("doc_id"), "family", "flag", _c("counterpart").cast("long").alias("counterpart"), "siblings")
 
 
-@query("""WITH r AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS effective, count(*) FILTER (event_type = 'click') AS bypassable, count(*) FILTER (event_type NOT IN ('view', 'click')) AS unverifiable, bool_or(event_type = 'error' AND value > 200) AS bypassed FROM events WHERE event_id % 60 = 0 GROUP BY user_id),
+@query("""WITH r AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS effective, count(*) FILTER (event_type = 'click') AS bypassable, count(*) FILTER (event_type NOT IN ('view', 'click')) AS unverifiable, bool_or(event_type = 'error' AND value > 200) AS bypassed FROM events GROUP BY user_id),
 v AS (SELECT DISTINCT user_id, CASE user_id % 3 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'true_positive' ELSE 'uncertain' END AS verdict FROM events), j AS (SELECT v.user_id, verdict, coalesce(effective, 0) AS e, coalesce(bypassable, 0) AS b, coalesce(bypassed, false) AS x FROM v LEFT JOIN r USING (user_id)), k AS (SELECT *, verdict = 'false_positive' AND (x OR b > 0 AND e = 0) OR verdict = 'true_positive' AND e > 0 AND b = 0 AND NOT x AS c FROM j)
 SELECT user_id, CASE WHEN c THEN 'uncertain' ELSE verdict END AS verdict, CASE WHEN c THEN 4 ELSE 8 END AS confidence, CASE WHEN c THEN 'downgraded_to_uncertain' ELSE 'kept' END AS action FROM k""")
 def guard_rollup(spark, sf):
-    e = table(spark, sf, "events")
-    return _guarded(e, e.where("event_id % 60 = 0"))
-
-
-@query()
-def guard_rollup_whole(spark, sf):
     e = table(spark, sf, "events")
     return _guarded(e, e)
 
@@ -538,13 +511,9 @@ def _guarded(e, checked):
 b AS (SELECT *, verdict <> 'uncertain' AND style = 'unknown' AS h1 FROM a), c AS (SELECT *, CASE WHEN h1 THEN 'uncertain' ELSE verdict END AS v1, CASE WHEN h1 THEN least(confidence, 4) ELSE confidence END AS c1, CASE WHEN h1 THEN 'decisive_fact_unknown:sink_param_style' END AS f1 FROM b),
 o AS (SELECT *, list_filter(t, lambda x: x <> coalesce(kind, '')) AS oth FROM c), d AS (SELECT *, v1 = 'false_positive' AND len(oth) > 0 AS h2 FROM o), e AS (SELECT *, CASE WHEN h2 THEN 'uncertain' ELSE v1 END AS v2, CASE WHEN h2 THEN least(c1, 4) ELSE c1 END AS c2, CASE WHEN h2 THEN 'bare_fp_buries_actual:' || list_aggregate(oth, 'string_agg', ',') ELSE f1 END AS f2 FROM d),
 g AS (SELECT *, v2 = 'true_positive' AND style = 'parameterized' AND len(t) = 1 AS h3 FROM e), h AS (SELECT *, CASE WHEN h3 THEN 'uncertain' ELSE v2 END AS v3, CASE WHEN h3 THEN 6 ELSE c2 END AS c3, CASE WHEN h3 THEN 'parameterized_contradicts_sqli_tp' ELSE f2 END AS f3, CASE WHEN h3 THEN 'likely_tp' ELSE disposition END AS d3 FROM g),
-i AS (SELECT *, v3 = 'true_positive' AND c3 > 6 AND doc_id % 2 = 0 AS h4 FROM h) SELECT doc_id, CASE WHEN h4 THEN 'uncertain' ELSE v3 END AS verdict, CASE WHEN h4 THEN 'likely_tp' ELSE d3 END AS disposition, CAST(CASE WHEN h4 THEN 6 ELSE c3 END AS INTEGER) AS confidence, CASE WHEN h4 THEN 'hollow_tp_no_evidence' ELSE f3 END AS fail_reason FROM i""")
+i AS (SELECT *, v3 = 'true_positive' AND c3 > 6 AND doc_id % 2 = 0 AS h4 FROM h), k AS (SELECT *, v3 = 'true_positive' AND c3 > 6 AND NOT h4 AND doc_id % 3 <> 1 AND doc_id % 7 <> 0 AS h5 FROM i)
+SELECT doc_id, CASE WHEN h4 OR h5 THEN 'uncertain' ELSE v3 END AS verdict, CASE WHEN h4 OR h5 THEN 'likely_tp' ELSE d3 END AS disposition, CAST(CASE WHEN h4 OR h5 THEN 6 ELSE c3 END AS INTEGER) AS confidence, CASE WHEN h4 THEN 'hollow_tp_no_evidence' WHEN h5 THEN 'ungrounded_data_flow_step' ELSE f3 END AS fail_reason FROM k""")
 def guard_chain(spark, sf):
-    return guards.enforce(_evidence(spark, sf), guards.CHAIN[:4]).select("doc_id", "verdict", "disposition", "confidence", "fail_reason")
-
-
-@query()
-def guard_chain_whole(spark, sf):
     """The default chain; its fifth rule, too, has its columns."""
     flow = F.array(F.lit("read a.java"), F.concat(F.lit("call m"), _c("doc_id") % 3))
     j = _evidence(spark, sf).withColumns({"data_flow": flow, "hop_anchors": F.array(F.lit("a.java")), "tool_anchors": F.array(F.lit("m1")), "evidence_grounded": _c("doc_id") % 7 == 0})
@@ -563,14 +532,14 @@ def primary_row(spark, sf):
     return summary.primary(j.select("lang", "doc_id", "severity", _c("doc_id").alias("pos")), "lang").select("lang", "doc_id")
 
 
-@query(f"WITH {_EDGES}, s AS (SELECT DISTINCT dst AS k FROM e WHERE dst % 2 = 0), n AS (SELECT k // 4 AS m, count(*) AS c FROM s GROUP BY 1) SELECT a.i AS method, CASE WHEN coalesce(c, 0) > 1 THEN 'ambiguous' ELSE 'name' END AS tier, CASE WHEN coalesce(c, 0) > 1 THEN NULL ELSE e.src END AS caller FROM (SELECT i FROM range(24) t(i)) a LEFT JOIN n ON n.m = a.i LEFT JOIN e ON e.dst // 4 = a.i AND coalesce(c, 0) <= 1 WHERE coalesce(c, 0) > 1 OR e.src IS NOT NULL GROUP BY ALL")
+@query(f"WITH {_EDGES}, s AS (SELECT DISTINCT dst AS k FROM e WHERE dst % 2 = 0), n AS (SELECT k // 4 AS m, count(*) AS c FROM s GROUP BY 1) SELECT a.i AS method, CASE WHEN coalesce(c, 0) > 1 THEN 'ambiguous' ELSE 'name' END AS tier, CASE WHEN coalesce(c, 0) > 1 THEN NULL ELSE e.src END AS caller FROM (SELECT DISTINCT dst // 4 AS i FROM e) a LEFT JOIN n ON n.m = a.i LEFT JOIN e ON e.dst // 4 = a.i AND coalesce(c, 0) <= 1 WHERE coalesce(c, 0) > 1 OR e.src IS NOT NULL GROUP BY ALL")
 def callers_robust(spark, sf):
     e = _edges(spark, sf)
     key = F.when(_c("dst") % 2 == 0, F.concat(F.lit("C.m"), F.floor(_c("dst") / 4), F.lit("("), _c("dst"), F.lit(")"))).otherwise(F.concat(F.lit("C.m"), F.floor(_c("dst") / 4)))
     resolved = _c("dst") % 2 == 0
     rev = e.select(key.alias("callee_key"), _c("src").cast("string").alias("caller_key"), F.lit(1).alias("line"), F.lit("f").alias("file_path"), resolved.alias("resolved"))
     rev = rev.unionByName(rev.where("resolved").withColumns({"callee_key": t.pattern_of(_c("callee_key")), "resolved": F.lit(False)}))
-    asked = spark.range(24).select(F.concat(F.lit("C.m"), "id").alias("method_key"))
+    asked = e.select(F.concat(F.lit("C.m"), F.floor(_c("dst") / 4)).alias("method_key")).distinct()
     out = calls.callers(asked, rev)
     return out.select(F.substring("method_key", 4, 9).cast("long").alias("method"), "tier", _c("caller_key").cast("long").alias("caller")).distinct()
 
