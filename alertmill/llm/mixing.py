@@ -2,7 +2,9 @@
 
 Documents are aggregated by membership pattern, the set of sources they belong to. Word capacity flows from the
 patterns to source quotas; the second and later copies of a pattern's words cost more and more, so the flow
-repeats as little as it can. Within a pattern, seeded documents then carry what the flow allots to it.
+repeats as little as it can. Sources that no document links are separate flows: one flow is solved in one task for
+each set of sources that overlaps link, and for a source alone it is the lesser of its quota and its capacity.
+Within a pattern, seeded documents then carry what the flow allots to it.
 """
 
 from __future__ import annotations
@@ -11,40 +13,53 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import mix64, stage
+from alertmill.llm.common import components, mix64, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents that a selection bin holds on average; the last bin is filled one document at a time.
-BIN = 256
-MOST_BINS = 1 << 16
+#: Documents that the last selection bin may hold; it is filled one document at a time.
+BIN = 1024
+#: Bits of the selection hash that one step narrows the last bin by, and all of them.
+STEP, BITS = 10, 60
 #: Seeded orders that the last bin is tried in; the one that leaves least is taken.
 ORDERS = 16
-#: Patterns that the driver solves the flow for. They grow with the sources, not with the documents.
-MOST_PATTERNS = 200_000
+#: Copies of equal rows that one task numbers.
+COPIES = 1 << 16
 
 
 def words_in(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def share_out(sizes: list[int], weights: list[float], most: float) -> list[float]:
-    """100 % of all sizes by weight; a target stops at ``most`` times its source's size and the excess is shared again."""
-    targets, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        over = [i for i in open_ if total <= 0 or left * weights[i] / total > most * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = left * weights[i] / total
-            break
-        for i in over:
-            targets[i] = most * float(sizes[i])
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return targets
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``rank`` from 0 on, by sorted ranges: the driver sees a count for each range only."""
+    rows = stage(df.orderBy(*order).withColumn("mid", F.monotonically_increasing_id()), "ranked")
+    counts = {r.part: r.c for r in rows.groupBy(F.shiftright("mid", 33).alias("part")).agg(F.count("*").alias("c")).collect()}
+    ends, at = [], 0
+    for part in sorted(counts):
+        ends += [part, at]
+        at += counts[part]
+    before = F.create_map(*[F.lit(int(x)).cast("long") for x in ends]) if ends else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return rows.withColumn("rank", before[F.shiftright("mid", 33)] + F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("mid")
+
+
+def targets_of(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """(source, size, target): 100 % of all sizes by weight; a target stops at ``most`` times its source's size and the excess is shared again.
+
+    A share grows with every sharing, so a source is full if its weight times the last level is: each step is one aggregate.
+    """
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights)).cast("int") + 1)
+    rows = stage(ranked(sources, F.col("source").isNull(), F.col("source")).select("source", "size", w.alias("w")), "weights")
+    total, level, full = float(rows.agg(F.sum("size")).first()[0] or 0), -1.0, -1
+    while True:
+        over = F.col("w") * F.lit(level) > F.lit(float(most)) * F.col("size")
+        r = rows.agg(F.count_if(over).alias("n"), F.sum(F.when(~over, F.col("w"))).alias("w"), F.sum(F.when(over, F.lit(float(most)) * F.col("size"))).alias("gone")).first()
+        if r.n == full or not r.w:
+            return rows.select("source", "size", F.when(over | F.lit(not r.w), F.lit(float(most)) * F.col("size")).otherwise(F.col("w") * F.lit(level)).alias("target"))
+        full, level = r.n, (total - (r.gone or 0.0)) / r.w
 
 
 class Flow:
@@ -118,11 +133,11 @@ class Flow:
 
 @dataclass(frozen=True)
 class Mix:
-    """What the flow decided: by source its size and target, by pattern its documents, words and allotted words."""
+    """What the flow decided: (source, size, target), (pattern, m, n, words, given), and (pattern, source, words)."""
 
-    sources: list[tuple[str | None, int, float]]
-    patterns: list[tuple[str, int, int, int]]
-    flows: dict[tuple[str, str | None], int]
+    sources: DataFrame
+    patterns: DataFrame
+    flows: DataFrame
 
 
 def route(patterns: list[tuple[str, list[str | None], int, int]], targets: dict[str | None, float], most: int) -> tuple[dict[str, int], dict]:
@@ -152,56 +167,87 @@ def pattern_key(members: Column) -> Column:
     return F.array_join(each, "")
 
 
+def routed(patterns: DataFrame, sources: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pattern, given) and (pattern, source, words): the flow of each set of linked sources."""
+    rows = patterns.select("pattern", "words", F.explode("m").alias("source"), F.size("m").alias("k"))
+    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    links = rows.where("k > 1").withColumn("s", name)
+    if links.isEmpty():
+        one = rows.join(sources.select(F.col("source").alias("name"), "target"), F.col("source").eqNullSafe(F.col("name"))).select("pattern", "source", F.least(F.round("target"), F.lit(most) * F.col("words")).cast("long").alias("words"))
+        return one.select("pattern", F.col("words").alias("given")), one
+    comps = components(links.select(F.concat(F.lit("p"), "pattern").alias("a"), F.col("s").alias("b")))
+    held = rows.withColumn("s", name).join(comps.withColumnRenamed("id", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+    held = held.join(sources.select(F.col("source").alias("name"), "target"), F.col("source").eqNullSafe(F.col("name")))
+
+    def solve(pdf):
+        own = pdf.sort_values(["pattern", "s"])
+        quota = {r.s: r.target for r in own.itertuples()}
+        words = {r.pattern: r.words for r in own.itertuples()}
+        members = own.groupby("pattern")["s"].agg(list)
+        _, flows = route([(p, members[p], 0, int(words[p])) for p in sorted(words)], {k: quota[k] for k in sorted(quota)}, most)
+        out = pd.DataFrame([(p, s, n) for (p, s), n in flows.items()], columns=["pattern", "s", "words"])
+        return out.merge(own[["s", "source"]].drop_duplicates("s"), on="s")[["pattern", "source", "words"]]
+
+    flows = stage(held.select("component", "pattern", "s", "source", "words", "target").groupBy("component").applyInPandas(solve, "pattern string, source string, words long"), "flows")
+    return flows.groupBy("pattern").agg(F.sum("words").alias("given")), flows
+
+
 def mix(docs: DataFrame, id_col: str, members: Column, size: Column, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> tuple[DataFrame, Mix]:
     """Takes documents so that each source comes near its target.
 
-    ``members`` is the array of a document's sources; a null array is the null source alone. Sources by code point,
-    null last, take ``weights`` in turn; targets share 100 % of all sizes (an overlapping document counts for each
+    ``members`` is the array of a document's sources; a null or empty array is the null source alone. Sources by code
+    point, null last, take ``weights`` in turn; targets share 100 % of all sizes (an overlapping document counts for each
     of its sources when their sizes are measured) and stop at ``most`` times their source's size. No document is
     taken more than ``most`` times.
 
-    Returns (id, size, pattern, taken) and the plan. Selection hangs on the seed and the id alone, so reruns agree;
-    rows that repeat an id are separate documents; a null id is an id; an empty table gives an empty one.
+    Returns (id, size, pattern, taken) and the plan. Selection hangs on the seed, the id and the size alone, so reruns
+    agree; equal rows are separate documents and are numbered; a null id is an id; a null size is 0; an empty table gives
+    an empty one.
     """
-    spark = docs.sparkSession
     own = F.when(members.isNull() | (F.size(members) == 0), F.array(F.lit(None).cast("string"))).otherwise(members)
-    sized = stage(docs.select(F.col(id_col).cast("long").alias("id"), size.cast("long").alias("size"), own.alias("m")).select("id", "size", F.array_distinct("m").alias("m"), pattern_key(F.col("m")).alias("pattern")), "sized")
-    found = sized.groupBy("pattern").agg(F.first("m").alias("m"), F.count("*").alias("n"), F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"over {MOST_PATTERNS} membership patterns: too many for one flow; group the sources first")
-    found.sort(key=lambda r: r.pattern)
-    by: dict[str | None, int] = {}
-    for r in found:
-        for s in r.m:
-            by[s] = by.get(s, 0) + r.words
-    names = sorted((s for s in by if s is not None)) + [None] * (None in by)
-    total = sum(r.words for r in found)
-    sizes = [by[s] for s in names]
-    scale = total / sum(sizes) if sum(sizes) else 0
-    targets = share_out(sizes, [weights[i % len(weights)] for i in range(len(names))], most)
-    targets = [t * scale for t in targets] if scale and scale != 1 else targets
-    given, flows = route([(r.pattern, list(r.m), r.n, r.words) for r in found], dict(zip(names, targets)), most)
-    plan = Mix(list(zip(names, sizes, targets)), [(r.pattern, r.n, r.words, given[r.pattern]) for r in found], flows)
-    return select(spark, sized, plan, seed, most), plan
-
-
-def select(spark: SparkSession, sized: DataFrame, plan: Mix, seed: int, most: int) -> DataFrame:
-    """Whole rounds of a pattern first, then seeded documents up to what is left: bins below the threshold entirely, the threshold's bin by first fit, then by further copies of what still fits."""
-    rows = []
-    for key, n, words, given in plan.patterns:
-        rounds = given // words if words else 0
-        bins = 1
-        while bins * BIN < n and bins < MOST_BINS:
-            bins *= 2
-        rows.append((key, rounds, given - rounds * words, bins))
-    rules = F.broadcast(spark.createDataFrame(rows, "pattern string, rounds long, rest long, bins long"))  # a row for each pattern, at most MOST_PATTERNS
-    dealt = sized.select("id", "size", "pattern", F.xxhash64(F.lit(seed), "id").alias("h")).join(rules, "pattern").withColumn("bin", F.pmod("h", "bins"))
-    sums = dealt.where("rest > 0").groupBy("pattern", "rest", "bin").agg(F.sum("size").alias("s"))
-    upto = F.sum("s").over(Window.partitionBy("pattern").orderBy("bin"))
-    edge = sums.withColumn("upto", upto).where("upto > rest and upto - s <= rest").select("pattern", F.col("bin").alias("edge"), (F.col("rest") - F.col("upto") + F.col("s")).alias("room"))
-    edge = F.broadcast(stage(edge, "edges"))  # a row for each pattern
-    known = dealt.join(edge, "pattern", "left")
-    sure = known.where("edge is null or bin <> edge").select("id", "size", "pattern", (F.col("size") * (F.col("rounds") + F.when((F.col("rest") > 0) & (F.col("bin") < F.col("edge")), 1).otherwise(0))).alias("taken"))
+    sized = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), own.alias("m")).select("id", "size", F.array_distinct("m").alias("m"), pattern_key(F.col("m")).alias("pattern")), "sized")
+    patterns = stage(sized.groupBy("pattern").agg(F.first("m").alias("m"), F.count("*").alias("n"), F.sum("size").alias("words")), "patterns")
+    by = patterns.select("words", F.explode("m").alias("source")).groupBy("source").agg(F.sum("words").alias("size"))
+    sources = targets_of(by, weights, most)
+    total, listed = patterns.agg(F.sum("words")).first()[0] or 0, sources.agg(F.sum("size")).first()[0] or 0
+    if listed and listed != total:
+        sources = sources.withColumn("target", F.col("target") * F.lit(total / listed))
+    given, flows = routed(patterns, sources, most)
+    plan = Mix(sources, patterns.join(given, "pattern", "left").na.fill(0, ["given"]), flows)
+    return select(sized.select("id", "size", "pattern"), plan, seed, most), plan
+
+
+def numbered(sized: DataFrame) -> DataFrame:
+    """Every row with its number ``j`` among equal ones; copies are counted before they are dealt out again, many of them by many tasks."""
+    counts = sized.groupBy(*sized.columns).agg(F.count("*").alias("c"))
+    few = counts.where(F.col("c") <= COPIES).select(*sized.columns, F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("j"))
+    blocks = counts.where(F.col("c") > COPIES).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / COPIES)))).repartition(*sized.columns, "b")
+    many = blocks.select(*sized.columns, F.explode(F.sequence(F.col("b") * COPIES + 1, F.least("c", (F.col("b") + 1) * COPIES))).alias("j"))
+    return few.unionByName(many)
+
+
+def select(sized: DataFrame, plan: Mix, seed: int, most: int) -> DataFrame:
+    """Whole rounds of a pattern first, then seeded documents up to what is left: those below a threshold of their hashes entirely, those of the threshold's bin by first fit, then by further copies of what still fits.
+
+    The bin is found from the top bits down, a sum for each value of ``STEP`` bits at a time, until it is small. Where no
+    documents fit exactly, the total is the nearer of what is below and above the target.
+    """
+    turns = F.when(F.col("words") > 0, F.floor(F.col("given") / F.col("words"))).otherwise(0).cast("long")
+    rules = stage(plan.patterns.withColumn("rounds", turns).select("pattern", "n", "rounds", (F.col("given") - F.col("rounds") * F.col("words")).alias("rest")), "rules")
+    dealt = stage(numbered(sized).join(rules.drop("n"), "pattern").select("id", "size", "pattern", "rounds", "rest", F.xxhash64(F.lit(seed), "id", "size", "j").alias("h")), "dealt")
+    p = F.shiftrightunsigned("h", 64 - BITS)
+    edge = stage(rules.where("rest > 0").select("pattern", F.lit(0).cast("long").alias("edge"), F.lit(BITS).alias("bits"), F.col("rest").alias("room"), F.col("n").alias("c")), "edges")
+    large = (F.col("c") > BIN) & (F.col("bits") > 0)
+    while not edge.where(large).isEmpty():
+        inside = dealt.select("pattern", "size", p.alias("p")).join(edge.where(large).drop("c"), "pattern").where("shiftright(p, bits) = edge").withColumn("bits", F.col("bits") - STEP)
+        sums = inside.groupBy("pattern", "room", "bits", F.expr("shiftright(p, bits)").alias("edge")).agg(F.sum("size").alias("s"), F.count("*").alias("c"))
+        sums = sums.withColumn("upto", F.sum("s").over(Window.partitionBy("pattern").orderBy("edge")))  # 2**STEP rows a pattern
+        narrow = sums.where("upto > room and upto - s <= room").select("pattern", "edge", "bits", (F.col("room") - F.col("upto") + F.col("s")).alias("room"), "c")
+        edge = stage(edge.where(~large).unionByName(narrow), "edges")
+    known = dealt.join(edge.drop("c"), "pattern", "left").withColumn("p", p)
+    at = F.expr("shiftright(p, bits)")
+    extra = F.when((F.col("rest") > 0) & (at < F.col("edge")), 1).otherwise(0)
+    sure = known.where(F.col("edge").isNull() | (at != F.col("edge"))).select("id", "size", "pattern", (F.col("size") * (F.col("rounds") + extra)).alias("taken"))
 
     def fit(pdf):
         pdf = pdf.sort_values(["h", "id", "size"], kind="stable")
@@ -216,6 +262,11 @@ def select(spark: SparkSession, sized: DataFrame, plan: Mix, seed: int, most: in
                     if 0 < sizes[i] <= room and extra[i] == copies - 1:
                         extra[i] += 1
                         room -= sizes[i]
+            # one more copy of the smallest that does not fit, if that comes nearer than stopping short
+            over = min((i for i in order if sizes[i] > room and extra[i] < most - rounds), key=lambda i: sizes[i], default=None) if room else None
+            if over is not None and sizes[over] - room < room:
+                extra[over] += 1
+                room = sizes[over] - room
             if best is None or room < best[0]:
                 best = room, extra
             if not room:
@@ -223,17 +274,15 @@ def select(spark: SparkSession, sized: DataFrame, plan: Mix, seed: int, most: in
         pdf["taken"] = pdf["size"] * (pdf["rounds"] + best[1])
         return pdf[["id", "size", "pattern", "taken"]]
 
-    last = known.where("bin = edge").select("id", "size", "pattern", "h", "rounds", "room").groupBy("pattern").applyInPandas(fit, "id long, size long, pattern string, taken long")
+    last = known.where(at == F.col("edge")).select("id", "size", "pattern", "h", "rounds", "room").groupBy("pattern").applyInPandas(fit, "id long, size long, pattern string, taken long")
     return sure.unionByName(last)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One source a document: (doc_id, size, source_size, target, taken, source)."""
-    chosen, plan = mix(docs, id_col, F.array(F.col(source_col)), words_in(text_col))
-    spark = docs.sparkSession
-    key = {(None if s is None else s): ("n" if s is None else f"s{len(s)}:{s}") for s, *_ in plan.sources}
-    named = spark.createDataFrame([(key[s], s, size, target) for s, size, target in plan.sources], "pattern string, source string, source_size long, target double")
-    return chosen.join(F.broadcast(named), "pattern").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+    chosen, plan = mix(docs, id_col, F.array(F.col(source_col).cast("string")), words_in(text_col))
+    named = plan.sources.select(pattern_key(F.array("source")).alias("pattern"), "source", F.col("size").alias("source_size"), "target")
+    return chosen.join(named, "pattern").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
 def op4_mixing(spark, sf_dir):

@@ -94,3 +94,42 @@ def lines(rows, k=5, threshold=0.8):
         r = s.find(x)
         first[r] = min(first.get(r, (1 << 62, 0)), min(at[x]))
     return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if x not in at or first[s.find(x)] == (i, n)) for i, t in rows}
+
+
+def share_out(sizes, weights, most):
+    """100 % of all sizes by weight; targets stop at ``most`` times their size and the excess is shared again."""
+    targets, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
+    while open_:
+        total = sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
+        if not over:
+            for i in open_:
+                targets[i] = left * weights[i] / total
+            break
+        for i in over:
+            targets[i] = most * float(sizes[i])
+            left -= targets[i]
+        open_ = [i for i in open_ if i not in over]
+    return targets
+
+
+def cheapest(patterns, targets, most):
+    """Least cost of the greatest flow, by trying all: patterns (members, words) to quotas, copy number c costs (c - 1) squared a word."""
+    from itertools import product
+
+    best = None
+    options = []
+    for members, words in patterns:
+        options.append([x for x in product(*[range(most * words + 1) for _ in members]) if sum(x) <= most * words])
+    for pick in product(*options):
+        got = dict.fromkeys(targets, 0)
+        cost = 0
+        for (members, words), x in zip(patterns, pick):
+            n = sum(x)
+            cost += sum(c * c * min(words, max(0, n - c * words)) for c in range(most))
+            for s, k in zip(members, x):
+                got[s] += k
+        if all(got[s] <= targets[s] for s in targets):
+            key = (-sum(got.values()), cost)
+            best = key if best is None or key < best else best
+    return -best[0], best[1]
