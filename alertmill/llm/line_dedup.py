@@ -234,16 +234,16 @@ def repeated_keys(found: DataFrame) -> DataFrame:
 
 
 def band_keys(found: DataFrame, again: Bloom) -> DataFrame:
-    """(key, id, at, s0, s1) of the keys that may be in the sieve."""
+    """(key, id, at, size, s0, s1) of the keys that may be in the sieve."""
     b = shared(found.sparkSession, again)
-    names = ["id", "at", *SKETCH]
+    names = ["id", "at", "size", *SKETCH]
 
     def run(batches):
         for batch in batches:
             keys = unpacked(buffer_of(batch.column("bands"))[0])
             keep = np.flatnonzero(b.value.has(row_key(keys)))
             row = keep // max(1, len(keys) // max(1, batch.num_rows))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), *(pa.array(batch.column(x).to_numpy(zero_copy_only=False)[row]) for x in names)], names=["key", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), *(pa.array(batch.column(x).to_numpy(zero_copy_only=False)[row].astype("int64")) for x in names)], names=["key", *names])
 
     return found.select("bands", *names).mapInArrow(lean(run), ", ".join(f"{f} long" for f in ["key", *names]))
 
@@ -273,9 +273,9 @@ PLACE = "struct<id:bigint,at:bigint>"
 
 
 def near_in_buckets(held: DataFrame, again: DataFrame, most: int) -> DataFrame:
-    """(a, b): edges that join, in every bucket ``key``, the lines whose sketches differ in at most ``most`` values; all pairs are compared, in blocks."""
+    """(a, b, a_size, b_size): edges that join, in every bucket ``key``, the lines whose sketches differ in at most ``most`` values; all pairs are compared, in blocks."""
     large = again.where(F.col("c") > BUCKET).select("key", F.ceil(F.col("c") / F.lit(BUCKET)).cast("int").alias("n"))
-    n, names = F.coalesce("n", F.lit(1)), ["id", "at", *SKETCH]
+    n, names = F.coalesce("n", F.lit(1)), ["id", "at", "size", *SKETCH]
     own = held.join(large, "key", "left").withColumn("b", F.pmod(F.xxhash64("id", "at"), n).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
     order = ["key", "bi", "bj"]
     dealt = own.select("key", F.least("b", "x").alias("bi"), F.greatest("b", "x").alias("bj"), "b", *names).repartition(partitions(held.sparkSession), *order).sortWithinPartitions(*order, "id", "at")
@@ -286,15 +286,15 @@ def near_in_buckets(held: DataFrame, again: DataFrame, most: int) -> DataFrame:
 
     def edges(rows):
         """Of whole groups of ``key``, ``bi``, ``bj``."""
-        group, side, place = rows[:, :3], rows[:, 3], rows[:, 4:6]
-        sketch = np.ascontiguousarray(rows[:, 6:]).view(np.uint64)
+        group, side, place = rows[:, :3], rows[:, 3], rows[:, 4:7]
+        sketch = np.ascontiguousarray(rows[:, 7:]).view(np.uint64)
         first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1)))
         length = np.diff(np.append(first, len(rows)))
         left = np.repeat(np.where(length <= FEW, length, 0), length) - (np.arange(len(rows)) - np.repeat(first, length))
         out = []
         for d in range(1, FEW):
             i = np.flatnonzero(left > d)
-            i = i[(place[i] != place[i + d]).any(axis=1) & (far(sketch[i], sketch[i + d]) <= most)]
+            i = i[(place[i, :2] != place[i + d, :2]).any(axis=1) & (far(sketch[i], sketch[i + d]) <= most)]
             out.append(np.stack([i, i + d], axis=1))
         for a, m in zip(first[length > FEW].tolist(), length[length > FEW].tolist()):
             z = a + m
@@ -306,10 +306,10 @@ def near_in_buckets(held: DataFrame, again: DataFrame, most: int) -> DataFrame:
             if linked.any():
                 out.append(np.array(forest(linked | linked.T, list(range(a, z))), dtype=np.int64).reshape(-1, 2))
         pairs = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(place[pairs[:, i], j]) for i in (0, 1) for j in (0, 1)], names=["ai", "aa", "bi", "ba"])
+        return pa.RecordBatch.from_arrays([pa.array(place[pairs[:, i], j]) for i in (0, 1) for j in (0, 1, 2)], names=["ai", "aa", "a_size", "bi", "ba", "b_size"])
 
-    found = dealt.mapInArrow(lean(lambda batches: whole_groups(batches, 3, edges)), "ai long, aa long, bi long, ba long").distinct()
-    return found.select(F.struct(F.col("ai").alias("id"), F.col("aa").alias("at")).alias("a"), F.struct(F.col("bi").alias("id"), F.col("ba").alias("at")).alias("b"))
+    found = dealt.mapInArrow(lean(lambda batches: whole_groups(batches, 3, edges)), "ai long, aa long, a_size long, bi long, ba long, b_size long").distinct()
+    return found.select(F.struct(F.col("ai").alias("id"), F.col("aa").alias("at")).alias("a"), F.struct(F.col("bi").alias("id"), F.col("ba").alias("at")).alias("b"), "a_size", "b_size")
 
 
 def candidate_lines(rows: DataFrame, places: Bloom) -> DataFrame:
@@ -390,13 +390,13 @@ def line_classes(rows: DataFrame, places: Bloom, threshold: float, bands: int, p
     held = band_keys(found, Bloom.of(again.select(F.xxhash64("key").alias("k")), "k"))
     edges = stage(near_in_buckets(held, again, farthest(bands * per, threshold)), "candidates")
     comps = components(edges)
-    unstage(again, edges)
-    sized = comps.select("id.*", F.col("component").alias("c")).join(found.select("id", "at", "size").hint("merge"), ["id", "at"])
+    size = edges.select(F.col("a").alias("id"), F.col("a_size").alias("size")).union(edges.select("b", "b_size")).distinct()
+    sized = comps.join(size, "id").select("id.*", F.col("component").alias("c"), "size")
     sizes = sized.groupBy("c").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).select("c", blocks("m", "grams").alias("n_blocks"))
-    placed = stage(sized.join(sizes.hint("merge"), "c").select("id", "at", "c", "n_blocks"), "members")
-    unstage(found)
+    placed = stage(sized.join(sizes, "c").select("id", "at", "c", "n_blocks"), "members")
+    unstage(found, again, edges)
     lines = candidate_lines(rows, Bloom.of(placed.select(F.xxhash64("id", "at").alias("k")), "k"))
-    links = stage(linked_lines(lines.join(placed.hint("merge"), ["id", "at"]), threshold), "links")
+    links = stage(linked_lines(lines.join(placed, ["id", "at"]), threshold), "links")
     unstage(placed)
     return components(links)
 
@@ -408,7 +408,7 @@ def removed_lines(rows: DataFrame, threshold: float, recall: float) -> DataFrame
     distinct = stage(found.groupBy("hi", "lo").agg(F.count("*").alias("c"), F.min(F.struct("id", "at")).alias("first")), "lines")
     classes = line_classes(rows, Bloom.of(distinct.select(place_key("first")), "k"), threshold, bands, per)
     # a copy goes unless it is the first of its line, and a first one unless it is its component's label
-    copies = found.join(distinct.where("c > 1").select("hi", "lo", "first").hint("merge"), ["hi", "lo"]).where("id <> first.id or at <> first.at").select("id", "at")
+    copies = found.join(distinct.where("c > 1").select("hi", "lo", "first"), ["hi", "lo"]).where("id <> first.id or at <> first.at").select("id", "at")
     going = copies.unionByName(classes.where("id <> component").select("id.*"))
     out = stage(going.groupBy("id", F.shiftright("at", NUMBER).alias("h")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << NUMBER) - 1)).cast("int")).alias("lines")), "going")
     unstage(found, distinct, classes)
