@@ -389,12 +389,13 @@ def line_classes(rows: DataFrame, places: Bloom, threshold: float, bands: int, p
     again = stage(repeated_keys(found), "keys")
     held = band_keys(found, Bloom.of(again.select(F.xxhash64("key").alias("k")), "k"))
     edges = stage(near_in_buckets(held, again, farthest(bands * per, threshold)), "candidates")
+    unstage(found, again)
     comps = components(edges)
     size = edges.select(F.col("a").alias("id"), F.col("a_size").alias("size")).union(edges.select("b", "b_size")).distinct()
     sized = comps.join(size, "id").select("id.*", F.col("component").alias("c"), "size")
     sizes = sized.groupBy("c").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).select("c", blocks("m", "grams").alias("n_blocks"))
     placed = stage(sized.join(sizes, "c").select("id", "at", "c", "n_blocks"), "members")
-    unstage(found, again, edges)
+    unstage(edges)
     lines = candidate_lines(rows, Bloom.of(placed.select(F.xxhash64("id", "at").alias("k")), "k"))
     links = stage(linked_lines(lines.join(placed, ["id", "at"]), threshold), "links")
     unstage(placed)
