@@ -402,17 +402,30 @@ def line_classes(rows: DataFrame, places: Bloom, threshold: float, bands: int, p
     return components(links)
 
 
+def copies_of(found: DataFrame, again: DataFrame) -> DataFrame:
+    """(id, at) of the occurrences of the lines ``again`` (hi, lo, first) other than the first; a sieve spares single lines the shuffle."""
+    sieve = shared(found.sparkSession, Bloom.of(again, "hi"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(sieve.value.has(batch.column("hi").to_numpy())))
+
+    return found.mapInArrow(lean(run), found.schema).join(again, ["hi", "lo"]).where("id <> first.id or at <> first.at").select("id", "at")
+
+
 def removed_lines(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(id, h, lines): the numbers of the lines that go, by document."""
     bands, per = banding(threshold, recall, HASHES)
     found = stage(occurrences(rows), "occurrences")
     distinct = stage(found.groupBy("hi", "lo").agg(F.count("*").alias("c"), F.min(F.struct("id", "at")).alias("first")), "lines")
-    classes = line_classes(rows, Bloom.of(distinct.select(place_key("first")), "k"), threshold, bands, per)
+    copies = stage(copies_of(found, distinct.where("c > 1").select("hi", "lo", "first")), "copies")
+    places = Bloom.of(distinct.select(place_key("first")), "k")
+    unstage(found, distinct)
     # a copy goes unless it is the first of its line, and a first one unless it is its component's label
-    copies = found.join(distinct.where("c > 1").select("hi", "lo", "first"), ["hi", "lo"]).where("id <> first.id or at <> first.at").select("id", "at")
+    classes = line_classes(rows, places, threshold, bands, per)
     going = copies.unionByName(classes.where("id <> component").select("id.*"))
     out = stage(going.groupBy("id", F.shiftright("at", NUMBER).alias("h")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << NUMBER) - 1)).cast("int")).alias("lines")), "going")
-    unstage(found, distinct, classes)
+    unstage(copies, classes)
     return out
 
 
