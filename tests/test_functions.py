@@ -82,6 +82,14 @@ def test_citations(spark):
 def test_fix_and_framing():
     got = m.fix_anchor("[A.java:3] old() → new()\n说明：why")
     assert got == {"has_anchor": True, "loc": "A.java:3", "before": "old()", "after": "new()", "desc": "why"}
+    sides = lambda code: tuple(m.fix_anchor(f"A.java:3 {code}\n说明: why")[k] for k in ("before", "after"))
+    assert sides("修改前片段 String p = a;\n→ 修改后代码：\nString p = b;") == ("String p = a;", "String p = b;")
+    assert sides("修改前：a() → 修改后：b()") == ("a()", "b()") and sides("(f) 修改前片段 a() → b()") == ("a()", "b()")
+    assert sides("修改前 → 修改后\n修改前：a()\n修改后：\nb()") == ("a()", "b()")
+    assert sides("修改前\na()\n修改后\nb()") == ("a()", "b()") and sides("a()") == ("a()", "")
+    # the words inside code are no labels
+    assert sides("修改前缀 = 1 → 修改后置(x)") == ("修改前缀 = 1", "修改后置(x)") and sides("foo(bar) → baz") == ("foo(bar)", "baz")
+    assert m.fix_anchor("[A.java:3] a → b\n说明：x 修改前 → 修改后：y")["desc"] == "x y"
     assert not m.fix_anchor("text")["has_anchor"] and not m.fix_anchor(None)["has_anchor"]
     assert m.unescape(r"a\nb\\n") == "a\nb\\n" and m.unescape("x\ny\\n") == "x\ny\\n"
     assert m.recovered_fields('v", "severity</arg_key><arg_value>"high"') == ("v", {"severity": "high"}) and m.recovered_fields("plain") == ("plain", {})
