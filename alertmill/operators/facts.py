@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertmill.functions import text as t
-from alertmill.operators.graph import closure, simple_paths, top_per_group
+from alertmill.operators.graph import closure, cut, cut_off, flipped, paths_between, top_per_group
 
 # fixed values: prefixes and short names of library classes, names of reflective and proxy calls
 LIBRARIES = ("java.", "javax.", "sun.", "jdk.", "android.", "kotlin.", "scala.")
@@ -76,20 +76,26 @@ def field_values(*candidates: DataFrame) -> DataFrame:
 
 
 def source_traces(edges: DataFrame, starts: DataFrame, sources: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(start, path, exhausted): every simple path from a method back to an entry or tainted method, written source first; ``exhausted`` where depth cut a path off."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    paths = simple_paths(back, starts, max_depth)
-    hit = paths.join(sources.select("node").distinct(), "node", "left_semi").select("start", F.reverse("path").alias("path"))
-    cut_off = paths.where(F.size("path") == max_depth + 1).join(back.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("start").distinct().withColumn("exhausted", F.lit(True))
-    return hit.join(cut_off, "start", "left").withColumn("exhausted", F.coalesce("exhausted", F.lit(False)))
+    """(start, path, exhausted): every simple path from a method back to an entry or tainted method (node), written source first.
+
+    ``exhausted`` says that depth cut some path of the start off, so that its traces may not be all; a start that is cut off and has no
+    trace comes once with a null path.
+    """
+    back = cut(flipped(edges))
+    hit = paths_between(back, starts, sources, max_depth).select("start", F.reverse("path").alias("path"))
+    short = cut(cut_off(back, starts, max_depth)).withColumn("exhausted", F.lit(True))
+    found = hit.join(short, "start", "left").withColumn("exhausted", F.coalesce("exhausted", F.lit(False)))
+    none = short.join(hit.select("start").distinct(), "start", "left_anti").select("start", F.lit(None).cast(hit.schema["path"].dataType).alias("path"), "exhausted")
+    return found.unionByName(none)
 
 
 def flow_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, tainted: DataFrame, max_depth: int = 24, limit: int = 500) -> DataFrame:
-    """(start, path): tainted paths to methods that call a sink, the shortest first. ``edges`` (src, dst, passes) says whether a call passes the value on."""
+    """(start, path): tainted paths to methods that call a sink, of each start the ``limit`` shortest, ties by the path itself. ``edges`` (src, dst, passes) says whether a call passes the value on."""
     live = edges.where("passes").select("src", "dst")
-    paths = simple_paths(live, starts.join(tainted.select(F.col("node").alias("start")).distinct(), "start", "left_semi"), max_depth)
-    hit = paths.join(sinks.select("node").distinct(), "node", "left_semi")
-    return hit.dropDuplicates(["path"]).orderBy(F.size("path"), "path").limit(limit).select("start", "path")
+    begin = starts.join(tainted.select(F.col("node").alias("start")).distinct(), "start", "left_semi")
+    hit = paths_between(live, begin, sinks, max_depth, limit)
+    w = Window.partitionBy("start").orderBy(F.size("path"), "path")
+    return hit.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select("start", "path")
 
 
 def transitive_callers(edges: DataFrame, starts: DataFrame, max_depth: int = 5, most: int = 15) -> DataFrame:

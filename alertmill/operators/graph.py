@@ -1,29 +1,44 @@
 """Graph operators by iterative joins: closures, least depths, simple paths, bounded chains, orders, hierarchies.
 
-Edges are (src, dst). Loops run on the driver, data on the executors; every round is cut off with a checkpoint,
+Edges are (src, dst). Loops run on the driver, data on the executors; every round is cut off as a table in the shared folder,
 new rows are found by anti join, and a loop ends when nothing new appears or its depth is reached.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, in the checkpoint folder that all executors share."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on one machine a folder of our own where it is unset."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="alertmill-")
+        spark.conf.set("spark.checkpoint.dir", where)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="alertmill-")
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    return where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, as a table in the folder that all executors share: its size is known to the plans that read it.
+
+    What a table cannot hold, columns of one name or without a type, is checkpointed instead.
+    """
+    where = shared_dir(df.sparkSession)
+    if len({c.lower() for c in df.columns}) < len(df.columns) or "void" in df.schema.simpleString():
+        return df.checkpoint(eager=True)
+    path = f"{where}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Deltas:
@@ -83,6 +98,162 @@ def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int, stop: Data
     return out
 
 
+def distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, depth): the least number of edges from any of ``sources`` (node); one row a node, whatever the number of sources."""
+    edges = edges.select("src", "dst")
+    seen = Deltas(cut(sources.select("node").distinct().withColumn("depth", F.lit(0))))
+    front, depth = seen.all(), 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        front = cut(seen.without(step, ["node"]).withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
+        seen.add(front)
+    return seen.all()
+
+
+def flipped(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def between(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
+    """(src, dst, left): the edges that lie on some walk of ``max_depth`` edges at most from a start to a target (node); ``left`` edges
+    at least lead on from dst. Forward and backward reach cut the graph before any path is built."""
+    edges = cut(edges.select("src", "dst").distinct())
+    ahead = distances(edges, starts.select(F.col("start").alias("node")), max_depth).select(F.col("node").alias("src"), F.col("depth").alias("ahead"))
+    left = distances(flipped(edges), targets, max_depth).select(F.col("node").alias("dst"), F.col("depth").alias("left"))
+    return cut(edges.join(ahead, "src").join(left, "dst").where(F.col("ahead") + 1 + F.col("left") <= max_depth).select("src", "dst", "left"))
+
+
+def paths_between(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int, limit: int | None = None) -> DataFrame:
+    """(start, node, path): every simple path of ``max_depth`` edges at most from a start to a target (node), the start itself if it is one.
+
+    Paths are unrolled on what ``between`` leaves, so dead ends cost nothing, and only as far as a target can still be met. With
+    ``limit``, a start that has so many paths after a round is left out of the next one: its shortest ones are found.
+    """
+    live = between(edges, starts, targets, max_depth)
+    ends = cut(targets.select("node").distinct())
+    front = cut(starts.select("start", F.col("start").alias("node"), F.array("start").alias("path")).distinct())
+    out = cut(front.join(ends, "node", "left_semi").select("start", "node", "path"))
+    for depth in range(max_depth):
+        step = front.join(live, (front["node"] == live["src"]) & (live["left"] < max_depth - depth)).where(~F.array_contains("path", F.col("dst")))
+        front = cut(step.select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front.join(ends, "node", "left_semi").select("start", "node", "path"))
+        if limit is not None:
+            out = cut(out)
+            full = out.groupBy("start").count().where(F.col("count") >= limit)
+            front = front.join(full, "start", "left_anti")
+    return out
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of the edges: its strongly connected component, named by its least node; null ends are dropped.
+
+    Nodes with one way on are contracted first, forwards and backwards, by pointer doubling, so rings and chains of n nodes take
+    log n rounds. What is left is trimmed, then coloured: the least node that reaches a node (forward reach) is its colour, and those
+    that reach the colour's own node inside the colour (backward reach) are its component; all colours at once, until no node is left.
+    """
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    live, undo, found = cut(edges.where("src <> dst")), [], []
+    for back in (False, True):
+        live, rings, steps = _contracted(flipped(live) if back else live)
+        live = cut(flipped(live)) if back else live
+        found.append(rings)
+        undo.append(steps)
+    while True:
+        live = _trimmed(live)
+        if live.isEmpty():
+            break
+        core = cut(_coloured(live))
+        found.append(core)
+        live = cut(live.join(core.select(F.col("node").alias("src")), "src", "left_anti").join(core.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    named = cut(reduce(DataFrame.unionByName, found))
+    for steps in reversed(undo):
+        named = cut(named.unionByName(_restored(steps, named)))
+    # a component takes its name from all members, the contracted ones too
+    low = named.groupBy("component").agg(F.min("node").alias("low"))
+    named = named.join(low, "component").select("node", F.col("low").alias("component"))
+    return cut(nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """The edges without the nodes that have one way on, edges into those leading to where their chain ends; the rings found among
+    them (node, component); and what ``_restored`` needs."""
+    single = cut(edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to")).where("n = 1").select(F.col("src").alias("node"), "to"))
+    jumps, n = [single], single.count()
+    at = cut(single.select("node", "to", F.least("node", "to").alias("low")))
+    covered = 1
+    while covered <= n:
+        beyond = at.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("low").alias("lower"))
+        at = cut(at.join(beyond, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.least("low", F.coalesce("lower", "low")).alias("low"), F.col("next").isNotNull().alias("on")))
+        if not at.where("on").limit(1).count():
+            break
+        jumps.append(at.where("on").select("node", "to"))
+        at = at.drop("on")
+        covered *= 2
+    at = at.drop("on")
+    # pointers that never left the single nodes ended on rings, and every node of a ring is where some pointer ended
+    inside = at.join(single.select(F.col("node").alias("to")), "to", "left_semi")
+    ring = cut(inside.select(F.col("to").alias("node")).distinct().join(at, "node").select("node", F.col("low").alias("component")))
+    out = cut(at.join(single.select(F.col("node").alias("to")), "to", "left_anti").select("node", F.col("to").alias("exit")))
+    rest = edges.join(single.select(F.col("node").alias("src")), "src", "left_anti")
+    short = rest.join(out.withColumnRenamed("node", "dst"), "dst", "left").join(ring.select(F.col("node").alias("dst"), F.lit(True).alias("_ring")), "dst", "left")
+    # a way into a chain that ends in a ring comes back from nowhere
+    lost = inside.select(F.col("node").alias("dst"), F.lit(True).alias("_lost")).distinct()
+    short = short.join(lost, "dst", "left").where("_ring is null and _lost is null").select("src", F.coalesce("exit", "dst").alias("dst")).where("src <> dst").distinct()
+    entries = cut(rest.join(out.withColumnRenamed("node", "dst"), "dst").select(F.col("dst").alias("node"), F.col("src").alias("from"), "exit"))
+    return cut(short), ring, {"jumps": jumps, "entries": entries, "exits": out}
+
+
+def _restored(steps: dict, named: DataFrame) -> DataFrame:
+    """(node, component) of the contracted nodes that are part of a component: those that lie behind a way into their chain from a node of
+    the component that the chain ends in."""
+    name = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    # a node without a component of its own may still close a ring through its own chain
+    entries = steps["entries"].join(name("from"), "from", "left").join(name("exit"), "exit", "left")
+    entries = entries.select("node", F.coalesce("from_c", "from").alias("f"), F.coalesce("exit_c", "exit").alias("component")).where("f = component")
+    marks = cut(entries.select("node", "component").distinct())
+    for jump in steps["jumps"]:
+        far = marks.join(jump, "node").select(F.col("to").alias("node"), "component")
+        marks = cut(marks.unionByName(far.join(steps["exits"], "node", "left_semi")).distinct())
+    ends = marks.select("component").distinct().select(F.col("component").alias("node"), "component")
+    # where an exit stood alone until now, its own row comes with its chain
+    return marks.unionByName(ends.join(named, "node", "left_anti"))
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges less those of nodes that nothing leads to or that lead nowhere, and less those that this leaves loose."""
+    for _ in range(2):
+        heads, tails = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = cut(edges.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
+    return edges
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, component): the component of every colour's own node."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    colour = cut(nodes.select("node", F.col("node").alias("c")))
+    while True:
+        seen = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
+        after = cut(colour.join(seen, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("new")))
+        colour = after.select("node", "c")
+        if not after.where("new").limit(1).count():
+            break
+    own = edges.join(colour.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst").where("a = b")
+    return distances(flipped(cut(own.select("src", "dst"))), colour.where("node = c").select("node")).select("node").join(colour, "node").select("node", F.col("c").alias("component"))
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(node) of nodes on a cycle: with others in a component, or with an edge to itself."""
+    parts = strong_components(edges)
+    big = parts.groupBy("component").count().where("count > 1")
+    return parts.join(big, "component", "left_semi").select("node").union(edges.where("src = dst").select(F.col("src").alias("node"))).distinct()
+
+
 def shortest_first(paths: DataFrame, limit: int = 500) -> DataFrame:
     """Paths once each, the shortest first, at most ``limit``; ties by the path itself."""
     return paths.dropDuplicates(["path"]).orderBy(F.size("path"), "path").limit(limit)
@@ -95,6 +266,70 @@ def longest_to(paths: DataFrame, targets: DataFrame) -> DataFrame:
     return hits.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def forward_trace(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int = 24) -> DataFrame:
+    """(start, node, path): for each start the longest simple path of ``max_depth`` edges at most that ends at its first target; of equal ones the first in order.
+
+    Which lengths lead from a node to a target is worked out backwards, one row a node and length, and the path is read off forwards.
+    That is exact where no cycle lies between; starts with a cycle between have their paths unrolled.
+    """
+    ends = cut(targets.select("node").distinct())
+    # a path ends at the first target
+    inner = edges.select("src", "dst").distinct().join(ends.withColumnRenamed("node", "src"), "src", "left_anti")
+    live = between(inner, starts, ends, max_depth).select("src", "dst")
+    around = cut(distances(flipped(live), on_cycles(live)).select(F.col("node").alias("start")))
+    starts = starts.select("start").distinct()
+    plain, twisted = cut(starts.join(around, "start", "left_anti")), cut(starts.join(around, "start", "left_semi"))
+    lengths = Deltas(ends.select("node", F.lit(0).alias("k")))
+    front = lengths.all()
+    # nodes from which a cycle can be entered are no part of a plain start's way
+    straight = cut(live.join(around.withColumnRenamed("start", "src"), "src", "left_anti"))
+    for k in range(1, max_depth + 1):
+        front = cut(front.join(straight, front["node"] == straight["dst"]).select(F.col("src").alias("node"), F.lit(k).alias("k")).distinct())
+        if front.isEmpty():
+            break
+        lengths.add(front)
+    far = lengths.all()
+    best = plain.join(far.groupBy(F.col("node").alias("start")).agg(F.max("k").alias("k")), "start")
+    walk = cut(best.select("start", F.col("start").alias("node"), "k", F.array("start").alias("path")))
+    done = []
+    while True:
+        done.append(walk.where("k = 0").select("start", "node", "path"))
+        going = walk.where("k > 0")
+        if going.isEmpty():
+            break
+        ways = going.join(straight, going["node"] == straight["src"]).select("start", "dst", "path", (F.col("k") - 1).alias("k"))
+        ways = ways.join(far.withColumnRenamed("node", "dst"), ["dst", "k"])
+        walk = cut(ways.groupBy("start", "k", "path").agg(F.min("dst").alias("node")).select("start", "node", "k", F.concat("path", F.array("node")).alias("path")))
+    unrolled = longest_to(paths_between(live, twisted, ends, max_depth), ends)
+    return reduce(DataFrame.unionByName, [*done, unrolled.select("start", "node", "path")])
+
+
+def cut_off(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+    """(start) of starts with a simple path of ``max_depth`` edges that could go on: what a search of that depth leaves out.
+
+    A start with no walk that long has none; one that reaches no cycle then has one; so has one whose shortest way somewhere is
+    that long. Only for what is left are paths unrolled.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    able = edges.select(F.col("src").alias("node")).distinct()
+    for _ in range(max_depth):
+        able = cut(edges.join(able.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct())
+        if able.isEmpty():
+            break
+    left = cut(starts.select("start").distinct().join(able.withColumnRenamed("node", "start"), "start", "left_semi"))
+    if left.isEmpty():
+        return left
+    around = distances(flipped(edges), on_cycles(edges)).select(F.col("node").alias("start"))
+    sure, unsure = left.join(around, "start", "left_anti"), cut(left.join(around, "start", "left_semi"))
+    if unsure.isEmpty():
+        return sure
+    on = edges.select(F.col("src").alias("node")).distinct()
+    far = closure(edges, unsure, max_depth).where(F.col("depth") == max_depth).join(on, "node", "left_semi").select("start").distinct()
+    rest = cut(unsure.join(far, "start", "left_anti"))
+    long = simple_paths(edges, rest, max_depth).where(F.size("path") == max_depth + 1).join(on, "node", "left_semi").select("start").distinct()
+    return reduce(DataFrame.unionByName, [sure, far, long]).distinct()
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group, and in ``truncated`` how many the group has beyond them."""
     w = Window.partitionBy(*group)

@@ -402,16 +402,40 @@ def topological_levels(spark, sf):
 # ---- ranges and windows ----
 
 
-@query("""SELECT DISTINCT o_orderkey, h FROM (SELECT o_orderkey, o_custkey, epoch(o_orderdate) // 86400 AS a, epoch(o_orderdate) // 86400 + 20 AS b FROM orders) o JOIN (SELECT l_orderkey % 1000 AS k, l_linenumber AS h, epoch(l_shipdate) // 86400 AS x, epoch(l_shipdate) // 86400 + 5 AS y FROM lineitem) l ON l.k = o.o_custkey AND a <= y AND b >= x""")
-def range_overlap(spark, sf):
+_DAYS = "o AS (SELECT o_orderkey, o_orderkey % 1000 AS k, epoch(o_orderdate) // 86400 AS a, epoch(o_orderdate) // 86400 + o_custkey % 30 AS b FROM orders), l AS (SELECT l_orderkey, l_linenumber, l_orderkey % 1000 AS k, epoch(l_shipdate) // 86400 AS x, epoch(l_shipdate) // 86400 + l_linenumber AS y FROM lineitem)"
+
+
+def _spans(spark, sf):
+    """Orders and line items as ranges of days; both fold their order's number, so every order meets items."""
     day = lambda c: F.floor(F.unix_timestamp(_c(c).cast("timestamp")) / 86400)
-    o = table(spark, sf, "orders").select(_c("o_custkey").alias("k"), "o_orderkey", day("o_orderdate").alias("start"), (day("o_orderdate") + 20).alias("end"))
-    h = table(spark, sf, "lineitem").select((_c("l_orderkey") % 1000).alias("k"), _c("l_linenumber").alias("h"), day("l_shipdate").alias("from"), (day("l_shipdate") + 5).alias("to"))
-    out = None
-    for i in range(1, 8):
-        one = ranges.overlaps(o, h.where(_c("h") == i), "k").select("o_orderkey", F.lit(i).alias("h"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    o = table(spark, sf, "orders").select((_c("o_orderkey") % 1000).alias("k"), "o_orderkey", day("o_orderdate").alias("start"), (day("o_orderdate") + _c("o_custkey") % 30).alias("end"))
+    h = table(spark, sf, "lineitem").select((_c("l_orderkey") % 1000).alias("k"), "l_orderkey", "l_linenumber", day("l_shipdate").alias("from"), (day("l_shipdate") + _c("l_linenumber")).alias("to"))
+    return o, h
+
+
+@query(f"WITH {_DAYS} SELECT o_orderkey, l_orderkey, l_linenumber FROM o JOIN l ON l.k = o.k AND a <= y AND b >= x")
+def range_overlap(spark, sf):
+    pairs = ranges.overlap_pairs(*_spans(spark, sf), "k")
+    return pairs.select("span.o_orderkey", "hunk.l_orderkey", "hunk.l_linenumber")
+
+
+@query(f"WITH {_DAYS} SELECT o_orderkey FROM o WHERE EXISTS (SELECT 1 FROM l WHERE l.k = o.k AND a <= y AND b >= x)")
+def range_touched(spark, sf):
+    return ranges.overlaps(*_spans(spark, sf), "k").select("o_orderkey")
+
+
+@query("""WITH m AS (SELECT 'f' || p_partkey % 200 AS f, 'm' || p_size AS fn, p_partkey // 200 * 5 AS a, p_partkey // 200 * 5 + p_size % 7 AS b, p_partkey AS k FROM part), h AS (SELECT DISTINCT 'f' || l_partkey % 200 AS f, l_suppkey % 97 * 3 AS x, l_suppkey % 97 * 3 + l_linenumber // 3 AS y FROM lineitem WHERE l_returnflag = 'R'),
+e AS (SELECT DISTINCT l_suppkey AS c, l_partkey AS d FROM lineitem WHERE l_linenumber = 1), c AS (SELECT * FROM m WHERE EXISTS (SELECT 1 FROM h WHERE h.f = m.f AND a <= y AND b >= x)), u AS (SELECT f, fn, 0 AS hop FROM c UNION ALL SELECT m.f, m.fn, 1 FROM e JOIN c ON c.k = e.d JOIN m ON m.k = e.c)
+SELECT f AS file, fn AS function, CASE WHEN min(hop) = 0 THEN 'changed' ELSE 'caller' END AS reason FROM u GROUP BY ALL""")
+def changed_functions(spark, sf):
+    """Parts are functions with lines, line items the hunks of a diff and the calls."""
+    file = lambda c: F.concat(F.lit("f"), _c(c) % 200)
+    at = F.floor(_c("p_partkey") / 200) * 5
+    m = table(spark, sf, "part").select(file("p_partkey").alias("file"), F.concat(F.lit("m"), "p_size").alias("function"), at.alias("start"), (at + _c("p_size") % 7).alias("end"), _c("p_partkey").alias("method_key"))
+    li = table(spark, sf, "lineitem")
+    x = _c("l_suppkey") % 97 * 3
+    h = li.where("l_returnflag = 'R'").select(file("l_partkey").alias("file"), x.alias("from"), (x + F.floor(_c("l_linenumber") / 3)).alias("to"))
+    return ranges.changed_functions(m, h, li.where("l_linenumber = 1").select(_c("l_suppkey").alias("caller_key"), _c("l_partkey").alias("callee_key")))
 
 
 @query("""SELECT event_id, (SELECT max(s.event_id) FROM events s WHERE s.event_type = 'signup' AND s.user_id = p.user_id AND s.ts = (SELECT max(q.ts) FROM events q WHERE q.event_type = 'signup' AND q.user_id = p.user_id AND q.ts <= p.ts)) AS signup_id FROM events p WHERE event_type = 'purchase'""")
@@ -548,4 +572,4 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     return policy_findings(spark, sf)
 
 
-from alertmill.plans import code_queries  # noqa: E402, F401  registers the queries on code facts
+from alertmill.plans import code_queries, path_queries  # noqa: E402, F401  register the queries on code facts and paths
