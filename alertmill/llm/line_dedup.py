@@ -1,6 +1,7 @@
 """Fuzzy line dedup: character-shingle MinHash, banding, exact Jaccard, union-find, one line kept per component.
 
-A line is named by its place: its document's id and ``at``, a hash of the whole text beside its number there. Equal
+A line is named by its place: its document's id, ``h`` and its number ``at`` there; ``h`` is a 64-bit hash of the text where
+an id has several rows, and 0 where it has one. Equal
 lines (by xxh3-128) meet first, and only the first place of each goes on as a vertex: signatures, buckets, exact
 comparison and union-find all work on distinct lines. Places are ordered, so the label of a component is the line
 that stays, and every other place goes without another join.
@@ -15,29 +16,39 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import Bloom, arrow_map, buffer_of, components, lean, mix64, partitions, shared, stage, unstage
+from alertmill.llm.common import Bloom, arrow_map, buffer_of, components, lean, mix64, partitions, session, shared, stage, unstage
 from alertmill.llm.near_duplicates import banding, blocks, forest, functions, overlaps
-from alertmill.llm.repeats import LEAST, keyed, row_key
+from alertmill.llm.repeats import LEAST, row_key
 from alertmill.llm.scan import SPACE, Rolling
 
 #: Characters in a shingle.
 GRAM = 5
 #: Hashes in a signature at most.
 HASHES = 120
-#: Bits of ``at`` that hold a line's number; a hash of the text is above them.
-NUMBER = 31
+PLACE = ["id", "h", "at"]
 
 _UNIT = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
-def text_hashes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """32 bits that tell texts of one id apart."""
-    raw = buf.tobytes()
-    return np.array([xxhash.xxh3_64_intdigest(raw[a:z]) >> 32 for a, z in zip(offs[:-1].tolist(), offs[1:].tolist())], dtype=np.int64)
+def texts_of(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(id, h, text) and more columns: a null id is the least one, a null text empty; ``h`` hashes the whole text."""
+    session(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST).cast("long")).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), *more)
 
 
-def lines_of(batch: pa.RecordBatch) -> dict:
-    """The lines with ink of each text: row, place (``id``, ``at``), first and last byte."""
+def repeated_ids(rows: DataFrame) -> Bloom:
+    """A sieve of the ids that more than one row has; of the others the hash is not needed, and a 0 in its place takes no room."""
+    return Bloom.of(rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.xxhash64("id").alias("k")), "k")
+
+
+def hashes_of(batch: pa.RecordBatch, several: Bloom) -> np.ndarray:
+    ids, h = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "h"))
+    return np.where(several.has(row_key(ids)), h, 0)
+
+
+def lines_of(batch: pa.RecordBatch, several: Bloom) -> dict:
+    """The lines with ink of each text: row, place (``id``, ``h``, ``at``), first and last byte."""
     buf, offs = buffer_of(batch.column("text"))
     cuts = np.flatnonzero(buf == 10)
     starts = np.sort(np.concatenate([offs[:-1], cuts + 1]), kind="stable")
@@ -48,8 +59,7 @@ def lines_of(batch: pa.RecordBatch) -> dict:
     number = np.arange(len(row)) - np.searchsorted(row, row)
     full = ink[ends] > ink[starts]
     row, ids = row[full], batch.column("id").to_numpy(zero_copy_only=False)
-    at = text_hashes(buf, offs)[row] << NUMBER | number[full]
-    return {"buf": buf, "id": ids[row], "at": at, "start": starts[full], "end": ends[full]}
+    return {"buf": buf, "id": ids[row], "h": hashes_of(batch, several)[row], "at": number[full].astype(np.int64), "start": starts[full], "end": ends[full]}
 
 
 def of_lines(x: dict, keep: np.ndarray) -> dict:
@@ -129,17 +139,17 @@ def farthest(hashes: int, threshold: float) -> int:
     return int(n * p + 3.8 * (n * p * (1 - p)) ** 0.5) + 1
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """(id, at, hi, lo): every line with ink and the two halves of the xxh3-128 of its bytes."""
+def occurrences(rows: DataFrame, several) -> DataFrame:
+    """(id, h, at, hi, lo): every line with ink and the two halves of the xxh3-128 of its bytes."""
 
     def step(batch):
-        x = lines_of(batch)
+        x = lines_of(batch, several.value)
         raw = x["buf"].tobytes()
         both = b"".join([xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(x["start"].tolist(), x["end"].tolist())])
-        h = np.frombuffer(both, dtype=np.int64).reshape(-1, 2)
-        return {"id": x["id"], "at": x["at"], "hi": h[:, 0].copy(), "lo": h[:, 1].copy()}
+        d = np.frombuffer(both, dtype=np.int64).reshape(-1, 2)
+        return {**{k: x[k] for k in PLACE}, "hi": d[:, 0].copy(), "lo": d[:, 1].copy()}
 
-    return arrow_map(rows, "id long, at long, hi long, lo long", step, "text")
+    return arrow_map(rows, "id long, h long, at long, hi long, lo long", step, "text")
 
 
 #: Bytes of a band hash; chance meetings of longer ones are rare at any size, and all meetings are compared anyway.
@@ -157,13 +167,13 @@ def unpacked(raw: bytes | np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(np.int64)
 
 
-def signatures(rows: DataFrame, places: Bloom, bands: int, per: int) -> DataFrame:
-    """(id, at, size, bands, s0, s1) of the lines whose place may be in the sieve: their length in bytes, packed band hashes and sketch."""
+def signatures(rows: DataFrame, several, places: Bloom, bands: int, per: int) -> DataFrame:
+    """(id, h, at, size, bands, s0, s1) of the lines whose place may be in the sieve: their length in bytes, packed band hashes and sketch."""
     b = shared(rows.sparkSession, places)
 
     def step(batch):
-        x = lines_of(batch)
-        x = of_lines(x, np.flatnonzero(b.value.has(row_key(x["id"], x["at"]))))
+        x = lines_of(batch, several.value)
+        x = of_lines(x, np.flatnonzero(b.value.has(row_key(*(x[k] for k in PLACE)))))
         n = len(x["id"])
         if not n:
             return None
@@ -173,9 +183,9 @@ def signatures(rows: DataFrame, places: Bloom, bands: int, per: int) -> DataFram
             keys[i // per] = mix64(keys[i // per] ^ least[i]) + np.uint64(i)
         ends = np.arange(n + 1, dtype=np.int32) * np.int32(KEY * bands)
         bands_ = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(packed(mix64(np.ascontiguousarray(keys.T))))])
-        return {"id": x["id"], "at": x["at"], "size": (x["end"] - x["start"]).astype(np.int32), "bands": bands_, **sketches(least)}
+        return {**{k: x[k] for k in PLACE}, "size": (x["end"] - x["start"]).astype(np.int32), "bands": bands_, **sketches(least)}
 
-    return arrow_map(rows, "id long, at long, size int, bands binary, s0 long, s1 long", step, "text")
+    return arrow_map(rows, "id long, h long, at long, size int, bands binary, s0 long, s1 long", step, "text")
 
 
 #: Band hashes that a task gathers before it deals them out.
@@ -234,9 +244,9 @@ def repeated_keys(found: DataFrame) -> DataFrame:
 
 
 def band_keys(found: DataFrame, again: Bloom) -> DataFrame:
-    """(key, id, at, size, s0, s1) of the keys that may be in the sieve."""
+    """(key, id, h, at, size, s0, s1) of the keys that may be in the sieve."""
     b = shared(found.sparkSession, again)
-    names = ["id", "at", "size", *SKETCH]
+    names = [*PLACE, "size", *SKETCH]
 
     def run(batches):
         for batch in batches:
@@ -269,16 +279,23 @@ def whole_groups(batches, width: int, work):
         yield work(tail)
 
 
-PLACE = "struct<id:bigint,at:bigint>"
+def _two_places(df: DataFrame, *more: str) -> DataFrame:
+    """(a, b) and more columns: the six columns of two places as structs."""
+    side = lambda s: F.struct(*[F.col(s + k[0]).alias(k) for k in PLACE]).alias(s)
+    return df.select(side("a"), side("b"), *more)
+
+
+#: The columns of two places, id, hash and number.
+TWO = [s + k[0] for s in "ab" for k in PLACE]
 
 
 def near_in_buckets(held: DataFrame, again: DataFrame, most: int) -> DataFrame:
     """(a, b, a_size, b_size): edges that join, in every bucket ``key``, the lines whose sketches differ in at most ``most`` values; all pairs are compared, in blocks."""
     large = again.where(F.col("c") > BUCKET).select("key", F.ceil(F.col("c") / F.lit(BUCKET)).cast("int").alias("n"))
-    n, names = F.coalesce("n", F.lit(1)), ["id", "at", "size", *SKETCH]
-    own = held.join(large, "key", "left").withColumn("b", F.pmod(F.xxhash64("id", "at"), n).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
+    n, names = F.coalesce("n", F.lit(1)), [*PLACE, "size", *SKETCH]
+    own = held.join(large, "key", "left").withColumn("b", F.pmod(F.xxhash64(*PLACE), n).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
     order = ["key", "bi", "bj"]
-    dealt = own.select("key", F.least("b", "x").alias("bi"), F.greatest("b", "x").alias("bj"), "b", *names).repartition(partitions(held.sparkSession), *order).sortWithinPartitions(*order, "id", "at")
+    dealt = own.select("key", F.least("b", "x").alias("bi"), F.greatest("b", "x").alias("bj"), "b", *names).repartition(partitions(held.sparkSession), *order).sortWithinPartitions(*order, *PLACE)
 
     def far(x, y):
         d = x ^ y
@@ -286,15 +303,15 @@ def near_in_buckets(held: DataFrame, again: DataFrame, most: int) -> DataFrame:
 
     def edges(rows):
         """Of whole groups of ``key``, ``bi``, ``bj``."""
-        group, side, place = rows[:, :3], rows[:, 3], rows[:, 4:7]
-        sketch = np.ascontiguousarray(rows[:, 7:]).view(np.uint64)
+        group, side, place = rows[:, :3], rows[:, 3], rows[:, 4:8]
+        sketch = np.ascontiguousarray(rows[:, 8:]).view(np.uint64)
         first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1)))
         length = np.diff(np.append(first, len(rows)))
         left = np.repeat(np.where(length <= FEW, length, 0), length) - (np.arange(len(rows)) - np.repeat(first, length))
         out = []
         for d in range(1, FEW):
             i = np.flatnonzero(left > d)
-            i = i[(place[i, :2] != place[i + d, :2]).any(axis=1) & (far(sketch[i], sketch[i + d]) <= most)]
+            i = i[(place[i, :3] != place[i + d, :3]).any(axis=1) & (far(sketch[i], sketch[i + d]) <= most)]
             out.append(np.stack([i, i + d], axis=1))
         for a, m in zip(first[length > FEW].tolist(), length[length > FEW].tolist()):
             z = a + m
@@ -306,42 +323,43 @@ def near_in_buckets(held: DataFrame, again: DataFrame, most: int) -> DataFrame:
             if linked.any():
                 out.append(np.array(forest(linked | linked.T, list(range(a, z))), dtype=np.int64).reshape(-1, 2))
         pairs = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(place[pairs[:, i], j]) for i in (0, 1) for j in (0, 1, 2)], names=["ai", "aa", "a_size", "bi", "ba", "b_size"])
+        return pa.RecordBatch.from_arrays([pa.array(place[pairs[:, i], j]) for i in (0, 1) for j in range(4)], names=columns)
 
-    found = dealt.mapInArrow(lean(lambda batches: whole_groups(batches, 3, edges)), "ai long, aa long, a_size long, bi long, ba long, b_size long").distinct()
-    return found.select(F.struct(F.col("ai").alias("id"), F.col("aa").alias("at")).alias("a"), F.struct(F.col("bi").alias("id"), F.col("ba").alias("at")).alias("b"), "a_size", "b_size")
+    columns = [*TWO[:3], "a_size", *TWO[3:], "b_size"]
+    found = dealt.mapInArrow(lean(lambda batches: whole_groups(batches, 3, edges)), ", ".join(f"{c} long" for c in columns)).distinct()
+    return _two_places(found, "a_size", "b_size")
 
 
-def candidate_lines(rows: DataFrame, places: Bloom) -> DataFrame:
-    """(id, at, line): the bytes of the lines whose place may be in the sieve."""
+def candidate_lines(rows: DataFrame, several, places: Bloom) -> DataFrame:
+    """(id, h, at, line): the bytes of the lines whose place may be in the sieve."""
     b = shared(rows.sparkSession, places)
 
     def step(batch):
-        x = lines_of(batch)
-        x = of_lines(x, np.flatnonzero(b.value.has(row_key(x["id"], x["at"]))))
+        x = lines_of(batch, several.value)
+        x = of_lines(x, np.flatnonzero(b.value.has(row_key(*(x[k] for k in PLACE)))))
         raw = x["buf"].tobytes()
-        return {"id": x["id"], "at": x["at"], "line": pa.array([raw[a:z] for a, z in zip(x["start"].tolist(), x["end"].tolist())], pa.binary())} if len(x["id"]) else None
+        return {**{k: x[k] for k in PLACE}, "line": pa.array([raw[a:z] for a, z in zip(x["start"].tolist(), x["end"].tolist())], pa.binary())} if len(x["id"]) else None
 
-    return arrow_map(rows, "id long, at long, line binary", step, "text")
+    return arrow_map(rows, "id long, h long, at long, line binary", step, "text")
 
 
 def linked_lines(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): a spanning forest of the lines at the threshold, of members (c, id, at, line, n_blocks) of a component ``c``: all are compared exactly, in blocks."""
+    """(a, b): a spanning forest of the lines at the threshold, of members (c, id, h, at, line, n_blocks) of a component ``c``: all are compared exactly, in blocks."""
     n = F.col("n_blocks")
-    dealt = members.withColumn("b", F.pmod(F.xxhash64("id", "at"), n).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
-    order = ["ci", "ca", "bi", "bj"]
-    dealt = dealt.select(F.col("c.id").alias("ci"), F.col("c.at").alias("ca"), F.least("b", "x").alias("bi"), F.greatest("b", "x").alias("bj"), "b", "id", "at", "line")
-    dealt = dealt.repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order, "id", "at")
+    dealt = members.withColumn("b", F.pmod(F.xxhash64(*PLACE), n).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
+    order = ["ci", "ch", "ca", "bi", "bj"]
+    dealt = dealt.select(*[F.col(f"c.{k}").alias("c" + k[0]) for k in PLACE], F.least("b", "x").alias("bi"), F.greatest("b", "x").alias("bj"), "b", *PLACE, "line")
+    dealt = dealt.repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order, *PLACE)
 
     def check(out, held):
         """One block with itself, or two blocks."""
-        place, sets, side = [(r[5], r[6]) for r in held], [r[7] for r in held], np.array([r[4] for r in held])
+        place, sets, side = [r[6:9] for r in held], [r[9] for r in held], np.array([r[5] for r in held])
         if len(held) == 2:
             inter = len(np.intersect1d(*sets, assume_unique=True))
-            if side.tolist() in ([held[0][2], held[0][3]], [held[0][3], held[0][2]]) and inter >= threshold * (len(sets[0]) + len(sets[1]) - inter) - 1e-6:
+            if side.tolist() in ([held[0][3], held[0][4]], [held[0][4], held[0][3]]) and inter >= threshold * (len(sets[0]) + len(sets[1]) - inter) - 1e-6:
                 out.append((*place[1], *place[0]))
             return
-        one, other = np.flatnonzero(side == held[0][2]), np.flatnonzero(side == held[0][3])
+        one, other = np.flatnonzero(side == held[0][3]), np.flatnonzero(side == held[0][4])
         if not len(one) or not len(other):
             return
         size = np.array([len(x) for x in sets], dtype=np.float64)
@@ -353,15 +371,15 @@ def linked_lines(members: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         held, out = [], []
-        emit = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["ai", "aa", "bi", "ba"])
+        emit = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=TWO)
         for batch in batches:
             *rest, lines = (c.to_pylist() for c in batch.columns)
             for r in zip(*rest, shingle_sets(lines)):
-                if held and r[:4] != held[0][:4]:
+                if held and r[:5] != held[0][:5]:
                     if len(held) > 1:
                         check(out, held)
                     held = []
-                if not held or r[5:7] != held[-1][5:7]:
+                if not held or r[6:9] != held[-1][6:9]:
                     held.append(r)
             if out:
                 yield emit(out)
@@ -371,21 +389,20 @@ def linked_lines(members: DataFrame, threshold: float) -> DataFrame:
         if out:
             yield emit(out)
 
-    found = dealt.mapInArrow(lean(run), "ai long, aa long, bi long, ba long")
-    return found.select(F.struct(F.col("ai").alias("id"), F.col("aa").alias("at")).alias("a"), F.struct(F.col("bi").alias("id"), F.col("ba").alias("at")).alias("b"))
+    return _two_places(dealt.mapInArrow(lean(run), ", ".join(f"{c} long" for c in TWO)))
 
 
 def place_key(c: str) -> Column:
     """What ``row_key`` gives for a place."""
-    return F.xxhash64(f"{c}.id", f"{c}.at").alias("k")
+    return F.xxhash64(*[f"{c}.{k}" for k in PLACE]).alias("k")
 
 
-def line_classes(rows: DataFrame, places: Bloom, threshold: float, bands: int, per: int) -> DataFrame:
+def line_classes(rows: DataFrame, several, places: Bloom, threshold: float, bands: int, per: int) -> DataFrame:
     """(id, component): the places linked to others and the first place of their class.
 
     A place that the sieve lets through though it is not the first of its line is linked to the first, so it is never a label.
     """
-    found = stage(signatures(rows, places, bands, per), "signatures")
+    found = stage(signatures(rows, several, places, bands, per), "signatures")
     again = stage(repeated_keys(found), "keys")
     held = band_keys(found, Bloom.of(again.select(F.xxhash64("key").alias("k")), "k"))
     edges = stage(near_in_buckets(held, again, farthest(bands * per, threshold)), "candidates")
@@ -394,37 +411,38 @@ def line_classes(rows: DataFrame, places: Bloom, threshold: float, bands: int, p
     size = edges.select(F.col("a").alias("id"), F.col("a_size").alias("size")).union(edges.select("b", "b_size")).distinct()
     sized = comps.join(size, "id").select("id.*", F.col("component").alias("c"), "size")
     sizes = sized.groupBy("c").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).select("c", blocks("m", "grams").alias("n_blocks"))
-    placed = stage(sized.join(sizes, "c").select("id", "at", "c", "n_blocks"), "members")
+    placed = stage(sized.join(sizes, "c").select(*PLACE, "c", "n_blocks"), "members")
     unstage(edges)
-    lines = candidate_lines(rows, Bloom.of(placed.select(F.xxhash64("id", "at").alias("k")), "k"))
-    links = stage(linked_lines(lines.join(placed, ["id", "at"]), threshold), "links")
+    lines = candidate_lines(rows, several, Bloom.of(placed.select(F.xxhash64(*PLACE).alias("k")), "k"))
+    links = stage(linked_lines(lines.join(placed, PLACE), threshold), "links")
     unstage(placed)
     return components(links)
 
 
 def copies_of(found: DataFrame, again: DataFrame) -> DataFrame:
-    """(id, at) of the occurrences of the lines ``again`` (hi, lo, first) other than the first; a sieve spares single lines the shuffle."""
+    """(id, h, at) of the occurrences of the lines ``again`` (hi, lo, first) other than the first; a sieve spares single lines the shuffle."""
     sieve = shared(found.sparkSession, Bloom.of(again, "hi"))
 
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(sieve.value.has(batch.column("hi").to_numpy())))
 
-    return found.mapInArrow(lean(run), found.schema).join(again, ["hi", "lo"]).where("id <> first.id or at <> first.at").select("id", "at")
+    return found.mapInArrow(lean(run), found.schema).join(again, ["hi", "lo"]).where("id <> first.id or h <> first.h or at <> first.at").select(*PLACE)
 
 
-def removed_lines(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
+def removed_lines(rows: DataFrame, several, threshold: float, recall: float) -> DataFrame:
     """(id, h, lines): the numbers of the lines that go, by document."""
     bands, per = banding(threshold, recall, HASHES)
-    found = stage(occurrences(rows), "occurrences")
-    distinct = stage(found.groupBy("hi", "lo").agg(F.count("*").alias("c"), F.min(F.struct("id", "at")).alias("first")), "lines")
+    found = stage(occurrences(rows, several), "occurrences")
+    distinct = stage(found.groupBy("hi", "lo").agg(F.count("*").alias("c"), F.min(F.struct(*PLACE)).alias("first")), "lines")
     copies = stage(copies_of(found, distinct.where("c > 1").select("hi", "lo", "first")), "copies")
     places = Bloom.of(distinct.select(place_key("first")), "k")
     unstage(found, distinct)
     # a copy goes unless it is the first of its line, and a first one unless it is its component's label
-    classes = line_classes(rows, places, threshold, bands, per)
-    going = copies.unionByName(classes.where("id <> component").select("id.*"))
-    out = stage(going.groupBy("id", F.shiftright("at", NUMBER).alias("h")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << NUMBER) - 1)).cast("int")).alias("lines")), "going")
+    classes = line_classes(rows, several, places, threshold, bands, per)
+    # rows of one id and text name the same places: each is gathered once, so a list is as long as its text has lines
+    going = copies.unionByName(classes.where("id <> component").select("id.*")).distinct()
+    out = stage(going.groupBy("id", "h").agg(F.collect_list(F.col("at").cast("int")).alias("lines")), "going")
     unstage(copies, classes)
     return out
 
@@ -440,16 +458,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text are one document, so a line of theirs stays or goes in each; rows that repeat an id with other texts are
     documents of their own, in the order of a hash of their texts; an empty table gives an empty one.
     """
-    rows = keyed(docs, id_col, text_col)
-    gone = removed_lines(rows, threshold, recall)
-    whole = rows if not carry else docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST).cast("long")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest"))
+    rows = texts_of(docs, id_col, text_col)
+    several = shared(docs.sparkSession, repeated_ids(rows))
+    gone = removed_lines(rows, several, threshold, recall)
+    whole = rows if not carry else texts_of(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest"))
     more = f", rest {whole.schema['rest'].dataType.simpleString()}" if carry else ""
     sieve = shared(docs.sparkSession, Bloom.of(gone.select(F.xxhash64("id", "h").alias("k")), "k"))
 
     extra = lambda batch: {"rest": batch.column("rest")} if carry else {}
 
     def suspects(maybe: bool, batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
-        h = text_hashes(*buffer_of(batch.column("text")))
+        h = hashes_of(batch, several.value)
         keep = sieve.value.has(row_key(batch.column("id").to_numpy(zero_copy_only=False), h)) == maybe
         return batch.filter(pa.array(keep)), h[keep]
 

@@ -198,7 +198,8 @@ def windows_of(docs: DataFrame, win: Windows, sieve: Bloom) -> DataFrame:
 
 
 def _gathered(spans: DataFrame) -> DataFrame:
-    one = spans.groupBy("id", "h").agg(F.collect_list(F.struct("s", "n")).alias("x"))  # as many as a document has windows
+    # rows of one id and text give the same spans: each is gathered once, so a list is as long as its text has windows
+    one = spans.distinct().groupBy("id", "h").agg(F.collect_list(F.struct("s", "n")).alias("x"))
     return stage(one.select("id", "h", F.col("x.s").alias("starts"), F.col("x.n").alias("counts")), "spans")
 
 

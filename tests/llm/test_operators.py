@@ -225,6 +225,34 @@ def test_line_dedup_of_repeated_ids(spark):
     assert [g for g in got if g[0] == 1 and g[1] == 2][0] == [g for g in got if g[0] == 1 and g[1] == 2][1]
 
 
+def test_line_dedup_of_texts_whose_short_hashes_meet(spark):
+    """Two texts of one id that 32 bits of a hash do not tell apart: the line that only one has stays."""
+    import xxhash
+
+    rng, seen, pair = random.Random(1), {}, None
+    while pair is None:
+        unique = f"a wholly unique sentence {rng.getrandbits(48):x}"
+        text = f"this line stands in both texts and is long\n{unique}"
+        pair = (seen[h], text) if (h := xxhash.xxh3_64_intdigest(text) >> 32) in seen and seen[h] != text else None
+        seen[h] = text
+    rows = [(5, pair[0]), (5, pair[1]), (1, pair[0].split("\n")[0] + "\n" + "q" * 40)]
+    got = {r.kept for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.95).collect()}
+    assert {x.split("\n")[1] for x in pair} <= {k for k in got}
+
+
+def test_many_equal_rows(spark):
+    """10**5 rows of one text without an id: their places are gathered once, not once a row."""
+    text = "\n".join(sha256(bytes([i])).hexdigest() for i in range(8))
+    same = spark.range(100_000).selectExpr("cast(null as long) as doc_id", f"'{text}' as text".replace("\n", "\\n"))
+    few = same.limit(50)
+    for df in (few, same):
+        n = df.count()
+        got = line_dedup.dedup_lines(df).groupBy("n_lines", "n_removed").count().collect()
+        assert [(r.n_lines, r.n_removed, r["count"]) for r in got] == [(8, 0, n)]
+        got = suffix_index.dedup_bytes(df).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+        assert [(r.n_bytes, r.n_removed, r.n_spans, r["count"]) for r in got] == [(len(text), len(text), 1, n)]
+
+
 @pytest.mark.parametrize("common", [0, 120])
 def test_line_dedup_recall(spark, common):
     """2,500 pairs just over the threshold, with and without boilerplate that makes all lines alike."""

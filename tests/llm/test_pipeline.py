@@ -46,6 +46,15 @@ def test_quality_keeps_good_labels(spark, kept):
     assert ids == {r.doc_id for r in quality.score(kept[0], model).where(F.col("quality") >= quality.KEEP).collect()}
 
 
+def test_lines_with_columns_of_clashing_names(spark):
+    """Columns named as the operator names its own results pass through the stage."""
+    rows = [(1, "a line of some length\nanother one here", "en", "s", 3, "k", 7, 9, "r", 5), (2, "a line of some length", "en", "s", 3, "K", 8, 9, "R", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, n_lines int, n_removed int, rest string, id long")
+    got = {r.doc_id: r for r in pipeline.single_lines(spark, docs, SF).collect()}
+    assert [(got[i].text, got[i].n_chars, got[i].kept, got[i].n_lines, got[i].n_removed, got[i].rest, got[i].id) for i in (1, 2)] == [(rows[0][1], 38, "k", 7, 9, "r", 5), ("", 0, "K", 8, 9, "R", 6)]
+    assert pipeline.single_lines(spark, docs.select("text", "doc_id"), SF).columns == ["text", "doc_id"]
+
+
 def test_lines(kept):
     assert dict(texts(kept[2])) == brute.lines(texts(kept[1]))
     assert kept[2].where("n_chars <> length(text)").count() == 0
