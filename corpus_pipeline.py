@@ -19,10 +19,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def single_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each component of similar lines stays; texts shrink, documents stay, ``n_chars`` follows."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = line_dedup.dedup_lines(docs, carry=rest)
-    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    """One line of each component of similar lines stays; texts shrink, documents stay, ``n_chars`` follows. Other columns, whatever their names, go along."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*(rest or [F.lit(1).alias("none")])).alias("carried")), carry=["carried"])
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*[(new[c] if c in new else F.col("carried").getField(c)).alias(c) for c in docs.columns])
 
 
 def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
