@@ -402,18 +402,20 @@ def line_classes(rows: DataFrame, several, places: Bloom, threshold: float, band
 
     A place that the sieve lets through though it is not the first of its line is linked to the first, so it is never a label.
     """
-    found = stage(signatures(rows, several, places, bands, per), "signatures")
+    signed = stage(signatures(rows, several, places, bands, per), "signatures")
+    # rows of one id and text have the same places: one of each goes on
+    found = signed.where("h = 0").unionByName(signed.where("h <> 0").dropDuplicates(PLACE))
     again = stage(repeated_keys(found), "keys")
     held = band_keys(found, Bloom.of(again.select(F.xxhash64("key").alias("k")), "k"))
     edges = stage(near_in_buckets(held, again, farthest(bands * per, threshold)), "candidates")
-    unstage(found, again)
+    unstage(signed, again)
     comps = components(edges)
     size = edges.select(F.col("a").alias("id"), F.col("a_size").alias("size")).union(edges.select("b", "b_size")).distinct()
     sized = comps.join(size, "id").select("id.*", F.col("component").alias("c"), "size")
     sizes = sized.groupBy("c").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).select("c", blocks("m", "grams").alias("n_blocks"))
     placed = stage(sized.join(sizes, "c").select(*PLACE, "c", "n_blocks"), "members")
     unstage(edges)
-    lines = candidate_lines(rows, several, Bloom.of(placed.select(F.xxhash64(*PLACE).alias("k")), "k"))
+    lines = candidate_lines(rows, several, Bloom.of(placed.select(F.xxhash64(*PLACE).alias("k")), "k")).dropDuplicates(PLACE)
     links = stage(linked_lines(lines.join(placed, PLACE), threshold), "links")
     unstage(placed)
     return components(links)
