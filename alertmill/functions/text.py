@@ -140,6 +140,13 @@ def whole_word(needle: Column, haystack: Column) -> Column:
     return (text(needle) != "") & F.rlike(text(haystack), F.concat(F.lit(r"\b\Q"), text(needle), F.lit(r"\E\b")))
 
 
+def keyword_hit(keyword: Column, callee: Column) -> Column:
+    """Whether the last dotted part of a callee is a keyword, or starts with it and goes on with something else than an identifier's character."""
+    last = F.substring_index(text(callee), ".", -1)
+    rest = F.substr(last, F.length(text(keyword)) + 1)
+    return (text(keyword) != "") & F.startswith(last, text(keyword)) & ~F.rlike(rest, F.lit("^[a-zA-Z0-9_]"))
+
+
 def utc_stamp(ts: Column) -> Column:
     """The run stamp of an instant in UTC."""
     return F.date_format(ts, "yyyy-MM-dd'T'HHmmss")

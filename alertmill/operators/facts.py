@@ -44,10 +44,10 @@ def call_types(edges: DataFrame, annotations: DataFrame, interfaces: DataFrame,
 
 
 def call_conditions(edges: DataFrame, branches: DataFrame) -> DataFrame:
-    """Edges with ``condition``: ``if`` inside a branch (method_key, start, end), ``self`` where a method calls itself, else ``none``."""
+    """Edges (caller_key, callee_class, callee_method, line, receiver, in_lambda) with ``condition``, by the first that holds: ``lambda`` for the
+    body of a lambda, ``if`` inside a branch (method_key, start, end), ``self`` for a call on ``this``, else ``none``."""
     inside = edges.join(branches.withColumnRenamed("method_key", "caller_key"), "caller_key").where("line between start and end").select("caller_key", "callee_class", "callee_method", "line").distinct().withColumn("_in", F.lit(True))
-    own = t.pattern_of(F.col("caller_key")) == F.concat_ws(".", "callee_class", "callee_method")
-    return edges.join(inside, ["caller_key", "callee_class", "callee_method", "line"], "left").withColumn("condition", F.when(F.col("_in"), "if").when(own, "self").otherwise("none")).drop("_in")
+    return edges.join(inside, ["caller_key", "callee_class", "callee_method", "line"], "left").withColumn("condition", F.when(F.col("in_lambda"), "lambda").when(F.col("_in"), "if").when(F.col("receiver") == "this", "self").otherwise("none")).drop("_in")
 
 
 def implicit_flows(assigns: DataFrame, branches: DataFrame, tainted: DataFrame) -> DataFrame:
@@ -56,13 +56,17 @@ def implicit_flows(assigns: DataFrame, branches: DataFrame, tainted: DataFrame)
     return j.where(t.whole_word(F.col("source"), F.col("condition"))).select("method_key", "variable", "line", "source").distinct()
 
 
+# fixed values: annotations that guard a method
+GUARDING = ("PreAuthorize", "PostAuthorize", "Secured", "RolesAllowed", "DenyAll", "PermitAll")
+
+
 def validated(calls: DataFrame, branches: DataFrame, annotations: DataFrame, words: tuple[str, ...] = ("valid", "check", "verify", "permission", "isempty", "null")) -> DataFrame:
     """Calls (method_key, line) with ``validated``: a security annotation on the method, or a condition around them that sounds like a check."""
     hit = F.lit(False)
     for w in words:
         hit = hit | F.contains(F.lower("condition"), F.lit(w))
     ok = calls.join(branches, "method_key").where(F.col("line").between(F.col("start"), F.col("end")) & hit).select("method_key", "line").distinct().withColumn("_by", F.lit(True))
-    sec = annotations.where(F.col("annotation").isin("PreAuthorize", "Secured", "RolesAllowed", "Valid", "Validated")).select("method_key").distinct().withColumn("_ann", F.lit(True))
+    sec = annotations.where(F.col("annotation").isin(*GUARDING)).select("method_key").distinct().withColumn("_ann", F.lit(True))
     return calls.join(ok, ["method_key", "line"], "left").join(sec, "method_key", "left").withColumn("validated", F.coalesce("_by", "_ann", F.lit(False))).drop("_by", "_ann")
 
 

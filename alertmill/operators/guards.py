@@ -124,7 +124,11 @@ def enforce(df: DataFrame, rules: list[Callable[[DataFrame], DataFrame]] | None
     return df
 
 
-def contract_rejected(fail_reason: Column, prefixes: tuple[str, ...] = ("contract_", "schema_")) -> Column:
+# fixed values: reasons by which a rule rejected a judgement
+REJECTED = ("decisive_fact_unknown:", "bare_fp_buries_actual:")
+
+
+def contract_rejected(fail_reason: Column, prefixes: tuple[str, ...] = REJECTED) -> Column:
     """Whether a second judgement is called for."""
     out = F.lit(False)
     for p in prefixes:

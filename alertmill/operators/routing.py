@@ -80,12 +80,13 @@ def suspected(verdict: Column, disposition: Column, action: Column) -> Column:
 
 
 def environment_exemption(df: DataFrame, exempt: list[str], forced: list[str], public: bool) -> tuple[DataFrame, DataFrame]:
-    """Kept and exempted rows: in an application that is not public, true positives of exempt types go unless forced."""
+    """Kept and exempted rows: in an application that is not public, true positives of exempt types are exempted. Those that are
+    forced are kept all the same, and recorded among the exempted as ``forced``."""
     if public or not exempt:
-        return df, df.where(F.lit(False))
-    gone = (F.col("verdict") == "true_positive") & F.substring_index(t.text(F.col("vulnerability_type")), ":", 1).isin(*exempt) & ~F.coalesce(F.col("bughash").isin(*forced), F.lit(False))
-    gone = F.coalesce(gone, F.lit(False))
-    return df.where(~gone), df.where(gone)
+        return df, df.where(F.lit(False)).withColumn("forced", F.lit(False))
+    held = (F.col("verdict") == "true_positive") & F.substring_index(t.text(F.col("vulnerability_type")), ":", 1).isin(*exempt)
+    held, forces = F.coalesce(held, F.lit(False)), F.coalesce(F.col("bughash").isin(*forced), F.lit(False))
+    return df.where(~held | forces), df.where(held).withColumn("forced", forces)
 
 
 def selected(details: DataFrame, keys: DataFrame) -> DataFrame:
@@ -130,9 +131,17 @@ def http_path(class_path: Column, method_path: Column) -> Column:
     return F.when(joined == "/", joined).otherwise(F.regexp_replace(joined, "/$", ""))
 
 
-def reachability_state(definitions: Column, truncated: Column, hits: Column, caller_hits: Column) -> Column:
-    """``reachable`` if a caller's file has a hit, else ``unknown`` where the search was cut or no definition is known, else ``unreachable``."""
-    return F.when(caller_hits > 0, "reachable").when(truncated | (definitions == 0), "unknown").when(hits > 0, "unknown").otherwise("unreachable")
+def reachability_state(definitions: Column, truncated: Column, hits: Column, slice_hits: Column) -> Column:
+    """A callee with a definition is ``reachable``; a search that was cut says ``unknown``; of a whole search, hits in files
+    outside the slice leave it ``uncertain``, and no hit, or hits (``slice_hits``) in the slice alone, ``unreachable``."""
+    outside = F.coalesce(hits, F.lit(0)) - F.coalesce(slice_hits, F.lit(0))
+    return F.when(definitions > 0, "reachable").when(truncated, "unknown").when(outside > 0, "uncertain").otherwise("unreachable")
+
+
+def forward_reachable(definitive: Column, uncertain: Column, truncated: Column) -> Column:
+    """What the callees ahead say, as lists: ``unknown`` if any is uncertain or some were cut off, ``anchored`` if all are definitive, else nothing."""
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    return F.when(some(uncertain) | F.coalesce(truncated, F.lit(False)), "unknown").when(some(definitive), "anchored").otherwise("")
 
 
 def sink_match(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -174,8 +183,9 @@ def candidate_callees(hops: DataFrame, stop: list[str]) -> DataFrame:
     return names.where(~F.col("name").isin(*stop) if stop else F.lit(True)).groupBy("key", "name").agg(F.min(F.struct("pos", "at")).alias("first")).select("key", "name", F.col("first.pos").alias("pos"))
 
 
-# fixed values: parts of names that clean a value
-SANITIZER_PARTS = ("sanitize", "escape", "encode", "filter", "validate", "clean", "check", "verify")
+# fixed values: parts of names that clean a value, and names too common to follow
+SANITIZER_PARTS = ("sanitize", "filter", "escape", "validate", "encode", "clean", "safe", "check")
+NOISE = ("toString", "equals", "hashCode", "valueOf", "get", "set", "size", "length", "isEmpty", "add", "put", "append", "format", "println", "print")
 
 
 def sanitizer_name(name: Column, parts: tuple[str, ...] = SANITIZER_PARTS) -> Column:
@@ -185,6 +195,11 @@ def sanitizer_name(name: Column, parts: tuple[str, ...] = SANITIZER_PARTS) -> Co
     return out
 
 
+def noise_name(name: Column) -> Column:
+    """Whether a callee, its signature aside, is too common to follow."""
+    return F.substring_index(t.text(name), "(", 1).isin(*NOISE)
+
+
 def gate(taint: Column, args: Column, tier: Column, least: int) -> Column:
     """Whether a call is followed: its tier is high enough, or a tainted name stands in its arguments."""
     return (tier >= least) | F.exists(taint, lambda x: t.whole_word(x, args))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,6 +151,14 @@ RULES: dict[str, Rule] = {
 }
 
 
+#: The tables that each rule reads.
+READS = {
+    "param_to_field": ("param_to_field",), "param_to_return": ("param_to_return",), "return_to_caller": ("call_return_to_local", "local_sources", "local_returned", "local_to_field"),
+    "return_to_field_at_call": ("call_site_field", "field_assignments", "method_params"), "field_to_field": ("field_edges",), "field_to_return": ("return_fields", "return_sources"),
+    "param_to_param": ("param_to_call_param", "method_params"), "field_to_param": ("field_read_params",), "collection_element": ("field_types", "return_fields"),
+}
+
+
 def seeds(field_taints: DataFrame, param_taints: DataFrame, return_taints: DataFrame, argument_taints: DataFrame, method_params: DataFrame) -> DataFrame:
     """Facts from tainted fields, parameters, results and call arguments.
 
@@ -190,6 +199,35 @@ def propagate(seed: DataFrame, store: Store, rules: dict[str, Rule] | None = Non
     return facts.all()
 
 
+#: Tables whose new rows may take facts back: sources that are named already, and the arities of methods.
+UNMAKING = ("local_sources", "return_sources", "method_params")
+
+
+def extended(facts: DataFrame, seed: DataFrame, store: Store, more: dict[str, DataFrame], more_seed: DataFrame | None = None, rules: dict[str, Rule] | None = None) -> tuple[DataFrame, Store]:
+    """The fixpoint after new rows of some tables and new seeds, from the ``facts`` of the fixpoint before, and the store with the new rows.
+
+    A new row can only bring facts through the rules that read its table: those are applied once to all facts with the new rows alone in the
+    table's place, and what they bring goes on as in ``propagate``. Facts that stay are not derived again; they keep the path they
+    had. New rows of ``UNMAKING`` tables may end derivations, so they start over from the seeds.
+    """
+    rules = RULES if rules is None else rules
+    grown = Store({n: df.unionByName(more[n]) if n in more else df for n, df in store.tables.items()} | {n: df for n, df in more.items() if n not in store.tables})
+    whole = seed if more_seed is None else seed.unionByName(more_seed)
+    if set(more) & set(UNMAKING):
+        return propagate(whole, grown, rules), grown
+    kept = grown.kept()
+    known, new = cut(facts), [] if more_seed is None else [more_seed.select(*KEY, "path")]
+    for name, rows in more.items():
+        alone = Store({**kept.tables, name: cut(rows.distinct())})
+        new += [rule(known, alone).select(*KEY, "path") for rule in rules.values() if name in READS[rule.__name__]]
+    seen = Deltas(known)
+    delta = cut(seen.without(once(reduce(DataFrame.unionByName, new)), KEY)) if new else known.limit(0)
+    while not delta.isEmpty():
+        seen.add(delta)
+        delta = cut(seen.without(once(reduce(DataFrame.unionByName, [rule(delta, kept) for rule in rules.values()])), KEY))
+    return seen.all(), grown
+
+
 def derivations(facts: DataFrame, store: Store, rules: dict[str, Rule] | None = None) -> DataFrame:
     """Every path by which a known fact is derived in one step from the known facts, beside its own: the paths kept for each identity."""
     rules = RULES if rules is None else rules

@@ -245,14 +245,15 @@ _CODE = "cd AS (SELECT l_orderkey, l_linenumber, l_suppkey, 'C.m' || l_partkey A
 
 
 def _code(spark, sf):
-    cd = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _s("C.m", _c("l_partkey")).alias("method_key"), (_c("l_linenumber") * 10).alias("line"), _s("x", _c("l_suppkey") % 3).alias("variable"), F.lit("C").alias("callee_class"), _s("m", F.when(_c("l_suppkey") % 5 == 0, _c("l_partkey")).otherwise(_c("l_suppkey") + 10000000)).alias("callee_method"))
+    cd = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _s("C.m", _c("l_partkey")).alias("method_key"), (_c("l_linenumber") * 10).alias("line"), _s("x", _c("l_suppkey") % 3).alias("variable"), "l_suppkey", F.lit("C").alias("callee_class"), _s("m", F.when(_c("l_suppkey") % 5 == 0, _c("l_partkey")).otherwise(_c("l_suppkey") + 10000000)).alias("callee_method"))
     br = table(spark, sf, "part").select(_s("C.m", _c("p_partkey")).alias("method_key"), (_c("p_size") % 40).alias("start"), (_c("p_size") % 40 + 25).alias("end"), F.when(_c("p_size") % 2 == 0, "isValid(x0)").otherwise("x1 > 2").alias("condition"))
     return cd, br
 
 
-@query(f"WITH {_CODE} SELECT cd.l_orderkey, cd.l_linenumber, CASE WHEN line BETWEEN a AND z THEN 'if' WHEN l_suppkey % 5 = 0 THEN 'self' ELSE 'none' END AS condition FROM cd JOIN br USING (mk)")
+@query(f"WITH {_CODE} SELECT cd.l_orderkey, cd.l_linenumber, CASE WHEN l_suppkey % 7 = 0 THEN 'lambda' WHEN line BETWEEN a AND z THEN 'if' WHEN l_suppkey % 5 = 0 THEN 'self' ELSE 'none' END AS condition FROM cd JOIN br USING (mk)")
 def call_conditions(spark, sf):
     cd, br = _code(spark, sf)
+    cd = cd.withColumns({"receiver": F.when(_c("l_suppkey") % 5 == 0, "this").otherwise("dao"), "in_lambda": _c("l_suppkey") % 7 == 0})
     return facts.call_conditions(cd.withColumnRenamed("method_key", "caller_key"), br.drop("condition")).select("l_orderkey", "l_linenumber", "condition")
 
 
@@ -265,7 +266,7 @@ def implicit_flows(spark, sf):
 @query(f"WITH {_CODE} SELECT l_orderkey, l_linenumber, line BETWEEN a AND z AND cond LIKE 'isValid%' OR p_size % 6 = 1 AS validated FROM cd JOIN br USING (mk) JOIN part ON mk = 'C.m' || p_partkey")
 def validated_calls(spark, sf):
     cd, br = _code(spark, sf)
-    ann = table(spark, sf, "part").select(_s("C.m", _c("p_partkey")).alias("method_key"), F.when(_c("p_size") % 6 == 1, "PreAuthorize").otherwise("Autowired").alias("annotation"))
+    ann = table(spark, sf, "part").select(_s("C.m", _c("p_partkey")).alias("method_key"), F.when(_c("p_size") % 12 == 1, "PreAuthorize").when(_c("p_size") % 12 == 7, "PermitAll").otherwise("Valid").alias("annotation"))
     return facts.validated(cd.select("l_orderkey", "l_linenumber", "method_key", "line"), br, ann).select("l_orderkey", "l_linenumber", "validated")
 
 
@@ -391,11 +392,12 @@ def confirmed_suspected(spark, sf):
     return o.select("o_orderkey", routing.confirmed(verdict).alias("confirmed"), routing.suspected(verdict, disposition, F.when(_c("o_orderkey") % 3 == 0, "downgraded_to_uncertain")).alias("suspected"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '5-LOW') AND o_custkey NOT IN (1, 2, 3) THEN 'exempt' ELSE 'kept' END AS kind FROM orders")
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '5-LOW') AS held, o_custkey IN (1, 2, 3) AS f FROM orders)
+SELECT o_orderkey, 'kept' AS kind FROM o WHERE NOT held OR f UNION ALL SELECT o_orderkey, CASE WHEN f THEN 'forced' ELSE 'exempt' END FROM o WHERE held""")
 def environment_exemption(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.when(_c("o_orderstatus") == "F", "true_positive").otherwise("uncertain").alias("verdict"), F.concat("o_orderpriority", F.lit(":x")).alias("vulnerability_type"), _c("o_custkey").cast("string").alias("bughash"))
     kept, gone = routing.environment_exemption(o, ["1-URGENT", "5-LOW"], ["1", "2", "3"], False)
-    return kept.select("o_orderkey", F.lit("kept").alias("kind")).unionByName(gone.select("o_orderkey", F.lit("exempt").alias("kind")))
+    return kept.select("o_orderkey", F.lit("kept").alias("kind")).unionByName(gone.select("o_orderkey", F.when(_c("forced"), "forced").otherwise("exempt").alias("kind")))
 
 
 @query("SELECT count(*) FILTER (l.toxic = 1) AS tp, count(*) FILTER (l.toxic = 0 AND l.quality = 0) AS hardening, count(*) FILTER (d.lang = 'en') AS confirmed FROM documents d JOIN labels l USING (doc_id) WHERE d.source <> 'src1' AND d.lang <> 'fr'")
@@ -417,10 +419,13 @@ def entry_points(spark, sf):
     return table(spark, sf, "part").select("p_partkey", routing.entry_point(m, cls).alias("kind"), routing.http_path(root, sub).alias("path"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'reachable' WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN 'unknown' WHEN p_size % 7 > 0 THEN 'unknown' ELSE 'unreachable' END AS state FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN 'reachable' WHEN p_size % 2 = 0 THEN 'unknown' WHEN p_size % 7 = 0 THEN 'unreachable' WHEN p_size % 7 > p_size % 4 THEN 'uncertain' ELSE 'unreachable' END AS state,
+CASE WHEN p_size % 4 = 1 OR p_size % 5 = 0 THEN 'unknown' WHEN p_size % 4 > 1 THEN 'anchored' ELSE '' END AS ahead FROM part""")
 def reachability_state(spark, sf):
     n = _c("p_size")
-    return table(spark, sf, "part").select("p_partkey", routing.reachability_state(n % 3, n % 2 == 0, n % 7, F.when(n % 5 == 0, 1).otherwise(0)).alias("state"))
+    names = lambda when: F.when(when, F.array(F.lit("m")))
+    ahead = routing.forward_reachable(names(n % 4 > 1), names(n % 4 == 1), n % 5 == 0)
+    return table(spark, sf, "part").select("p_partkey", routing.reachability_state(n % 3, n % 2 == 0, n % 7, F.least(n % 7, n % 4)).alias("state"), ahead.alias("ahead"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role || '(x' || turn % 3 || '(if (y' || CASE WHEN turn % 2 = 0 THEN ' (z))' ELSE '))' END AS code FROM conversations), n AS (SELECT conv_id, turn, unnest(regexp_extract_all(code, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)) AS name FROM c) SELECT conv_id AS key, name, min(turn) AS pos FROM n WHERE name <> 'if' GROUP BY ALL""")
@@ -429,10 +434,12 @@ def candidate_callees(spark, sf):
     return routing.candidate_callees(table(spark, sf, "conversations").select(_c("conv_id").alias("key"), _c("turn").alias("pos"), code.alias("code")), ["if"])
 
 
-@query("""SELECT p_partkey, regexp_matches(lower(p_name), 'sanitize|escape|encode|filter|validate|clean|check|verify') AS sanitizer, p_size % 3 >= 2 OR p_partkey % 4 = 0 AS gate, p_partkey % 4 = 0 AS word FROM part""")
+@query("""SELECT p_partkey, p_size % 5 IN (0, 2) AS sanitizer, p_size % 5 = 3 AS noise, p_size % 3 >= 2 OR p_partkey % 4 = 0 AS gate, p_partkey % 4 = 0 AS word, p_size % 4 < 2 AS keyword FROM part""")
 def callee_gates(spark, sf):
     args = F.when(_c("p_partkey") % 4 == 0, "f(a, b)").otherwise("f(ab, a_)")
-    return table(spark, sf, "part").select("p_partkey", routing.sanitizer_name(_c("p_name")).alias("sanitizer"), routing.gate(F.array(F.lit("a"), F.lit("q")), args, _c("p_size") % 3, 2).alias("gate"), t.whole_word(F.lit("a"), args).alias("word"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("makeSafeHtml", "verify", "CHECKED", "toString()", "toStringer")]), (_c("p_size") % 5 + 1).cast("int"))
+    callee = F.element_at(F.array(*[F.lit(x) for x in ("Stmt.execute", "execute(q)", "Stmt.executeQuery", "execute.run")]), (_c("p_size") % 4 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", routing.sanitizer_name(name).alias("sanitizer"), routing.noise_name(name).alias("noise"), t.keyword_hit(F.lit("execute"), callee).alias("keyword"), routing.gate(F.array(F.lit("a"), F.lit("q")), args, _c("p_size") % 3, 2).alias("gate"), t.whole_word(F.lit("a"), args).alias("word"))
 
 
 @query("""WITH s(k, ty, cwe, sev, ben) AS (VALUES ('PROMO.m1', 'sql', 'CWE-89', 4, false), ('m2', 'xss', 'CWE-79', 3, false), ('m1', 'low', 'CWE-1', 1, true)) SELECT p_partkey, CASE WHEN NOT coalesce(a.ben, b.ben) THEN coalesce(a.ty, b.ty) END AS sink_type, CASE WHEN NOT coalesce(a.ben, b.ben) THEN coalesce(a.cwe, b.cwe) END AS sink_cwe, coalesce(a.sev, b.sev) AS sink_severity, coalesce(a.ben, b.ben, false) AS is_benign
@@ -612,7 +619,7 @@ def dynamic_and_falsified(spark, sf):
     p = lambda n: _c("o_orderpriority").startswith(n)
     o = table(spark, sf, "orders").select(
         "o_orderkey", F.when(_c("o_orderstatus") == "F", "false_positive").when(_c("o_orderstatus") == "O", "true_positive").otherwise("uncertain").alias("verdict"), F.lit(8).alias("confidence"), F.lit("x").alias("disposition"),
-        F.when(p("1"), "CONFIRMED").when(p("2"), "NOT_REPRODUCED").when(p("3"), "INCONCLUSIVE").alias("dynamic_outcome"), (_c("o_custkey") % 2 == 0).alias("refuted"), F.when(p("3"), "contract_x").when(p("4"), "schema_y").otherwise("late").alias("fail_reason"))
+        F.when(p("1"), "CONFIRMED").when(p("2"), "NOT_REPRODUCED").when(p("3"), "INCONCLUSIVE").alias("dynamic_outcome"), (_c("o_custkey") % 2 == 0).alias("refuted"), F.when(p("3"), "decisive_fact_unknown: style").when(p("4"), "bare_fp_buries_actual: xss").otherwise("late").alias("fail_reason"))
     a = guards.dynamic(o).select("o_orderkey", _c("verdict").alias("dynamic"))
     return a.join(guards.falsified(o).select("o_orderkey", _c("verdict").alias("falsified"), guards.contract_rejected(_c("fail_reason")).alias("rejected")), "o_orderkey")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from alertmill.functions import text as t
 from alertmill.operators import history, policy
 from alertmill.schemas import LABEL, LABELS, STATUSES
+from alertmill.sources import versions
 
 
 def _fs(spark: SparkSession, path: str):
@@ -23,7 +24,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A folder's rows, none where it is not there yet."""
+    """A folder's rows, none where it is not there yet; of a table with versions the last one's."""
+    if exists(spark, f"{path}/versions"):
+        return versions.read(spark, path, schema)
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
@@ -100,13 +103,14 @@ def traces_of(details: DataFrame, traces: DataFrame) -> DataFrame:
 
 
 def append_labels(rows: DataFrame, path: str) -> None:
-    """Adds labels to the log; status is ``candidate`` unless given. A label or status outside the vocabulary stops the write."""
+    """Adds labels to the log as a new version of it, beside those of other writers; status is ``candidate`` unless given. A label or status outside the vocabulary stops the write."""
     rows = rows.withColumn("status", F.coalesce(F.nullif(t.text(F.col("status")), F.lit("")), F.lit("candidate")))
     bad = rows.where(~F.coalesce(F.col("label").isin(*LABELS), F.lit(False)) | ~F.col("status").isin(*STATUSES)).limit(1).collect()
     if bad:
         raise ValueError(f"label {bad[0].label!r} with status {bad[0].status!r} is not in the vocabulary")
     names = [f.split()[0] for f in LABEL.split(", ")]
-    rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast(k).alias(n) for n, k in (f.split() for f in LABEL.split(", "))]).select(*names).write.mode("append").parquet(path)
+    rows = rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast(k).alias(n) for n, k in (f.split() for f in LABEL.split(", "))]).select(*names)
+    versions.append(rows, path)
 
 
 def parse_label_log(lines: DataFrame) -> DataFrame:
@@ -176,8 +180,9 @@ CACHE = "key string, verdict string, confidence int, created_at timestamp"
 
 
 def put_verdicts(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Upserts by fingerprint."""
-    replace(history.upsert(read(spark, path, VERDICTS), rows.select("bughash", "verdict", "confidence", "seq"), "bughash"), path)
+    """Upserts by fingerprint, as a new version; writers that meet both have their rows in it."""
+    new = rows.select("bughash", "verdict", "confidence", "seq")
+    versions.change(spark, path, VERDICTS, lambda old: history.upsert(old, new, "bughash"))
 
 
 def verdict_of(spark: SparkSession, path: str, key: str) -> DataFrame:

@@ -24,8 +24,8 @@ def test_call_types(spark):
 
 def test_branches(spark):
     b = make(spark, "method_key string, condition string, start int, `end` int", ("A.f()", "isValid(x)", 2, 5))
-    e = make(spark, "caller_key string, callee_class string, callee_method string, line int", ("A.f()", "B", "g", 3), ("A.f()", "A", "f", 9), ("A.f()", "B", "h", 9))
-    assert rows(facts.call_conditions(e, b).select("line", "callee_method", "condition")) == [(3, "g", "if"), (9, "f", "self"), (9, "h", "none")]
+    e = make(spark, "caller_key string, callee_class string, callee_method string, line int, receiver string, in_lambda boolean", ("A.f()", "B", "g", 3, "this", False), ("A.f()", "A", "f", 9, "this", None), ("A.f()", "B", "h", 9, "b", False), ("A.f()", "A", "f", 10, "a", False), ("A.f()", "B", "h", 4, "b", True))
+    assert rows(facts.call_conditions(e, b).select("line", "callee_method", "condition")) == [(10, "f", "none"), (3, "g", "if"), (4, "h", "lambda"), (9, "f", "self"), (9, "h", "none")]
     a = make(spark, "method_key string, variable string, line int", ("A.f()", "y", 4), ("A.f()", "z", 6))
     assert rows(facts.implicit_flows(a, b, make(spark, "method_key string, variable string", ("A.f()", "x"), ("A.f()", "isV")))) == [("A.f()", "y", 4, "x")]
     c = make(spark, "method_key string, line int", ("A.f()", 3), ("A.f()", 8), ("S.m()", 1))

@@ -92,6 +92,8 @@ def test_fix_and_framing():
     assert m.fix_anchor("[A.java:3] a → b\n说明：x 修改前 → 修改后：y")["desc"] == "x y"
     assert not m.fix_anchor("text")["has_anchor"] and not m.fix_anchor(None)["has_anchor"]
     assert m.unescape(r"a\nb\\n") == "a\nb\\n" and m.unescape("x\ny\\n") == "x\ny\\n"
+    assert m.recovered_fields('v</arg_value><arg_key>odd</arg_key><arg_value>x') == ('v", "odd": x', {})
+    assert m.recovered_fields('v", "severity</arg_key>"low", "design_note": null"}') == ("v", {"severity": "low", "design_note": "null"})
     assert m.recovered_fields('v", "severity</arg_key><arg_value>"high"') == ("v", {"severity": "high"}) and m.recovered_fields("plain") == ("plain", {})
 
 
@@ -102,6 +104,7 @@ def test_json_repair():
 
 def test_probes():
     assert m.escapes_base("/base/", "../x") and not m.escapes_base("/base/", "a/b") and m.clean_path("") == "." and m.clean_path("//a//b/..") == "/a"
+    assert len(m.PROBES) == 12
     assert m.probe("string_replace", 'replace("../","")', "/base/") == "guard_bypassable"
     assert m.probe("regex", '"[a-z]+"', "/base/") == "guard_effective" and m.probe("odd", "", "/b/") == "not_verifiable"
     body = 'String s = clean(raw);\nrun(s + raw);'

@@ -37,7 +37,9 @@ def test_resume_and_selection(spark):
     sel = routing.selected(a, make(spark, "bughash string", ("x",), ("y",), ("x",)))
     assert sel.count() == 1 and rows(routing.selection_counts(a)) == [(1, 1, 1)]
     kept, gone = routing.environment_exemption(a, ["xss"], [], public=False)
-    assert [r.alert_id for r in gone.collect()] == ["1"] and kept.count() == 2 and routing.environment_exemption(a, ["xss"], ["x"], False)[1].count() == 0 and routing.environment_exemption(a, ["xss"], [], True)[1].count() == 0
+    assert [r.alert_id for r in gone.collect()] == ["1"] and kept.count() == 2 and not gone.first().forced
+    kept, gone = routing.environment_exemption(a, ["xss"], ["x"], False)
+    assert kept.count() == 3 and [(r.alert_id, r.forced) for r in gone.collect()] == [("1", True)] and routing.environment_exemption(a, ["xss"], [], True)[1].count() == 0
     assert rows(routing.fail_open(a.limit(1), F.lit("boom"), "m").select("verdict", "confidence", "fail_reason")) == [("uncertain", 0, "boom")]
 
 

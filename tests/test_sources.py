@@ -9,6 +9,7 @@ from alertmill.operators import history, policy
 from alertmill.operators.graph import closure
 from alertmill.operators.taint import Store, propagate, seeds
 from alertmill.plans import audit as plans
+from alertmill.schemas import LABEL
 from alertmill.sources import alerts, code, registries, stores
 
 
@@ -105,7 +106,7 @@ def test_runs_and_labels(spark, tmp_path):
     stores.append_labels(spark.createDataFrame(rows, "seq long, run_id string, bughash string, alert_id string, label string, status string"), log)
     with pytest.raises(ValueError):
         stores.append_labels(spark.createDataFrame([(9, "r", "h", "a", "odd", "candidate")], "seq long, run_id string, bughash string, alert_id string, label string, status string"), log)
-    labels = spark.read.parquet(log)
+    labels = stores.read(spark, log, LABEL)
     got, left = stores.get_run(spark, base, "2024_r", labels)
     assert {(r.bughash, r.label, r.label_status) for r in got.collect()} == {("h1", "true_positive", "candidate"), ("h2", None, None), ("h3", None, None)} and left.first()[0] == 1
     assert [r.seq for r in history.label_history(labels, "2024_r", "h1").collect()] == [1, 2]
@@ -121,7 +122,7 @@ def test_keyed_stores(spark, tmp_path):
     put = lambda *rows: stores.put_verdicts(spark, path, spark.createDataFrame(list(rows), stores.VERDICTS))
     put(("a", "true_positive", 8, 1), ("a", "uncertain", 2, 2), ("b", "false_positive", 9, 1))
     put(("b", "true_positive", 7, 0))
-    assert sorted(tuple(r)[:2] for r in spark.read.parquet(path).collect()) == [("a", "uncertain"), ("b", "true_positive")]
+    assert sorted(tuple(r)[:2] for r in stores.read(spark, path, stores.VERDICTS).collect()) == [("a", "uncertain"), ("b", "true_positive")]
     assert stores.verdict_of(spark, path, "zz").count() == 0 and stores.completed(spark, str(tmp_path / "none")).count() == 0
     cache = spark.sql("select * from values ('k', 'true_positive', 5, timestamp'2024-01-01 00:00:00'), ('u', 'uncertain', 5, timestamp'2024-01-01 00:00:00') t(key, verdict, confidence, created_at)")
     ask = spark.createDataFrame([("k",), ("u",)], "key string")
