@@ -37,9 +37,11 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Data
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST).cast("long")).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), *more)
 
 
-def repeated_ids(rows: DataFrame) -> Bloom:
-    """A sieve of the ids that more than one row has; of the others the hash is not needed, and a 0 in its place takes no room."""
-    return Bloom.of(rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.xxhash64("id").alias("k")), "k")
+def repeated_ids(rows: DataFrame) -> tuple[Bloom, bool]:
+    """A sieve of the ids that more than one row has, and whether there are any; of the others the hash is not needed, and a 0 in its place takes no room."""
+    again = rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.xxhash64("id").alias("k"))
+    n = again.count()
+    return Bloom.of(again if n else again.limit(0), "k", n), n > 0
 
 
 def hashes_of(batch: pa.RecordBatch, several: Bloom) -> np.ndarray:
@@ -397,14 +399,14 @@ def place_key(c: str) -> Column:
     return F.xxhash64(*[f"{c}.{k}" for k in PLACE]).alias("k")
 
 
-def line_classes(rows: DataFrame, several, places: Bloom, threshold: float, bands: int, per: int) -> DataFrame:
+def line_classes(rows: DataFrame, several, twice: bool, places: Bloom, threshold: float, bands: int, per: int) -> DataFrame:
     """(id, component): the places linked to others and the first place of their class.
 
     A place that the sieve lets through though it is not the first of its line is linked to the first, so it is never a label.
     """
-    signed = stage(signatures(rows, several, places, bands, per), "signatures")
-    # rows of one id and text have the same places: one of each goes on
-    found = signed.where("h = 0").unionByName(signed.where("h <> 0").dropDuplicates(PLACE))
+    signed = found = stage(signatures(rows, several, places, bands, per), "signatures")
+    if twice:  # rows of one id and text have the same places: one of each goes on
+        found = signed.where("h = 0").unionByName(signed.where("h <> 0").dropDuplicates(PLACE))
     again = stage(repeated_keys(found), "keys")
     held = band_keys(found, Bloom.of(again.select(F.xxhash64("key").alias("k")), "k"))
     edges = stage(near_in_buckets(held, again, farthest(bands * per, threshold)), "candidates")
@@ -415,7 +417,8 @@ def line_classes(rows: DataFrame, several, places: Bloom, threshold: float, band
     sizes = sized.groupBy("c").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).select("c", blocks("m", "grams").alias("n_blocks"))
     placed = stage(sized.join(sizes, "c").select(*PLACE, "c", "n_blocks"), "members")
     unstage(edges)
-    lines = candidate_lines(rows, several, Bloom.of(placed.select(F.xxhash64(*PLACE).alias("k")), "k")).dropDuplicates(PLACE)
+    lines = candidate_lines(rows, several, Bloom.of(placed.select(F.xxhash64(*PLACE).alias("k")), "k"))
+    lines = lines.dropDuplicates(PLACE) if twice else lines
     links = stage(linked_lines(lines.join(placed, PLACE), threshold), "links")
     unstage(placed)
     return components(links)
@@ -432,7 +435,7 @@ def copies_of(found: DataFrame, again: DataFrame) -> DataFrame:
     return found.mapInArrow(lean(run), found.schema).join(again, ["hi", "lo"]).where("id <> first.id or h <> first.h or at <> first.at").select(*PLACE)
 
 
-def removed_lines(rows: DataFrame, several, threshold: float, recall: float) -> DataFrame:
+def removed_lines(rows: DataFrame, several, twice: bool, threshold: float, recall: float) -> DataFrame:
     """(id, h, lines): the numbers of the lines that go, by document."""
     bands, per = banding(threshold, recall, HASHES)
     found = stage(occurrences(rows, several), "occurrences")
@@ -441,9 +444,10 @@ def removed_lines(rows: DataFrame, several, threshold: float, recall: float) ->
     places = Bloom.of(distinct.select(place_key("first")), "k")
     unstage(found, distinct)
     # a copy goes unless it is the first of its line, and a first one unless it is its component's label
-    classes = line_classes(rows, several, places, threshold, bands, per)
+    classes = line_classes(rows, several, twice, places, threshold, bands, per)
     # rows of one id and text name the same places: each is gathered once, so a list is as long as its text has lines
-    going = copies.unionByName(classes.where("id <> component").select("id.*")).distinct()
+    going = copies.unionByName(classes.where("id <> component").select("id.*"))
+    going = going.distinct() if twice else going
     out = stage(going.groupBy("id", "h").agg(F.collect_list(F.col("at").cast("int")).alias("lines")), "going")
     unstage(copies, classes)
     return out
@@ -461,8 +465,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents of their own, in the order of a hash of their texts; an empty table gives an empty one.
     """
     rows = texts_of(docs, id_col, text_col)
-    several = shared(docs.sparkSession, repeated_ids(rows))
-    gone = removed_lines(rows, several, threshold, recall)
+    ids, twice = repeated_ids(rows)
+    several = shared(docs.sparkSession, ids)
+    gone = removed_lines(rows, several, twice, threshold, recall)
     whole = rows if not carry else texts_of(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest"))
     more = f", rest {whole.schema['rest'].dataType.simpleString()}" if carry else ""
     sieve = shared(docs.sparkSession, Bloom.of(gone.select(F.xxhash64("id", "h").alias("k")), "k"))
