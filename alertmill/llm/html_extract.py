@@ -42,13 +42,13 @@ MAIN_ROLES = frozenset(("main", "article"))
 # fixed values: words in class names and ids
 OUT_WORDS = re.compile(
     r"(?:\w*nav|nav(?:bar|igation|list|links?)?|\w*menus?|menu\w*|breadcrumbs?|crumbs?|pagination|pager|masthead|topbar|\w*banners?|foot|footers?|\w{2,}footer|side|sidebars?\w*|\w{2,}sidebar|rail|related|recommend\w*|popular|trending"
-    r"|ads?|adv|advert\w*|adbox|adsense|adslot|adunit|sponsor\w*|promos?|promot\w*|outbrain|taboola|cookies?\w*|consent|gdpr|ccpa|notices?|notifications?|alerts?|popups?|modals?|overlays?|lightbox|newsletters?|subscri\w*|signup|signin|login|register|search\w*"
-    r"|share|sharing|social\w*|follow|comments?|comment\w*|disqus|respond|repl(?:y|ies)|discussions?|reactions?|feedback|forms?|toolbars?|copyright|legal|disclaimer|skip|hidden"
+    r"|aside|widgets?|ads?|adv|advert\w*|adbox|adsense|adslot|adunit|sponsor\w*|promos?|promot\w*|outbrain|taboola|cookies?\w*|consent|gdpr|ccpa|notices?|notifications?|alerts?|popups?|modals?|overlays?|lightbox|newsletters?|subscri\w*|signup|signin|login|register|search\w*"
+    r"|share|sharing|social\w*|follow|comments?|comment\w*|disqus|respond|repl(?:y|ies)|discussions?|responses?|reactions?|feedback|forms?|toolbars?|copyright|legal|disclaimer|skip|hidden"
     r"|kommentare?|werbung|anzeigen?|hinweise?|commentaires?|publicite|comentarios?|publicidad)"
 )
 IN_WORDS = re.compile(r"(?:articles?|\w*article|posts?|blogpost|entry|hentry|story|content|contents|maincontent|main|body|text|prose|articlebody|post(?:body|content|text))")
 HEAD_WORDS = frozenset(("header", "head", "heading", "pageheader", "siteheader"))
-LAYOUT_WORDS = frozenset(("with", "has", "no", "without", "is", "not"))
+LAYOUT_WORDS = frozenset(("with", "has", "no", "without", "is", "not", "elementor"))
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ATTR = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
 UNSEEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
@@ -76,7 +76,7 @@ def mark(name: str, rest: str) -> int:
                 if LAYOUT_WORDS.intersection(words):
                     continue
                 good = any(IN_WORDS.fullmatch(w) for w in words)
-                if any(OUT_WORDS.fullmatch(w) for w in words) or not good and HEAD_WORDS.intersection(words):
+                if any(OUT_WORDS.fullmatch(w) for w in (*words, "".join(words))) or not good and HEAD_WORDS.intersection(words):
                     named = -1
                 elif good and not named:
                     named = 1

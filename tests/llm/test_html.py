@@ -45,6 +45,15 @@ LAYOUTS = {
         f"""<div class="content-with-sidebar"><div role="navigation">Skip to content</div><div class="main-text"><p>{LONG}</p><p style="display:none">{MORE} hidden</p><p>{MORE}</p></div><div role="alert"><p>{LONG} notice</p></div></div>""",
         [LONG, MORE],
     ),
+    "parts of names": (
+        f"""<div class="top-bar"><p>{MORE}</p></div><div id="page"><div class="sign-up"><p>{MORE}</p></div><div class="elementor-widget-text"><h1>A harbour returns</h1><p>{LONG}</p><p>{MORE} {LONG}</p></div>
+        <div class="widget"><p>{MORE}</p></div><div id="aside"><p>{MORE}</p></div><ol class="commentlist"><li><p>{LONG} I was there!</p></li></ol><div id="disqus_thread"><p>{MORE}</p></div></div>""",
+        ["A harbour returns", LONG, f"{MORE} {LONG}"],
+    ),
+    "an advert and a form in the text": (
+        f"""<article><h1>A harbour returns</h1><p>{LONG}</p><div class="ad-slot"><p>{MORE}</p></div><form><label>Mail</label><input><p>{MORE}</p></form><p>Yes.</p><figure><img><figcaption>The new harbour.</figcaption></figure><p>{MORE}</p></article>""",
+        ["A harbour returns", LONG, "Yes.", "The new harbour.", MORE],
+    ),
     "broken": (
         f"""<article><h1>A &amp; B&nbsp;&eacute;<script>var x = "<p>no</p>";</script></h1><p><b>{LONG}<br><p><a href="x>y">a link</a> in &lt;text&gt; and more of it, as ever.</div></span><p>{MORE}<!-- <p>no</p> --></article><style>p{{}}</style><footer>x""",
         ["A & B é", LONG, "a link in <text> and more of it, as ever.", MORE],
