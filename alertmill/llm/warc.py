@@ -40,6 +40,8 @@ CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([a-z0-9_:.-]+)")
 EPOCH = "1970-01-01T00:00:00Z"
 #: Bytes of record blocks that ``read`` hands on together, or one record.
 READ_BYTES = 1 << 22
+#: Bytes that a compressed body may unpack to, and those unpacked at a time.
+UNPACKED, PIECE = 1 << 29, 1 << 20
 
 
 def digest(block: bytes) -> str:
@@ -129,19 +131,44 @@ def unchunked(data: bytes) -> bytes:
     return b"".join(out) if out else data
 
 
+def members(data: bytes, bits: int) -> Iterator[bytes]:
+    """The unpacked pieces of all members of compressed data, ``PIECE`` bytes at most at a time; data cut short end with what they hold."""
+    while data:
+        one = zlib.decompressobj(bits)
+        while data and not one.eof:
+            yield one.decompress(data, PIECE)
+            data = one.unused_data if one.eof else one.unconsumed_tail
+        if not one.eof:
+            yield one.flush()
+
+
+def unpacked(data: bytes, most: int = UNPACKED) -> bytes:
+    """What gzip, zlib or raw deflate data hold, all members of it; what follows the last whole member and is none is passed over.
+
+    Data that begin with no member stand as they are, and so do data that hold over ``most`` bytes, of which no more than that is ever unpacked.
+    """
+    for bits in (47, -15):
+        out, size = [], 0
+        try:
+            for piece in members(data, bits):
+                out.append(piece)
+                size += len(piece)
+                if size > most:
+                    return data
+        except zlib.error:
+            if bits < 0 or not out:
+                continue
+        return b"".join(out)
+    return data
+
+
 def markup_of(http_headers: str | None, payload: bytes) -> str:
     """The page that a payload holds: chunks joined, compression undone, decoded by its charset; what is broken stands as it is."""
     fields = fields_of(http_headers)
     if "chunked" in fields.get("transfer-encoding", "").lower():
         payload = unchunked(payload)
-    coding = fields.get("content-encoding", "").lower()
-    if coding in ("gzip", "x-gzip", "deflate"):
-        for bits in (47, -15):
-            try:
-                payload = zlib.decompressobj(bits).decompress(payload)
-                break
-            except zlib.error:
-                continue
+    if fields.get("content-encoding", "").lower() in ("gzip", "x-gzip", "deflate"):
+        payload = unpacked(payload)
     named = CHARSET.search(fields.get("content-type", "").encode()) or CHARSET.search(payload[:1024])
     try:
         return payload.decode(named[1].decode() if named else "utf-8", "replace")
