@@ -3,7 +3,7 @@
 Documents are aggregated by membership pattern, the set of sources they belong to. Word capacity flows from the
 patterns to source quotas; the second and later copies of a pattern's words cost more and more, so the flow
 repeats as little as it can. Sources that no document links are separate flows: one flow is solved in one task for
-each set of sources that overlaps link, and for a source alone it is the lesser of its quota and its capacity.
+each set of sources that overlaps link, a source alone being such a set too.
 Within a pattern, seeded documents then carry what the flow allots to it.
 """
 
@@ -169,14 +169,13 @@ def pattern_key(members: Column) -> Column:
 
 def routed(patterns: DataFrame, sources: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(pattern, given) and (pattern, source, words): the flow of each set of linked sources."""
-    rows = patterns.select("pattern", "words", F.explode("m").alias("source"), F.size("m").alias("k"))
-    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    links = rows.where("k > 1").withColumn("s", name)
+    rows = patterns.select("pattern", "words", F.explode("m").alias("source"), F.size("m").alias("k")).withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    links = rows.where("k > 1")
     if links.isEmpty():
-        one = rows.join(sources.select(F.col("source").alias("name"), "target"), F.col("source").eqNullSafe(F.col("name"))).select("pattern", "source", F.least(F.round("target"), F.lit(most) * F.col("words")).cast("long").alias("words"))
-        return one.select("pattern", F.col("words").alias("given")), one
-    comps = components(links.select(F.concat(F.lit("p"), "pattern").alias("a"), F.col("s").alias("b")))
-    held = rows.withColumn("s", name).join(comps.withColumnRenamed("id", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+        held = rows.withColumn("component", F.col("s"))
+    else:
+        comps = components(links.select(F.concat(F.lit("p"), "pattern").alias("a"), F.col("s").alias("b")))
+        held = rows.join(comps.withColumnRenamed("id", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
     held = held.join(sources.select(F.col("source").alias("name"), "target"), F.col("source").eqNullSafe(F.col("name")))
 
     def solve(pdf):

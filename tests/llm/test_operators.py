@@ -505,3 +505,29 @@ def test_hostile_pages_take_linear_time(part):
 def test_unclosed_elements():
     assert warc.page_text("x<script>\nvar a=1; alert(2)") == "x" and warc.page_text("<head><p>kept") == "kept" and warc.page_text("a <!-- b") == "a"
     assert warc.page_text("<noscript>n</noscript><td>a<td>b<li>c") == "a b\nc" and warc.page_title("<title>never closed") == ""
+
+
+def test_warc_bodies_of_several_members():
+    import gzip
+    import zlib
+
+    one, two = b"<p>one</p>" * 300_000, "<p>größer</p>".encode()
+    assert warc.unpacked(gzip.compress(one) + gzip.compress(two)) == one + two
+    assert warc.unpacked(gzip.compress(one) + gzip.compress(two) + b"\0" * 9) == one + two
+    assert warc.unpacked(zlib.compress(two)) == two and warc.unpacked(zlib.compress(two)[2:-4]) == two
+    assert warc.unpacked(gzip.compress(b"")) == b"" and warc.unpacked(b"") == b"" and warc.unpacked(two) == two
+    cut = gzip.compress(bytes(range(256)) * 9)[:-30]
+    assert (bytes(range(256)) * 9).startswith(warc.unpacked(cut)) and warc.unpacked(cut)
+    bomb = gzip.compress(b"a" * (1 << 22))
+    assert warc.unpacked(bomb, 1 << 21) == bomb and len(warc.unpacked(bomb, 1 << 22)) == 1 << 22
+    head = "HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nContent-Type: text/html; charset=utf-8"
+    assert warc.markup_of(head, gzip.compress(one[:10]) + gzip.compress(two)) == "<p>one</p><p>größer</p>"
+
+
+def test_mixing_goes_through_its_flow(docs, monkeypatch):
+    def none(*_):
+        raise RuntimeError("no flow")
+
+    monkeypatch.setattr(mixing, "route", none)
+    with pytest.raises(Exception, match="no flow"):
+        mixing.mixed(docs).count()
