@@ -572,4 +572,4 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     return policy_findings(spark, sf)
 
 
-from alertmill.plans import code_queries, path_queries  # noqa: E402, F401  register the queries on code facts and paths
+from alertmill.plans import code_queries, path_queries, stream_queries  # noqa: E402, F401  register the queries on code facts, paths and streams
