@@ -17,20 +17,26 @@ def wobble(cells: DataFrame) -> DataFrame:
     return good.groupBy("alert_id").agg(F.array_sort(F.collect_set("verdict")).alias("verdicts"), (F.count_distinct("verdict") > 1).alias("wobbles"), (F.count_distinct(fam) <= 1).alias("same_families"))
 
 
+def common_length(x: list, y: list) -> int:
+    """Length of the longest common subsequence, all of a row at once: a bit for each element of ``x``, cleared where the length grows."""
+    at: dict = {}
+    for i, e in enumerate(x):
+        at[e] = at.get(e, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for e in y:
+        hit = row & at.get(e, 0)
+        row = (row + hit | row - hit) & full
+    return len(x) - row.bit_count()
+
+
 @F.pandas_udf(T.DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence over the longer length; 1 for two empty sequences."""
 
     def one(x, y):
         x, y = list(x), list(y)
-        if not x and not y:
-            return 1.0
-        row = [0] * (len(y) + 1)
-        for p in x:
-            last = 0
-            for j, q in enumerate(y, 1):
-                last, row[j] = row[j], last + 1 if p == q else max(row[j], row[j - 1])
-        return row[-1] / max(len(x), len(y))
+        return common_length(x, y) / max(len(x), len(y)) if x or y else 1.0
 
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 

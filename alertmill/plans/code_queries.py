@@ -675,3 +675,20 @@ def type_sets(spark, sf):
     lits = lambda *x: F.array(*[F.lit(i) for i in x])
     pick = F.when(n % 2 == 0, lits("a", "b", "b")).otherwise(lits("c", "a", "c"))
     return table(spark, sf, "part").select("p_partkey", F.array_join(search.mismatched(pick, lits("a")), ",").alias("mismatched"), F.array_join(search.loaded_types(F.lit("a"), F.when(n % 3 == 0, lits("m", "a")), lits("n")), ",").alias("loaded"), t.same_set(pick, lits("b", "a")).alias("same"), F.array_join(t.sorted_unique(lits("b", "a", "b")), ",").alias("sorted"))
+
+
+@query(r"""WITH s AS (SELECT p_partkey AS k, ['g(p' || p_partkey % 3 || ', b)', '"a, p\" (' || p_name || '"', 'new int[]{1, p' || p_size % 4 || '}', 'p' || p_partkey % 5] AS l, CASE WHEN p_size % 3 = 0 THEN 'p' || p_partkey % 2 ELSE 'p' || p_size % 3 END AS v FROM part),
+h AS (SELECT k, [j for j in range(1, 5) if regexp_matches(l[j], '\b' || v || '\b')] AS h FROM s)
+SELECT 'm' || k AS caller_key, 'c' || k AS callee_key, CASE WHEN k % 7 <> 0 AND len(h) = 1 AND NOT (k % 11 = 0 AND h[1] > 2) AND k % 13 <> 0 THEN 'q' || (h[1] - 1) END AS param_name FROM h""")
+def tainted_parameters(spark, sf):
+    """Calls with nested calls, strings and initialisers among their arguments; some callers call twice, some methods have fewer or unnamed parameters."""
+    p, k = table(spark, sf, "part"), _c("p_partkey")
+    var = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    args = F.concat(F.lit(" g("), var(k % 3), F.lit(', b), "a, p\\" ('), "p_name", F.lit('",new int[]{1, '), var(_c("p_size") % 4), F.lit("} ,\n"), var(k % 5))
+    caller, callee = F.concat(F.lit("m"), k), F.concat(F.lit("c"), k)
+    places = F.explode(F.when(k % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    sites = p.select(caller.alias("caller_key"), callee.alias("callee_key"), F.concat(F.lit("f"), k % 50).alias("name"), args.alias("args"), F.when(_c("p_size") % 3 != 0, var(_c("p_size") % 3)).alias("taint_var"), places.alias("ord"))
+    own = p.select(caller.alias("method_key"), F.lit(0).alias("ord"), var(k % 2).alias("param_name"))
+    formal = p.select(callee.alias("method_key"), F.posexplode(F.when(k % 11 == 0, F.array(F.lit("q"), F.lit("q"))).otherwise(F.array_repeat(F.lit("q"), 4))).alias("ord", "q"), k.alias("k"))
+    formal = formal.select("method_key", "ord", F.concat(F.when(_c("k") % 13 == 0, "1q").otherwise("q"), "ord").alias("param_name"))
+    return calls.tainted_parameters(sites, own.unionByName(formal))

@@ -287,3 +287,50 @@ def test_stability(spark):
 @pytest.mark.parametrize("name", ["graph", "taint"])
 def test_rule_registry_names(name):
     assert set(taint.RULES) >= {"param_to_field", "field_to_field"} and all(callable(r) for r in taint.RULES.values())
+
+
+def test_arguments_at_the_top_level(spark):
+    from pyspark.sql import functions as F
+
+    from alertmill.operators import calls
+
+    cases = {
+        "f(a, g(b, c), d), e": ["f(a, g(b, c), d)", "e"],
+        "new int[]{1, 2}, x": ["new int[]{1, 2}", "x"],
+        r""""a\", b", ',', "\\", c""": [r'"a\", b"', "','", r'"\\"', "c"],
+        " a ,, b\n,": ["a", "", "b"],
+        "": [],
+        "  ": [],
+        "日本, 😀x, é": ["日本", "😀x", "é"],
+    }
+    df = spark.createDataFrame([(x,) for x in cases] + [(None,)], "a string").select("a", calls.split_args(F.col("a")).alias("got"))
+    assert {r.a: r.got for r in df.collect()} == {**cases, None: []}
+
+
+def test_tainted_parameter_is_certain_or_null(spark):
+    from alertmill.operators import calls
+
+    rows = [("m", "one", "one", 1, "x, id", "id"), ("m", "two", "two", 1, "id, id", "id"), ("m", "many", "many", 1, "id", "id"), ("m", "many", "many", 2, "x", "id"), ("m", "far", "far", 1, "x, x, id", "id"), ("m", "own", "own", 1, "x, a.b(p)", None), ("m", "no", "no", 1, "idx", "id")]
+    params = [("m", 0, "p")] + [(n, i, f"{n}{i}") for n in ("one", "two", "many", "far", "own", "no") for i in range(2)]
+    got = calls.tainted_parameters(spark.createDataFrame(rows, "caller_key string, callee_key string, name string, ord int, args string, taint_var string"), spark.createDataFrame(params, "method_key string, ord int, param_name string"))
+    assert {r.callee_key: r.param_name for r in got.collect()} == {"one": "one1", "two": None, "many": None, "far": None, "own": "own1", "no": None}
+
+
+def test_common_subsequences_against_a_table():
+    import random
+
+    from alertmill.operators.stability import common_length
+
+    def table(x, y):
+        row = [0] * (len(y) + 1)
+        for p in x:
+            last = 0
+            for j, q in enumerate(y, 1):
+                last, row[j] = row[j], last + 1 if p == q else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(5)
+    for n in [0, 1, 5, 63, 64, 65, 200]:
+        for kinds in (1, 2, 5, 40):
+            x, y = ([rng.choice([None, *map(str, range(kinds))]) for _ in range(m)] for m in (n, rng.randint(0, 150)))
+            assert common_length(x, y) == common_length(y, x) == table(x, y)
