@@ -394,7 +394,39 @@ def preorder(nodes: DataFrame, group: str) -> DataFrame:
     ``nodes`` is (group, ord, node, parent) in file order; a node without a known parent is a root, children follow in file
     order, a node is visited once, and nodes that no root reaches (cycles) come last in file order. Of rows that share a node,
     each row links it to a parent, and the earliest visit counts.
+
+    Groups whose nodes have one row each are forests and ranked along their tours; the others are walked level by level.
     """
+    rows = cut(nodes.select(group, "ord", "node", "parent"))
+    several = cut(rows.groupBy(group, "node").agg(F.count("*").alias("n")).where("n > 1").select(group).distinct())
+    if several.isEmpty():
+        return _toured(rows, group)
+    return _toured(cut(rows.join(several, group, "left_anti")), group).unionByName(_walked(rows.join(several, group, "left_semi"), group))
+
+
+def _toured(rows: DataFrame, group: str) -> DataFrame:
+    """Walk order of forests by list ranking: the tour enters and leaves each node, goes on to the next sibling and back to the parent,
+    and every step's distance to the end is found by pointer doubling, so a chain of n nodes takes log n rounds. Rings have no end."""
+    known = rows.select(group, F.col("node").alias("parent"), F.lit(True).alias("has"))
+    rows = rows.join(known, [group, "parent"], "left").withColumn("up", F.when(F.col("has") & ~F.col("parent").isin("", "0"), F.col("parent")))
+    rows = cut(rows.withColumn("next", F.lead("node").over(Window.partitionBy(group, "up").orderBy("ord"))).select(group, "ord", "node", "up", "next"))
+    first = rows.where("up is not null").groupBy(group, F.col("up").alias("node")).agg(F.min_by("node", "ord").alias("child"))
+    enter = rows.join(first, [group, "node"], "left").select(group, "node", F.lit(False).alias("out"), F.coalesce("child", "node").alias("to"), F.col("child").isNull().alias("to_out"), F.lit(1).cast("long").alias("w"))
+    leave = rows.select(group, "node", F.lit(True), F.coalesce("next", "up"), F.col("next").isNull(), F.lit(0).cast("long"))
+    tour = cut(enter.union(leave))
+    most = rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    for _ in range((2 * most).bit_length()):
+        far = tour.select(group, F.col("node").alias("to"), F.col("out").alias("to_out"), F.col("to").alias("far"), F.col("to_out").alias("far_out"), F.col("w").alias("more"))
+        tour = cut(tour.join(far, [group, "to", "to_out"], "left").select(group, "node", "out", F.col("far").alias("to"), F.col("far_out").alias("to_out"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w")))
+        if tour.where("to is not null").isEmpty():
+            break
+    left = tour.where("not out").select(group, "node", F.when(F.col("to").isNull(), F.col("w")).alias("left"))
+    order = Window.partitionBy(group).orderBy(F.col("left").desc_nulls_last(), "ord")
+    return rows.join(left, [group, "node"]).select(group, "node", F.row_number().over(order).alias("rank"))
+
+
+def _walked(nodes: DataFrame, group: str) -> DataFrame:
+    """Walk order where nodes have several rows: the least of the ways that lead to a node, level by level."""
     known = nodes.select(group, "node").distinct().withColumnsRenamed({"node": "parent"}).withColumn("has", F.lit(True))
     rows = nodes.join(known, [group, "parent"], "left").withColumn("root", F.coalesce(F.col("parent").isin("", "0"), F.lit(True)) | F.col("has").isNull())
     pad = F.lpad(F.col("ord").cast("string"), 10, "0")

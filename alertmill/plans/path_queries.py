@@ -167,3 +167,14 @@ def verdict_versions(spark, sf):
         stores.put_verdicts(spark, root, o.where((_c("verdict") == "F") == old).groupBy("bughash").agg(*[F.max_by(c, "seq").alias(c) for c in ("verdict", "confidence")], F.max("seq").alias("seq")))
     of = lambda n: versions.read(spark, root, stores.VERDICTS, n).withColumn("version", F.lit(n))
     return of(1).unionByName(of(2))
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey % 50 AS grp, p_partkey AS k, CASE WHEN p_partkey % 97 = 0 THEN p_partkey + 50 ELSE p_partkey - 50 * (1 + p_size % 3) END AS up FROM part),
+r AS (SELECT grp, k, [k] AS p FROM n WHERE up NOT IN (SELECT k FROM n) UNION ALL SELECT n.grp, n.k, list_append(p, n.k) FROM r JOIN n ON n.up = r.k)
+SELECT n.grp, n.k AS node, row_number() OVER (PARTITION BY n.grp ORDER BY p IS NULL, p, n.k) AS rank FROM n LEFT JOIN r ON n.k = r.k""")
+def walk_order(spark, sf):
+    """Parts of a group under earlier parts; some stand under later ones and close cycles."""
+    k = _c("p_partkey")
+    up = F.when(k % 97 == 0, k + 50).otherwise(k - 50 * (1 + _c("p_size") % 3))
+    nodes = table(spark, sf, "part").select((k % 50).alias("grp"), k.alias("ord"), k.cast("string").alias("node"), up.cast("string").alias("parent"))
+    return graph.preorder(nodes, "grp").withColumn("node", _c("node").cast("long"))

@@ -1,6 +1,7 @@
 """Paths and components of random graphs against plain searches, and on graphs that plain searches cannot finish."""
 
 import random
+import sys
 
 import pytest
 
@@ -111,3 +112,36 @@ def test_limited_paths_are_the_shortest(spark):
     edges, begin, ends = frames(spark, [*e, (5, 9)], [0, 5, 7], [9])
     got = facts.flow_paths(edges.selectExpr("*", "true as passes"), begin, ends, begin.withColumnRenamed("start", "node"), 5, 3).collect()
     assert sorted((r.start, tuple(r.path)) for r in got) == [(0, (0, 1, 9)), (0, (0, 2, 9)), (0, (0, 9)), (5, (5, 9))]
+
+
+def test_walk_order_against_a_walk(spark):
+    rng, rows = random.Random(3), []
+    for g in range(12):
+        n = rng.randint(1, 30)
+        names = [f"n{i}" for i in range(n)]
+        rows += [(g, i, x, rng.choice([*names, "", "0", "gone", None])) for i, x in enumerate(names)]
+    rows += [(99, i, f"c{i}", f"c{i + 1}") for i in range(3000)]
+    rows += [(98, 0, "a", ""), (98, 1, "b", "a"), (98, 2, "b", "")]
+
+    def walk(g):
+        mine = sorted(r[1:] for r in rows if r[0] == g)
+        names, below, order = {x for _, x, _ in mine}, {}, []
+        for _, x, p in mine:
+            below.setdefault(p if p in names else None, []).append(x)
+
+        def go(x):
+            if x not in order:
+                order.append(x)
+                for y in below.get(x, []):
+                    go(y)
+
+        for x in below.get(None, []):
+            go(x)
+        for _, x, _ in mine:
+            if x not in order:
+                order.append(x)
+        return {(g, x, i) for i, x in enumerate(order, 1)}
+
+    sys.setrecursionlimit(20000)
+    got = {tuple(r) for r in graph.preorder(spark.createDataFrame(rows, "g int, ord int, node string, parent string"), "g").collect()}
+    assert got == set().union(*(walk(g) for g in {r[0] for r in rows}))
