@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from alertmill.functions import text as t
 from alertmill.functions import vocab as v
-from alertmill.operators import calls, facts, graph, guards, history, policy, ranges, routing, search, stability, summary, taint
+from alertmill.operators import calls, facts, graph, guards, history, matching, policy, ranges, routing, search, stability, summary, taint
 from alertmill.plans.queries import query, table
 
 _c = F.col
@@ -692,3 +692,11 @@ def tainted_parameters(spark, sf):
     formal = p.select(callee.alias("method_key"), F.posexplode(F.when(k % 11 == 0, F.array(F.lit("q"), F.lit("q"))).otherwise(F.array_repeat(F.lit("q"), 4))).alias("ord", "q"), k.alias("k"))
     formal = formal.select("method_key", "ord", F.concat(F.when(_c("k") % 13 == 0, "1q").otherwise("q"), "ord").alias("param_name"))
     return calls.tainted_parameters(sites, own.unionByName(formal))
+
+
+@query()
+def step_matching(spark, sf):
+    """Lines of a part that were not returned are steps, the others hops; compared with a loop in the tests."""
+    i = table(spark, sf, "lineitem").select(_c("l_partkey").alias("alert_id"), (_c("l_orderkey") * 10 + _c("l_linenumber")).alias("id"), (_c("l_suppkey") % 5).cast("string").alias("file"), F.month("l_shipdate").cast("string").alias("name"), "l_returnflag", (_c("l_linestatus") == "O").alias("tainted"))
+    steps = i.where("l_returnflag = 'N'").select("alert_id", _c("id").alias("step"), F.when(_c("id") % 3 == 0, _c("id") + 1).alias("cited"), F.when(_c("id") % 5 != 0, _c("file")).alias("file"), "name")
+    return matching.match_steps(steps, i.where("l_returnflag <> 'N'").select("alert_id", _c("id").alias("hop"), "file", "name", "tainted"))

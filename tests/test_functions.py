@@ -2,7 +2,6 @@
 
 import hashlib
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,12 +111,6 @@ def test_probes():
     assert [k for k, *_ in m.guards_in('x.matches("[a-z]+"); #{id} ${name}')] == ["regex", "mybatis_param", "mybatis_concat"]
 
 
-def test_step_matching():
-    steps = pd.DataFrame([(1, None, "A", ""), (2, 0, "", ""), (3, None, "A", "f")], columns=["step", "cited", "file", "name"])
-    hops = pd.DataFrame([(0, "A", "g", False), (1, "A", "f", True)], columns=["hop", "file", "name", "tainted"])
-    assert m.matched_steps(steps, hops) == {2: 0, 3: 1}
-
-
 @pytest.mark.parametrize(("generated", "path", "cwe", "rule"), [(True, "x/README.md", "", "HE-101"), (True, "x/ATest.java", "", "HE-002"), (True, "x/A.java", "", "HE-010"), (None, "build/A.java", "", "HE-102"), (None, "A.java", "CWE-787", "HE-201"), (None, "a.c", "CWE-787", None), (None, "A.java", "CWE-79", None)])
 def test_exclusion_is_ordered(spark, generated, path, cwe, rule):
     (got,) = values(spark, v.exclusion_reason(F.col("p"), F.col("g"), F.col("c")), [(path, generated, cwe)], "p string, g boolean, c string")

@@ -334,3 +334,31 @@ def test_common_subsequences_against_a_table():
         for kinds in (1, 2, 5, 40):
             x, y = ([rng.choice([None, *map(str, range(kinds))]) for _ in range(m)] for m in (n, rng.randint(0, 150)))
             assert common_length(x, y) == common_length(y, x) == table(x, y)
+
+
+def test_steps_match_hops_as_a_greedy_loop_does(spark):
+    import random
+
+    from alertmill.operators import matching
+
+    rng, steps, hops, want = random.Random(11), [], [], set()
+    for a in range(90):
+        word = lambda: rng.choice(["A", "B", "C", "", None])
+        ss = [(a, i, rng.choice([None, None, rng.randint(0, 7)]), word(), word()) for i in range(rng.randint(0, 7))]
+        hh = [(a, i, word(), word(), rng.choice([True, False, None])) for i in range(rng.randint(0, 7))]
+        edges = []
+        for _, s, cited, f, n in ss:
+            for _, h, hf, hn, tainted in hh:
+                file, name = bool(f) and f == hf, bool(n) and n == hn
+                if cited == h or file or name:
+                    edges.append((0 if cited == h else 1 if file and name else 2 if file else 3, s, not tainted, h))
+        taken = (set(), set())
+        for _, s, _, h in sorted(edges):
+            if s not in taken[0] and h not in taken[1]:
+                taken[0].add(s), taken[1].add(h), want.add((a, s, h))
+        steps, hops = steps + ss, hops + hh
+    s = spark.createDataFrame(steps, "alert_id int, step int, cited int, file string, name string")
+    h = spark.createDataFrame(hops, "alert_id int, hop int, file string, name string, tainted boolean")
+    got = [tuple(r) for r in matching.match_steps(s, h).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+    assert matching.match_steps(s.limit(0), h).count() == 0
