@@ -82,5 +82,5 @@ def test_mix(kept):
 
 
 def test_registered():
-    assert {re.match(r"op(\d+)_", q)[1] for q in QUERIES} == {str(i) for i in range(1, 11)} and set(ORACLE_SQL) <= set(QUERIES)
+    assert {re.match(r"op(\d+)_", q)[1] for q in QUERIES} == {str(i) for i in range(1, 14)} and set(ORACLE_SQL) <= set(QUERIES)
     assert [n for n, _ in pipeline.STAGES] == ["quality", "lines", "near_duplicates", "decontamination", "mixing"] and pipeline.ORACLE_SQL is None
