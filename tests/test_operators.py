@@ -362,3 +362,11 @@ def test_steps_match_hops_as_a_greedy_loop_does(spark):
     got = [tuple(r) for r in matching.match_steps(s, h).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
     assert matching.match_steps(s.limit(0), h).count() == 0
+
+
+def test_tainted_parameters_send_no_table_to_the_driver(spark):
+    from alertmill.operators import calls
+
+    sites = spark.range(3).selectExpr("concat('m', id) as caller_key", "concat('c', id) as callee_key", "concat('f', id) as name", "cast(id as int) as ord", "'p' as args", "'p' as taint_var")
+    plan = calls.tainted_parameters(sites, spark.range(3).selectExpr("concat('c', id) as method_key", "cast(id as int) as ord", "concat('q', id) as param_name"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
