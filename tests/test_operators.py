@@ -370,3 +370,18 @@ def test_tainted_parameters_send_no_table_to_the_driver(spark):
     sites = spark.range(3).selectExpr("concat('m', id) as caller_key", "concat('c', id) as callee_key", "concat('f', id) as name", "cast(id as int) as ord", "'p' as args", "'p' as taint_var")
     plan = calls.tainted_parameters(sites, spark.range(3).selectExpr("concat('c', id) as method_key", "cast(id as int) as ord", "concat('q', id) as param_name"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_narrowing_ranks_once_for_calls_alike(spark):
+    """Calls of one name and receiver share their ranks; calls that share an id are ranked together, as before."""
+    import re
+
+    from alertmill.operators import calls
+
+    c = make(spark, "id int, name string, receiver string", (1, "n", "A"), (2, "n", "a"), (3, "n", None), (4, "n", "Z"), (5, "n", "B"), (5, "n", "Z"), (6, "n", "A"), (6, "o", "A"), (7, None, "A"), (None, "n", "A"), (None, "o", "B"))
+    d = make(spark, "name string, class string, key int, is_sanitizer boolean", ("n", "a", 1, False), ("n", "A", 2, True), ("n", "b", 3, False), ("o", "C", 4, True), ("o", None, 5, False))
+    got = sorted(((r.id or 0), r.key, r.rank) for r in calls.narrowed(c, d).collect())
+    every = [(2, 1), (1, 2), (3, 3)]
+    assert got == sorted([(0, 2, 1), (0, 4, 2), (0, 1, 3), (0, 5, 4), (1, 2, 1), (1, 1, 2), (2, 2, 1), (2, 1, 2), *[(3, k, r) for k, r in every], *[(4, k, r) for k, r in every], (5, 3, 1), (6, 2, 1), (6, 4, 2), (6, 1, 3), (6, 5, 4)])
+    plan = calls.narrowed(c, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"row_number\(\) windowspecdefinition\(name#\d+, receiver#", plan)
