@@ -9,6 +9,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -239,25 +240,36 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every round takes the least label among neighbours, offers it to the old label's own vertex and halves the
     paths to the roots. Labels move by ``min`` aggregates, which combine before the shuffle, so a vertex with a
     third of all edges costs no more than its edges; rounds grow with the logarithm of the longest path. Each
-    round ends in the shared folder.
+    round ends in the shared folder. A label whose vertices have no neighbour of another label is a whole component:
+    once such ones are most of the vertices they are set aside with their edges, so later rounds carry the rest only.
     """
     spark = edges.sparkSession
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v and u is not null and v is not null")
     e = stage(e.union(e.select("v", "u")).distinct(), "cc-edges")
     labels = stage(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("l")), "cc")
+    done: list[DataFrame] = []
     while True:
-        near = e.join(labels.select(F.col("id").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        hooked = labels.join(near.withColumnRenamed("u", "id"), "id").select("id", "l", F.least("l", "m").alias("m"))
+        near = e.join(labels.select(F.col("id").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"), F.max("l").alias("x"))
+        hooked = labels.join(near.withColumnRenamed("u", "id"), "id").select("id", "l", F.least("l", "m").alias("m"), ((F.col("m") < F.col("l")) | (F.col("x") > F.col("l"))).alias("open"))
         # the old label's vertex learns the least label that its followers saw
         offer = hooked.where("m < l").groupBy(F.col("l").alias("id")).agg(F.min("m").alias("o"))
-        step = hooked.join(offer, "id", "left").select("id", F.col("l").alias("old"), F.least("m", F.coalesce("o", "m")).alias("l"))
+        step = hooked.join(offer, "id", "left").select("id", F.col("l").alias("old"), F.least("m", F.coalesce("o", "m")).alias("l"), "open")
         up = step.select(F.col("id").alias("l"), F.col("l").alias("up"))
-        jumped = step.join(up, "l", "left").select("id", "old", F.coalesce("up", "l").alias("l"))
-        after = stage(jumped, "cc")
-        moved = after.where("l <> old").limit(1).count()
+        after = stage(step.join(up, "l", "left").select("id", "old", F.coalesce("up", "l").alias("l"), "open"), "cc")
+        n, moved, opened = after.agg(F.count("*"), F.count_if(F.col("l") != F.col("old")), F.count_if("open")).first()
         unstage(labels)
+        if not moved:
+            unstage(e)
+            done.append(after)
+            return reduce(DataFrame.unionByName, [d.select("id", F.col("l").alias("component")) for d in done])
         labels = after.select("id", "l")
         labels._staged = after._staged
-        if not moved:
+        if opened * 2 < n:
+            busy = after.where("open").select("old").distinct().withColumn("busy", F.lit(True))
+            parted = stage(after.join(busy, "old", "left").select("id", "l", F.col("busy").isNotNull().alias("busy")), "cc-parted")
+            unstage(labels)
+            done.append(parted.where("not busy"))
+            labels = parted.where("busy").select("id", "l")
+            fewer = stage(e.join(labels.select(F.col("id").alias("u")), "u", "left_semi"), "cc-edges")
             unstage(e)
-            return labels.select("id", F.col("l").alias("component"))
+            e = fewer

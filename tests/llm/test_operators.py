@@ -531,3 +531,23 @@ def test_mixing_goes_through_its_flow(docs, monkeypatch):
     monkeypatch.setattr(mixing, "route", none)
     with pytest.raises(Exception, match="no flow"):
         mixing.mixed(docs).count()
+
+
+def test_components_set_whole_ones_aside(spark, monkeypatch):
+    """Pairs are done after a round: the rounds that a long path takes carry the path, not the pairs."""
+    from alertmill.llm import common
+
+    rows, plain = [], common.stage
+
+    def counted(df, name, by=None):
+        out = plain(df, name, by)
+        if name == "cc":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "stage", counted)
+    pairs = [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(1000)]
+    path = [((i * 37) % 101, ((i + 1) * 37) % 101) for i in range(100)]
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(pairs + path, "a long, b long")).collect()}
+    assert got == {**{x: a for a, b in pairs for x in (a, b)}, **dict.fromkeys(range(101), 0)}
+    assert len(rows) > 4 and rows[:2] == [2101, 2101] and set(rows[2:]) == {101}
