@@ -68,7 +68,7 @@ def _store(spark, sf):
 
 
 def _step(spark, sf, rule):
-    return taint.once(taint.RULES[rule](_facts_of(spark, sf), _store(spark, sf))).drop("path")
+    return taint.step(_facts_of(spark, sf), _store(spark, sf), taint.RULES[rule]).drop("path")
 
 
 @query(_taint_sql("field", "sup", "''", "st", "''", "FROM fact JOIN li ON lt = 'method_param' AND lk = pm AND fact.pn = li.pn"))

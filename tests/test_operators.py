@@ -397,3 +397,34 @@ def test_polymorphic_edges_meet_methods_before_callers(spark):
     assert got == [("f", "B", 1), ("f", "C", 1), ("g", "A", 2), ("g", "B", 2)]
     # only rows that may repeat or be there already are made distinct and compared
     assert "Union" in calls.polymorphic(e, meth, impl)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_taint_rules_broadcast_nothing_and_deal_by_rows(spark, monkeypatch):
+    """Rules join facts and tables that grow alike: no join is broadcast, and twice the rows take twice the tasks."""
+    n = lambda c, k: F.concat(F.lit(c), (F.col("id") % k).cast("string"))
+    fact = lambda kind: spark.range(600).select(F.lit(kind).alias("location_type"), n("k", 60).alias("location_key"), F.lit("").alias("param_name"), F.lit("USER_INPUT").alias("source_type"), n("s", 3).alias("source_method"), F.lit("").alias("source_field"), F.array(F.lit("seed")).alias("path"))
+    store = taint.Store({
+        "field_edges": spark.range(600).select(n("k", 60).alias("src_field"), n("f", 7).alias("dst_field")), "return_fields": spark.range(600).select(n("k", 60).alias("field_key"), n("m", 7).alias("method_key")),
+        "return_sources": spark.range(3).select(n("m", 7).alias("method_key"), n("s", 3).alias("source")), "call_return_to_local": spark.range(600).select(n("k", 60).alias("callee_key"), n("c", 7).alias("caller_key"), F.lit("v").alias("local")),
+        "local_sources": spark.range(3).select(n("c", 7).alias("method_key"), F.lit("v").alias("local"), n("s", 3).alias("source")), "local_returned": spark.range(7).select(n("c", 7).alias("method_key"), F.lit("v").alias("local")),
+        "local_to_field": spark.range(7).select(n("c", 7).alias("method_key"), F.lit("v").alias("local"), n("f", 7).alias("field_key")),
+    })
+    monkeypatch.setattr("alertmill.operators.graph.TASK_ROWS", 100)
+    for rule, kind in (("field_to_field", "field"), ("field_to_return", "field"), ("return_to_caller", "method_return")):
+        got = taint.step(fact(kind), store, taint.RULES[rule])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and ", 6)" in plan
+        assert got.count() == got.select(*taint.KEY).distinct().count() > 0
+
+
+def test_seeds_choose_an_overload_once_for_each_name(spark):
+    """The overload is ranked for each name and place, not for each call, and nothing is broadcast."""
+    empty = lambda schema: spark.createDataFrame([], schema)
+    calls = spark.range(40).select(F.concat(F.lit("c"), F.col("id")).alias("caller_key"), F.lit("A").alias("callee_class"), F.substring(F.concat(F.lit("m"), F.col("id")), 1, 1).alias("callee_method"), (F.col("id") % 2).cast("int").alias("arg_index"), F.lit("s").alias("source"))
+    params = make(spark, "method_key string, param_name string, ord int", ("A.m(A)", "p", 0), ("A.m(A,B)", "p", 0), ("A.m(A,B)", "q", 1))
+    two = "method_key string, source string"
+    got = taint.seeds(empty("field_key string, source_type string, source_method string, source_field string"), empty("method_key string, param_name string, source string"), empty(two), calls, params)
+    assert {(r.location_key, r.param_name, r.path[0]) for r in got.collect()} == {("A.m(A)", "p", "c0 -> A.m(A).p (arg#0)"), ("A.m(A,B)", "q", "c1 -> A.m(A,B).q (arg#1)")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    window = next(x for x in plan.splitlines() if "Window [" in x)
+    assert "caller_key" not in window and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
