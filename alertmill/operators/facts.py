@@ -88,15 +88,15 @@ def source_traces(edges: DataFrame, starts: DataFrame, sources: DataFrame, max_d
     back = cut(flipped(edges))
     hit = paths_between(back, starts, sources, max_depth).select("start", F.reverse("path").alias("path"))
     short = cut(cut_off(back, starts, max_depth)).withColumn("exhausted", F.lit(True))
-    found = hit.join(short, "start", "left").withColumn("exhausted", F.coalesce("exhausted", F.lit(False)))
-    none = short.join(hit.select("start").distinct(), "start", "left_anti").select("start", F.lit(None).cast(hit.schema["path"].dataType).alias("path"), "exhausted")
+    found = hit.join(short.hint("merge"), "start", "left").withColumn("exhausted", F.coalesce("exhausted", F.lit(False)))
+    none = short.join(hit.select("start").distinct().hint("merge"), "start", "left_anti").select("start", F.lit(None).cast(hit.schema["path"].dataType).alias("path"), "exhausted")
     return found.unionByName(none)
 
 
 def flow_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, tainted: DataFrame, max_depth: int = 24, limit: int = 500) -> DataFrame:
     """(start, path): tainted paths to methods that call a sink, of each start the ``limit`` shortest, ties by the path itself. ``edges`` (src, dst, passes) says whether a call passes the value on."""
     live = edges.where("passes").select("src", "dst")
-    begin = starts.join(tainted.select(F.col("node").alias("start")).distinct(), "start", "left_semi")
+    begin = starts.join(tainted.select(F.col("node").alias("start")).distinct().hint("merge"), "start", "left_semi")
     hit = paths_between(live, begin, sinks, max_depth, limit)
     w = Window.partitionBy("start").orderBy(F.size("path"), "path")
     return hit.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select("start", "path")

@@ -428,3 +428,19 @@ def test_seeds_choose_an_overload_once_for_each_name(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     window = next(x for x in plan.splitlines() if "Window [" in x)
     assert "caller_key" not in window and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_loops_over_graphs_broadcast_nothing(spark, monkeypatch):
+    """Tables of a loop grow with the graph, however small their files: no round sends one to the driver to be broadcast."""
+    from alertmill.operators import facts
+
+    plans, kept = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    e = make(spark, "src int, dst int", (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 5), (7, 6))
+    node = lambda *n: make(spark, "node int", *[(x,) for x in n])
+    starts = make(spark, "start int", (1,), (4,), (7,))
+    got = {r.node: r.component for r in graph.strong_components(e).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
+    out = [graph.forward_trace(e, starts, node(6), 8), facts.source_traces(e, starts, node(2), 3), facts.flow_paths(e.withColumn("passes", F.lit(True)), starts, node(6), node(1, 4), 8, 5), graph.closure(e, starts)]
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in out]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
