@@ -444,3 +444,13 @@ def test_loops_over_graphs_broadcast_nothing(spark, monkeypatch):
     out = [graph.forward_trace(e, starts, node(6), 8), facts.source_traces(e, starts, node(2), 3), facts.flow_paths(e.withColumn("passes", F.lit(True)), starts, node(6), node(1, 4), 8, 5), graph.closure(e, starts)]
     plans += [df._jdf.queryExecution().executedPlan().toString() for df in out]
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_callee_keys_deal_by_rows(spark, monkeypatch):
+    """Calls meet their keys once, dealt by rows; a name that is a key hides its overloads."""
+    monkeypatch.setattr(graph, "TASK_ROWS", 10)
+    e = spark.range(60).select("id", F.lit("A").alias("callee_class"), F.concat(F.lit("f"), F.col("id") % 3).alias("callee_method"))
+    got = calls.callee_keys(e, make(spark, "method_key string", ("A.f0(int)",), ("A.f0(String)",), ("A.f1",), ("A.f1(int)",), (None,)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 20 * 2 + 20 and plan.count("SortMergeJoin") == 1 and ", 6)" in plan and "Broadcast" not in plan
+    assert got.where("callee_key = 'A.f1'").count() == 20
