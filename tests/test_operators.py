@@ -454,3 +454,16 @@ def test_callee_keys_deal_by_rows(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 20 * 2 + 20 and plan.count("SortMergeJoin") == 1 and ", 6)" in plan and "Broadcast" not in plan
     assert got.where("callee_key = 'A.f1'").count() == 20
+
+
+def test_a_round_of_matching_shuffles_once(spark, monkeypatch):
+    """Steps and hops of an alert stay together: a round deals the pairs once and joins nothing."""
+    from alertmill.operators import matching
+
+    plans, kept = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    s = spark.range(6).select((F.col("id") % 2).alias("alert_id"), F.col("id").alias("step"), F.lit(None).cast("long").alias("cited"), F.lit("f").alias("file"), F.concat(F.lit("n"), F.col("id") % 3).alias("name"))
+    h = spark.range(6).select((F.col("id") % 2).alias("alert_id"), F.col("id").alias("hop"), F.lit("f").alias("file"), F.concat(F.lit("n"), F.col("id") % 3).alias("name"), F.lit(True).alias("tainted"))
+    assert matching.match_steps(s, h).count() == 6
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
+    assert all(p.count("Exchange hash") + p.count("Exchange Single") == 1 and "Join" not in p for p in plans[1:])
