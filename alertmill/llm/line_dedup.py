@@ -419,7 +419,8 @@ def line_classes(rows: DataFrame, several, twice: bool, places: Bloom, threshold
     unstage(edges)
     lines = candidate_lines(rows, several, Bloom.of(placed.select(F.xxhash64(*PLACE).alias("k")), "k"))
     lines = lines.dropDuplicates(PLACE) if twice else lines
-    links = stage(linked_lines(lines.join(placed, PLACE), threshold), "links")
+    # lines and texts are dealt at every size, also where one side could be broadcast, so that what is shuffled grows as the input does
+    links = stage(linked_lines(lines.join(placed.hint("merge"), PLACE), threshold), "links")
     unstage(placed)
     return components(links)
 
@@ -501,7 +502,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {"id": batch.column("id"), **out, "kept": pa.array(out["kept"], pa.binary()).cast(pa.string()), **extra(batch)}
 
     result = "id long, n_lines long, n_removed long, kept string" + more
-    going = arrow_map(whole, "id long, h long, z binary" + more, send, "text").join(gone, ["id", "h"], "left")
+    going = arrow_map(whole, "id long, h long, z binary" + more, send, "text").join(gone.hint("merge"), ["id", "h"], "left")
     cut = arrow_map(going, result, last, "z").unionByName(arrow_map(whole, result, stay, "text"))
     return cut.select(F.when(F.col("id") != LEAST, F.col("id")).alias(id_col), "n_lines", "n_removed", "kept", *(["rest.*"] if carry else []))
 

@@ -250,6 +250,12 @@ def test_many_equal_rows(spark):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r["count"]) for r in got] == [(len(text), len(text), 1, n)]
 
 
+def test_line_dedup_deals_texts_at_every_size(docs):
+    """Small tables too: texts that lose lines meet their lists by a shuffle, so the shuffle grows in proportion."""
+    plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 @pytest.mark.parametrize("common", [0, 120])
 def test_line_dedup_recall(spark, common):
     """2,500 pairs just over the threshold, with and without boilerplate that makes all lines alike."""
