@@ -467,3 +467,21 @@ def test_a_round_of_matching_shuffles_once(spark, monkeypatch):
     assert matching.match_steps(s, h).count() == 6
     assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
     assert all(p.count("Exchange hash") + p.count("Exchange Single") == 1 and "Join" not in p for p in plans[1:])
+
+
+def test_closure_shuffles_what_is_new(spark, monkeypatch):
+    """What was found is read from its buckets: of a round's joins none shuffles it, however many rounds there were."""
+    plans, write = [], graph.Buckets.add
+
+    def add(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df)
+
+    monkeypatch.setattr(graph.Buckets, "add", add)
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(20)]
+    got = {(r.start, r.node): r.depth for r in graph.closure(edges(spark, *chain), starts(spark, "n0", "n15")).collect()}
+    assert got == {(f"n{a}", f"n{b}"): b - a for a in (0, 15) for b in range(a, 21)}
+    rounds = [x for x in plans if "LeftAnti" in x]
+    # a round deals its front by node and its new rows by both columns, nothing else
+    assert len(rounds) == 21 and all(x.count("Exchange hashpartitioning") == 2 and "Broadcast" not in x for x in rounds)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("cut_")]
