@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from alertmill.llm.scan import word_hashes, words_of
 MOST_LABELLED = 16_000
 #: What all pseudo-labels together weigh of the labels.
 POOL_SHARE = 0.5
-#: Rows that a pass over the pool sends to the driver at most.
+#: Tasks that add up what a pass over the pool found; one more adds up theirs, so a single row reaches the driver.
 SUMS = 64
 #: Rounds of exchange, and the calibrated probability that makes a pseudo-label.
 ROUNDS, CONFIDENT = 3, 0.98
@@ -44,7 +47,7 @@ def text_view(batch: pa.RecordBatch) -> np.ndarray:
     twin = np.zeros(len(buf), dtype=bool)
     twin[1:] = (buf[1:] == buf[:-1]) & (buf[1:] < 64) & (buf[1:] > 32)
     w = np.maximum(words, 1)
-    more = np.stack([counts[:, 128:].sum(axis=1) / size[:, 0], np.log1p((ends - starts).sum() and np.bincount(wrow, weights=ends - starts, minlength=len(n)) / w), kinds / w, np.bincount(wrow, weights=same, minlength=len(n)) / w, np.bincount(row, weights=twin, minlength=len(n)) / size[:, 0], words == 0], axis=1)
+    more = np.stack([counts[:, 128:].sum(axis=1) / size[:, 0], np.log1p(np.bincount(wrow, weights=ends - starts, minlength=len(n)) / w), kinds / w, np.bincount(wrow, weights=same, minlength=len(n)) / w, np.bincount(row, weights=twin, minlength=len(n)) / size[:, 0], words == 0], axis=1)
     return np.hstack([np.log1p(1000 * counts[:, :128] / size), more]).astype(np.float32)
 
 
@@ -126,7 +129,8 @@ def pooled(pool: DataFrame, views: list[View], confident: float) -> tuple[list[P
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["s"])
 
     sums = pool.mapInArrow(lean(add), "s binary").select("s", F.pmod(F.xxhash64("s"), F.lit(SUMS)).alias("part")).repartition(SUMS, "part").select("s").mapInArrow(lean(total), "s binary")
-    every, at, out, n = sum((np.frombuffer(r.s) for r in sums.collect()), np.zeros(size)), 0, [], []
+    found = sums.repartition(1).mapInArrow(lean(total), "s binary").first()
+    every, at, out, n = np.frombuffer(found.s) if found else np.zeros(size), 0, [], []
     for v, d in zip(views, dims):
         out.append(Pool(weights_of(v.model), float(every[at]), every[at + 2 : at + 2 + d], every[at + 2 + d : at + 2 + d + d * d].reshape(d, d)))
         n.append(int(every[at]))
@@ -134,32 +138,69 @@ def pooled(pool: DataFrame, views: list[View], confident: float) -> tuple[list[P
     return out, n
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: DataFrame | None = None, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
-    """Views fitted on labels ``y`` (1 good, 0 bad), then taught by each other's confident labels of the ``pool`` in rounds.
+@dataclass(frozen=True)
+class Labelled:
+    """The labelled documents: both views' features, labels ``y`` (1 good, 0 bad) and folds. ``taught`` and ``started`` give fitted views and how to combine them."""
+
+    views: tuple[np.ndarray, np.ndarray]
+    y: np.ndarray
+    fold: np.ndarray
+
+    def combined(self, fitted: list[View], scores: list[np.ndarray]) -> tuple[float, float, float]:
+        both = np.stack([fitted[v].a * scores[v] + fitted[v].b for v in (0, 1)], axis=1).clip(-13, 13).astype(np.float32)
+        top = fit(both, self.y.astype(float), ridge=1e-4)
+        w = top.w / top.scale
+        return float(w[0]), float(w[1]), float(top.b - (w * top.mean).sum())
+
+    def started(self) -> tuple[list[View], tuple[float, float, float] | None]:
+        """Without a way to combine the views where all labels are of one kind."""
+        y = self.y.astype(float)
+        models = [fit(x, y, ridge=1e-3, default=1.0) for x in self.views]
+        scores = [out_of_fold(x, y, self.fold, ridge=1e-3, default=1.0) for x in self.views]
+        fitted = [View(m, *platt(s, y)) for m, s in zip(models, scores)]
+        return fitted, self.combined(fitted, scores) if len(np.unique(self.y)) == 2 else None
+
+    def taught(self, fitted: list[View], learnt: list[Pool]) -> tuple[list[View], tuple[float, float, float]]:
+        fitted, y, scores = list(fitted), self.y.astype(float), []
+        for v, x in enumerate(self.views):
+            m = refit(fitted[v].model, x, y, learnt[v], POOL_SHARE)
+            held = np.zeros(len(y))
+            for k in np.unique(self.fold):
+                own = self.fold == k
+                held[own] = refit(m, x[~own], y[~own], learnt[v], POOL_SHARE, steps=3).score(x[own])
+            scores.append(held)
+            fitted[v] = View(m, *platt(held, y))
+        return fitted, self.combined(fitted, scores)
+
+
+def fitted_in_task(rows: DataFrame, name: str, *args):
+    """What the method ``name`` of the labelled ``rows`` (id, y, t, p) gives: one task on the executors reads them, and the models alone reach the driver."""
+    b = shared(rows.sparkSession, args)
+
+    def run(batches):
+        own = pa.Table.from_batches(batches)
+        ids, flat = own.column("id").to_numpy().astype(np.int64), lambda c: np.concatenate([np.zeros(0, np.uint8), *(buffer_of(x)[0] for x in own.column(c).chunks)]).view(np.float32).reshape(own.num_rows, -1)
+        order = np.argsort(ids)
+        rows = Labelled((flat("t")[order], flat("p")[order]), own.column("y").to_numpy()[order], (mix64(ids[order].view(np.uint64)) % np.uint64(5)).astype(int))
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(getattr(rows, name)(*b.value))], pa.binary())], names=["m"])
+
+    return cloudpickle.loads(rows.coalesce(1).mapInArrow(lean(run), "m binary").first().m)
+
+
+def co_train(call: Callable, pool: DataFrame | None = None, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
+    """Views fitted on labels, then taught by each other's confident labels of the ``pool`` in rounds; ``call`` runs a method of ``Labelled``.
 
     Calibration and the combination go by labelled documents only, scored out of fold. Without labels everything is good;
     with labels of one kind everything is of that kind.
     """
-    known = len(np.unique(y)) == 2
-    models = [fit(x, y.astype(float), ridge=1e-3, default=1.0) for x in views]
-    scores = [out_of_fold(x, y.astype(float), fold, ridge=1e-3, default=1.0) for x in views]
-    fitted = [View(m, *platt(s, y.astype(float))) for m, s in zip(models, scores)]
-    if not known:
+    fitted, mix = call("started")
+    if mix is None:
         return CoTrained(fitted[0], fitted[1], (0.5, 0.5, 0.0))
     n = [0, 0]
     for _ in range(rounds if pool is not None else 0):
         learnt, n = pooled(pool, fitted, confident)
-        for v, x in enumerate(views):
-            m = refit(fitted[v].model, x, y.astype(float), learnt[v], POOL_SHARE)
-            held = np.zeros(len(y))
-            for k in np.unique(fold):
-                own = fold == k
-                held[own] = refit(m, x[~own], y[~own].astype(float), learnt[v], POOL_SHARE, steps=3).score(x[own])
-            scores[v], fitted[v] = held, View(m, *platt(held, y.astype(float)))
-    both = np.stack([fitted[v].a * scores[v] + fitted[v].b for v in (0, 1)], axis=1).clip(-13, 13).astype(np.float32)
-    top = fit(both, y.astype(float), ridge=1e-4)
-    w = top.w / top.scale
-    return CoTrained(fitted[0], fitted[1], (float(w[0]), float(w[1]), float(top.b - (w * top.mean).sum())), (n[0], n[1]))
+        fitted, mix = call("taught", fitted, learnt)
+    return CoTrained(fitted[0], fitted[1], mix, (n[0], n[1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", labelled: int = MOST_LABELLED) -> CoTrained:
@@ -172,15 +213,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.select("id", "text", "source", "lang", "n_chars", "n_lines", F.col(label).cast("int").alias("y"))
 
     def step(batch):
-        return {"id": batch.column("id"), "y": batch.column("y"), "t": list(text_view(batch)), "p": list(page_view(batch))}
-
-    got = arrow_map(rows, "id long, y int, t array<float>, p array<float>", step, "text").orderBy("id").toArrow()
-    n = got.num_rows
-    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1)
-    if not n:
-        x = np.zeros((1, 134), np.float32), np.zeros((1, SOURCES + LANGS + 4), np.float32)
-        return co_train(x, np.array([1]), np.array([0]))
-    ids = got.column("id").to_numpy().astype(np.int64)
+        return {"id": batch.column("id"), "y": batch.column("y"), "t": [x.tobytes() for x in text_view(batch)], "p": [x.tobytes() for x in page_view(batch)]}
+
+    known = stage(arrow_map(rows, "id long, y int, t binary, p binary", step, "text"), "labelled")
+    ids = known.select("id").toArrow().column("id").to_numpy().astype(np.int64)
+    if not len(ids):
+        none = Labelled((np.zeros((1, 134), np.float32), np.zeros((1, SOURCES + LANGS + 4), np.float32)), np.array([1]), np.array([0]))
+        return co_train(lambda name: getattr(none, name)())
     told = shared(docs.sparkSession, np.sort(ids))
 
     def features(batch):
@@ -188,8 +227,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {"t": [x.tobytes() for x in text_view(free)], **{c: free.column(c) for c in PAGE}} if free.num_rows else None
 
     pool = stage(arrow_map(page_columns(docs, id_col, text_col), "t binary, source int, lang int, n_chars long, n_lines long", features, "text"), "pool")
-    model = co_train((flat("t"), flat("p")), got.column("y").to_numpy(), (mix64(ids.view(np.uint64)) % np.uint64(5)).astype(int), pool)
-    unstage(pool)
+    model = co_train(partial(fitted_in_task, known), pool)
+    unstage(known, pool)
     return model
 
 

@@ -1,4 +1,4 @@
-"""Bounded, seeded samples of labelled documents for fitting classifiers on the driver."""
+"""Bounded, seeded samples of labelled documents for fitting classifiers."""
 
 from __future__ import annotations
 

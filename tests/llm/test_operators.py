@@ -417,6 +417,33 @@ def test_pool_takes_all_documents(spark):
     assert first.weight == 50 and np.allclose(first.g, z.T @ (p - other), atol=1e-3) and np.allclose(first.h, (z * (p * (1 - p))[:, None]).T @ z, atol=1e-3)
 
 
+def test_quality_fits_on_executors(spark, monkeypatch):
+    """No features and no sums of the pool but one row reach the driver; models come from the executors."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    docs, marks = labelled(spark)
+    seen = []
+
+    def spied(name, bytes_of):
+        real = getattr(DataFrame, name)
+
+        def run(self, *args):
+            out = real(self, *args)
+            seen.append((name, bytes_of(out)))
+            return out
+
+        monkeypatch.setattr(DataFrame, name, run)
+
+    spied("toArrow", lambda t: t.nbytes)
+    spied("collect", lambda rows: sum(len(v) if isinstance(v, (bytes, bytearray)) else 8 for r in rows for v in r))
+    model = quality.train(docs.repartition(7), marks)
+    pool = spark.range(40).select(F.lit(np.zeros(134, np.float32).tobytes()).alias("t"), F.lit(0).alias("source"), F.lit(0).alias("lang"), F.lit(1).cast("long").alias("n_chars"), F.lit(1).cast("long").alias("n_lines"))
+    quality.pooled(pool.repartition(7), [model.text, model.page], 0.5)
+    quality.pooled(pool.limit(0), [model.text, model.page], 0.5)
+    one = 8 * sum(2 + d + d * d for d in (135, 85))
+    assert max(n for name, n in seen if name == "toArrow") <= 16 * marks.count() and max(n for name, n in seen if name == "collect") <= one
+
+
 def test_samples_are_bounded(spark):
     from alertmill.llm.samples import bounded
 
