@@ -120,6 +120,13 @@ def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def shared_with_first(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of the first of some sorted sets with each of the others."""
+    rest, first = np.concatenate(sets[1:]), sets[0]
+    at = np.minimum(np.searchsorted(first, rest), len(first) - 1)
+    return np.add.reduceat((first[at] == rest).astype(np.int64), np.append(0, np.cumsum([len(x) for x in sets[1:-1]], dtype=np.int64)))
+
+
 SKETCH = ["s0", "s1"]
 
 
@@ -315,7 +322,13 @@ def near_in_buckets(held: DataFrame, again: DataFrame, most: int) -> DataFrame:
             i = np.flatnonzero(left > d)
             i = i[(place[i, :3] != place[i + d, :3]).any(axis=1) & (far(sketch[i], sketch[i + d]) <= most)]
             out.append(np.stack([i, i + d], axis=1))
-        for a, m in zip(first[length > FEW].tolist(), length[length > FEW].tolist()):
+        # where all lines of a block are near its first one, that is the forest
+        head = np.repeat(first, length)
+        close = np.minimum.reduceat(far(sketch, sketch[head]) <= most, first) & (group[first, 1] == group[first, 2]) & (length > FEW)
+        i = np.flatnonzero(np.repeat(close, length) & (head != np.arange(len(rows))))
+        out.append(np.stack([i, head[i]], axis=1))
+        rest = (length > FEW) & ~close
+        for a, m in zip(first[rest].tolist(), length[rest].tolist()):
             z = a + m
             one, other = np.flatnonzero(side[a:z] == group[a, 1]), np.flatnonzero(side[a:z] == group[a, 2])
             linked = np.zeros((m, m), dtype=bool)
@@ -357,7 +370,7 @@ def linked_lines(members: DataFrame, threshold: float) -> DataFrame:
         """One block with itself, or two blocks."""
         place, sets, side = [r[6:9] for r in held], [r[9] for r in held], np.array([r[5] for r in held])
         if len(held) == 2:
-            inter = len(np.intersect1d(*sets, assume_unique=True))
+            inter = int(shared_with_first(sets)[0])
             if side.tolist() in ([held[0][3], held[0][4]], [held[0][4], held[0][3]]) and inter >= threshold * (len(sets[0]) + len(sets[1]) - inter) - 1e-6:
                 out.append((*place[1], *place[0]))
             return
@@ -365,6 +378,11 @@ def linked_lines(members: DataFrame, threshold: float) -> DataFrame:
         if not len(one) or not len(other):
             return
         size = np.array([len(x) for x in sets], dtype=np.float64)
+        if held[0][3] == held[0][4]:  # where all are linked to the first, that is the forest
+            inter = shared_with_first(sets)
+            if (inter >= threshold * (size[0] + size[1:] - inter) - 1e-6).all():
+                out += [(*p, *place[0]) for p in place[1:]]
+                return
         inter = overlaps([sets[i] for i in one], [sets[i] for i in other])
         near = np.zeros((len(held), len(held)), dtype=bool)
         near[np.ix_(one, other)] = inter >= threshold * (size[one][:, None] + size[other][None, :] - inter) - 1e-6

@@ -215,6 +215,28 @@ def test_line_dedup_in_a_full_bucket(spark, monkeypatch, block):
     assert got == {i: int(i < 30 and i % 2 == 1) for i, _ in rows}
 
 
+def test_line_dedup_by_the_first_line_of_a_group(spark, monkeypatch):
+    """Lines that are all near their group's first are not compared with one another; a chain of lines still is one group."""
+    sets = [np.unique(np.random.default_rng(i).integers(0, 60, 40).astype(np.uint64)) for i in range(9)]
+    assert line_dedup.shared_with_first(sets).tolist() == [len(np.intersect1d(sets[0], x)) for x in sets[1:]]
+    words = "the quick brown fox jumps over the lazy dog while seven bright owls watch quietly from old pines near water".split()
+    copies = spark.createDataFrame([(i, " ".join([*words, f"n{i:02d}"])) for i in range(9)], "doc_id long, text string")
+    want = brute.lines([(r.doc_id, r.text) for r in copies.collect()])
+    chain = [(i, " ".join([f"{w}{'xyz'[i % 3] * 3}{i}" if k // 2 < i else w for k, w in enumerate(words)])) for i in range(7)]
+
+    def kept(df):
+        return {r.doc_id: r.kept for r in line_dedup.dedup_lines(df).collect()}
+
+    assert kept(spark.createDataFrame(chain, "doc_id long, text string")) == brute.lines(chain)
+
+    def never(*args):
+        raise AssertionError("all pairs were compared")
+
+    monkeypatch.setattr(line_dedup, "overlaps", never)
+    monkeypatch.setattr(line_dedup, "forest", never)
+    assert kept(copies) == want and sum(map(bool, want.values())) == 1
+
+
 def test_line_dedup_of_repeated_ids(spark):
     """Rows that repeat an id with other texts are documents of their own; equal rows are one."""
     one, two = "first line of this text is long", "quite another second line here"
