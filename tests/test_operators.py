@@ -387,6 +387,40 @@ def test_narrowing_ranks_once_for_calls_alike(spark):
     assert re.search(r"row_number\(\) windowspecdefinition\(name#\d+, receiver#", plan)
 
 
+def test_narrowing_in_blocks(spark, monkeypatch):
+    """Calls and definitions that fill several blocks, the last in part, come out as from a plain loop."""
+    import random
+
+    from alertmill.operators import calls, graph
+
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 3, raising=False)
+    monkeypatch.setattr(calls, "DEF_ROWS", 2, raising=False)
+    rng = random.Random(5)
+    asked = [(i, rng.choice(["n", "n", "o", "", None]), rng.choice(["A", "b", "", None])) for i in range(150)]
+    known = [(rng.choice(["n", "o", ""]), rng.choice(["a", "B", "C", "", None]), k, rng.random() < 0.3) for k in range(40)]
+    want = []
+    for i, name, receiver in asked:
+        of = [d for d in known if d[0] == name]
+        own = [d for d in of if None not in (d[1], receiver) and d[1].lower() == receiver.lower()]
+        want += [(i, name, d[1], d[2], d[3], r) for r, d in enumerate(sorted(own or of, key=lambda d: (not d[3], d[2])), 1)]
+    got = calls.narrowed(make(spark, "id int, name string, receiver string", *asked), make(spark, "name string, class string, key int, is_sanitizer boolean", *known))
+    assert sorted(tuple(r) for r in got.select("id", "name", "key", "rank").collect()) == sorted((w[0], w[1], w[3], w[5]) for w in want)
+    assert {(r.key, r["class"], r.is_sanitizer) for r in got.collect()} <= {(d[2], d[1], d[3]) for d in known}
+
+
+def test_narrowing_stores_little(spark, tmp_path, monkeypatch):
+    """Each of 64 calls without a match takes over 30,000 definitions: stored, a row takes under a byte and a half (it took twelve)."""
+    from alertmill.operators import calls
+
+    monkeypatch.setattr(calls, "PARTS", 1, raising=False)
+    c = spark.range(64).selectExpr("id", "concat('n', id % 1) as name", "concat('Z', id % 1) as receiver")
+    d = spark.range(30_000).selectExpr("concat('n', id % 1) as name", "concat('C', pmod(xxhash64(id), 25)) as class", "xxhash64(id) as key", "id % 9 = 0 as is_sanitizer")
+    calls.narrowed(c, d).select("id", "class", "key", "rank").write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == 64 * 30_000 and out.select("id", "rank").distinct().count() == 64 * 30_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 64 * 30_000 * 1.5
+
+
 def test_polymorphic_edges_meet_methods_before_callers(spark):
     from alertmill.operators import calls
 
